@@ -99,6 +99,6 @@ def taken(docs: DataFrame, block_words: int = 512, **options) -> DataFrame:
     right = F.least(last + 1 - F.col("block") * block_words, F.lit(block_words))
     by_index = uses.select(F.col("source").alias("u_source"), F.col("block").alias("u_block"), "take")
     joined = parts.join(by_index, F.col("source").eqNullSafe(F.col("u_source")) & (F.col("block") == F.col("u_block")), "left")
-    words = F.greatest(F.least(right, F.col("take")) - left, F.lit(0))
+    words = F.greatest(F.least(right, F.coalesce("take", F.lit(0))) - left, F.lit(0))
     keys = ["doc_id", "source", "size", "source_size", "target", "first"]
-    return joined.groupBy(*keys).agg(F.sum(F.coalesce(words, F.lit(0))).cast("bigint").alias("taken")).drop("first")
+    return joined.groupBy(*keys).agg(F.sum(words).cast("bigint").alias("taken")).drop("first")
