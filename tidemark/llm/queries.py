@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing
+from . import line_dedup, mixing, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +22,25 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tokens.token_folder(spark, "token-files")
+    tokens.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), folder)
+    return tokens.token_file_checksums(tokens.read_token_files(spark, folder))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_line_dedup, op6_mixing)}
+    return {f.__name__: f for f in (op4_line_dedup, op5_token_files, op6_mixing, op7_token_counts)}
 
 
 LINE_SQL = r"""
