@@ -141,14 +141,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return leaves.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def prefix_sums(df: DataFrame, group: str, order: list[Column], value: str, rows_each: int, total: int, seed: str) -> DataFrame:
+def prefix_sums(df: DataFrame, group: str, order: list[Column], value: str, total: int, seed: str) -> DataFrame:
     """Adds `before`: the sum of `value` over the rows of the same `group` that precede in a pseudorandom order.
 
     The rows of a group are dealt into buckets by the leading part of a hash of `order`; sums run inside a bucket, and
     over the buckets' totals. So a group with a third of all rows is spread over many tasks. `total` is the number of
-    rows of df; buckets hold about `rows_each`, and a group of fewer rows has few rows in each.
+    rows of df; a group has as many buckets as rows in a bucket at most, the root of it.
     """
-    n = max(1, math.ceil(total / rows_each))
+    n = max(1, math.ceil(math.sqrt(total)))
     draw = F.xxhash64(F.lit(seed), *order)
     dealt = df.withColumn("draw", draw).withColumn("bucket", F.pmod(F.shiftrightunsigned("draw", 20), F.lit(n)))
     inner = Window.partitionBy(group, "bucket").orderBy("draw", *order).rowsBetween(Window.unboundedPreceding, -1)

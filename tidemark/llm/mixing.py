@@ -60,7 +60,7 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, mos
     """
     sizes = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")), "sizes")
     targets = staged(source_targets(sizes, list(weights), share, most), "targets").withColumn("goal", F.round("target").cast("bigint"))
-    placed = prefix_sums(sizes, "source", [F.coalesce("doc_id", F.lit(-1)), F.col("text_hash")], "size", rows_each, sizes.count(), SEED)
+    placed = prefix_sums(sizes, "source", [F.coalesce("doc_id", F.lit(-1)), F.col("text_hash")], "size", sizes.count(), SEED)
     named = targets.select(F.col("source").alias("t_source"), "source_size", "target", "goal")
     sizes = placed.join(named, F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "source", "size", "source_size", "target", F.col("before").alias("first"))
 
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, mos
     blocks = blocks.withColumn("words", F.when(F.col("block") == F.col("n_blocks") - 1, F.col("last")).otherwise(length).cast("bigint"))
     blocks = blocks.withColumn("stream", F.struct("source", "epoch")).select("stream", "block", "words", "source_size", "goal")
     n = targets.agg(F.coalesce(F.sum(F.ceil(F.col("goal") / length) + 2), F.lit(1))).first()[0]
-    order = prefix_sums(blocks, "stream", [F.col("stream.epoch"), F.coalesce("stream.source", F.lit("")), F.col("block")], "words", rows_each, int(n), SEED)
+    order = prefix_sums(blocks, "stream", [F.col("stream.epoch"), F.coalesce("stream.source", F.lit("")), F.col("block")], "words", int(n), SEED)
     start = F.col("stream.epoch") * F.col("source_size") + F.col("before")
     uses = order.withColumn("take", F.least(F.col("words"), F.col("goal") - start)).where("take > 0")
     slot = F.expr(f"stream.epoch * (source_size div {block_words} + 1) + before div {block_words}")

@@ -7,10 +7,11 @@ found once and looked up after that. The look-up tables of a task are bounded an
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,12 @@ from .common import partitions, runs, shared_folder
 #: Characters that are white space to Python but not to the tokenizers' patterns, or the other way round.
 ODD = re.compile("[\x1c-\x1f\x85᠎]")
 #: White space and the characters after it up to the next white space; the last piece may be white space only.
+#: A piece of one blank, letters and marks: its pre-tokens are " letters" and "marks", or the line feed, "letters", "marks".
+SIMPLE = re.compile(r"(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:;=?@\[-`{-~]*)")
+#: White space in other forms than single spaces and line feeds between other characters.
+UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
+WIDE = re.compile("[\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+ODD_ASCII = "\x1c\x1d\x1e\x1f"
 PIECE = re.compile(r"\s*\S+|\s+\Z")
 MOST_KEPT = 300_000
 TEXT_AT_ONCE = 4_000_000
@@ -36,25 +43,81 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def odd(text: str) -> bool:
+    """Whether a text has white space characters that Python and the tokenizers' patterns may not agree on."""
+    if text.isascii():
+        return any(c in text for c in ODD_ASCII)
+    return ODD.search(text) is not None
+
+
 class IdEncoder:
     """Ids of whole texts as bytes of little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        self.tokenizer, self.known, self.led, self.words, self.passing = _tokenizer(path), {}, {}, {}, [[], []]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        marks = [x for x in special if SIMPLE.fullmatch(x) or not x.isprintable() or "<" not in x]
+        step = self.tokenizer.pre_tokenizer
+        self.simple = not marks and self.tokenizer.normalizer is None and type(step).__name__ == "ByteLevel" and step.use_regex and not step.add_prefix_space
+        # The byte alphabet: printable characters of Latin-1 stand for themselves, other bytes for characters from U+0100 on.
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token, given in the byte alphabet."""
+        return array("I", [x.id for x in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        if ODD.search(text):
-            return self._ids([text])[0]
-        pieces, known = PIECE.findall(text), self.known
-        if new := list(set(pieces).difference(known)):
-            if len(known) + len(new) > MOST_KEPT:
-                known.clear()
-                new = list(set(pieces))
-            known.update(zip(new, self._ids(new), strict=True))
-        return b"".join(map(known.__getitem__, pieces))
+        """Ids of pieces. A blank, letters and marks are three pre-tokens or two, each looked up; others go to the library."""
+        words, out, match = self.words, [], SIMPLE.fullmatch if self.simple else lambda x: None
+        if len(words) > MOST_KEPT:
+            words.clear()
+        for piece in pieces:
+            m = match(piece)
+            if m is None:
+                out.append(self._whole(piece))
+                continue
+            ids = b""
+            for word in m.groups():
+                if word:
+                    known = words.get(word)
+                    if known is None:
+                        known = words[word] = self._word(word)
+                    ids += known
+            out.append(ids)
+        return out
+
+    def _cut(self, text: str) -> tuple[list[str], list[str]]:
+        """Pieces as they are, and pieces after these that stand for a space and themselves unless they start a line.
+
+        A text whose white space is single spaces and line feeds is split at these, any other one by a pattern.
+        """
+        if any(c in text for c in UNEVEN) or not text.isascii() and WIDE.search(text):
+            return PIECE.findall(text), []
+        head, *pieces = text.replace("\n", " \n").split(" ")
+        return [head], pieces
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = {i: self._whole(x) for i, x in enumerate(texts) if odd(x)}
+        cut = [([], []) if i in whole else self._cut(x) for i, x in enumerate(texts)]
+        for which, known in enumerate((self.known, self.led)):
+            for x in self.passing[which]:
+                del known[x]
+            new = list(set().union(*(x[which] for x in cut)).difference(known))
+            # What doesn't fit is forgotten in the next call: by then the frequent pieces are known.
+            self.passing[which] = new if len(known) + len(new) > MOST_KEPT else []
+            known.update(zip(new, self._ids([x if x[:1] == "\n" else " " + x for x in new] if which else new), strict=True))
+        first, rest = self.known.__getitem__, self.led.__getitem__
+        return [whole[i] if i in whole else b"".join(map(first, a)) + b"".join(map(rest, z)) for i, (a, z) in enumerate(cut)]
+
+
+@functools.lru_cache(maxsize=2)
+def id_encoder(path: str) -> IdEncoder:
+    """One for each Python worker, so that its look-up tables serve all the worker's tasks."""
+    return IdEncoder(path)
 
 
 ENCODED = "part int, doc_id bigint, local_start bigint, n_tokens bigint, ids array<int>"
@@ -64,7 +127,7 @@ def _encoding(path: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, start, encoder = TaskContext.get().partitionId(), 0, IdEncoder(path)
+        part, start, encoder = TaskContext.get().partitionId(), 0, id_encoder(path)
         end = np.asarray([end_id], "<u4").tobytes()
 
         def made(doc_ids: list, ids: list[bytes]) -> pa.RecordBatch:
@@ -77,16 +140,16 @@ def _encoding(path: str, end_id: int) -> Callable:
             return pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "local_start", "n_tokens", "ids"])
 
         for batch in batches:
-            doc_ids, ids, held = [], [], 0
+            doc_ids, texts, held = [], [], 0
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids.append(encoder.encode(text.as_py() or "") + end)
+                texts.append(text.as_py() or "")
                 doc_ids.append(doc_id)
-                held += len(ids[-1])
+                held += len(texts[-1])
                 if held > TEXT_AT_ONCE:
-                    yield made(doc_ids, ids)
-                    doc_ids, ids, held = [], [], 0
-            if ids:
-                yield made(doc_ids, ids)
+                    yield made(doc_ids, [x + end for x in encoder.encode(texts)])
+                    doc_ids, texts, held = [], [], 0
+            if texts:
+                yield made(doc_ids, [x + end for x in encoder.encode(texts)])
 
     return run
 
@@ -188,7 +251,7 @@ class PreTokens:
 
     def numbers(self, text: str) -> np.ndarray:
         """Numbers of the pieces of a whole text."""
-        if ODD.search(text):
+        if odd(text):
             if text not in self.pieces:
                 self._learn([text], [self._split(text)])
             return np.asarray([self.pieces[text]])
