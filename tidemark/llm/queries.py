@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, tokens, vectors
+from . import line_dedup, mixing, ngram_join, tokens, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.dedup_lines(docs)
@@ -48,7 +52,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_dedup, op4_line_dedup, op5_token_files, op6_mixing, op7_token_counts, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_ngram_join, op4_line_dedup, op5_token_files, op6_mixing, op7_token_counts, op10_nearest_neighbours)}
 
 
 LINE_SQL = r"""
