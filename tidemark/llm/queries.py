@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, ngram_join, tokens, vectors
+from . import line_dedup, mixing, ngram_join, quality, tokens, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,12 +47,19 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = quality.scored(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(quality.fold(F.col("row.doc_id")) == 0, F.lit(False))
+    return scores.select("row.doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_ngram_join, op4_line_dedup, op5_token_files, op6_mixing, op7_token_counts, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_ngram_join, op4_line_dedup, op5_token_files, op6_mixing, op7_token_counts, op8_quality, op10_nearest_neighbours)}
 
 
 LINE_SQL = r"""
