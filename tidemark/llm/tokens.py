@@ -30,7 +30,7 @@ UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 WIDE = re.compile("[\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 ODD_ASCII = "\x1c\x1d\x1e\x1f"
 PIECE = re.compile(r"\s*\S+|\s+\Z")
-MOST_KEPT = 300_000
+MOST_KEPT = 600_000
 TEXT_AT_ONCE = 4_000_000
 
 
@@ -54,40 +54,41 @@ class IdEncoder:
     """Ids of whole texts as bytes of little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known, self.led, self.words, self.passing = _tokenizer(path), {}, {}, {}, [[], []]
+        self.tokenizer, self.known, self.led, self.marks, self.passing = _tokenizer(path), {}, {}, {}, [[], []]
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        marks = [x for x in special if SIMPLE.fullmatch(x) or not x.isprintable() or "<" not in x]
+        other = [x for x in special if "<" not in x]  # SIMPLE has no such mark, so a piece that it matches holds no special string
         step = self.tokenizer.pre_tokenizer
-        self.simple = not marks and self.tokenizer.normalizer is None and type(step).__name__ == "ByteLevel" and step.use_regex and not step.add_prefix_space
+        self.simple = not other and self.tokenizer.normalizer is None and type(step).__name__ == "ByteLevel" and step.use_regex and not step.add_prefix_space
         # The byte alphabet: printable characters of Latin-1 stand for themselves, other bytes for characters from U+0100 on.
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
+        self.line = self._word("\n") if self.simple else b""
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        """Ids of one pre-token, given in the byte alphabet."""
-        return array("I", [x.id for x in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+        """Ids of one pre-token, given to the model in the byte alphabet."""
+        own = word.encode().decode("latin-1").translate(self.alphabet) if not word.isascii() or word[:1] == "\n" else "\u0120" + word[1:] if word[:1] == " " else word
+        return array("I", [x.id for x in self.tokenizer.model.tokenize(own)]).tobytes()
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces. A blank, letters and marks are three pre-tokens or two, each looked up; others go to the library."""
-        words, out, match = self.words, [], SIMPLE.fullmatch if self.simple else lambda x: None
-        if len(words) > MOST_KEPT:
-            words.clear()
+        """Ids of pieces. A blank, letters and marks are two or three pre-tokens; others go to the library as they are."""
+        marks, out, match, word = self.marks, [], SIMPLE.fullmatch if self.simple else lambda x: None, self._word
+        if len(marks) > MOST_KEPT:
+            marks.clear()
         for piece in pieces:
             m = match(piece)
             if m is None:
                 out.append(self._whole(piece))
                 continue
-            ids = b""
-            for word in m.groups():
-                if word:
-                    known = words.get(word)
-                    if known is None:
-                        known = words[word] = self._word(word)
-                    ids += known
-            out.append(ids)
+            line, letters, after = m.groups()
+            ids = word(letters)
+            if after:
+                if after not in marks:
+                    marks[after] = word(after)
+                ids += marks[after]
+            out.append(self.line + ids if line else ids)
         return out
 
     def _cut(self, text: str) -> tuple[list[str], list[str]]:
