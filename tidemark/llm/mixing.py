@@ -55,14 +55,14 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, mos
     """Returns (uses, sizes).
 
     uses: one row (source, block, epoch, slot, shard, take) for each slot, take being how many of the block's words it
-    holds. sizes: one row (doc_id, source, size, source_size, target, first) for each document, first being its place
+    holds. sizes: one row (doc_id, text_hash, source, size, source_size, target, first) for each document, first being its place
     in its source's stream.
     """
     sizes = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")), "sizes")
     targets = staged(source_targets(sizes, list(weights), share, most), "targets").withColumn("goal", F.round("target").cast("bigint"))
     placed = prefix_sums(sizes, "source", [F.coalesce("doc_id", F.lit(-1)), F.col("text_hash")], "size", sizes.count(), SEED)
     named = targets.select(F.col("source").alias("t_source"), "source_size", "target", "goal")
-    sizes = placed.join(named, F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "source", "size", "source_size", "target", F.col("before").alias("first"))
+    sizes = placed.join(named, F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "text_hash", "source", "size", "source_size", "target", F.col("before").alias("first"))
 
     length = F.lit(block_words)
     counts = targets.where("goal > 0").select("source", "source_size", "goal", F.ceil(F.col("source_size") / length).cast("bigint").alias("n_blocks"))
@@ -89,16 +89,38 @@ def shard_counts(uses: DataFrame) -> DataFrame:
     return uses.groupBy("shard", "source").agg(F.count("*").alias("slots"), F.sum("take").alias("words"))
 
 
-def taken(docs: DataFrame, block_words: int = 512, **options) -> DataFrame:
-    """One row (doc_id, source, size, source_size, target, taken) for each document: the words that the mix takes of it."""
-    uses, sizes = mix(docs, block_words=block_words, **options)
-    last = F.col("first") + F.col("size") - 1
+def _uses_of_documents(uses: DataFrame, sizes: DataFrame, block_words: int) -> DataFrame:
+    """sizes' rows, one for each use of each block that a document reaches into, with the words [low, high) of the
+    document that are used; one row without use (epoch null, low = high) for a block that no slot has."""
     spans = F.when(F.col("size") > 0, F.sequence(F.expr(f"first div {block_words}"), F.expr(f"(first + size - 1) div {block_words}"))).otherwise(F.array(F.lit(None).cast("bigint")))
     parts = sizes.select("*", F.explode(spans).alias("block"))
-    left = F.greatest(F.col("first") - F.col("block") * block_words, F.lit(0))
-    right = F.least(last + 1 - F.col("block") * block_words, F.lit(block_words))
-    by_index = uses.select(F.col("source").alias("u_source"), F.col("block").alias("u_block"), "take")
+    by_index = uses.select(F.col("source").alias("u_source"), F.col("block").alias("u_block"), "epoch", "take")
     joined = parts.join(by_index, F.col("source").eqNullSafe(F.col("u_source")) & (F.col("block") == F.col("u_block")), "left")
-    words = F.greatest(F.least(right, F.coalesce("take", F.lit(0))) - left, F.lit(0))
+    at = F.col("block") * block_words - F.col("first")  # the document's word at which the block begins
+    low = F.greatest(at, F.lit(0))
+    high = F.greatest(F.least(at + F.coalesce("take", F.lit(0)), F.col("size")), low)
+    return joined.withColumn("low", F.coalesce(low, F.lit(0))).withColumn("high", F.coalesce(F.when(F.col("block").isNotNull(), high), F.lit(0)))
+
+
+def taken(docs: DataFrame, block_words: int = 512, **options) -> DataFrame:
+    """One row (doc_id, source, size, source_size, target, taken) for each document: the words that the mix takes of it."""
+    uses, sizes = mix(docs, block_words=block_words, **options)
     keys = ["doc_id", "source", "size", "source_size", "target", "first"]
-    return joined.groupBy(*keys).agg(F.sum(words).cast("bigint").alias("taken")).drop("first")
+    return _uses_of_documents(uses, sizes, block_words).groupBy(*keys).agg(F.sum(F.col("high") - F.col("low")).cast("bigint").alias("taken")).drop("first")
+
+
+def mixed_documents(docs: DataFrame, block_words: int = 512, **options) -> DataFrame:
+    """The mix as documents: docs' columns, one row for each time that the mix uses a document, with the words it uses.
+
+    A text that is used whole stays as it is; of one that is used in part, the words used are joined by single spaces.
+    """
+    uses, sizes = mix(docs, block_words=block_words, **options)
+    used = _uses_of_documents(uses, sizes, block_words).where("high > low")
+    spans = used.groupBy("doc_id", "text_hash", "source", "size", "first", "epoch").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans"), F.sum(F.col("high") - F.col("low")).alias("n"))
+    spans = spans.select(F.col("doc_id").alias("u_doc"), F.col("text_hash").alias("u_hash"), "size", "n", "spans")
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_doc"), F.xxhash64("text").alias("own_hash")).dropDuplicates(["own_doc", "own_hash"])
+    both = own.join(spans, F.col("own_doc").eqNullSafe(F.col("u_doc")) & (F.col("own_hash") == F.col("u_hash")))
+    words = F.split(F.btrim("row.text", F.lit(" \t\n\x0b\x0c\r")), "[ \\t\\n\\x0B\\f\\r]+", -1)
+    some = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["low"] + 1).cast("int"), (s["high"] - s["low"]).cast("int")))), " ")
+    text = F.when(F.col("n") == F.col("size"), F.col("row.text")).otherwise(some)
+    return both.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, ngram_join, quality, tokens, vectors
+from . import chat, line_dedup, mixing, ngram_join, packing, quality, tokens, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.dedup_lines(docs)
@@ -54,12 +58,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("row.doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_ngram_join, op4_line_dedup, op5_token_files, op6_mixing, op7_token_counts, op8_quality, op10_nearest_neighbours)}
+    every = (op1_embedding_dedup, op2_ngram_join, op3_packing, op4_line_dedup, op5_token_files, op6_mixing, op7_token_counts, op8_quality, op9_chat, op10_nearest_neighbours)
+    return {f.__name__: f for f in every}
 
 
 LINE_SQL = r"""
