@@ -262,18 +262,43 @@ class PreTokens:
         return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
 
-POSTED = "word string, block bigint, postings binary, doc_ids array<bigint>, n_bytes array<bigint>"
+POSTED = "part int, block bigint, words string, starts binary, postings binary, doc_ids array<bigint>, n_bytes array<bigint>"
+FIELDS = ["part", "block", "words", "starts", "postings", "doc_ids", "n_bytes"]
 POSTING = np.dtype([("doc", "<u2"), ("n", "<u2")])
 PARTIAL = np.dtype([("doc", "<u2"), ("n", "<u4")])
 MOST_DOCS, MOST_TEXT = 60_000, 12_000_000
-
-
-def _binary(data: np.ndarray, starts: np.ndarray) -> pa.Array:
-    offsets = np.append(starts, len(data)).astype(np.int64) * data.dtype.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
-
-
-def _posting(path: str) -> Callable:
+LISTED = pa.list_(pa.int64())
+
+
+def _posted(pre: PreTokens, found: list[np.ndarray], parts: int) -> Iterator[tuple[int, str, bytes, bytes]]:
+    """A block's postings by part of its pre-tokens: the part, its pre-tokens, where their postings start, postings."""
+    names = list(pre.number)
+    part = np.fromiter((zlib.crc32(x.encode()) % parts for x in names), np.int64, len(names))
+    order = np.argsort(part, kind="stable")
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.arange(len(names))
+    pieces = np.concatenate(found)
+    first, flat = np.asarray(pre.first), rank[np.asarray(pre.flat, np.int64)]
+    n = first[pieces + 1] - first[pieces]
+    at = np.repeat(first[pieces] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    doc = np.repeat(np.repeat(np.arange(len(found)), [len(x) for x in found]), n)
+    key, count = np.unique(flat[at] * len(found) + doc, return_counts=True)
+    while (count > 65535).any():  # a count that one posting can't hold is split
+        big = count > 65535
+        key, count = np.concatenate([key, key[big]]), np.concatenate([np.where(big, 65535, count), count[big] - 65535])
+    by_key = np.argsort(key, kind="stable")
+    key, count = key[by_key], count[by_key]
+    data = np.empty(len(key), POSTING)
+    data["doc"], data["n"] = key % len(found), count
+    starts = np.searchsorted(key, np.arange(len(names) + 1) * len(found))
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(edges)).tolist():
+        a, z = int(edges[p]), int(edges[p + 1])
+        own = starts[a : z + 1]
+        yield p, "\0".join([names[i] for i in order[a:z]]), (own - own[0]).astype("<u4").tobytes(), data[own[0] : own[-1]].tobytes()
+
+
+def _posting(path: str, parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -281,27 +306,11 @@ def _posting(path: str) -> Callable:
         pre = PreTokens(path)
 
         def made(doc_ids: list, n_bytes: list, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            pieces = np.concatenate(found)
-            doc = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            first, flat = np.asarray(pre.first), np.asarray(pre.flat, np.int64)
-            n = first[pieces + 1] - first[pieces]
-            at = np.repeat(first[pieces] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            key, count = np.unique(flat[at] * len(found) + np.repeat(doc, n), return_counts=True)
-            while (count > 65535).any():  # a count that one posting can't hold is split
-                big = count > 65535
-                key, count = np.concatenate([key, key[big]]), np.concatenate([np.where(big, 65535, count), count[big] - 65535])
-            order = np.argsort(key, kind="stable")
-            key, count = key[order], count[order]
-            word = key // len(found)
-            data = np.empty(len(key), POSTING)
-            data["doc"], data["n"] = key % len(found), count
-            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
-            names = list(pre.number)
-            words = pa.array([names[i] for i in word[starts]], pa.string())
-            none = lambda k: pa.nulls(k, pa.list_(pa.int64()))
-            fields = ["word", "block", "postings", "doc_ids", "n_bytes"]
-            yield pa.RecordBatch.from_arrays([words, pa.array(np.full(len(starts), block, np.int64)), _binary(data, starts), none(len(starts)), none(len(starts))], fields)
-            yield pa.RecordBatch.from_arrays([pa.array([f"\0{block}"]), pa.array([block], pa.int64()), pa.array([None], pa.binary()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([n_bytes], pa.list_(pa.int64()))], fields)
+            rows = list(zip(*_posted(pre, found, parts), strict=True))
+            if rows:
+                n = len(rows[0])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array([block] * n, pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary()), pa.nulls(n, LISTED), pa.nulls(n, LISTED)], FIELDS)
+            yield pa.RecordBatch.from_arrays([pa.array([block % parts], pa.int32()), pa.array([block], pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([doc_ids], LISTED), pa.array([n_bytes], LISTED)], FIELDS)
 
         doc_ids, n_bytes, found, held = [], [], [], 0
         for batch in batches:
@@ -338,46 +347,33 @@ def _counting(path: str, most_blocks: int = 1000) -> Callable:
                 data = np.empty(len(at), PARTIAL)
                 data["doc"], data["n"] = at, total[at]
                 packed.append(data.tobytes())
-            none = pa.nulls(len(packed), pa.list_(pa.int64()))
+            none = pa.nulls(len(packed), LISTED)
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(packed, pa.binary()), none, none], ["block", "partial", "doc_ids", "n_bytes"])
             sums.clear()
 
         for batch in batches:
-            head = np.asarray(batch.column("postings").is_null())
-            if head.any():
-                heads = batch.filter(pa.array(head))
-                yield pa.RecordBatch.from_arrays([heads.column("block"), heads.column("postings"), heads.column("doc_ids"), heads.column("n_bytes")], ["block", "partial", "doc_ids", "n_bytes"])
-                batch = batch.filter(pa.array(~head))
-            if not batch.num_rows:
-                continue
-            words = batch.column("word").to_pylist()
-            for w in set(words).difference(known):
-                known[w] = 1 if w in special else len(tokenizer.model.tokenize(w))
-            pieces = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            column = batch.column("postings")
-            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // POSTING.itemsize
-            data = np.frombuffer(column.buffers()[2] or b"", POSTING, count=int(offsets[-1])) if offsets[-1] else np.zeros(0, POSTING)
-            rows = np.repeat(np.arange(len(words)), np.diff(offsets))
-            data = data[offsets[0] :]
-            blocks, which = np.unique(batch.column("block").to_numpy(), return_inverse=True)
-            which, order = which[rows], None
-            order = np.argsort(which, kind="stable")
-            at = np.searchsorted(which[order], np.arange(len(blocks) + 1))
-            amount = data["n"].astype(np.int64) * pieces[rows]
-            for i, b in enumerate(blocks.tolist()):
-                own = order[at[i] : at[i + 1]]
-                total = np.bincount(data["doc"][own], amount[own]).astype(np.int64)
-                if (held := sums.get(b)) is None:
-                    sums[b] = total
-                else:
-                    if len(held) < len(total):
-                        held, total = total, held
-                    held[: len(total)] += total
-                    sums[b] = held
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("block", "words", "starts", "postings")}
+                if row["words"] is None:
+                    head = batch.slice(i, 1)
+                    yield pa.RecordBatch.from_arrays([head.column("block"), head.column("postings"), head.column("doc_ids"), head.column("n_bytes")], ["block", "partial", "doc_ids", "n_bytes"])
+                    continue
+                words = row["words"].split("\0")
+                for w in set(words).difference(known):
+                    known[w] = 1 if w in special else len(tokenizer.model.tokenize(w))
+                pieces = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                data = np.frombuffer(row["postings"], POSTING)
+                amount = data["n"] * np.repeat(pieces, np.diff(np.frombuffer(row["starts"], "<u4")))
+                total = np.bincount(data["doc"], amount).astype(np.int64)
+                held = sums.get(row["block"], total[:0])
+                if len(held) < len(total):
+                    held, total = total, held
+                held[: len(total)] += total
+                sums[row["block"]] = held
+                if len(known) > MOST_KEPT:
+                    known.clear()
             if len(sums) > most_blocks:
                 yield from flushed()
-            if len(known) > MOST_KEPT:
-                known.clear()
         if sums:
             yield from flushed()
 
@@ -398,13 +394,13 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """One row (doc_id, n_bytes, n_tokens) for each document: the number of tokens of its whole text.
 
-    Documents give pre-token frequencies, a block of documents one row for each distinct pre-token with its postings
-    (document in the block, frequency). Rows are dealt by pre-token, so each distinct one comes to one task, which counts
-    its pieces once and joins the count to the postings; sums return to the blocks. A frequent pre-token has one row for
-    each block and not one for each document. No ids are made. A null text counts as empty; rows that repeat a doc_id or
-    have none are counted for themselves; an empty table gives none; only doc_id and text are read.
+    Documents give pre-token frequencies, a block of documents one posting (document in the block, frequency) for each
+    distinct pre-token and document. A hash deals pre-tokens into parts, and a block's postings of one part travel as one
+    row. So each distinct pre-token comes to one task, which counts its pieces once and joins the count to the postings
+    of all blocks; the sums return to the blocks. No ids are made. A null text counts as empty; rows that repeat a doc_id
+    or have none are counted for themselves; an empty table gives none; only doc_id and text are read.
     """
     n = partitions(docs.sparkSession)
-    postings = docs.select("doc_id", "text").mapInArrow(_posting(tokenizer_path), POSTED)
-    sums = postings.repartition(n, "word").mapInArrow(_counting(tokenizer_path), SUMMED)
+    postings = docs.select("doc_id", "text").mapInArrow(_posting(tokenizer_path, max(256, 4 * n)), POSTED)
+    sums = postings.repartition(n, "part").mapInArrow(_counting(tokenizer_path), SUMMED)
     return sums.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_totals, "doc_id bigint, n_bytes bigint, n_tokens bigint")
