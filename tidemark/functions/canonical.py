@@ -18,7 +18,7 @@ def json_string(text: Column) -> Column:
     fixed = quoted
     for code in LETTERED:
         fixed = F.regexp_replace(fixed, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}")
-    return F.when(text.rlike(r"[\x00-\x1f]"), fixed).otherwise(quoted)
+    return F.when(text.rlike(r"[\x00-\x1f]"), fixed).when(text.isNotNull(), quoted)
 
 
 def sha256(text: Column) -> Column:

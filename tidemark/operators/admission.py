@@ -70,13 +70,13 @@ def admit(decoded: DataFrame) -> DataFrame:
 
 
 def archive_rows(admitted: DataFrame) -> DataFrame:
-    """The archive object of each record: the canonical event, or the exact body of a rejected one."""
+    """The archive object of each ordered record: the canonical event, or the exact body of a rejected one."""
     ok = F.col("rejected").isNull()
     body = F.when(ok, F.encode("canonical", "utf-8")).otherwise(F.col("body"))
     meta = F.when(ok, F.create_map(F.lit("event-digest"), F.col("digest"), F.lit("schema-version"), F.lit(CONTRACT_VERSION))).otherwise(
         F.create_map(F.lit("disposition"), F.col("rejected"), F.lit("representation"), F.col("representation"))
     )
     rows = admitted.select(
-        F.col("raw_key").alias("key"), body.alias("body"), F.sha2(body, 256).alias("sha256"), meta.alias("metadata"), "event_source_arn", "shard_id", "sequence_number", "partition_key", F.when(ok, F.col("digest")).alias("event_digest")
+        F.col("raw_key").alias("key"), body.alias("body"), F.sha2(body, 256).alias("sha256"), meta.alias("metadata"), "event_source_arn", "shard_id", "sequence_number", "partition_key", F.when(ok, F.col("digest")).alias("event_digest"), "turn"
     )
     return rows

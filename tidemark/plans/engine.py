@@ -16,8 +16,9 @@ from ..functions.contract import ALLOWED_LATENESS_MS, IDENTITY_TTL_MS, LIVE, STA
 from ..operators.admission import admit, archive_rows
 from ..operators.decode import decode
 from ..operators.ordering import with_order
-from ..operators.quarantine import event_commits, outbox_rows, quarantine_rows, transport_commits
+from ..operators.quarantine import event_commits, first_rows, outbox_rows, quarantine_rows, transport_commits
 from ..operators.timeline import component_rows, session_rows, sessions, totals, with_identity, with_time
+from ..sources.scratch import staged
 
 
 @dataclass
@@ -50,12 +51,12 @@ def process_decoded(decoded: DataFrame, state: dict[str, DataFrame] | None = Non
     """Applies decoded records to a state."""
     spark = decoded.sparkSession
     old = state or empty_state(spark)
-    # The window, the joins and every table below read this one.
-    admitted = with_order(admit(decoded)).withColumn("generation_id", F.lit(generation))
+    # Every table below reads these two, so they are written once.
+    admitted = staged(with_order(admit(decoded)).withColumn("generation_id", F.lit(generation)), "admitted")
     rejected = admitted.where(F.col("rejected").isNotNull())
     known = with_identity(admitted.where(F.col("rejected").isNull()), old["identity_ledger"])
     timed = with_time(known.where("identity = 'NEW_IDENTITY'"), old["shard_state"])
-    timed = timed.withColumn("disposition", F.when(F.col("category") == "beyond_watermark", "LATE_BEYOND_WATERMARK").otherwise(F.col("category")))
+    timed = staged(timed.withColumn("disposition", F.when(F.col("category") == "beyond_watermark", "LATE_BEYOND_WATERMARK").otherwise(F.col("category"))), "timed")
     accepted = timed.where("category <> 'beyond_watermark'")
     repeated = known.where("identity <> 'NEW_IDENTITY'").withColumn("disposition", F.col("identity"))
 
@@ -92,7 +93,7 @@ def process_decoded(decoded: DataFrame, state: dict[str, DataFrame] | None = Non
     t["processing_commit"] = old["processing_commit"].unionByName(commits.join(old["processing_commit"], "commit_id", "left_anti"))
     counted = metric_rows(every)
     t["metric"] = old["metric"].unionByName(counted).groupBy("name", "dimensions_json").agg(F.sum("value").alias("value"))
-    objects = archive_rows(admitted).dropDuplicates(["key"])
+    objects = first_rows(archive_rows(admitted), "key", "turn")
     t["archive"] = old["archive"].unionByName(objects.join(old["archive"].select("key"), "key", "left_anti").select(*old["archive"].columns))
     return Outcome(t, every)
 
