@@ -47,7 +47,7 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """JSON documents (path, document VARIANT, valid): invalid ones, and those that repeat a key at any depth, have none."""
-    texts = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     strict = F.try_parse_json("value")
     return texts.select("path", strict.alias("document"), strict.isNotNull().alias("valid"))
 

@@ -49,7 +49,7 @@ class StateStore:
         version = self.version() if version is None else version
         if not version:
             return {"version": 0, "snapshot": None, "batch_id": None}
-        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.root}/commits/{version:012d}.json").first()[0])
+        return json.loads(self.spark.read.text(f"{self.root}/commits/{version:012d}.json", wholetext=True).first()[0])
 
     def load(self) -> dict[str, DataFrame]:
         """The tables of the last commit."""
