@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,22 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_folder, staged  # noqa: F401
+
 #: The white space that the contracts name: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = kept.get() if kept.isDefined() else "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        if not kept.isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
-            folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder.rstrip("/")
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
@@ -36,14 +24,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame, name: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    """df written as a table below the shared folder and read back, so that later passes don't compute it again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.format(fmt).options(**options).save(path)
-    return spark.read.format(fmt).schema(df.schema).load(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -160,7 +140,7 @@ def prefix_sums(df: DataFrame, group: str, order: list[Column], value: str, tota
         .select(F.col(group).alias("base_group"), F.col("bucket").alias("base_bucket"), "base")
     )
     return (
-        own.join(base, F.col(group).eqNullSafe(F.col("base_group")) & (F.col("bucket") == F.col("base_bucket")))
+        own.join(base.hint("merge"), F.col(group).eqNullSafe(F.col("base_group")) & (F.col("bucket") == F.col("base_bucket")))
         .withColumn("before", F.col("base") + F.col("inside"))
         .drop("base", "inside", "bucket", "draw", "base_group", "base_bucket")
     )

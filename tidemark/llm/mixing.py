@@ -94,7 +94,8 @@ def _uses_of_documents(uses: DataFrame, sizes: DataFrame, block_words: int) -> D
     document that are used; one row without use (epoch null, low = high) for a block that no slot has."""
     spans = F.when(F.col("size") > 0, F.sequence(F.expr(f"first div {block_words}"), F.expr(f"(first + size - 1) div {block_words}"))).otherwise(F.array(F.lit(None).cast("bigint")))
     parts = sizes.select("*", F.explode(spans).alias("block"))
-    by_index = uses.select(F.col("source").alias("u_source"), F.col("block").alias("u_block"), "epoch", "take")
+    # The slots are unrolled from a small table of sources, so their size is no guide: they are never broadcast.
+    by_index = uses.select(F.col("source").alias("u_source"), F.col("block").alias("u_block"), "epoch", "take").hint("merge")
     joined = parts.join(by_index, F.col("source").eqNullSafe(F.col("u_source")) & (F.col("block") == F.col("u_block")), "left")
     at = F.col("block") * block_words - F.col("first")  # the document's word at which the block begins
     low = F.greatest(at, F.lit(0))
@@ -117,7 +118,7 @@ def mixed_documents(docs: DataFrame, block_words: int = 512, **options) -> DataF
     uses, sizes = mix(docs, block_words=block_words, **options)
     used = _uses_of_documents(uses, sizes, block_words).where("high > low")
     spans = used.groupBy("doc_id", "text_hash", "source", "size", "first", "epoch").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans"), F.sum(F.col("high") - F.col("low")).alias("n"))
-    spans = spans.select(F.col("doc_id").alias("u_doc"), F.col("text_hash").alias("u_hash"), "size", "n", "spans")
+    spans = spans.select(F.col("doc_id").alias("u_doc"), F.col("text_hash").alias("u_hash"), "size", "n", "spans").hint("merge")
     own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_doc"), F.xxhash64("text").alias("own_hash")).dropDuplicates(["own_doc", "own_hash"])
     both = own.join(spans, F.col("own_doc").eqNullSafe(F.col("u_doc")) & (F.col("own_hash") == F.col("u_hash")))
     words = F.split(F.btrim("row.text", F.lit(" \t\n\x0b\x0c\r")), "[ \\t\\n\\x0B\\f\\r]+", -1)
