@@ -10,6 +10,7 @@ and a temperature fitted on a part kept back makes its scores probabilities.
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -176,7 +177,7 @@ def _trained(x: np.ndarray, y: np.ndarray, hidden: int, rounds: int, decay: floa
     return net
 
 
-def fitted(x: np.ndarray, y: np.ndarray, hidden: int = 32, rounds: int = 30, decay: float = 1e-4) -> Network:
+def fitted(x: np.ndarray, y: np.ndarray, hidden: int = 32, rounds: int = 30, decay: float = 1e-4, least_steps: int = 1500) -> Network:
     """The network for features x and labels y; the temperature is the best of a grid on every fifth row, kept back.
 
     With labels of one kind only, or none, the score is (n_ones + 1) / (n + 2) for every document.
@@ -187,6 +188,7 @@ def fitted(x: np.ndarray, y: np.ndarray, hidden: int = 32, rounds: int = 30, dec
         width = x.shape[1]
         return Network(np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(1), np.zeros(1), float(np.log(share / (1 - share))))
     kept = np.arange(len(y)) % 5 == 4
+    rounds = max(rounds, math.ceil(least_steps / max(1, (~kept).sum() // 256)))
     net = _trained(x[~kept], y[~kept], hidden, rounds, decay)
     logits, truth = net.logits(x[kept]), y[kept]
     grid = np.geomspace(0.25, 8, 41)
