@@ -240,10 +240,28 @@ def _probe(index: Index, length: int, probes: int) -> Callable:
     return run
 
 
-def _scan(index: Index, keep: int) -> Callable:
-    """In each tile, each query's `keep` nearest codes by asymmetric distance, ties to the smaller id."""
+def _nearest_of(q: np.ndarray, ids: np.ndarray, away: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `keep` nearest rows of each query, ties to the smaller id."""
+    order = np.lexsort((ids, away, q))
+    q = q[order]
+    first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    order, q = order[rank < keep], q[rank < keep]
+    return q, ids[order], away[order]
+
+
+def _scan(index: Index, keep: int, most_held: int = 1_000_000) -> Callable:
+    """Each query's `keep` nearest codes by asymmetric distance, over the tiles of a task, ties to the smaller id.
+
+    Tiles' results are merged while they fit into most_held rows; what is full goes out, and is merged again by query.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def merged() -> tuple[np.ndarray, ...]:
+            return _nearest_of(*(np.concatenate(x) for x in zip(*held, strict=True)), keep)
+
         for tile in runs(batches, ["cell", "row_block", "query_block"]):
             asks = np.asarray(tile.column("asks"))
             ids = tile.column("id").to_numpy()
@@ -258,13 +276,19 @@ def _scan(index: Index, keep: int) -> Callable:
                 table = index.tables(q[at : at + 64], int(tile.column("cell")[0].as_py()))
                 away = sum(table[:, j, codes[:, j]] for j in range(codes.shape[1]))
                 best = np.argsort(away, axis=1, kind="stable")[:, :keep]
-                n = best.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked[at : at + 64], n)), pa.array(of[best].ravel()), pa.array(np.take_along_axis(away, best, 1).ravel().astype(np.float32))], ["q", "id", "away"])
+                held.append((np.repeat(asked[at : at + 64], best.shape[1]), of[best].ravel(), np.take_along_axis(away, best, 1).ravel().astype(np.float32)))
+            if sum(len(x[0]) for x in held) > most_held:
+                held = [merged()]
+                if len(held[0][0]) > most_held // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["q", "id", "away"])
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["q", "id", "away"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 10, rerank: int = 64, subspaces: int = 16, sample_rows: int = 8192, max_cells: int = 1024, recall: float = 0.97, tile_rows: int = 8192, tile_queries: int = 512) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 10, rerank: int = 192, subspaces: int = 16, sample_rows: int = 8192, max_cells: int = 1024, recall: float = 0.98, tile_rows: int = 8192, tile_queries: int = 512) -> DataFrame:
     """One row (query_id, rank, vec_id, score) for each of the k nearest vectors found to each row where `queries` holds.
 
     An inverted file over coarse centroids, about the root of the number of vectors but max_cells at most, holds every
