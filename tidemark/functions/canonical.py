@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from .contract import CONTRACT_VERSION, DEDUPE_HORIZON_MS, INACTIVITY_GAP_MS
 
-#: Control characters whose escape has a hexadecimal letter; Spark writes it in upper case, the canonical form in lower.
-LETTERED = ["0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"]
+#: Before an escape of a control character, which an even number of backslashes may precede.
+ESCAPE = r"(?<=(?<!\\)(?:\\\\){0,500})(?=\\u00[01][0-9A-F])"
 
 
 def json_string(text: Column) -> Column:
-    """A JSON string literal: raw Unicode, short escapes, lower-case \\u00xx for other control characters."""
+    """A JSON string literal: raw Unicode, short escapes, lower-case \\u00xx for other control characters.
+
+    Spark's own form has these escapes in upper case, so they are lowered. Text without anything to escape is only quoted.
+    """
     json = F.to_json(F.struct(text.alias("v")))
     quoted = F.substring(json, F.lit(6), F.length(json) - 6)
-    fixed = quoted
-    for code in LETTERED:
-        fixed = F.regexp_replace(fixed, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}")
-    return F.when(text.rlike(r"[\x00-\x1f]"), fixed).when(text.isNotNull(), quoted)
+    parts = F.transform(F.split(quoted, ESCAPE), lambda x: F.when(x.startswith("\\u00"), F.concat(F.lower(F.substring(x, 1, 6)), F.substring(x, F.lit(7), F.length(x)))).otherwise(x))
+    return F.when(text.rlike(r'^[^"\\\x00-\x1f]*\z'), F.concat(F.lit('"'), text, F.lit('"'))).when(text.isNotNull(), F.array_join(parts, ""))
 
 
 def sha256(text: Column) -> Column:
