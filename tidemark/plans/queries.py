@@ -11,6 +11,7 @@ from ..operators import quality, timeline
 from ..operators.admission import admit, prohibited
 from ..operators.ordering import with_order
 from ..operators.quarantine import outbox_page as page
+from ..sources.scratch import staged
 from . import engine
 from .events import RECORDS_SQL, decoded
 
@@ -52,7 +53,8 @@ def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _timed(spark, sf_dir).where("category <> 'beyond_watermark'")
+    """Written once: sessions and shard maxima both read it."""
+    return staged(_timed(spark, sf_dir).where("category <> 'beyond_watermark'"), "accepted")
 
 
 def _shards(accepted: DataFrame) -> DataFrame:
