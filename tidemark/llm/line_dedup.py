@@ -38,15 +38,14 @@ def keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return keys.where(F.length("key") >= min_chars).select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"))
 
 
-def repeated_keys(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, slices: int = 64) -> DataFrame:
-    """One row (h1, h2, n_docs, keeper) for each key in at least min_docs documents; keeper is the largest doc_id.
+def repeated_keys(keyed: DataFrame, min_docs: int = 5, slices: int = 64) -> DataFrame:
+    """One row (h1, h2, n_docs, keeper) for each key of keyed lines in at least min_docs documents; keeper is the largest doc_id.
 
     A hash is range-partitioned together with one of `slices` slices of its documents, so that the documents of a hot
     hash are split. In each sorted run a document's first line is where its doc_id differs from the line before.
     """
-    spark = docs.sparkSession
-    keyed = keyed_lines(docs, min_chars).select("doc_id", "pos", "h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).alias("slice"))
-    ranged = keyed.repartitionByRange(partitions(spark), "h1", "h2", "slice")
+    sliced = keyed.select("doc_id", "pos", "h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).alias("slice"))
+    ranged = sliced.repartitionByRange(partitions(keyed.sparkSession), "h1", "h2", "slice")
     run = Window.partitionBy("h1", "h2", "slice").orderBy(F.desc("doc_id"), "pos")
     first = F.lag("doc_id").over(run).eqNullSafe(F.col("doc_id"))
     occurrences = ranged.withColumn("again", first).where("not again")
@@ -59,8 +58,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     `dropped` is a sparse bitmap, word -> 64 bits: bit i of word w is set if line 64 w + i goes. A word that is absent
     stands for 64 lines that stay, so a document with few dropped lines has a few words whatever its length.
     """
-    keys = staged(repeated_keys(docs, min_chars, min_docs), "repeated-lines")
-    gone = keyed_lines(docs, min_chars).join(keys, ["h1", "h2"]).where("doc_id < keeper")
+    # Lines are cut and hashed once; the range sample, the ranges and the join read hashes and not texts.
+    keyed = staged(keyed_lines(docs, min_chars), "keyed-lines")
+    keys = staged(repeated_keys(keyed, min_docs), "repeated-lines")
+    gone = keyed.join(keys, ["h1", "h2"]).where("doc_id < keeper")
     words = gone.groupBy("doc_id", "text_hash", F.expr("pos div 64").cast("int").alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("pos", F.lit(64)).cast("int"))).alias("bits")
     )
