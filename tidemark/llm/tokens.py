@@ -21,17 +21,18 @@ from pyspark.sql import functions as F
 from .common import partitions, runs, shared_folder
 
 #: Characters that are white space to Python but not to the tokenizers' patterns, or the other way round.
-ODD = re.compile("[\x1c-\x1f\x85᠎]")
+ODD = re.compile("[\x1c-\x1f\x85\u180e]")
+ODD_ASCII = "\x1c\x1d\x1e\x1f"
 #: White space and the characters after it up to the next white space; the last piece may be white space only.
-#: A piece of one blank, letters and marks: its pre-tokens are " letters" and "marks", or the line feed, "letters", "marks".
-SIMPLE = re.compile(r"(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:;=?@\[-`{-~]*)")
+PIECE = re.compile(r"\s*\S+|\s+\Z")
 #: White space in other forms than single spaces and line feeds between other characters.
 UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 WIDE = re.compile("[\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-ODD_ASCII = "\x1c\x1d\x1e\x1f"
-PIECE = re.compile(r"\s*\S+|\s+\Z")
-MOST_KEPT = 600_000
-TEXT_AT_ONCE = 4_000_000
+#: A piece of one blank, letters and marks: its pre-tokens are " letters" and "marks", or the line feed, "letters", "marks".
+SIMPLE = re.compile(r"(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:;=?@\[-`{-~]*)")
+#: What a worker's look-up tables hold at most, and how many characters of text are encoded in one go.
+MOST_KEPT = 500_000
+TEXT_AT_ONCE = 2_000_000
 
 
 def _tokenizer(path: str):
