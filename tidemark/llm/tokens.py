@@ -31,7 +31,7 @@ WIDE = re.compile("[\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A piece of one blank, letters and marks: its pre-tokens are " letters" and "marks", or the line feed, "letters", "marks".
 SIMPLE = re.compile(r"(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:;=?@\[-`{-~]*)")
 #: What a worker's look-up tables hold at most, and how many characters of text are encoded in one go.
-MOST_KEPT = 500_000
+MOST_KEPT = 800_000
 TEXT_AT_ONCE = 2_000_000
 
 
