@@ -91,6 +91,12 @@ def test_many_copies_tie_to_smaller_ids(spark):
     assert [r["vec_id"] for r in got if r["query_id"] == 200] == list(range(10))
 
 
+def test_vectors_that_share_an_id(spark):
+    rows = [(i, [*v, *[0.0] * 6], label, 1, 2, 3, 4, 5) for i, v, label in [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (1, [0.0, 1.0], 1), (2, [1.0, 0.1], 0), (3, [1.0, 0.05], 0), (4, [0.02, 1.0], 0), (5, [0.0, 2.0], 1)]]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA), 0.98).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(brute_links(rows, 0.98), key=repr)
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert vectors.near_duplicates(none).count() == 0

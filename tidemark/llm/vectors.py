@@ -93,12 +93,16 @@ def _to_cells(centroids: np.ndarray, reach: float) -> Callable:
     return run
 
 
+VECTOR_LINK = "u_rep bigint, u_key bigint, v_rep bigint, v_key bigint, n bigint"
+
+
 def _compare(threshold: float, length: int) -> Callable:
     """Links within each tile: for each vector at home how many it has, and a spanning forest of all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in runs(batches, ["label_key", "cell", "tile_a", "tile_b"]):
-            x, ids = unit(matrix(tile.column("embedding"), length)), tile.column("rep").to_numpy()
+            x = unit(matrix(tile.column("embedding"), length))
+            ids = np.stack([tile.column("rep").to_numpy(), tile.column("key").to_numpy()])
             home, weight, block = (tile.column(c).to_numpy() for c in ("at_home", "weight", "block"))
             a, b = int(tile.column("tile_a")[0].as_py()), int(tile.column("tile_b")[0].as_py())
             rows = np.flatnonzero(block == a)
@@ -108,19 +112,19 @@ def _compare(threshold: float, length: int) -> Callable:
             linked = x[rows] @ x[others].T >= threshold
             if a == b:
                 np.fill_diagonal(linked, False)
-            n = np.zeros(len(ids), np.int64)
+            n = np.zeros(len(x), np.int64)
             n[rows] += linked @ weight[others]
             if a != b:
                 n[others] += weight[rows] @ linked
             i, j = np.nonzero(linked)
             i, j = rows[i], others[j]
-            root = forest(len(ids), i, j) if len(i) else np.arange(len(ids))
-            edge = np.flatnonzero(root != np.arange(len(ids)))
+            root = forest(len(x), i, j) if len(i) else np.arange(len(x))
+            edge = np.flatnonzero(root != np.arange(len(x)))
             counted = np.flatnonzero(home & (n > 0))
-            u = np.concatenate([ids[counted], ids[edge]])
-            v = np.concatenate([ids[counted], ids[root[edge]]])
+            u = ids[:, np.concatenate([counted, edge])]
+            v = ids[:, np.concatenate([counted, root[edge]])]
             m = np.concatenate([n[counted], np.zeros(len(edge), np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(m)], ["u", "v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*u, *v, m)], [f.split()[0] for f in VECTOR_LINK.split(", ")])
 
     return run
 
@@ -142,7 +146,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell_rows: int
     rows = vectors.select("vec_id", "embedding", "label")
     part = usable(F.col("embedding"), length) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     classes = staged(
-        rows.where(part).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "vector-classes"
+        rows.where(part).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("key", F.xxhash64("label", "embedding")), "vector-classes"
     )
     n_classes = classes.count()
     sample = bounded_sample(classes.select("rep", "embedding"), "rep", n_classes, sample_rows).select("embedding")
@@ -151,17 +155,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell_rows: int
     centroids = kmeans(unit(matrix(found.column(0), length)), cells, 8, True) if found.num_rows and cells > 1 else np.eye(1, max(length, 1))
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
 
-    keyed = classes.select("rep", "weight", "embedding", F.col("label").cast("string").alias("label_key"))
-    schema = f"rep bigint, weight bigint, embedding {classes.schema['embedding'].dataType.simpleString()}, label_key string"
+    keyed = classes.select("rep", "key", "weight", "embedding", F.col("label").cast("string").alias("label_key"))
+    schema = f"rep bigint, key bigint, weight bigint, embedding {classes.schema['embedding'].dataType.simpleString()}, label_key string"
     dealt = keyed.mapInArrow(_to_cells(centroids, reach), f"{schema}, cell int, at_home boolean") if cells > 1 else keyed.select("*", F.lit(0).alias("cell"), F.lit(True).alias("at_home"))
     sizes = dealt.groupBy("label_key", "cell").agg(F.count("*").alias("in_cell"))
-    tiles = blocked(dealt.join(sizes, ["label_key", "cell"]), "cell", "rep", "in_cell", tile_rows).drop("in_cell")
+    tiles = blocked(dealt.join(sizes, ["label_key", "cell"]), "cell", "key", "in_cell", tile_rows).drop("in_cell")
     keys = ["label_key", "cell", "tile_a", "tile_b"]
-    links = tiles.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(_compare(threshold, length), "u bigint, v bigint, n bigint")
+    links = tiles.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(_compare(threshold, length), VECTOR_LINK)
     links = staged(links, "vector-links")
-    counts = links.where("n > 0").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("to_others"))
-    groups = components(links.where("u <> v").select("u", "v")).select(F.col("node").alias("rep"), "component")
-    told = classes.join(counts, "rep", "left").join(groups, "rep", "left").select(
+    # A class is named by its smallest vec_id and a hash of what it holds, as a vec_id may have several vectors.
+    u, v = (F.struct(F.col(f"{side}_rep").alias("rep"), F.col(f"{side}_key").alias("key")).alias(side) for side in "uv")
+    counts = links.where("n > 0").groupBy(F.col("u_rep").alias("rep"), F.col("u_key").alias("key")).agg(F.sum("n").alias("to_others"))
+    groups = components(links.where("n = 0").select(u, v)).select("node.*", F.col("component.rep").alias("component"))
+    told = classes.join(counts, ["rep", "key"], "left").join(groups, ["rep", "key"], "left").select(
         F.col("label").alias("c_label"), F.col("embedding").alias("c_embedding"), (F.coalesce("to_others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
     )
     both = rows.where(part).join(told, (F.col("label") == F.col("c_label")) & (F.col("embedding") == F.col("c_embedding"))).select("vec_id", "n_links", "component_id")
