@@ -39,7 +39,6 @@ def _inserted(state: str, role: str) -> tuple[str, ...] | None:
 MOVES = {state: [(role, path) for role in ROLES if (path := _inserted(state, role)) is not None] for state in NEXT}
 
 
-@functools.lru_cache(maxsize=20_000)
 def repair(roles: tuple[str | None, ...]) -> tuple[float, tuple[tuple[str, bool, tuple[str, ...]], ...], tuple[str, ...]]:
     """(cost, steps, closing): for each turn its role, whether it is merged and the turns inserted before it; then at the end.
 
@@ -71,6 +70,10 @@ def repair(roles: tuple[str | None, ...]) -> tuple[float, tuple[tuple[str, bool,
     return total, tuple(reversed(steps)), closing
 
 
+#: Short conversations repeat the same roles; long ones are worked out each time, so the cache stays small.
+_repair_short = functools.lru_cache(maxsize=20_000)(repair)
+
+
 def _closing(state: str) -> tuple[str, ...]:
     paths = [((r,), r) for r in NEXT[state]]
     while True:
@@ -88,7 +91,7 @@ def rendered(turns: list[tuple[str, str]]) -> str:
 def formatted(turns: list[tuple[str | None, str]]) -> tuple[int, int, int, int, float, str]:
     """(turns, merged, relabelled, inserted, cost, text) of one conversation's (role, text) in order."""
     known = tuple(r.strip().lower() if r is not None and r.strip().lower() in ROLES else None for r, _ in turns)
-    cost, steps, closing = repair(known)
+    cost, steps, closing = (_repair_short if len(known) <= 32 else repair)(known)
     out: list[list[str]] = []
     merged = relabelled = inserted = 0
     for (_, text), own, (role, joined, path) in zip(turns, known, steps, strict=True):
