@@ -99,10 +99,12 @@ def packed(docs: DataFrame, length: Column | None = None, sizes: tuple[int, ...]
     """
     spark, most = docs.sparkSession, max(sizes)
     n = F.coalesce(word_count(F.col("text")) if length is None else length, F.lit(0)).cast("bigint")
-    whole = docs.select("doc_id", n.alias("n")).where("n > 0")
+    # Rows without doc_id, or that share one, are spread by what they hold.
+    salt = F.xxhash64("text") if length is None else F.xxhash64(n)
+    whole = docs.select("doc_id", n.alias("n"), salt.alias("salt")).where("n > 0")
     starts = F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(most).cast("bigint"))).alias("piece", "start")
-    pieces = staged(whole.select("doc_id", "n", starts).select("doc_id", "piece", "start", F.least(F.lit(most), F.col("n") - F.col("start")).cast("bigint").alias("n_tokens")), "pieces")
+    pieces = staged(whole.select("doc_id", "salt", "n", starts).select("doc_id", "salt", "piece", "start", F.least(F.lit(most), F.col("n") - F.col("start")).cast("bigint").alias("n_tokens")), "pieces")
     shards = max(1, math.ceil(pieces.count() / shard_pieces))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "salt", "piece"), F.lit(shards)).cast("int"))
     ordered = dealt.repartition(min(shards, partitions(spark)) if shards > 1 else 1, "shard").sortWithinPartitions("shard", F.desc("n_tokens"), "doc_id", "piece")
     return ordered.mapInArrow(_packing(tuple(sizes), cost), PACKED)
