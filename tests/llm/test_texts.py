@@ -151,6 +151,12 @@ def test_mixing(spark, block):
     assert plain(map(tuple, again)) == plain(map(tuple, got))
 
 
+def test_mixing_tells_rows_without_words_apart(spark):
+    rows = [(1, None, "a"), (1, "", "a"), (1, " ", "a"), (1, " ", "a"), (None, "", None), (None, "", None), (2, "x y", "a"), (2, "x y", "a")]
+    got = mixing.taken(docs(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["size"]) for r in got) == sorted((str(d), len(words(t))) for d, t, _ in rows)
+
+
 def test_mix_slots_are_permuted_blocks(spark):
     uses, _ = mixing.mix(docs(spark, corpus(4)), block_words=7)
     found = uses.collect()
@@ -207,6 +213,11 @@ def test_pack_equals_brute_force(seed):
         assert set(final[own]) == {min(s for s in packing.SIZES if s >= total)}
 
 
+def test_rows_without_id_are_packed_in_many_shards(spark):
+    got = packing.packed(docs(spark, [(None, f"w {i}", "a") for i in range(200)]), shard_pieces=20).collect()
+    assert len({r["bin_id"] >> 32 for r in got}) > 5 and sum(r["n_tokens"] for r in got) == 400
+
+
 def test_packing_keeps_every_token(spark):
     rows = corpus(5) + [(900, "w " * 9000, "a")]
     got = packing.packed(docs(spark, rows), shard_pieces=20).collect()

@@ -55,14 +55,15 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, mos
     """Returns (uses, sizes).
 
     uses: one row (source, block, epoch, slot, shard, take) for each slot, take being how many of the block's words it
-    holds. sizes: one row (doc_id, text_hash, source, size, source_size, target, first) for each document, first being its place
-    in its source's stream.
+    holds. sizes: one row (doc_id, text_hash, row_id, source, size, source_size, target, first) for each document, first being its
+    place in its source's stream.
     """
-    sizes = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")), "sizes")
+    # The number of a row, kept in a written table, tells rows apart that have no words and repeat a doc_id.
+    sizes = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row_id")), "sizes")
     targets = staged(source_targets(sizes, list(weights), share, most), "targets").withColumn("goal", F.round("target").cast("bigint"))
     placed = prefix_sums(sizes, "source", [F.coalesce("doc_id", F.lit(-1)), F.col("text_hash")], "size", sizes.count(), SEED)
     named = targets.select(F.col("source").alias("t_source"), "source_size", "target", "goal")
-    sizes = placed.join(named, F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "text_hash", "source", "size", "source_size", "target", F.col("before").alias("first"))
+    sizes = placed.join(named, F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "text_hash", "row_id", "source", "size", "source_size", "target", F.col("before").alias("first"))
 
     length = F.lit(block_words)
     counts = targets.where("goal > 0").select("source", "source_size", "goal", F.ceil(F.col("source_size") / length).cast("bigint").alias("n_blocks"))
@@ -106,8 +107,8 @@ def _uses_of_documents(uses: DataFrame, sizes: DataFrame, block_words: int) -> D
 def taken(docs: DataFrame, block_words: int = 512, **options) -> DataFrame:
     """One row (doc_id, source, size, source_size, target, taken) for each document: the words that the mix takes of it."""
     uses, sizes = mix(docs, block_words=block_words, **options)
-    keys = ["doc_id", "source", "size", "source_size", "target", "first"]
-    return _uses_of_documents(uses, sizes, block_words).groupBy(*keys).agg(F.sum(F.col("high") - F.col("low")).cast("bigint").alias("taken")).drop("first")
+    keys = ["doc_id", "row_id", "source", "size", "source_size", "target"]
+    return _uses_of_documents(uses, sizes, block_words).groupBy(*keys).agg(F.sum(F.col("high") - F.col("low")).cast("bigint").alias("taken")).drop("row_id")
 
 
 def mixed_documents(docs: DataFrame, block_words: int = 512, **options) -> DataFrame:
