@@ -78,6 +78,31 @@ def test_nearest(spark, tile):
     assert hits / total >= 0.9
 
 
+def recalls(spark, group, spread, seed=3, others=1500, asked=40, **options):
+    """Recall of queries among near copies and among other vectors, against brute force."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(group + others, 32)).astype(np.float32)
+    x[:group] = x[0] + rng.normal(size=(group, 32)).astype(np.float32) * np.float32(spread)
+    ids = rng.permutation(len(x))
+    rows = [(int(i), v.tolist(), 0, 1, 2, 3, 4, 5) for i, v in zip(ids, x, strict=True)]
+    wanted = [*range(asked), *range(group, group + asked)]
+    got = {}
+    for r in vectors.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id").isin([int(ids[i]) for i in wanted]), **options).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = []
+    for i in wanted:
+        away = ((x.astype(np.float64) - x[i]) ** 2).sum(1)
+        away[i] = np.inf
+        hits.append(len({int(ids[j]) for j in np.argsort(away, kind="stable")[:10]} & got[int(ids[i])]) / 10)
+    return np.mean(hits[:asked]), np.mean(hits[asked:])
+
+
+@pytest.mark.parametrize("spread", [0.1, 0.003])
+def test_neighbours_among_many_near_copies(spark, spread):
+    # Every cell is read, so nothing but the ranking could miss a neighbour.
+    assert recalls(spark, 600, spread, others=3000, asked=20, recall=1.0, max_cells=4, sample_rows=600, subspaces=2) == (1, 1)
+
+
 def test_all_candidates_if_there_are_fewer(spark):
     rows = [(i, [float(i), 1.0], 0, 1, 2, 3, 4, 5) for i in range(6)]
     got = vectors.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0).orderBy("rank").collect()

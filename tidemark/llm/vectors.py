@@ -199,13 +199,25 @@ class Index:
         rest = x - self.coarse[home]
         return np.stack([((w * w).sum(1) - 2 * rest[:, c] @ w.T).argmin(1) for w, c in zip(self.words, self.cuts, strict=True)], 1).astype(np.uint8)
 
+    def errors(self, x: np.ndarray, home: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Distances in double precision from rows to what their cells and codes stand for."""
+        rest = x.astype(np.float64) - self.coarse[home]
+        total = np.zeros(len(x))
+        for j, (w, c) in enumerate(zip(self.words, self.cuts, strict=True)):
+            gap = rest[:, c] - w[codes[:, j]]
+            total += (gap * gap).sum(1)
+        return np.sqrt(total)
+
     def tables(self, q: np.ndarray, cell: int) -> np.ndarray:
-        """For each query and sub-space, squared distances from its residual to the words: (queries, sub-spaces, 256)."""
-        rest = q - self.coarse[cell]
-        out = np.full((len(q), len(self.words), 256), np.inf, np.float32)
+        """For each query and sub-space, squared distances from its residual to the words: (queries, sub-spaces, 256).
+
+        They are summed from differences in double precision, so that a small one is as exact as a large one.
+        """
+        rest = q.astype(np.float64) - self.coarse[cell]
+        out = np.full((len(q), len(self.words), 256), np.inf)
         for j, (w, c) in enumerate(zip(self.words, self.cuts, strict=True)):
-            own = rest[:, c]
-            out[:, j, : len(w)] = (own * own).sum(1)[:, None] + (w * w).sum(1) - 2 * own @ w.T
+            gap = rest[:, None, c] - w
+            out[:, j, : len(w)] = (gap * gap).sum(2)
         return out
 
 
@@ -221,46 +233,91 @@ def probes_needed(index: Index, x: np.ndarray, k: int, recall: float, tests: int
     return int(np.quantile(rank, recall, method="higher"))
 
 
-def _encode(index: Index, length: int) -> Callable:
+TILED = "cell int, key bigint, id bigint, vector binary, codes binary, error double"
+TILED_NAMES = [c.split()[0] for c in TILED.split(", ")]
+
+
+def _bytes(x: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in np.ascontiguousarray(x)], pa.binary())
+
+
+def _encode(index: Index, length: int, dtype: type) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = matrix(batch.column("embedding"), length).astype(np.float32)
-                home = index.home(x)
-                codes = [c.tobytes() for c in index.codes(x, home)]
-                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), batch.column("id"), pa.array(codes, pa.binary())], ["cell", "id", "codes"])
+                x = matrix(batch.column("embedding"), length).astype(dtype)
+                home = index.home(x.astype(np.float32))
+                codes = index.codes(x.astype(np.float32), home)
+                own = [pa.array(home, pa.int32()), batch.column("key"), batch.column("id"), _bytes(x), _bytes(codes), pa.array(index.errors(x, home, codes))]
+                yield pa.RecordBatch.from_arrays(own, TILED_NAMES)
 
     return run
 
 
-def _probe(index: Index, length: int, probes: int) -> Callable:
+def _probe(index: Index, length: int, probes: int, dtype: type) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                q = matrix(batch.column("embedding"), length).astype(np.float32)
-                near = np.argsort(index.away(q), axis=1, kind="stable")[:, :probes]
-                packed = pa.array([r.tobytes() for r in q], pa.binary())
+                q = matrix(batch.column("embedding"), length).astype(dtype)
+                near = np.argsort(index.away(q.astype(np.float32)), axis=1, kind="stable")[:, :probes]
+                n, packed = batch.num_rows, _bytes(q)
                 for j in range(near.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(near[:, j], pa.int32()), batch.column("id"), packed], ["cell", "id", "codes"])
+                    own = [pa.array(near[:, j], pa.int32()), batch.column("key"), batch.column("id"), packed, pa.nulls(n, pa.binary()), pa.nulls(n, pa.float64())]
+                    yield pa.RecordBatch.from_arrays(own, TILED_NAMES)
 
     return run
 
 
-def _nearest_of(q: np.ndarray, ids: np.ndarray, away: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _nearest_of(q: np.ndarray, key: np.ndarray, ids: np.ndarray, score: np.ndarray, keep: int) -> tuple[np.ndarray, ...]:
     """The `keep` nearest rows of each query, ties to the smaller id."""
-    order = np.lexsort((ids, away, q))
+    order = np.lexsort((ids, score, q))
     q = q[order]
     first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
     rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
     order, q = order[rank < keep], q[rank < keep]
-    return q, ids[order], away[order]
+    return q, key[order], ids[order], score[order]
+
+
+def _distances(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, at_once: int = 1 << 18) -> np.ndarray:
+    """Distances in double precision of the pairs (i, j) of columns of q and x, dimension by dimension in their order."""
+    out = np.zeros(len(i))
+    for at in range(0, len(i), at_once):
+        a, b, total = i[at : at + at_once], j[at : at + at_once], out[at : at + at_once]
+        for own, other in zip(q, x, strict=True):
+            gap = own[a] - other[b]
+            total += gap * gap
+    return np.sqrt(out)
 
 
-def _scan(index: Index, keep: int, most_held: int = 1_000_000) -> Callable:
-    """Each query's `keep` nearest codes by asymmetric distance, over the tiles of a task, ties to the smaller id.
+def _candidates(index: Index, cell: int, q: np.ndarray, x: np.ndarray, codes: np.ndarray, error: np.ndarray, keep: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of pairs among which are the `keep` nearest rows of each query, and all that tie with them.
+
+    The `first` nearest codes by table distance are ranked exactly. A row is no nearer than its table distance less the
+    error of its code, so each row whose bound is not above the exact distance in place `keep` is ranked as well.
+    """
+    table = index.tables(q, cell)
+    away = np.sqrt(sum(table[:, j, codes[:, j]] for j in range(codes.shape[1])))
+    by_query, by_row = np.ascontiguousarray(q.T, np.float64), np.ascontiguousarray(x.T, np.float64)
+    n = len(x)
+    limit = np.full(len(q), np.inf)
+    if n > keep:
+        some = np.argpartition(away, min(max(first, keep), n) - 1, axis=1)[:, : max(first, keep)]
+        exact = _distances(by_query, by_row, np.repeat(np.arange(len(q)), some.shape[1]), some.ravel()).reshape(some.shape)
+        limit = np.partition(exact, keep - 1, axis=1)[:, keep - 1]
+    # What rounding can take off a bound.
+    slack = 1e-12 * (np.linalg.norm(by_query, axis=0) + np.linalg.norm(index.coarse[cell].astype(np.float64)))
+    i, j = np.nonzero(~(away * (1 - 1e-12) - error * (1 + 1e-12) - slack[:, None] > limit[:, None]))
+    exact = _distances(by_query, by_row, i, j)
+    inside = ~(exact > limit[i])
+    return i[inside], j[inside], exact[inside]
+
+
+def _scan(index: Index, length: int, keep: int, first: int, dtype: type, most_held: int = 1_000_000) -> Callable:
+    """Each query's `keep` nearest rows by exact distance, over the tiles of a task, ties to the smaller id.
 
     Tiles' results are merged while they fit into most_held rows; what is full goes out, and is merged again by query.
     """
+    names = ["q", "key", "id", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -269,27 +326,25 @@ def _scan(index: Index, keep: int, most_held: int = 1_000_000) -> Callable:
             return _nearest_of(*(np.concatenate(x) for x in zip(*held, strict=True)), keep)
 
         for tile in runs(batches, ["cell", "row_block", "query_block"]):
-            asks = np.asarray(tile.column("asks"))
-            ids = tile.column("id").to_numpy()
-            data = tile.column("codes").combine_chunks()
+            asks = np.asarray(tile.column("codes").is_null())
             if not asks.any() or asks.all():
                 continue
-            q = np.stack([np.frombuffer(x, np.float32) for x in data.filter(pa.array(asks)).to_pylist()])
-            order = np.argsort(ids[~asks], kind="stable")
-            codes = np.stack([np.frombuffer(x, np.uint8) for x in data.filter(pa.array(~asks)).to_pylist()])[order]
-            of, asked = ids[~asks][order], ids[asks]
+            cell = int(tile.column("cell")[0].as_py())
+            keys, ids = tile.column("key").to_numpy(), tile.column("id").to_numpy()[~asks]
+            data = np.frombuffer(b"".join(tile.column("vector").to_pylist()), dtype).reshape(-1, length)
+            codes = np.frombuffer(b"".join(tile.column("codes").drop_null().to_pylist()), np.uint8).reshape(len(ids), -1)
+            error = tile.column("error").drop_null().to_numpy()
+            q, x, asked, of = data[asks], data[~asks], keys[asks], keys[~asks]
             for at in range(0, len(q), 64):
-                table = index.tables(q[at : at + 64], int(tile.column("cell")[0].as_py()))
-                away = sum(table[:, j, codes[:, j]] for j in range(codes.shape[1]))
-                best = np.argsort(away, axis=1, kind="stable")[:, :keep]
-                held.append((np.repeat(asked[at : at + 64], best.shape[1]), of[best].ravel(), np.take_along_axis(away, best, 1).ravel().astype(np.float32)))
+                i, j, score = _candidates(index, cell, q[at : at + 64], x, codes, error, keep, first)
+                held.append(_nearest_of(asked[at : at + 64][i], of[j], ids[j], score, keep))
             if sum(len(x[0]) for x in held) > most_held:
                 held = [merged()]
                 if len(held[0][0]) > most_held // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["q", "id", "away"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names)
                     held = []
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["q", "id", "away"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names)
 
     return run
 
@@ -299,8 +354,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, rerank: int = 192,
 
     An inverted file over coarse centroids, about the root of the number of vectors but max_cells at most, holds every
     vector as product-quantised residual; both are fitted on a sample of about sample_rows vectors at most. A query
-    reads as many cells as, in that sample, hold a share `recall` of the true neighbours; its `rerank` nearest codes by
-    distance tables are ranked again by their exact distance in double precision, ties to the smaller vec_id.
+    reads as many cells as, in that sample, hold a share `recall` of the true neighbours. In a tile its `rerank` nearest
+    codes by distance tables are ranked by exact distance in double precision, and then every code whose table distance
+    less its own error is not above the k-th exact one; so none that was read is missed. Ties go to the smaller vec_id.
 
     Identical vectors are indexed once, with the k + 1 smallest ids (no query can return more of them), and identical
     queries search once. A crowded cell is scanned in tiles. Vectors that take no part and rows without vec_id are
@@ -312,8 +368,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, rerank: int = 192,
     rows = rows.where(usable(F.col("embedding"), length) & F.col("vec_id").isNotNull())
     alike = Window.partitionBy("embedding").orderBy("vec_id")
     firsts = rows.select("vec_id", "embedding").withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k + 1)
-    classes = staged(firsts.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.array_sort(F.collect_list("vec_id")).alias("members")), "index-classes")
-    asking = staged(rows.where("asked").groupBy("embedding").agg(F.min("vec_id").alias("id")), "query-classes")
+    # Written numbers name the classes, as a vec_id may have several vectors.
+    key = F.monotonically_increasing_id().alias("key")
+    classes = staged(firsts.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.array_sort(F.collect_list("vec_id")).alias("members")).select("*", key), "index-classes")
+    asking = staged(rows.where("asked").groupBy("embedding").agg(F.min("vec_id").alias("id")).select("*", key), "query-classes")
     n_classes = classes.count()
     sample = bounded_sample(classes.select("id", "embedding"), "id", n_classes, sample_rows).select("embedding").toArrow()
     out = "query_id bigint, rank int, vec_id bigint, score double"
@@ -324,27 +382,24 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, rerank: int = 192,
     index = Index(x, cells, subspaces)
     probes = min(len(index.coarse), probes_needed(index, x, k, recall) + 1)
 
-    packed = "cell int, id bigint, codes binary"
-    held = classes.select("id", "embedding").mapInArrow(_encode(index, length), packed)
-    asks = asking.select("id", "embedding").mapInArrow(_probe(index, length, probes), packed)
+    dtype = np.float32 if classes.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
+    held = classes.select("key", "id", "embedding").mapInArrow(_encode(index, length, dtype), TILED)
+    asks = asking.select("key", "id", "embedding").mapInArrow(_probe(index, length, probes, dtype), TILED)
     # One row for each cell, max_cells at most.
     per = held.groupBy("cell").agg(F.count("*").alias("n_rows")).join(asks.groupBy("cell").agg(F.count("*").alias("n_queries")), "cell")
     per = per.select("cell", F.ceil(F.col("n_rows") / tile_rows).cast("int").alias("row_blocks"), F.ceil(F.col("n_queries") / tile_queries).cast("int").alias("query_blocks"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    held = held.join(F.broadcast(per), "cell").select("cell", "id", "codes", F.lit(False).alias("asks"), own("row_blocks").alias("row_block"), spread("query_blocks").alias("query_block"))
-    asks = asks.join(F.broadcast(per), "cell").select("cell", "id", "codes", F.lit(True).alias("asks"), spread("row_blocks").alias("row_block"), own("query_blocks").alias("query_block"))
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    held = held.join(F.broadcast(per), "cell").select(*TILED_NAMES, own("row_blocks").alias("row_block"), spread("query_blocks").alias("query_block"))
+    asks = asks.join(F.broadcast(per), "cell").select(*TILED_NAMES, spread("row_blocks").alias("row_block"), own("query_blocks").alias("query_block"))
     keys = ["cell", "row_block", "query_block"]
     tiles = held.unionAll(asks).repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
-    near = tiles.mapInArrow(_scan(index, rerank), "q bigint, id bigint, away float")
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("away", "id"))).where(F.col("n") <= rerank).select("q", "id")
+    near = tiles.mapInArrow(_scan(index, length, k + 1, rerank, dtype), "q bigint, key bigint, id bigint, score double")
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "id"))).where(F.col("n") <= k + 1).select("q", "key", "score")
 
-    double = lambda c: F.transform(c, lambda v: v.cast("double"))
-    gap = F.zip_with(double(F.col("q_vector")), double(F.col("c_vector")), lambda a, b: (a - b) * (a - b))
-    exact = near.join(asking.select(F.col("id").alias("q"), F.col("embedding").alias("q_vector")), "q").join(classes.select("id", F.col("embedding").alias("c_vector"), "members"), "id")
-    exact = exact.select("q", F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, v: s + v)).alias("score"), F.explode("members").alias("vec_id"))
+    exact = near.join(classes.select("key", "members"), "key").select("q", "score", F.explode("members").alias("vec_id"))
     best = exact.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1).drop("n")
-    askers = rows.where("asked").select(F.col("vec_id").alias("query_id"), "embedding").join(asking, "embedding").select("query_id", F.col("id").alias("q"))
+    askers = rows.where("asked").select(F.col("vec_id").alias("query_id"), "embedding").join(asking, "embedding").select("query_id", F.col("key").alias("q"))
     found = askers.join(best, "q").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
