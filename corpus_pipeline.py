@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import line_dedup, mixing, ngram_join, packing, quality
 from tidemark.llm.common import staged
+from tidemark.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -38,8 +39,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in the packed sequences."""
-    return packing.packed(docs)
+    """Where each piece of each document's tokens stands in the packed sequences."""
+    return packing.packed_tokens(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
 STAGES = [

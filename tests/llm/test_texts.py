@@ -275,6 +275,27 @@ def test_token_counts(spark):
     assert plain(tuple(r) for r in tokens.count_tokens(docs(spark, rows), path).collect()) == plain(want)
 
 
+def test_packing_query_counts_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import queries
+
+    rows = [*token_rows(), (900, "unbroken" * 6000, "a"), (901, "two words " * 4000, "a")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    lib, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), []
+    for d, t, _ in rows:
+        n = len(lib.encode(t or "", add_special_tokens=False).ids)
+        want += [(d, at // 4096, at, min(4096, n - at)) for at in range(0, n, 4096)]
+    for got in (queries.op3_packing(spark, str(tmp_path)), corpus_pipeline.packed_sequences(spark, docs(spark, rows), str(tmp_path))):
+        found = got.collect()
+        assert plain((r["doc_id"], r["piece"], r["start"], r["n_tokens"]) for r in found) == plain(want)
+        full = Counter()
+        for r in found:
+            full[r["bin_id"]] += r["n_tokens"]
+        assert all(full[r["bin_id"]] <= r["bin_size"] for r in found)
+
+
 def test_counts_beyond_one_posting(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = tokens.count_tokens(docs(spark, [(1, "go " * 200_000, "a")]), path).first()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, runs, staged
 from .mixing import word_count
+from .tokens import token_lengths
 
 SIZES = (512, 1024, 2048, 4096)
 PACKED = "doc_id bigint, piece int, start bigint, n_tokens bigint, bin_id bigint, bin_size int, offset int"
@@ -108,3 +109,8 @@ def packed(docs: DataFrame, length: Column | None = None, sizes: tuple[int, ...]
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "salt", "piece"), F.lit(shards)).cast("int"))
     ordered = dealt.repartition(min(shards, partitions(spark)) if shards > 1 else 1, "shard").sortWithinPartitions("shard", F.desc("n_tokens"), "doc_id", "piece")
     return ordered.mapInArrow(_packing(tuple(sizes), cost), PACKED)
+
+
+def packed_tokens(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
+    """packed() with the tokens of each row's whole text as its length, by the tokenizer's own count."""
+    return packed(token_lengths(docs, tokenizer_path), F.col("n_tokens"), **options)

@@ -102,7 +102,8 @@ class IdEncoder:
         head, *pieces = text.replace("\n", " \n").split(" ")
         return [head], pieces
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learned(self, texts: list[str]) -> tuple[dict[int, bytes], list[tuple[list[str], list[str]]]]:
+        """Ids of the texts that are encoded whole, and the pieces of the others, which stand in the look-up tables then."""
         whole = {i: self._whole(x) for i, x in enumerate(texts) if odd(x)}
         cut = [([], []) if i in whole else self._cut(x) for i, x in enumerate(texts)]
         for which, known in enumerate((self.known, self.led)):
@@ -111,17 +112,68 @@ class IdEncoder:
             new = list(set().union(*(x[which] for x in cut)).difference(known))
             # What doesn't fit is forgotten in the next call: by then the frequent pieces are known.
             self.passing[which] = new if len(known) + len(new) > MOST_KEPT else []
-            known.update(zip(new, self._ids([x if x[:1] == "\n" else " " + x for x in new] if which else new), strict=True))
+            known.update(zip(new, self._kept([x if x[:1] == "\n" else " " + x for x in new] if which else new), strict=True))
+        return whole, cut
+
+    def _kept(self, pieces: list[str]) -> list:
+        """What the look-up tables keep of pieces."""
+        return self._ids(pieces)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole, cut = self._learned(texts)
         first, rest = self.known.__getitem__, self.led.__getitem__
         return [whole[i] if i in whole else b"".join(map(first, a)) + b"".join(map(rest, z)) for i, (a, z) in enumerate(cut)]
 
 
+class TokenCounter(IdEncoder):
+    """Numbers of ids of whole texts; the look-up tables keep numbers in place of ids."""
+
+    def _kept(self, pieces: list[str]) -> list[int]:
+        return [len(x) // 4 for x in self._ids(pieces)]
+
+    def count(self, texts: list[str]) -> list[int]:
+        whole, cut = self._learned(texts)
+        first, rest = self.known.__getitem__, self.led.__getitem__
+        return [len(whole[i]) // 4 if i in whole else sum(map(first, a)) + sum(map(rest, z)) for i, (a, z) in enumerate(cut)]
+
+
 @functools.lru_cache(maxsize=2)
 def id_encoder(path: str) -> IdEncoder:
     """One for each Python worker, so that its look-up tables serve all the worker's tasks."""
     return IdEncoder(path)
 
 
+@functools.lru_cache(maxsize=2)
+def token_counter(path: str) -> TokenCounter:
+    return TokenCounter(path)
+
+
+def _measuring(path: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = token_counter(path)
+        for batch in batches:
+            texts, n, held = [], [], 0
+            for text in batch.column("text"):
+                texts.append(text.as_py() or "")
+                held += len(texts[-1])
+                if held > TEXT_AT_ONCE:
+                    n += counter.count(texts)
+                    texts, held = [], 0
+            if texts:
+                n += counter.count(texts)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+
+    return run
+
+
+def token_lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """One row (doc_id, n_tokens) for each row of docs: the number of tokens of its whole text, without an end mark.
+
+    Rows stay where they are, so nothing is shuffled or joined. A null text counts as empty; only doc_id and text are read.
+    """
+    return docs.select("doc_id", "text").mapInArrow(_measuring(tokenizer_path), "doc_id bigint, n_tokens bigint")
+
+
 ENCODED = "part int, doc_id bigint, local_start bigint, n_tokens bigint, ids array<int>"
 
 
