@@ -101,6 +101,30 @@ def test_one_of_each_keeps_columns(spark):
     assert sorted(map(str, (r["doc_id"] for r in got.collect()))) == sorted(map(str, want))
 
 
+def test_one_row_of_each_group_stays(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(2)
+    text = lambda: " ".join(f"w{i}" for i in rng.integers(0, 10**6, 60))
+    a, b, c = text(), text(), text()
+    # Repeated rows, near copies that share an id, copies without id, one of them beside a row with id.
+    rows = [(1, a, "s"), (1, a, "s"), (2, b, "s"), (2, b + " more", "s"), (None, c, "s"), (None, c, "s"), (None, a, "s"), (9, text(), "s"), (None, "", "s"), (None, "", "s")]
+    got = corpus_pipeline.one_of_near_duplicates(spark, docs(spark, rows), "").collect()
+    found = Counter((r["doc_id"], (r["text"] or "")[:20]) for r in got)
+    assert found == Counter([(1, a[:20]), (2, b[:20]), (None, c[:20]), (9, rows[7][1][:20]), (None, ""), (None, "")])
+
+
+def test_mixed_rows_that_repeat_an_id_keep_their_sources(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text, "a"), (1, text, "b"), (None, text, "c"), (None, text, "a"), (2, text + " x", "b")]
+    got, want = Counter(), Counter()
+    for r in mixing.mixed_documents(docs(spark, rows), block_words=7).collect():
+        got[r["source"]] += len(words(r["text"]))
+    for r in mixing.taken(docs(spark, rows), block_words=7).collect():
+        want[r["source"]] += r["taken"]
+    assert got == want
+
+
 def test_bands_reach_the_recall():
     for threshold in (0.5, 0.8, 0.9):
         bands, rows = ngram_join.bands_for(threshold, 0.999, 400)

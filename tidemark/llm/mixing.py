@@ -51,15 +51,15 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float, most: flo
     return full.select("source", F.col("source_size").cast("bigint"), target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 512, shards: int = 64, rows_each: int = 4096) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 512, shards: int = 64, rows_each: int = 4096, row_id: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (uses, sizes).
 
     uses: one row (source, block, epoch, slot, shard, take) for each slot, take being how many of the block's words it
     holds. sizes: one row (doc_id, text_hash, row_id, source, size, source_size, target, first) for each document, first being its
-    place in its source's stream.
+    place in its source's stream. row_id is the number of a row; by default rows get one as they are written.
     """
     # The number of a row, kept in a written table, tells rows apart that have no words and repeat a doc_id.
-    sizes = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row_id")), "sizes")
+    sizes = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"), (F.monotonically_increasing_id() if row_id is None else row_id).alias("row_id")), "sizes")
     targets = staged(source_targets(sizes, list(weights), share, most), "targets").withColumn("goal", F.round("target").cast("bigint"))
     placed = prefix_sums(sizes, "source", [F.coalesce("doc_id", F.lit(-1)), F.col("text_hash")], "size", sizes.count(), SEED)
     named = targets.select(F.col("source").alias("t_source"), "source_size", "target", "goal")
@@ -115,13 +115,14 @@ def mixed_documents(docs: DataFrame, block_words: int = 512, **options) -> DataF
     """The mix as documents: docs' columns, one row for each time that the mix uses a document, with the words it uses.
 
     A text that is used whole stays as it is; of one that is used in part, the words used are joined by single spaces.
+    Rows are joined by their written numbers, so rows that repeat a doc_id keep their own sources and other columns.
     """
-    uses, sizes = mix(docs, block_words=block_words, **options)
+    rows = staged(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("own_id")), "numbered")
+    uses, sizes = mix(rows.select("row.doc_id", "row.source", "row.text", "own_id"), block_words=block_words, row_id=F.col("own_id"), **options)
     used = _uses_of_documents(uses, sizes, block_words).where("high > low")
-    spans = used.groupBy("doc_id", "text_hash", "source", "size", "first", "epoch").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans"), F.sum(F.col("high") - F.col("low")).alias("n"))
-    spans = spans.select(F.col("doc_id").alias("u_doc"), F.col("text_hash").alias("u_hash"), "size", "n", "spans").hint("merge")
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_doc"), F.xxhash64("text").alias("own_hash")).dropDuplicates(["own_doc", "own_hash"])
-    both = own.join(spans, F.col("own_doc").eqNullSafe(F.col("u_doc")) & (F.col("own_hash") == F.col("u_hash")))
+    spans = used.groupBy("row_id", "size", "epoch").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans"), F.sum(F.col("high") - F.col("low")).alias("n"))
+    spans = spans.select("row_id", "size", "n", "spans").hint("merge")
+    both = rows.join(spans, F.col("own_id") == F.col("row_id"))
     words = F.split(F.btrim("row.text", F.lit(" \t\n\x0b\x0c\r")), "[ \\t\\n\\x0B\\f\\r]+", -1)
     some = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["low"] + 1).cast("int"), (s["high"] - s["low"]).cast("int")))), " ")
     text = F.when(F.col("n") == F.col("size"), F.col("row.text")).otherwise(some)

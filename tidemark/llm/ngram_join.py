@@ -268,3 +268,17 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     own = docs.select(F.struct(*docs.columns).alias("row"))
     own = own.join(found, (F.col("row.doc_id") == F.col("gone_doc")) & (F.xxhash64("row.text") == F.col("gone_hash")), "left_anti")
     return own.select("row.*")
+
+
+def one_row_of_each(docs: DataFrame, **options) -> DataFrame:
+    """One row of docs of each group of rows that link, directly or through others: that with the smallest doc_id.
+
+    Rows are told apart by their written numbers. So rows that repeat a doc_id, or have none, are members of groups like
+    others; null comes after all ids, and of equal ids the smaller text hash, then the smaller row number, stays.
+    """
+    rows = staged(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("row_id")), "numbered")
+    found = similar_documents(rows.select(F.col("row_id").alias("doc_id"), "row.text"), **options).where("n_links > 0")
+    place = F.struct(F.col("row.doc_id").isNull().alias("none"), "row.doc_id", F.xxhash64("row.text").alias("hash"), "row_id")
+    members = staged(rows.select("row_id", place.alias("place")).join(found.select(F.col("doc_id").alias("row_id"), "class_id"), "row_id"), "group-members")
+    gone = members.join(members.groupBy("class_id").agg(F.min("place").alias("stays")), "class_id").where("row_id <> stays.row_id").select("row_id")
+    return rows.join(gone, "row_id", "left_anti").select("row.*")
