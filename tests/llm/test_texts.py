@@ -404,3 +404,40 @@ def test_pipeline_stages(spark, tmp_path):
     good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
     assert len(ids[0] & good) >= 0.95 * len(good) and ids[1] == ids[0] and 9000 not in ids[2]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    # Without labels every document scores 0.5 and passes.
+    docs(spark, corpus(9)).select(*corpus_pipeline.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    now, after = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        after[name] = now.collect()
+    held = {name: [(r["doc_id"], r["text"], r["source"]) for r in after[name]] for name in ("quality", "lines", "near_duplicates", "mix")}
+    assert plain(held["quality"]) == plain(corpus(9))
+    assert plain((d, t or "") for d, t, _ in held["lines"]) == plain((d, t) for d, _, _, t in brute_lines(corpus(9)))
+    # Rows are numbered, so that those without an id or with a repeated one are members of groups too.
+    groups = defaultdict(list)
+    for i, c, _ in brute_join([(i, t, s) for i, (_, t, s) in enumerate(held["lines"])]):
+        d, t, _ = held["lines"][i]
+        groups[c].append((d is None, d or 0, d))
+    assert plain(r[0] for r in held["near_duplicates"]) == plain(min(g)[2] for g in groups.values())
+    assert len(held["near_duplicates"]) < len(held["lines"])
+    size, taken = Counter(), Counter()
+    for _, t, s in held["near_duplicates"]:
+        size[s] += len(words(t))
+    for _, t, s in held["mix"]:
+        taken[s] += len(words(t))
+    want = brute_targets(size)
+    assert all(abs(taken[s] - want[s]) <= 0.5 for s in want)
+    lib, cut = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), []
+    for d, t, _ in held["mix"]:
+        n = len(lib.encode(t or "", add_special_tokens=False).ids)
+        cut += [(d, at // 4096, at, min(4096, n - at)) for at in range(0, n, 4096)]
+    assert plain((r["doc_id"], r["piece"], r["start"], r["n_tokens"]) for r in after["packing"]) == plain(cut)
+    assert plain(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == plain(map(tuple, after["packing"]))
