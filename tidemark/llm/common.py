@@ -24,6 +24,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and backticks in it included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame, name: str = "row") -> Column:
+    """All columns of df as one struct, so that their names can't clash with an operator's own."""
+    return F.struct(*map(named, df.columns)).alias(name)
+
+
+def hash_share(n_rows: int, most: int, *key: Column | str, seed: str = "sample") -> Column:
+    """Whether a row is one of about `most` of n_rows, the same ones in each run: those with the least hashes of their key.
+
+    The bound is a place in the whole range of 64-bit hashes, so the share can be as small as most / n_rows ever gets.
+    """
+    if n_rows <= most:
+        return F.lit(True)
+    return F.xxhash64(F.lit(seed), *key) < F.lit(-(2**63) + (2**64 * most) // n_rows)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

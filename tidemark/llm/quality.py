@@ -1,10 +1,12 @@
 """Operator 8: a quality classifier on random-indexing word vectors.
 
-Words are hashed into a fixed number of buckets. Each bucket has a sparse random index vector; a bucket's word vector
-is the sum of the index vectors that stand beside it anywhere in the corpus, so it is gathered from all documents, in
-partial sums that are added by bucket. A document is the mean of its words' vectors, weighed down for frequent words,
-beside the shares of a few word shapes. A two-layer network learns labels from a bounded sample of labelled documents,
-and a temperature fitted on a part kept back makes its scores probabilities.
+Pieces of a text are its words and its runs of marks, as they are written. They are hashed into a fixed number of
+buckets. Each bucket has a sparse random index vector; a bucket's word vector is the sum of the index vectors that stand
+right before it and right after it anywhere in the corpus, turned by one place to the one side and to the other, so that
+order counts. It is gathered from all documents, in partial sums that are added by bucket. A document is pooled from its
+pieces' unit vectors alone: their mean, their variance, and the mean product of neighbours. A two-layer network learns
+labels from a bounded sample of labelled documents, and a temperature fitted on a part kept back makes its scores
+probabilities.
 """
 
 from __future__ import annotations
@@ -20,31 +22,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import partitions
+from .common import hash_share, partitions, whole_row
 
-BUCKETS, WIDTH, NONZERO, GROUPS = 1 << 14, 64, 4, 64
+BUCKETS, WIDTH, NONZERO, GROUPS = 1 << 15, 64, 4, 64
+POOLED = 3 * WIDTH
 MOST_WORDS = 400_000
-#: Shapes of words; a word has the first that matches, else the last one.
-SHAPES = [re.compile(p) for p in (r"[^\W\d_]+[.,;:!?]?\Z", r"[\W_]+\Z", r"\d[\d.,:/-]*\Z", r"(?=.*[^\W\d_]).*[^\w.,;:!?'\"()-]", r"(?=.*[^\W\d_]).*\d")]
-N_SHAPES = len(SHAPES) + 2
-EXTRAS = N_SHAPES + 5
-
-
-def _bucket(word: str) -> int:
-    """The word's bucket, and above it its shape: plain, marks, number, letters and marks, letters and digits, capitals, other."""
-    bare = word.strip(".,;:!?'\"()")
-    letters = sum(map(str.isalpha, word))
-    if letters > 1 and word.upper() == word and word.lower() != word:
-        shape = N_SHAPES - 2
-    else:
-        shape = next((i for i, p in enumerate(SHAPES) if p.match(word)), N_SHAPES - 1)
-    return shape * BUCKETS + xxhash.xxh64_intdigest((bare or word).lower().encode("utf-8", "surrogatepass")) % BUCKETS
+PIECE = re.compile(r"\w+|[^\w\s]+")
 
 
 class _Words(dict):
     def __missing__(self, word: str) -> int:
-        value = _bucket(word)
+        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) % BUCKETS
         if len(self) < MOST_WORDS:
             self[word] = value
         return value
@@ -55,11 +45,10 @@ def _words() -> _Words:
     return _Words()
 
 
-def numbers(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and shapes of the words of a whole text."""
-    words = (text or "").split()
-    both = np.fromiter(map(_words().__getitem__, words), np.int64, len(words))
-    return both % BUCKETS, both // BUCKETS
+def numbers(text: str | None) -> np.ndarray:
+    """Buckets of the pieces of a whole text, in order."""
+    words = PIECE.findall(text or "")
+    return np.fromiter(map(_words().__getitem__, words), np.int64, len(words))
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -69,31 +58,30 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums: for each group of buckets their word vectors and counts, as one row of 32-bit floats."""
+    """Partial sums: for each group of buckets their word vectors, as one row of 32-bit floats."""
     place, sign = index_vectors()
-    total, count, held = np.zeros(BUCKETS * WIDTH), np.zeros(BUCKETS), []
+    total, held = np.zeros(BUCKETS * WIDTH), []
 
     def added() -> None:
-        nonlocal total, count
+        nonlocal total
         left = np.concatenate([x[:-1] for x in held])
         right = np.concatenate([x[1:] for x in held])
-        for word, beside in ((left, right), (right, left)):
+        for word, beside, turn in ((left, right, 1), (right, left, WIDTH - 1)):
             for k in range(NONZERO):
-                total += np.bincount(word * WIDTH + place[beside, k], sign[beside, k], BUCKETS * WIDTH)
-        count += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                total += np.bincount(word * WIDTH + (place[beside, k] + turn) % WIDTH, sign[beside, k], BUCKETS * WIDTH)
         held.clear()
 
     some = 0
     for batch in batches:
         for text in batch.column("text"):
-            held.append(numbers(text.as_py())[0])
+            held.append(numbers(text.as_py()))
             some += len(held[-1])
             if some > 1_000_000:
                 added()
                 some = 0
     if held:
         added()
-    rows = np.concatenate([total.reshape(BUCKETS, WIDTH), count[:, None]], 1).astype(np.float32).reshape(GROUPS, -1)
+    rows = total.astype(np.float32).reshape(GROUPS, -1)
     full = np.flatnonzero(rows.any(1))
     yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([rows[g].tobytes() for g in full], pa.binary())], ["part", "sums"])
 
@@ -104,38 +92,38 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, data in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
             sums[g] = sums.get(g, 0.0) + np.frombuffer(data, np.float32).astype(np.float64)
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], ["part", "sums"])
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Unit vectors of all buckets, each weighed by a / (a + share of all words), from the whole of docs (text).
+    """Unit vectors of all buckets, zero for those without neighbours, from the whole of docs (text).
 
     Partial sums meet by group of buckets. The result has BUCKETS x WIDTH elements whatever the corpus.
     """
     parts = docs.select("text").mapInArrow(_gather, "part int, sums binary").repartition(min(GROUPS, partitions(docs.sparkSession)), "part")
     found = parts.mapInArrow(_added, "part int, sums binary").toArrow()
-    rows = np.zeros((GROUPS, BUCKETS // GROUPS, WIDTH + 1))
+    rows = np.zeros((GROUPS, BUCKETS // GROUPS, WIDTH), np.float32)
     for g, data in zip(found.column("part").to_pylist(), found.column("sums").to_pylist(), strict=True):
-        rows[g] = np.frombuffer(data).reshape(-1, WIDTH + 1)
-    rows = rows.reshape(BUCKETS, WIDTH + 1)
-    share = rows[:, -1] / max(1.0, rows[:, -1].sum())
-    vectors = rows[:, :-1] / np.maximum(np.linalg.norm(rows[:, :-1], axis=1, keepdims=True), 1e-12)
-    return (vectors * (1e-3 / (1e-3 + share))[:, None]).astype(np.float32)
+        rows[g] = np.frombuffer(data, np.float32).reshape(-1, WIDTH)
+    rows = rows.reshape(BUCKETS, WIDTH)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-6)
 
 
-def features(text: str | None, vectors: np.ndarray) -> np.ndarray:
-    """A document's pooled word vectors, its words' shapes, repetition and length."""
-    bucket, shape = numbers(text)
-    out = np.zeros(WIDTH + EXTRAS, np.float32)
+def features(text: str | None, vectors: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
+    """Mean and variance of the vectors of a document's pieces, and the mean product of neighbours; zeros without pieces."""
+    bucket = numbers(text)
     n = len(bucket)
-    if n:
-        uses = np.bincount(bucket, minlength=BUCKETS) if n > 2000 else None
-        kinds, times = (np.flatnonzero(uses), uses[uses > 0]) if uses is not None else np.unique(bucket, return_counts=True)
-        out[:WIDTH] = times @ vectors[kinds] / n
-        out[WIDTH : WIDTH + N_SHAPES] = np.bincount(shape, minlength=N_SHAPES) / n
-        lines = text.split("\n")
-        out[WIDTH + N_SHAPES :] = [(bucket[1:] == bucket[:-1]).sum() / n, len(kinds) / n, times.max() / n, np.log1p(n) / 10, min(1.0, n / (20 * len(lines)))]
-    return out
+    if not n:
+        return np.zeros(POOLED, np.float32)
+    total = np.zeros((3, WIDTH))
+    for at in range(0, n, at_once):
+        x = vectors[bucket[at : at + at_once + 1]]
+        own = x[:at_once]
+        total[0] += own.sum(0)
+        total[1] += np.einsum("ij,ij->j", own, own)
+        total[2] += np.einsum("ij,ij->j", x[1:], x[:-1])
+    mean, square, beside = total / n
+    return np.concatenate([mean, square - mean * mean, beside]).astype(np.float32)
 
 
 @dataclass
@@ -177,7 +165,7 @@ def _trained(x: np.ndarray, y: np.ndarray, hidden: int, rounds: int, decay: floa
     return net
 
 
-def fitted(x: np.ndarray, y: np.ndarray, hidden: int = 32, rounds: int = 30, decay: float = 1e-4, least_steps: int = 1500) -> Network:
+def fitted(x: np.ndarray, y: np.ndarray, hidden: int = 64, rounds: int = 30, decay: float = 1e-4, least_steps: int = 1500) -> Network:
     """The network for features x and labels y; the temperature is the best of a grid on every fifth row, kept back.
 
     With labels of one kind only, or none, the score is (n_ones + 1) / (n + 2) for every document.
@@ -213,18 +201,14 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(text, y) of about `most` labelled documents at most, of the folds that are not held out.
+def training_labels(labels: DataFrame, most: int) -> DataFrame:
+    """(doc_id, y) of about `most` labelled ids at most, of the folds that are not held out.
 
-    A null label is none. A doc_id with several labels has their mean; the rows are chosen by a hash of the id.
+    A null label is none. An id with several labels has their mean; ids are chosen by a hash.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(fold(F.col("doc_id")) != 0)
     known = known.groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
-    n = known.count()
-    if n > most:
-        known = known.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    return texts.join(known, "doc_id").select("doc_id", "text", "y")
+    return known.where(hash_share(known.count(), most, "doc_id", seed="train"))
 
 
 def _featured(vectors: np.ndarray) -> Callable:
@@ -237,11 +221,18 @@ def _featured(vectors: np.ndarray) -> Callable:
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000) -> tuple[np.ndarray, Network]:
-    """Word vectors from all of docs, and a network from about most_labels labelled documents at most."""
+    """Word vectors from all of docs, and a network from about most_labels labelled documents at most.
+
+    The labels chosen are at most about most_labels rows of two numbers, so they are broadcast and no text is shuffled.
+    An id that stands on several rows gives one training row, the least of their features.
+    """
     vectors = word_vectors(docs)
-    found = training_rows(docs, labels, most_labels).mapInArrow(_featured(vectors), "doc_id bigint, y double, x binary").toArrow()
-    x = np.array([np.frombuffer(b, np.float32) for b in found.column("x").to_pylist()]).reshape(-1, WIDTH + EXTRAS)
-    order = np.lexsort([*x.T[:1], found.column("doc_id").to_numpy()]) if len(x) else []
+    known = F.broadcast(training_labels(labels, most_labels))
+    rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL").join(known, "doc_id").select("doc_id", "text", "y")
+    rows = rows.mapInArrow(_featured(vectors), "doc_id bigint, y double, x binary")
+    found = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toArrow()
+    x = np.array([np.frombuffer(b, np.float32) for b in found.column("x").to_pylist()]).reshape(-1, POOLED)
+    order = np.argsort(found.column("doc_id").to_numpy())
     return vectors, fitted(x[order], found.column("y").to_numpy()[order])
 
 
@@ -252,7 +243,7 @@ def scored(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000) -> Dat
     gives an empty result; an empty or missing set of labels gives every document the same score.
     """
     vectors, net = quality_model(docs, labels, most_labels)
-    own = docs.select(F.struct(*docs.columns).alias("row"))
-    kind = own.schema["row"].dataType.simpleString()
+    own = docs.select(whole_row(docs))
     with_text = own.select("row", F.col("row.text").alias("text"))
-    return with_text.mapInArrow(_score(vectors, net), f"row {kind}, score double")
+    schema = StructType([own.schema["row"], StructField("score", DoubleType())])
+    return with_text.mapInArrow(_score(vectors, net), schema)
