@@ -1,12 +1,14 @@
 """Line dedup, n-gram join, mixing, packing, tokens and quality against brute force on small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import DOCS, corpus, docs
@@ -181,16 +183,97 @@ def test_mixing_tells_rows_without_words_apart(spark):
     assert sorted((str(r["doc_id"]), r["size"]) for r in got) == sorted((str(d), len(words(t))) for d, t, _ in rows)
 
 
-def test_mix_slots_are_permuted_blocks(spark):
-    uses, _ = mixing.mix(docs(spark, corpus(4)), block_words=7)
+def spark_hash(*values, seed=42):
+    """xxhash64 of strings and integers as Spark chains them: nulls leave the hash as it is."""
+    for v, width in values:
+        if v is not None:
+            data = v.encode() if width is None else int(v).to_bytes(width, "little", signed=True)
+            seed = xxhash.xxh64_intdigest(data, seed=seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def brute_shuffled(index, size, keys):
+    for r in range(mixing.ROUNDS):
+        partner = (spark_hash(("mix", None), *keys, (r, 4)) % size - index) % size
+        if spark_hash(("swap", None), *keys, (r, 4), (max(index, partner), 8)) % 2 == 0:
+            index = partner
+    return index
+
+
+def brute_mix(rows, block):
+    """(taken words of each row, {(source, shard): slots}) by the method's definition, slot by slot."""
+    size = [len(words(t)) for _, t, _ in rows]
+    total = Counter()
+    for (_, _, s), n in zip(rows, size, strict=True):
+        total[s] += n
+    goal = {s: math.floor(t + 0.5) for s, t in brute_targets(total).items()}
+    use, slots = {}, {}
+    for s in total:
+        n, left, slot = -(-total[s] // block), goal[s], 0
+        use[s] = Counter()
+        while left > 0:
+            b = brute_shuffled(slot % n, n, [(s, None), (slot // n, 8)])
+            take = min(left, block if b < n - 1 else total[s] - (n - 1) * block)
+            for w in range(b * block, b * block + take):
+                use[s][w] += 1
+            left -= take
+            slot += 1
+        slots[s] = slot
+    order, at, drawn = sorted(total, key=lambda s: (s is None, s)), 0, Counter()
+    every = sum(slots.values())
+    for s in order:
+        for i in range(slots[s]):
+            drawn[s, brute_shuffled(at + i, every, [("draw", None)]) % 8] += 1
+        at += slots[s]
+    buckets, first, out = max(1, math.ceil(math.sqrt(len(rows)))), Counter(), {}
+
+    def place(i):
+        d, t, _ = rows[i]
+        keys = [(-1 if d is None else d, 8), *([(spark_hash((t, None)), 8)])]
+        draw = spark_hash(("mix", None), *keys)
+        return ((draw % 2**64) >> 20) % buckets, draw, -1 if d is None else d, spark_hash((t, None))
+
+    for i in sorted(range(len(rows)), key=place):
+        s = rows[i][2]
+        out[i] = sum(use[s][w] for w in range(first[s], first[s] + size[i]))
+        first[s] += size[i]
+    return [out[i] for i in range(len(rows))], drawn
+
+
+@pytest.mark.parametrize("block", [7, 64])
+def test_mixing_equals_brute_force(spark, block):
+    rows = [r for i, r in enumerate(corpus(4)) if r not in corpus(4)[:i]]
+    taken, drawn = brute_mix(rows, block)
+    got = mixing.taken(docs(spark, rows), block_words=block).collect()
+    assert plain((r["doc_id"], r["size"], r["taken"]) for r in got) == plain((d, len(words(t)), n) for (d, t, _), n in zip(rows, taken, strict=True))
+    assert all((r["first_shard"] is None) == (r["taken"] == 0) for r in got)
+    uses, _ = mixing.mix(docs(spark, rows), block_words=block)
     found = uses.collect()
-    assert len({(r["source"], r["epoch"], r["block"]) for r in found}) == len(found)
-    per = {(r["shard"], r["source"]): r["slots"] for r in mixing.shard_counts(uses).collect()}
-    assert per == Counter((r["shard"], r["source"]) for r in found)
-    own = [r["block"] for r in sorted(found, key=lambda r: (r["epoch"], r["slot"])) if r["source"] == "a"]
+    assert Counter((r["source"], r["shard"]) for r in found) == drawn
+    assert len({(r["source"], r["epoch"], r["block"]) for r in found}) == len(found) and min(r["take"] for r in found) > 0
+    own = [r["block"] for r in sorted(found, key=lambda r: r["slot"]) if r["source"] == "a"]
     assert own != sorted(own)
 
 
+def test_shuffled_is_a_permutation(spark):
+    for n in (1, 2, 3, 100, 257):
+        place = mixing.shuffled(F.col("id"), F.lit(n), [F.lit("k")])
+        got = spark.range(n).select(place.alias("p"), mixing.shuffled(place, F.lit(n), [F.lit("k")], inverse=True).alias("back"), "id").collect()
+        assert sorted(r["p"] for r in got) == list(range(n)) and all(r["back"] == r["id"] for r in got)
+
+
+def test_draws_are_multinomial_given_the_totals(spark):
+    plan = spark.createDataFrame([("a", 6000), (None, 3000), ("b", 1000)], "source string, slots bigint")
+    counts = {(r["source"], r["shard"]): r["n_slots"] for r in mixing.shard_counts(plan, 100, 8).collect()}
+    per = Counter()
+    for (_, shard), n in counts.items():
+        per[shard] += n
+    assert set(per.values()) == {100} and len(per) == 100
+    share = np.array([counts.get(("a", h), 0) for h in range(100)])
+    # Given the totals a share of 0.6 in 100 slots varies by nearly 24.
+    assert share.sum() == 6000 and 14 < share.var() < 36
+
+
 def test_mixed_documents_hold_the_words_taken(spark):
     rows = [r for i, r in enumerate(corpus(4)) if r not in corpus(4)[:i]]
     mixed = mixing.mixed_documents(docs(spark, rows), block_words=7)
