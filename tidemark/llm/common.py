@@ -48,14 +48,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def blocked(df: DataFrame, key: str, unit: str, size: str, most: int) -> DataFrame:
+def blocked(df: DataFrame, key: str, unit: str, size: str, most: int | Column) -> DataFrame:
     """Deals each group of `key` into tiles: blocks of about `most` rows by a hash of `unit`, one tile for each pair of blocks.
 
     A group of n rows has b = ceil(n / most) blocks and b(b+1)/2 tiles; every pair of its rows meets in one tile, or in
     a diagonal tile if both rows are of one block. Adds tile_a <= tile_b, and block (the row's own). Groups of one block
     keep one row for each row. `size` names the column with n.
     """
-    b = F.greatest(F.ceil(F.col(size) / F.lit(most)), F.lit(1)).cast("int")
+    b = F.greatest(F.ceil(F.col(size) / (most if isinstance(most, Column) else F.lit(most))), F.lit(1)).cast("int")
     df = df.withColumn("n_blocks", b).withColumn("block", F.pmod(F.xxhash64(unit), F.col("n_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     return (

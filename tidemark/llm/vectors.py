@@ -1,8 +1,8 @@
 """Operators 1 and 10: near-duplicate vectors, and approximate nearest neighbours.
 
-A vector takes part if it is not null, is as long as the table's vectors (the most frequent length), holds no null and
-no value that is not finite, and is not zero. Identical vectors are one class from the start, so copies never meet each
-other: their number is a weight, and their smallest ids stand for them.
+A vector takes part if it is not null or empty, holds no null and no value that is not finite, and is not zero. Vectors
+are compared with those of their own length only. Identical vectors are one class from the start, so copies never meet
+each other: their number is a weight, and their smallest ids stand for them.
 """
 
 from __future__ import annotations
@@ -15,23 +15,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocked, components, forest, partitions, runs, staged
+from .common import blocked, components, forest, hash_share, partitions, runs, staged
 
-SAMPLED = 1_000_000
+#: How many values of vectors a tile, or a driver's sample, holds at most: 64 or 128 MB of 32-bit floats.
+SAMPLE_VALUES, TILE_VALUES = 1 << 24, 1 << 25
 
 
-def usable(embedding: Column, length: int) -> Column:
+def usable(embedding: Column) -> Column:
     """Whether a vector takes part; never null."""
     finite = lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
-    ok = (F.size(embedding) == length) & F.forall(embedding, finite) & F.exists(embedding, lambda x: x != 0)
-    return F.coalesce(ok, F.lit(False))
+    return F.coalesce(F.forall(embedding, finite) & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def common_length(vectors: DataFrame) -> int:
-    """The most frequent length of the vectors, the smallest such; 0 for an empty table."""
-    per = vectors.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("n")).count()
-    row = per.orderBy(F.desc("count"), "n").first()
-    return row["n"] if row else 0
+def lengths_of(vectors: DataFrame) -> list[tuple[int, int]]:
+    """(length, number of vectors) of vectors that take part, the most frequent length first."""
+    per = vectors.groupBy(F.size("embedding").alias("length")).agg(F.count("*").alias("n"))
+    return [(r["length"], r["n"]) for r in per.orderBy(F.desc("n"), "length").collect()]
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, length: int) -> np.ndarray:
@@ -45,11 +44,15 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def bounded_sample(rows: DataFrame, key: str, n_rows: int, most: int) -> DataFrame:
-    """About `most` rows at most, chosen by a hash of their key, the same ones in each run."""
-    if n_rows <= most:
-        return rows
-    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(SAMPLED)) < int(SAMPLED * most / n_rows))
+def _nearest_centroid(x: np.ndarray, c: np.ndarray, spherical: bool, at_once: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of x the centroid that is nearest, and how near: block by block, so that memory stays bounded."""
+    home, near = np.empty(len(x), np.int64), np.empty(len(x), x.dtype)
+    less = 0 if spherical else (c * c).sum(1)
+    for at in range(0, len(x), at_once):
+        some = (x[at : at + at_once] @ c.T) * (1 if spherical else 2) - less
+        home[at : at + at_once] = some.argmax(1)
+        near[at : at + at_once] = some.max(1)
+    return home, near
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, spherical: bool) -> np.ndarray:
@@ -57,14 +60,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int, spherical: bool) -> np.ndarray:
     rng = np.random.default_rng(7)
     c = x[rng.permutation(len(x))[: min(k, len(x))]].copy()
     for _ in range(rounds):
-        near = x @ c.T if spherical else 2 * x @ c.T - (c * c).sum(1)
-        home = near.argmax(1)
+        home, near = _nearest_centroid(x, c, spherical)
         n = np.bincount(home, minlength=len(c))
         order = np.argsort(home, kind="stable")
         full = np.flatnonzero(n)
         c[full] = np.add.reduceat(x[order], (np.cumsum(n) - n)[full], axis=0) / n[full, None]
         if (empty := np.flatnonzero(n == 0)).size:
-            c[empty] = x[np.argsort(near.max(1), kind="stable")[: len(empty)]]
+            c[empty] = x[np.argsort(near, kind="stable")[: len(empty)]]
         if spherical:
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     return c
@@ -74,21 +76,31 @@ def kmeans(x: np.ndarray, k: int, rounds: int, spherical: bool) -> np.ndarray:
 
 
 def _to_cells(centroids: np.ndarray, reach: float) -> Callable:
-    """Deals each vector to its nearest centroid's cell, its home, and to each cell whose border is within `reach`."""
-    between = np.linalg.norm(centroids[:, None] - centroids[None], axis=2) * reach + 1e-9
+    """Deals each vector to its nearest centroid's cell, its home, and to each later cell whose border is within `reach`.
+
+    Of two vectors that link over a border the one with the earlier home visits the other's, so each pair meets once.
+    Vectors of another length than the centroids' have one cell.
+    """
+    length = centroids.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            near = unit(matrix(batch.column("embedding"), centroids.shape[1])) @ centroids.T
-            home = near.argmax(1)
-            lag = near[np.arange(len(home)), home][:, None] - near
-            row, cell = np.nonzero(lag <= between[home])
-            for at in range(0, len(row), 8192):
-                r, c = row[at : at + 8192], cell[at : at + 8192]
-                out = batch.take(pa.array(r))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(c, pa.int32()), pa.array(home[r] == c)], [*out.schema.names, "cell", "at_home"])
+            sizes = batch.column("length").to_numpy()
+            other = batch.filter(pa.array(sizes != length))
+            if other.num_rows:
+                yield pa.RecordBatch.from_arrays([*other.columns, pa.array(np.zeros(other.num_rows, np.int32)), pa.array(np.ones(other.num_rows, bool))], [*other.schema.names, "cell", "at_home"])
+            batch = batch.filter(pa.array(sizes == length))
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                near = unit(matrix(some.column("embedding"), length)) @ centroids.T
+                home = near.argmax(1)
+                lag = near[np.arange(len(home)), home][:, None] - near
+                between = np.sqrt(np.maximum(0, 2 - 2 * centroids[home] @ centroids.T)) * reach + 1e-7
+                row, cell = np.nonzero((lag <= between) & (np.arange(len(centroids)) >= home[:, None]))
+                for k in range(0, len(row), 8192):
+                    r, c = row[k : k + 8192], cell[k : k + 8192]
+                    out = some.take(pa.array(r))
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(c, pa.int32()), pa.array(home[r] == c)], [*out.schema.names, "cell", "at_home"])
 
     return run
 
@@ -96,31 +108,42 @@ def _to_cells(centroids: np.ndarray, reach: float) -> Callable:
 VECTOR_LINK = "u_rep bigint, u_key bigint, v_rep bigint, v_key bigint, n bigint"
 
 
-def _compare(threshold: float, length: int) -> Callable:
-    """Links within each tile: for each vector at home how many it has, and a spanning forest of all of them."""
+def linked_in_blocks(x: np.ndarray, rows: np.ndarray, others: np.ndarray, home: np.ndarray, weight: np.ndarray, threshold: float, at_once: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(links of each row of x, root of each): cosines of rows with others, block by block, of which one at least is at home.
+
+    If rows are the others, each pair of them counts once. Blocks go into counts and a forest, and no pair is kept.
+    """
+    same, n, root = rows is others, np.zeros(len(x), np.int64), np.arange(len(x))
+    every = np.arange(len(x))
+    for at in range(0, len(rows), at_once):
+        a = rows[at : at + at_once]
+        left = unit(x[a])
+        for to in range(at if same else 0, len(others), 4 * at_once):
+            b = others[to : to + 4 * at_once]
+            linked = left @ unit(x[b]).T >= threshold
+            linked &= home[a][:, None] | home[b]
+            if same and to < at + len(a):
+                linked &= b > a[:, None]
+            if linked.any():
+                n[a] += linked @ weight[b]
+                n[b] += weight[a] @ linked
+                i, j = np.nonzero(linked)
+                root = forest(len(x), np.concatenate([every, a[i]]), np.concatenate([root, b[j]]))
+    return n, root
+
+
+def _compare(threshold: float) -> Callable:
+    """Links within each tile: for each vector how many it has, and a spanning forest of all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile in runs(batches, ["label_key", "cell", "tile_a", "tile_b"]):
-            x = unit(matrix(tile.column("embedding"), length))
+        for tile in runs(batches, ["label_key", "length", "cell", "tile_a", "tile_b"]):
+            x = matrix(tile.column("embedding"), int(tile.column("length")[0].as_py()))
             ids = np.stack([tile.column("rep").to_numpy(), tile.column("key").to_numpy()])
             home, weight, block = (tile.column(c).to_numpy() for c in ("at_home", "weight", "block"))
             a, b = int(tile.column("tile_a")[0].as_py()), int(tile.column("tile_b")[0].as_py())
             rows = np.flatnonzero(block == a)
-            others = rows if a == b else np.flatnonzero(block == b)
-            if not len(rows) or not len(others):
-                continue
-            linked = x[rows] @ x[others].T >= threshold
-            if a == b:
-                np.fill_diagonal(linked, False)
-            n = np.zeros(len(x), np.int64)
-            n[rows] += linked @ weight[others]
-            if a != b:
-                n[others] += weight[rows] @ linked
-            i, j = np.nonzero(linked)
-            i, j = rows[i], others[j]
-            root = forest(len(x), i, j) if len(i) else np.arange(len(x))
-            edge = np.flatnonzero(root != np.arange(len(x)))
-            counted = np.flatnonzero(home & (n > 0))
+            n, root = linked_in_blocks(x, rows, rows if a == b else np.flatnonzero(block == b), home, weight, threshold)
+            counted, edge = np.flatnonzero(n), np.flatnonzero(root != np.arange(len(x)))
             u = ids[:, np.concatenate([counted, edge])]
             v = ids[:, np.concatenate([counted, root[edge]])]
             m = np.concatenate([n[counted], np.zeros(len(edge), np.int64)])
@@ -129,49 +152,53 @@ def _compare(threshold: float, length: int) -> Callable:
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell_rows: int = 16384, tile_rows: int = 1024, sample_rows: int = 16384, max_cells: int = 1024) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell_rows: int = 16384, tile_rows: int = 65536, sample_rows: int = 65536, max_cells: int = 4096) -> DataFrame:
     """One row (vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding, label).
 
-    Two vectors of the same label link if their cosine in double precision is at least `threshold`. Spherical k-means,
-    fitted on a sample of about sample_rows vectors at most, cuts the unit vectors into cells of about cell_rows. A
-    vector is compared in its home cell with all that live there and with all that live so close to its border that they
-    could link across it, so no link is lost; a cell is compared in tiles of tile_rows x tile_rows by one product each.
-    component_id is the smallest vec_id that links lead to; that one represents its group.
+    Two vectors of the same label and length link if their cosine in double precision is at least `threshold`. Spherical
+    k-means, fitted on a sample of the most frequent length of at most about sample_rows vectors (fewer if they are very
+    long) and 16 for each cell, cuts the unit vectors into cells of about cell_rows, max_cells at most. A vector is
+    compared in its home cell with all that live there and with all that live so close to its border that they could link
+    across it, so no link is lost. A cell is one task's, which multiplies it block by block; a cell of more than
+    tile_rows is compared in tiles. component_id is the smallest vec_id that links lead to; that one represents its group.
 
     A row whose vector takes no part, or whose label or vec_id is null, links with nothing and represents itself. Rows
     that repeat a vec_id are vectors of their own. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    length = common_length(vectors)
-    rows = vectors.select("vec_id", "embedding", "label")
-    part = usable(F.col("embedding"), length) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    classes = staged(
-        rows.where(part).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("key", F.xxhash64("label", "embedding")), "vector-classes"
-    )
-    n_classes = classes.count()
-    sample = bounded_sample(classes.select("rep", "embedding"), "rep", n_classes, sample_rows).select("embedding")
+    part = usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    # Two hashes name a label and vector from here on, so that vectors are not shuffled to be recognised again.
+    named = vectors.select("vec_id", "embedding", F.col("label").cast("string").alias("label_key"), part.alias("part"), F.xxhash64("label", "embedding").alias("key"), F.xxhash64(F.lit("vector"), "label", "embedding").alias("key2"))
+    classes = named.where("part").groupBy("label_key", "key", "key2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
+    classes = staged(classes.withColumn("length", F.size("embedding")), "vector-classes")
+    length, n_classes = ([*lengths_of(classes), (0, 0)])[0]
     cells = max(1, min(max_cells, math.ceil(n_classes / cell_rows)))
-    found = sample.toArrow()
-    centroids = kmeans(unit(matrix(found.column(0), length)), cells, 8, True) if found.num_rows and cells > 1 else np.eye(1, max(length, 1))
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold))
-
-    keyed = classes.select("rep", "key", "weight", "embedding", F.col("label").cast("string").alias("label_key"))
-    schema = f"rep bigint, key bigint, weight bigint, embedding {classes.schema['embedding'].dataType.simpleString()}, label_key string"
-    dealt = keyed.mapInArrow(_to_cells(centroids, reach), f"{schema}, cell int, at_home boolean") if cells > 1 else keyed.select("*", F.lit(0).alias("cell"), F.lit(True).alias("at_home"))
-    sizes = dealt.groupBy("label_key", "cell").agg(F.count("*").alias("in_cell"))
-    tiles = blocked(dealt.join(sizes, ["label_key", "cell"]), "cell", "key", "in_cell", tile_rows).drop("in_cell")
-    keys = ["label_key", "cell", "tile_a", "tile_b"]
-    links = tiles.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(_compare(threshold, length), VECTOR_LINK)
-    links = staged(links, "vector-links")
+    fit = min(sample_rows, SAMPLE_VALUES // max(1, length), max(16_384, 16 * cells))
+    keyed = classes.select("label_key", "length", "rep", "key", "weight", "embedding")
+    if cells > 1:
+        sample = classes.where((F.col("length") == length) & hash_share(n_classes, fit, "rep", "key")).select("embedding").toArrow()
+        centroids = unit(kmeans(unit(matrix(sample.column(0), length)).astype(np.float32), cells, 8, True))
+        embedding = f"embedding {classes.schema['embedding'].dataType.simpleString()}"
+        schema = f"label_key string, length int, rep bigint, key bigint, weight bigint, {embedding}, cell int, at_home boolean"
+        dealt = keyed.mapInArrow(_to_cells(centroids, math.sqrt(max(0.0, 2 - 2 * threshold))), schema)
+    else:
+        dealt = keyed.select("*", F.lit(0).alias("cell"), F.lit(True).alias("at_home"))
+    group = ["label_key", "length", "cell"]
+    # One row for each label, length and cell.
+    sizes = dealt.groupBy(*group).agg(F.count("*").alias("in_cell"))
+    most = F.greatest(F.lit(256), F.least(F.lit(tile_rows), F.expr(f"{TILE_VALUES} div length"))) if tile_rows >= 256 else F.lit(tile_rows)
+    tiles = blocked(dealt.join(sizes, group), "cell", "key", "in_cell", most).drop("in_cell")
+    keys = [*group, "tile_a", "tile_b"]
+    links = staged(tiles.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(_compare(threshold), VECTOR_LINK), "vector-links")
     # A class is named by its smallest vec_id and a hash of what it holds, as a vec_id may have several vectors.
     u, v = (F.struct(F.col(f"{side}_rep").alias("rep"), F.col(f"{side}_key").alias("key")).alias(side) for side in "uv")
     counts = links.where("n > 0").groupBy(F.col("u_rep").alias("rep"), F.col("u_key").alias("key")).agg(F.sum("n").alias("to_others"))
     groups = components(links.where("n = 0").select(u, v)).select("node.*", F.col("component.rep").alias("component"))
-    told = classes.join(counts, ["rep", "key"], "left").join(groups, ["rep", "key"], "left").select(
-        F.col("label").alias("c_label"), F.col("embedding").alias("c_embedding"), (F.coalesce("to_others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+    told = classes.select("rep", "key", "key2", "weight").join(counts, ["rep", "key"], "left").join(groups, ["rep", "key"], "left").select(
+        "key", "key2", (F.coalesce("to_others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
     )
-    both = rows.where(part).join(told, (F.col("label") == F.col("c_label")) & (F.col("embedding") == F.col("c_embedding"))).select("vec_id", "n_links", "component_id")
-    alone = rows.where(~part).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    both = named.where("part").select("vec_id", "key", "key2").join(told, ["key", "key2"]).select("vec_id", "n_links", "component_id")
+    alone = named.where("NOT part").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return both.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -185,6 +212,7 @@ class Index:
         x = x.astype(np.float32)
         self.coarse = kmeans(x, cells, rounds, False)
         self.cuts = np.array_split(np.arange(x.shape[1]), min(subspaces, x.shape[1]))
+        x = x[:16_384]  # a sample for code books
         rest = x - self.coarse[self.home(x)]
         self.words = [kmeans(np.ascontiguousarray(rest[:, c]), 256, rounds, False) for c in self.cuts]
 
@@ -349,56 +377,73 @@ def _scan(index: Index, length: int, keep: int, first: int, dtype: type, most_he
     return run
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 10, rerank: int = 192, subspaces: int = 16, sample_rows: int = 8192, max_cells: int = 1024, recall: float = 0.98, tile_rows: int = 8192, tile_queries: int = 512) -> DataFrame:
+def _search(asking: DataFrame, classes: DataFrame, index: Index, length: int, probes: int, keep: int, rerank: int, tile_rows: int, tile_queries: int) -> DataFrame:
+    """(q, score, vec_id) of the `keep` nearest rows, copies included, that the `probes` nearest cells hold to each query class."""
+    spark = classes.sparkSession
+    dtype = np.float32 if classes.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
+    held = classes.select("key", "id", "embedding").mapInArrow(_encode(index, length, dtype), TILED)
+    asks = asking.select("key", "id", "embedding").mapInArrow(_probe(index, length, probes, dtype), TILED)
+    # One row for each cell of the index.
+    per = held.groupBy("cell").agg(F.count("*").alias("n_rows")).join(asks.groupBy("cell").agg(F.count("*").alias("n_queries")), "cell")
+    per = per.select("cell", F.ceil(F.col("n_rows") / tile_rows).cast("int").alias("row_blocks"), F.ceil(F.col("n_queries") / tile_queries).cast("int").alias("query_blocks"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    held = held.join(F.broadcast(per), "cell").select(*TILED_NAMES, own("row_blocks").alias("row_block"), spread("query_blocks").alias("query_block"))
+    asks = asks.join(F.broadcast(per), "cell").select(*TILED_NAMES, spread("row_blocks").alias("row_block"), own("query_blocks").alias("query_block"))
+    keys = ["cell", "row_block", "query_block"]
+    tiles = held.unionAll(asks).repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
+    near = tiles.mapInArrow(_scan(index, length, keep, rerank, dtype), "q bigint, key bigint, id bigint, score double")
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "id"))).where(F.col("n") <= keep).select("q", "key", "score")
+    exact = near.join(classes.select("key", "members"), "key").select("q", "score", F.explode("members").alias("vec_id"))
+    return exact.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("n") <= keep).drop("n")
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 10, rerank: int = 192, subspaces: int = 16, sample_rows: int = 65536, max_cells: int = 8192, recall: float = 0.98, tile_rows: int = 8192, tile_queries: int = 512) -> DataFrame:
     """One row (query_id, rank, vec_id, score) for each of the k nearest vectors found to each row where `queries` holds.
 
     An inverted file over coarse centroids, about the root of the number of vectors but max_cells at most, holds every
-    vector as product-quantised residual; both are fitted on a sample of about sample_rows vectors at most. A query
-    reads as many cells as, in that sample, hold a share `recall` of the true neighbours. In a tile its `rerank` nearest
-    codes by distance tables are ranked by exact distance in double precision, and then every code whose table distance
-    less its own error is not above the k-th exact one; so none that was read is missed. Ties go to the smaller vec_id.
+    vector as product-quantised residual; it is fitted on a sample of 8,192 vectors, or 8 for each cell if that is more,
+    sample_rows at most (fewer if they are very long). A query reads as many cells as, in that sample, hold a share
+    `recall` of the true neighbours. In a tile its `rerank` nearest codes by distance tables are ranked by exact distance
+    in double precision, and then every code whose table distance less its own error is not above the k-th exact one; so
+    none that was read is missed. A query whose cells held fewer than k other vectors reads all cells. Ties go to the
+    smaller vec_id. Vectors are neighbours of those of their own length, which have an index for each length.
 
     Identical vectors are indexed once, with the k + 1 smallest ids (no query can return more of them), and identical
     queries search once. A crowded cell is scanned in tiles. Vectors that take no part and rows without vec_id are
     neither queries nor candidates; an empty table gives an empty result; other columns are not read.
     """
     spark = vectors.sparkSession
-    length = common_length(vectors)
     rows = vectors.withColumn("asked", F.coalesce(queries, F.lit(False))).select("vec_id", "embedding", "asked")
-    rows = rows.where(usable(F.col("embedding"), length) & F.col("vec_id").isNotNull())
+    rows = rows.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    out = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    for length, _ in lengths_of(rows):
+        own = rows.where(F.size("embedding") == length)
+        out = out.unionAll(_nearest_of_length(own, length, k, rerank, subspaces, sample_rows, max_cells, recall, tile_rows, tile_queries))
+    return out
+
+
+def _nearest_of_length(rows: DataFrame, length: int, k: int, rerank: int, subspaces: int, sample_rows: int, max_cells: int, recall: float, tile_rows: int, tile_queries: int) -> DataFrame:
     alike = Window.partitionBy("embedding").orderBy("vec_id")
     firsts = rows.select("vec_id", "embedding").withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k + 1)
     # Written numbers name the classes, as a vec_id may have several vectors.
     key = F.monotonically_increasing_id().alias("key")
     classes = staged(firsts.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.array_sort(F.collect_list("vec_id")).alias("members")).select("*", key), "index-classes")
     asking = staged(rows.where("asked").groupBy("embedding").agg(F.min("vec_id").alias("id")).select("*", key), "query-classes")
-    n_classes = classes.count()
-    sample = bounded_sample(classes.select("id", "embedding"), "id", n_classes, sample_rows).select("embedding").toArrow()
-    out = "query_id bigint, rank int, vec_id bigint, score double"
-    if not sample.num_rows:
-        return spark.createDataFrame([], out)
-    x = matrix(sample.column(0), length)
+    n_classes, n_members = classes.agg(F.count("*"), F.sum(F.size("members"))).first()
     cells = max(1, min(max_cells, round(math.sqrt(n_classes))))
+    fit = min(sample_rows, max(8192, 8 * cells), max(256, SAMPLE_VALUES // length))
+    x = matrix(classes.where(hash_share(n_classes, fit, "id", "key")).select("embedding").toArrow().column(0), length)
     index = Index(x, cells, subspaces)
     probes = min(len(index.coarse), probes_needed(index, x, k, recall) + 1)
 
-    dtype = np.float32 if classes.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
-    held = classes.select("key", "id", "embedding").mapInArrow(_encode(index, length, dtype), TILED)
-    asks = asking.select("key", "id", "embedding").mapInArrow(_probe(index, length, probes, dtype), TILED)
-    # One row for each cell, max_cells at most.
-    per = held.groupBy("cell").agg(F.count("*").alias("n_rows")).join(asks.groupBy("cell").agg(F.count("*").alias("n_queries")), "cell")
-    per = per.select("cell", F.ceil(F.col("n_rows") / tile_rows).cast("int").alias("row_blocks"), F.ceil(F.col("n_queries") / tile_queries).cast("int").alias("query_blocks"))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    held = held.join(F.broadcast(per), "cell").select(*TILED_NAMES, own("row_blocks").alias("row_block"), spread("query_blocks").alias("query_block"))
-    asks = asks.join(F.broadcast(per), "cell").select(*TILED_NAMES, spread("row_blocks").alias("row_block"), own("query_blocks").alias("query_block"))
-    keys = ["cell", "row_block", "query_block"]
-    tiles = held.unionAll(asks).repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
-    near = tiles.mapInArrow(_scan(index, length, k + 1, rerank, dtype), "q bigint, key bigint, id bigint, score double")
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "id"))).where(F.col("n") <= k + 1).select("q", "key", "score")
-
-    exact = near.join(classes.select("key", "members"), "key").select("q", "score", F.explode("members").alias("vec_id"))
-    best = exact.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1).drop("n")
+    search = lambda some, n: staged(_search(some, classes, index, length, n, k + 1, rerank, tile_rows, tile_queries), "neighbours")
+    best = search(asking, probes)
+    if probes < len(index.coarse):
+        got = best.groupBy(F.col("q").alias("key")).agg(F.count("*").alias("got"))
+        short = staged(asking.join(got, "key", "left").where(F.coalesce("got", F.lit(0)) < min(k + 1, n_members)).drop("got"), "short-queries")
+        if short.limit(1).count():
+            best = best.join(short.select(F.col("key").alias("q")), "q", "left_anti").unionByName(search(short, len(index.coarse)))
     askers = rows.where("asked").select(F.col("vec_id").alias("query_id"), "embedding").join(asking, "embedding").select("query_id", F.col("key").alias("q"))
     found = askers.join(best, "q").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
