@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocked, components, forest, partitions, runs, staged
+from .common import blocked, components, forest, partitions, runs, staged, whole_row
 
 MOST_WORDS = 300_000
 
@@ -84,7 +84,7 @@ def minhashes(sets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-SIGNED = "doc_id bigint, text_hash bigint, set_key binary, bands array<bigint>, sketch binary"
+SIGNED = "doc_id bigint, text_hash bigint, n_bytes bigint, set_key binary, bands array<bigint>, sketch binary"
 
 
 def _sign(n: int, bands: int, rows: int) -> Callable:
@@ -109,7 +109,7 @@ def _sign(n: int, bands: int, rows: int) -> Callable:
             if where:
                 some = batch.take(pa.array(where))
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(cut) + 1, bands, dtype=np.int32)), pa.array(np.concatenate(cut)))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text_hash"), pa.array(keys, pa.binary()), listed, pa.array(sketches, pa.binary())], ["doc_id", "text_hash", "set_key", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("doc_id", "text_hash", "n_bytes")), pa.array(keys, pa.binary()), listed, pa.array(sketches, pa.binary())], [x.split()[0] for x in SIGNED.split(", ")])
 
     return run
 
@@ -214,7 +214,7 @@ def _verify(n: int, threshold: float) -> Callable:
     return run
 
 
-def similar_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.99999, bucket_rows: int = 512, cluster_rows: int = 256) -> DataFrame:
+def similar_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.99999, bucket_rows: int = 512, cluster_rows: int = 1024, cluster_bytes: int = 8_000_000) -> DataFrame:
     """One row (doc_id, text_hash, class_id, n_links) for each row of docs (doc_id, text).
 
     Two documents link if the Jaccard similarity of their sets of n-grams of words (lower-cased, separated by white
@@ -229,9 +229,9 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5, recal
     parts = partitions(spark)
     bands, rows = bands_for(threshold, recall)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    signed = staged(texts.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_sign(n, bands, rows), SIGNED), "signatures")
+    signed = staged(texts.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("n_bytes", F.octet_length("text").cast("bigint")).mapInArrow(_sign(n, bands, rows), SIGNED), "signatures")
     node = F.struct("doc_id", "text_hash")
-    classes = signed.groupBy("set_key").agg(F.min(node).alias("node"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = signed.groupBy("set_key").agg(F.min(node).alias("node"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = staged(classes, "text-classes")
 
     in_bands = classes.select(F.explode("bands").alias("h"), "node")
@@ -243,12 +243,13 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5, recal
     edge = [F.struct(F.col("u_doc").alias("doc_id"), F.col("u_hash").alias("text_hash")).alias("u"), F.struct(F.col("v_doc").alias("doc_id"), F.col("v_hash").alias("text_hash")).alias("v")]
     clusters = staged(components(pairs.select(*edge)), "clusters")
 
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("in_cluster"))
-    members = clusters.join(sizes, "component").join(classes.select("node", "copies"), "node")
-    members = members.select("node.*", "copies", "in_cluster", F.col("component.doc_id").alias("cluster_doc"), F.col("component.text_hash").alias("cluster_hash"))
+    # A cluster has so many blocks that a block's texts are about cluster_rows and cluster_bytes at most.
+    members = clusters.join(classes.select("node", "copies", "n_bytes"), "node")
+    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(cluster_rows)), F.ceil(F.sum("n_bytes") / F.lit(cluster_bytes))).alias("blocks"))
+    members = members.join(sizes, "component").select("node.*", "copies", "blocks", F.col("component.doc_id").alias("cluster_doc"), F.col("component.text_hash").alias("cluster_hash"))
     members = texts.join(members, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
     keys = ["cluster_doc", "cluster_hash", "tile_a", "tile_b"]
-    tiles = blocked(members, "cluster_doc", "text_hash", "in_cluster", cluster_rows).drop("in_cluster")
+    tiles = blocked(members, "cluster_doc", "text_hash", "blocks", 1).drop("blocks")
     links = staged(tiles.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_verify(n, threshold), EDGE), "links")
 
     counts = links.where("n > 0").select(edge[0].alias("node"), "n").groupBy("node").agg(F.sum("n").alias("to_others"))
@@ -265,7 +266,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5, recal
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without those documents that link, directly or through others, to one with a smaller doc_id."""
     found = similar_documents(docs, **options).where("class_id < doc_id").select(F.col("doc_id").alias("gone_doc"), F.col("text_hash").alias("gone_hash")).distinct()
-    own = docs.select(F.struct(*docs.columns).alias("row"))
+    own = docs.select(whole_row(docs))
     own = own.join(found, (F.col("row.doc_id") == F.col("gone_doc")) & (F.xxhash64("row.text") == F.col("gone_hash")), "left_anti")
     return own.select("row.*")
 
@@ -276,7 +277,7 @@ def one_row_of_each(docs: DataFrame, **options) -> DataFrame:
     Rows are told apart by their written numbers. So rows that repeat a doc_id, or have none, are members of groups like
     others; null comes after all ids, and of equal ids the smaller text hash, then the smaller row number, stays.
     """
-    rows = staged(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("row_id")), "numbered")
+    rows = staged(docs.select(whole_row(docs), F.monotonically_increasing_id().alias("row_id")), "numbered")
     found = similar_documents(rows.select(F.col("row_id").alias("doc_id"), "row.text"), **options).where("n_links > 0")
     place = F.struct(F.col("row.doc_id").isNull().alias("none"), "row.doc_id", F.xxhash64("row.text").alias("hash"), "row_id")
     members = staged(rows.select("row_id", place.alias("place")).join(found.select(F.col("doc_id").alias("row_id"), "class_id"), "row_id"), "group-members")
