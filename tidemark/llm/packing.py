@@ -93,21 +93,21 @@ def packed(docs: DataFrame, length: Column | None = None, sizes: tuple[int, ...]
     `length` is a document's number of tokens, by default its words. A document longer than the largest size is cut into
     pieces of that size and a rest, and none is left out. Pieces are dealt into shards of about shard_pieces by a hash,
     and each shard is packed for itself, so more documents make more shards and not larger ones; what packing for itself
-    wastes is less than a few bins of a shard. A result depends on the rows alone and not on their order.
+    wastes is less than a few bins of a shard. The deal is written, so that a lost task packs the same shard again; other
+    files or splits of the same rows may deal them otherwise.
 
     A null or empty text has no tokens and needs no bin. Rows that repeat a doc_id, or have none, are packed each for
     itself. An empty table gives no bins. Only doc_id and the columns of `length` are read.
     """
     spark, most = docs.sparkSession, max(sizes)
     n = F.coalesce(word_count(F.col("text")) if length is None else length, F.lit(0)).cast("bigint")
-    # Rows without doc_id, or that share one, are spread by what they hold.
-    salt = F.xxhash64("text") if length is None else F.xxhash64(n)
-    whole = docs.select("doc_id", n.alias("n"), salt.alias("salt")).where("n > 0")
+    # A row's written number spreads rows without doc_id, or that are equal, over shards like others.
+    whole = docs.select("doc_id", n.alias("n"), F.monotonically_increasing_id().alias("row_id")).where("n > 0")
     starts = F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(most).cast("bigint"))).alias("piece", "start")
-    pieces = staged(whole.select("doc_id", "salt", "n", starts).select("doc_id", "salt", "piece", "start", F.least(F.lit(most), F.col("n") - F.col("start")).cast("bigint").alias("n_tokens")), "pieces")
+    pieces = staged(whole.select("doc_id", "row_id", "n", starts).select("doc_id", "row_id", "piece", "start", F.least(F.lit(most), F.col("n") - F.col("start")).cast("bigint").alias("n_tokens")), "pieces")
     shards = max(1, math.ceil(pieces.count() / shard_pieces))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "salt", "piece"), F.lit(shards)).cast("int"))
-    ordered = dealt.repartition(min(shards, partitions(spark)) if shards > 1 else 1, "shard").sortWithinPartitions("shard", F.desc("n_tokens"), "doc_id", "piece")
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row_id", "piece"), F.lit(shards)).cast("int"))
+    ordered = dealt.repartition(min(shards, partitions(spark)) if shards > 1 else 1, "shard").sortWithinPartitions("shard", F.desc("n_tokens"), "doc_id", "piece", "row_id")
     return ordered.mapInArrow(_packing(tuple(sizes), cost), PACKED)
 
 
