@@ -260,6 +260,9 @@ class PreTokens:
         self.tokenizer = _tokenizer(path)
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile(f"({'|'.join(sorted(special, key=len, reverse=True))})") if special else None
+        plain = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # A text without any of these characters has no special string; one with white space inside could span pieces.
+        self.leads, self.spanning = {x[0] for x in plain}, any(x.split() != [x] for x in plain)
         self.clear()
 
     def clear(self) -> None:
@@ -267,7 +270,7 @@ class PreTokens:
 
     def _split(self, text: str) -> list[str]:
         t = self.tokenizer
-        parts = self.special.split(text) if self.special and "<" in text else [text]
+        parts = self.special.split(text) if any(c in text for c in self.leads) else [text]
         out = []
         for i, part in enumerate(parts):
             if i % 2:
@@ -305,7 +308,7 @@ class PreTokens:
 
     def numbers(self, text: str) -> np.ndarray:
         """Numbers of the pieces of a whole text."""
-        if odd(text):
+        if self.spanning or odd(text):
             if text not in self.pieces:
                 self._learn([text], [self._split(text)])
             return np.asarray([self.pieces[text]])
@@ -386,7 +389,7 @@ def _posting(path: str, parts: int) -> Callable:
 SUMMED = "block bigint, partial binary, doc_ids array<bigint>, n_bytes array<bigint>"
 
 
-def _counting(path: str, most_blocks: int = 1000) -> Callable:
+def _counting(path: str, most_held: int = 8_000_000) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
@@ -425,7 +428,7 @@ def _counting(path: str, most_blocks: int = 1000) -> Callable:
                 sums[row["block"]] = held
                 if len(known) > MOST_KEPT:
                     known.clear()
-            if len(sums) > most_blocks:
+            if sum(map(len, sums.values())) > most_held:
                 yield from flushed()
         if sums:
             yield from flushed()
