@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, partitions, staged
+from .common import BLANKS, partitions, staged, whole_row
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -79,7 +79,7 @@ def kept_lines(lines: Column, dropped: Column) -> Column:
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """docs with text replaced by the lines that stay, and n_lines and n_dropped beside it."""
     maps = keep_bitmaps(docs, min_chars, min_docs).withColumnsRenamed({"doc_id": "map_doc", "text_hash": "map_hash", "n_dropped": "map_n"})
-    own = docs.select(F.struct(*docs.columns).alias("row")).withColumn("hash", F.xxhash64("row.text"))
+    own = docs.select(whole_row(docs)).withColumn("hash", F.xxhash64("row.text"))
     both = own.join(maps, (F.col("row.doc_id") == F.col("map_doc")) & (F.col("hash") == F.col("map_hash")), "left")
     lines = lines_of(F.col("row.text"))
     text = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(F.array_join(kept_lines(lines, F.col("dropped")), "\n"))

@@ -66,8 +66,13 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def embedding_groups_at_030(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1 at a threshold that vectors without near copies have links at, too."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.3, cell_rows=64)
+
+
 def queries() -> dict:
-    every = (op1_embedding_dedup, op2_ngram_join, op3_packing, op4_line_dedup, op5_token_files, op6_mixing, op7_token_counts, op8_quality, op9_chat, op10_nearest_neighbours)
+    every = (embedding_groups_at_030, op1_embedding_dedup, op2_ngram_join, op3_packing, op4_line_dedup, op5_token_files, op6_mixing, op7_token_counts, op8_quality, op9_chat, op10_nearest_neighbours)
     return {f.__name__: f for f in every}
 
 
@@ -85,5 +90,34 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM f GROUP BY doc_id"""
 
 
+#: All pairs of vectors of a label, and each vector's least reachable id.
+VECTOR_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {threshold}),
+r AS (SELECT vec_id, vec_id AS reached FROM embeddings UNION SELECT l.w, r.reached FROM r JOIN l ON l.u = r.vec_id),
+c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT u AS vec_id, count(*) AS n_links FROM l GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+#: Documents as sets of five words in a row; pairs that share one, those of Jaccard 0.8, and least reachable ids.
+NGRAM_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '') AS words FROM documents WHERE doc_id IS NOT NULL),
+g AS (
+  SELECT DISTINCT doc_id, hash(list_slice(words, i, i + least(5, len(words)) - 1)) AS gram FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN s x ON x.doc_id = u JOIN s y ON y.doc_id = v WHERE common >= 0.8 * (x.n + y.n - common) - 1e-9),
+r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT l.v, r.reached FROM r JOIN l ON l.u = r.doc_id),
+c AS (SELECT doc_id, min(reached) AS class_id FROM r GROUP BY doc_id),
+n AS (SELECT u AS doc_id, count(*) AS n_links FROM l GROUP BY u)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN n USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": LINE_SQL}
+    return {
+        "op4_line_dedup": LINE_SQL, "op1_embedding_dedup": VECTOR_SQL.format(threshold=0.98), "embedding_groups_at_030": VECTOR_SQL.format(threshold=0.3), "op2_ngram_join": NGRAM_SQL,
+    }
