@@ -1,18 +1,19 @@
-"""Snapshots, crash boundaries, the stream, replay, the outbox and failures."""
+"""State tables by micro-batch, crash boundaries, the stream, replay, the outbox and failures."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.model import Model, event, record
 from tests.test_engine import check, collected, frame, stream
-from tidemark.functions.contract import LIVE, RECORD
-from tidemark.operators import recovery
-from tidemark.plans import engine
-from tidemark.sources.records import inventory, read_batches, read_documents, records_of
-from tidemark.sources.store import BOUNDARIES, Conflict, StateStore, no_probe
-from tidemark.streaming.stream import apply_batch, record_failure, replay, run_stream
+from tidemark.functions.contract import IDENTITY_TTL_MS, LIVE, RECORD
+from tidemark.operators import quality, recovery
+from tidemark.sources.records import inventory, read_batches, read_documents, read_journal, records_of
+from tidemark.sources.store import StateTables, no_probe
+from tidemark.streaming.run import export, run_batches
+from tidemark.streaming.stream import Unsound, apply_batch, record_failure, replay, require_sound_rows, run_stream
 
 
 class Crash(Exception):
@@ -42,49 +43,86 @@ def modelled(events):
     return model
 
 
-@pytest.mark.parametrize("boundary", BOUNDARIES[:4])
+@pytest.mark.parametrize("boundary", ["before_archive", "archived", "quarantined", "staged", "committed"])
 def test_a_batch_survives_a_crash_at_each_boundary(spark, tmp_path, boundary):
     root, rows = f"file://{tmp_path}/s", frame(spark, rows_of(EVENTS))
     with pytest.raises(Crash):
-        apply_batch(StateStore(spark, root, probe=crash_at(boundary)), rows, 0)
-    again = StateStore(spark, root)
+        apply_batch(StateTables(spark, root, probe=crash_at(boundary)), rows, 0)
+    again = StateTables(spark, root)
+    assert again.last()[0] == (0 if boundary == "committed" else -1)
     apply_batch(again, rows, 0)
     check(again.load(), modelled(EVENTS))
-    assert again.version() == 1
     assert again.archive().count() == 4
 
 
-def test_two_writers_conflict_and_archived_bodies_stay(spark, tmp_path):
-    store = StateStore(spark, f"file://{tmp_path}/s")
-    state = store.load()
-    store.commit(state, 0, 0)
-    with pytest.raises(Conflict):
-        store.commit(state, 0, 1)
-    objects = engine.process(frame(spark, rows_of(EVENTS[:1]))).tables["archive"]
-    store.put_if_absent(objects)
-    store.put_if_absent(objects)
+def test_failed_records_come_again_after_a_crash(spark, tmp_path):
+    rows = frame(spark, rows_of(EVENTS))
+    root = f"file://{tmp_path}/s"
+    with pytest.raises(Crash):
+        apply_batch(StateTables(spark, root, probe=crash_at("partial_failure")), rows.withColumn("fails", F.col("sequence_number") == "1"), 0, "fails")
+    store = StateTables(spark, root)
+    # What came before the failure counts until the batch is delivered again.
+    assert store.last() == (0, False) and store.load()["identity_ledger"].count() == 1
+    assert apply_batch(store, rows.withColumn("fails", F.col("sequence_number") == "1"), 0, "fails") == [(0, ["1"])]
+    assert apply_batch(store, rows, 0) == []
+    check(store.load(), modelled(EVENTS))
+    recovery.require_sound(store)
+
+
+def written(root, batch):
+    return sum(f.stat().st_size for f in Path(root).rglob(f"batch={batch}/*.parquet"))
+
+
+def test_a_batch_writes_no_more_than_its_own_rows(spark, tmp_path):
+    """Ten times the history, the same batch: the same bytes, and the same plans' leaves."""
+    sizes = []
+    for days in (1, 10):
+        root = tmp_path / str(days)
+        store = StateTables(spark, f"file://{root}")
+        past = [event(f"p{i}", 10_000_000 + i * 7_200_000, f"u{i % 5}") for i in range(days * 12)]
+        apply_batch(store, frame(spark, [record(e, i, position=i) for i, e in enumerate(past)]), 0)
+        late = 10_000_000 + 200 * 7_200_000
+        apply_batch(store, frame(spark, [record(event(f"n{i}", late + i, "v"), 1000 + i, batch=1, position=i) for i in range(5)]), 1)
+        sizes.append(written(root, 1))
+        assert store.load()["user_aggregate"].agg(F.sum("views")).first()[0] == days * 12 + 5
+    assert sizes[1] < sizes[0] * 1.05
+
+
+def test_an_identity_expires_after_eight_days(spark, tmp_path):
+    store = StateTables(spark, f"file://{tmp_path}/s")
+    apply_batch(store, frame(spark, [record(event("a", 10_000_000), 1)]), 0)
+    end = 10_000_000 + IDENTITY_TTL_MS
+    assert store.carried(1, end - 1)["identity_ledger"].count() == 1
+    assert store.carried(1, end)["identity_ledger"].count() == 0
+    apply_batch(store, frame(spark, [record(event("b", end), 2, batch=1)]), 1)
+    assert [r["event_id"] for r in store.carried(2)["identity_ledger"].collect()] == ["b"]
+    smaller = store.rebase(f"file://{tmp_path}/r")
+    assert smaller.last() == (1, True) and [r["event_id"] for r in smaller.load()["identity_ledger"].collect()] == ["b"]
+    assert collected(smaller.load()["session_output"], "session_id") == collected(store.load()["session_output"], "session_id")
+
+
+def test_unsound_rows_are_not_written_as_done(spark, tmp_path):
+    store = StateTables(spark, f"file://{tmp_path}/s")
+    apply_batch(store, frame(spark, rows_of(EVENTS)), 0)
+    tables = store.load()
+    with pytest.raises(Unsound):
+        store.write(1, tables | {"identity_ledger": tables["identity_ledger"].unionAll(tables["identity_ledger"])}, check=require_sound_rows)
+    assert store.last()[0] == 0
+
+
+def test_archived_bodies_are_read_by_key(spark, tmp_path):
+    store = StateTables(spark, f"file://{tmp_path}/s")
+    apply_batch(store, frame(spark, rows_of(EVENTS[:1])), 0)
+    again = dict(EVENTS[0], ingest_time_ms=EVENTS[0]["ingest_time_ms"] + 5)
+    apply_batch(store, frame(spark, [record(again, 7, batch=1)]), 1)
+    # The same digest and date give the same key; the first body stays.
     assert store.archive().count() == 1
     key = store.archive().first()["key"]
-    assert json.loads(store.read(key))["event_id"] == "a"
-    with pytest.raises(Conflict):
-        store.put_if_absent(objects.withColumn("body", F.lit(b"other")).withColumn("sha256", F.sha2(F.lit(b"other"), 256)))
-    with pytest.raises(Conflict):
-        store.put_if_absent(objects.withColumn("body", F.lit(b"other")))
+    assert json.loads(store.read(key)) == EVENTS[0]
     with pytest.raises(KeyError):
         store.read("../../etc/passwd")
 
 
-def test_failed_records_come_again(spark, tmp_path):
-    store = StateStore(spark, f"file://{tmp_path}/s")
-    rows = frame(spark, rows_of(EVENTS))
-    failed = apply_batch(store, rows.withColumn("fails", F.col("sequence_number") == "1"), 0, "fails")
-    assert failed == [(0, ["1"])]
-    assert store.load()["identity_ledger"].count() == 1
-    assert apply_batch(store, rows, 0) == []
-    # What was applied before is now an identical duplicate and changes nothing else.
-    assert collected(store.load()["session_output"], "session_id") == sorted((k,) for k in modelled(EVENTS).sessions)
-
-
 def test_stream_equals_batch_and_redelivery_is_harmless(spark, tmp_path):
     events = [e for e, _, _ in stream(5, 12)]
     source = tmp_path / "in"
@@ -94,31 +132,33 @@ def test_stream_equals_batch_and_redelivery_is_harmless(spark, tmp_path):
         row.pop("batch_id")
         (source / f"{i // 8}.json").open("a").write(json.dumps(row) + "\n")
     ddl = RECORD.replace("batch_id bigint, ", "")
-    store = StateStore(spark, f"file://{tmp_path}/s")
+    store = StateTables(spark, f"file://{tmp_path}/s")
     run_stream(spark.readStream.schema(ddl).json(str(source)), store, f"file://{tmp_path}/c").awaitTermination()
     check(store.load(), modelled(events))
-    version = store.version()
+    last = store.last()
     run_stream(spark.readStream.schema(ddl).json(str(source)), store, f"file://{tmp_path}/c2").awaitTermination()
-    assert store.version() == version
+    assert store.last() == last
 
 
 def test_outbox_is_delivered_at_least_once(spark, tmp_path):
     root = f"file://{tmp_path}/s"
-    apply_batch(StateStore(spark, root), frame(spark, rows_of(EVENTS)), 0)
+    apply_batch(StateTables(spark, root), frame(spark, rows_of(EVENTS)), 0)
     with pytest.raises(Crash):
-        recovery.drain_outbox(StateStore(spark, root, probe=crash_at("published")))
-    store = StateStore(spark, root)
+        recovery.drain_outbox(StateTables(spark, root, probe=crash_at("published")))
+    store = StateTables(spark, root)
     assert recovery.drain_outbox(store) == 1
     assert recovery.drain_outbox(store) == 0
     assert sorted(r["attempt"] for r in store.published().collect()) == [1, 2]
     assert [r["delivered"] for r in store.load()["outbox"].collect()] == [1]
     with pytest.raises(ValueError):
-        recovery.mark_delivered(store.load()["outbox"], spark.createDataFrame([("none",)], "outbox_id string"))
+        recovery.delivered_ids(store.load()["outbox"], spark.createDataFrame([("none",)], "outbox_id string"))
 
 
 def test_failures_block_success_until_they_are_adjudicated(spark, tmp_path):
-    store = StateStore(spark, f"file://{tmp_path}/s")
+    store = StateTables(spark, f"file://{tmp_path}/s")
     recovery.require_no_unresolved(store.load()["failure_destination"])
+    with pytest.raises(Crash):
+        record_failure(StateTables(spark, store.root, probe=crash_at("failure_recorded")), "inv-1", "7", b"{}")
     key = record_failure(store, "inv-1", "7", b"{}")
     assert key.startswith("failure/invocation_id=inv-1/") and key.endswith(".json")
     record_failure(store, "inv-1", "7", b"{}")
@@ -135,18 +175,24 @@ def requests(store, spark, **change):
 
 
 def test_replay(spark, tmp_path):
-    store = StateStore(spark, f"file://{tmp_path}/s")
+    store = StateTables(spark, f"file://{tmp_path}/s")
     apply_batch(store, frame(spark, rows_of(EVENTS)), 0)
     same = replay(store, requests(store, spark), LIVE)
     assert {r["disposition"] for r in same.dispositions.select("disposition").distinct().collect()} == {"IDENTICAL_DUPLICATE", "IDENTITY_CONFLICT"}
-    other = replay(store, requests(store, spark), "replay-1")
-    sessions = {r["generation_id"]: r["n"] for r in other.tables["session_output"].groupBy("generation_id").agg(F.sum("member_count").alias("n")).collect()}
-    assert sessions == {LIVE: 2, "replay-1": 2}
+    # Every request twice: what comes twice is applied once.
+    replay(store, requests(store, spark).union(requests(store, spark)), "replay-1")
+    live, other = store.load(), store.of("replay-1").load()
+    for table in ("session_output", "user_aggregate", "open_event"):
+        plain = [c for c in live[table].columns if c not in ("generation_id", "session_id")]
+        assert collected(live[table], *plain) == collected(other[table], *plain)
+    assert {r["generation_id"] for r in other["session_output"].collect()} == {"replay-1"}
     with pytest.raises(ValueError):
         replay(store, requests(store, spark, expected_body_sha256="x").limit(1), "replay-2")
     assert recovery.unresolved(store.load()["failure_destination"]) == 1
-    assert store.load()["identity_ledger"].where("generation_id = 'replay-2'").count() == 0
-    assert recovery.state_faults(store.load()).count() == 0
+    assert store.of("replay-2").load()["identity_ledger"].count() == 0
+    assert recovery.state_faults(store.load()).count() == 0 == recovery.state_faults(store.of("replay-1").load()).count()
+    with pytest.raises(ValueError):
+        recovery.require_sound(store)
 
 
 def test_batch_files_and_other_sources(spark, tmp_path):
@@ -162,6 +208,35 @@ def test_batch_files_and_other_sources(spark, tmp_path):
     with pytest.raises(Exception, match="eventID"):
         records_of(read_batches(spark, f"{tmp_path}/c")).collect()
     (tmp_path / "b/3.json").write_text('{"a": {"b": 1, "b": 2}}')
-    assert sorted(r["valid"] for r in read_documents(spark, f"{tmp_path}/b").select("valid").collect()) == [False, True, True]
+    (tmp_path / "b/4.json").write_text('{"a": 1} trailing')
+    (tmp_path / "b/5.json").write_bytes(b'"\xff"')
+    found = {r["path"][-6:]: (r["error"], r["got"]) for r in read_documents(spark, f"{tmp_path}/b").select("path", "error", F.col("document").isNotNull().alias("got")).collect()}
+    assert found == {"1.json": (None, True), "2.json": (None, True), "3.json": ("DUPLICATE_JSON_KEY", False), "4.json": ("INVALID_JSON", False), "5.json": ("INVALID_UTF8", False)}
     listed = inventory(spark, f"{tmp_path}/b").orderBy("path").collect()
-    assert [r["path"] for r in listed] == ["1.json", "2.json", "3.json"] and listed[2]["size_bytes"] == 23
+    assert [r["path"] for r in listed] == ["1.json", "2.json", "3.json", "4.json", "5.json"] and listed[2]["size_bytes"] == 23
+
+
+def test_batch_runner_and_export(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    for i, e in enumerate(EVENTS):
+        one = {"Records": [{"eventID": f"s1:{i}", "eventSourceARN": "arn:x", "kinesis": {"partitionKey": e["partition_key"], "sequenceNumber": str(i), "data": record(e, i)[6]}}]}
+        (tmp_path / f"b/{i}.json").write_text(json.dumps(one))
+    store = run_batches(spark, f"{tmp_path}/b", f"file://{tmp_path}/s")
+    check(store.load(), modelled(EVENTS))
+    export(store, f"{tmp_path}/out")
+    lines = [json.loads(x) for f in sorted((tmp_path / "out/session_output").glob("*.json")) for x in f.read_text().splitlines()]
+    assert [x["session_id"] for x in lines] == sorted(modelled(EVENTS).sessions)
+    assert {p.name for p in (tmp_path / "out").iterdir()} >= {"archive", "channel", "failure_destination", "identity_ledger"}
+
+
+def test_journal_rows_are_chained(spark, tmp_path):
+    rows = spark.createDataFrame([("r", i, f"step {i}") for i in range(1, 6)] + [("q", 1, "x")], "run_id string, ordinal bigint, boundary string")
+    chain = quality.chained(rows, ["run_id"], "ordinal", "boundary")
+    chain.write.json(f"{tmp_path}/j")
+    read = read_journal(spark, f"{tmp_path}/j")
+    content = F.concat("previous_sha256", F.lit("\n"), "boundary")
+    faults = lambda x: quality.chain_faults(x, ["run_id"], "ordinal", "previous_sha256", "entry_sha256", content)
+    assert read.count() == 6 and faults(read).count() == 0
+    changed = read.withColumn("boundary", F.when(F.col("ordinal") == 3, "else").otherwise(F.col("boundary")))
+    assert [r["ordinal"] for r in faults(changed).collect()] == [3]
+    assert [r["ordinal"] for r in faults(read.where("ordinal <> 2")).collect()] == [3, 4, 5]

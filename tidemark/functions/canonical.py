@@ -7,19 +7,25 @@ from pyspark.sql import functions as F
 
 from .contract import CONTRACT_VERSION, DEDUPE_HORIZON_MS, INACTIVITY_GAP_MS
 
-#: Before an escape of a control character, which an even number of backslashes may precede.
-ESCAPE = r"(?<=(?<!\\)(?:\\\\){0,500})(?=\\u00[01][0-9A-F])"
+#: Control characters whose escape Spark writes with an upper-case digit.
+UPPER_ESCAPE = r"[\x0b\x0e\x0f\x1a-\x1f]"
 
 
 def json_string(text: Column) -> Column:
     """A JSON string literal: raw Unicode, short escapes, lower-case \\u00xx for other control characters.
 
-    Spark's own form has these escapes in upper case, so they are lowered. Text without anything to escape is only quoted.
+    Spark's own form has these escapes in upper case, so such characters are cut out and written for themselves. Text
+    without anything to escape is only quoted.
     """
-    json = F.to_json(F.struct(text.alias("v")))
-    quoted = F.substring(json, F.lit(6), F.length(json) - 6)
-    parts = F.transform(F.split(quoted, ESCAPE), lambda x: F.when(x.startswith("\\u00"), F.concat(F.lower(F.substring(x, 1, 6)), F.substring(x, F.lit(7), F.length(x)))).otherwise(x))
-    return F.when(text.rlike(r'^[^"\\\x00-\x1f]*\z'), F.concat(F.lit('"'), text, F.lit('"'))).when(text.isNotNull(), F.array_join(parts, ""))
+
+    def bare(value: Column) -> Column:
+        json = F.to_json(F.struct(value.alias("v")))
+        return F.substring(json, F.lit(7), F.length(json) - 8)
+
+    escape = lambda x: F.concat(F.lit("\\u00"), F.lower(F.lpad(F.hex(F.ascii(x)), 2, "0")))
+    parts = F.transform(F.split(text, f"(?={UPPER_ESCAPE})|(?<={UPPER_ESCAPE})"), lambda x: F.when(x.rlike(f"^{UPPER_ESCAPE}"), escape(x)).otherwise(bare(x)))
+    inner = F.when(text.rlike(r'^[^"\\\x00-\x1f]*\z'), text).when(text.rlike(UPPER_ESCAPE), F.array_join(parts, "")).otherwise(bare(text))
+    return F.when(text.isNotNull(), F.concat(F.lit('"'), inner, F.lit('"')))
 
 
 def sha256(text: Column) -> Column:

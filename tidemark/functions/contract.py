@@ -29,6 +29,11 @@ BATCH = (
     "kinesis struct<partitionKey string, sequenceNumber string, data string>>>"
 )
 RECORD = "batch_id bigint, position bigint, event_source_arn string, shard_id string, sequence_number string, partition_key string, transport_text string"
+#: The types of an envelope; what doesn't follow them is not decoded natively.
+ENVELOPE = (
+    "event_id string, event_time_ms bigint, event_type string, ingest_time_ms bigint, partition_key string, payload struct<campaign_id string, page_id string, value_cents bigint>, "
+    "schema_version string, source string, user_id string"
+)
 #: What decoding a transport text gives; the native path fills the same columns.
 DECODED = (
     "failure string, body binary, representation string, float boolean, canonical string, semantic string, root_keys array<string>, payload_keys array<string>, "

@@ -62,21 +62,28 @@ def rejection() -> Column:
     )
 
 
+#: Columns that hold a record's contents; `object` has what the archive keeps of them.
+CONTENTS = ["body", "canonical", "semantic", "transport_text"]
+
+
 def admit(decoded: DataFrame) -> DataFrame:
-    """decoded with `rejected`, `digest` (of the event, or of a rejected body), `source_hash` and `raw_key`."""
+    """decoded with `rejected`, `digest` (of the event, or of a rejected body), `source_hash`, `raw_key` and `object`.
+
+    object is what the archive keeps: the canonical event, or the exact body of a rejected record.
+    """
     out = decoded.withColumn("rejected", rejection()).withColumn("source_hash", sha256(F.col("event_source_arn")))
     out = out.withColumn("digest", F.when(F.col("rejected").isNull(), sha256(F.col("semantic"))).otherwise(F.sha2("body", 256)))
-    return out.withColumn("raw_key", F.when(F.col("rejected").isNull(), valid_raw_key()).otherwise(rejected_raw_key()))
+    out = out.withColumn("raw_key", F.when(F.col("rejected").isNull(), valid_raw_key()).otherwise(rejected_raw_key()))
+    return out.withColumn("object", F.when(F.col("rejected").isNull(), F.encode("canonical", "utf-8")).otherwise(F.col("body")))
 
 
 def archive_rows(admitted: DataFrame) -> DataFrame:
-    """The archive object of each ordered record: the canonical event, or the exact body of a rejected one."""
+    """The archive object of each ordered record."""
     ok = F.col("rejected").isNull()
-    body = F.when(ok, F.encode("canonical", "utf-8")).otherwise(F.col("body"))
     meta = F.when(ok, F.create_map(F.lit("event-digest"), F.col("digest"), F.lit("schema-version"), F.lit(CONTRACT_VERSION))).otherwise(
         F.create_map(F.lit("disposition"), F.col("rejected"), F.lit("representation"), F.col("representation"))
     )
     rows = admitted.select(
-        F.col("raw_key").alias("key"), body.alias("body"), F.sha2(body, 256).alias("sha256"), meta.alias("metadata"), "event_source_arn", "shard_id", "sequence_number", "partition_key", F.when(ok, F.col("digest")).alias("event_digest"), "turn"
+        F.col("raw_key").alias("key"), F.col("object").alias("body"), F.sha2("object", 256).alias("sha256"), meta.alias("metadata"), "event_source_arn", "shard_id", "sequence_number", "partition_key", F.when(ok, F.col("digest")).alias("event_digest"), "turn"
     )
     return rows

@@ -1,4 +1,9 @@
-"""Transport text to typed columns: strict base64, UTF-8 and JSON in one Arrow function."""
+"""Transport text to typed columns.
+
+A text that is canonical base64 of exactly the canonical form of an envelope, which is what producers send, is decoded
+natively: parsed with the contract's types and written again, it must come out byte for byte. So it is strict base64 and
+UTF-8, repeats no key and holds no float. All else goes through one Arrow function that decodes strictly and says why not.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +11,11 @@ import base64
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.contract import DECODED
+from ..functions.canonical import canonical_event
+from ..functions.contract import DECODED, ENVELOPE, PAYLOAD_KEYS, REQUIRED_KEYS
 
 FIELDS = [x.split() for x in DECODED.split(", ")]
 STRINGS = ("schema_version", "event_id", "source", "user_id", "event_type")
@@ -82,14 +88,53 @@ def decoded(text: str | None) -> dict:
     return out | {"campaign_id": _text(inner.get("campaign_id")), "page_id": _text(inner.get("page_id")), "value_cents": _long(inner.get("value_cents"))}
 
 
-def _column(texts: pa.Array) -> pa.Array:
-    rows = [decoded(x) for x in texts.to_pylist()]
+def _column(texts: pa.Array, native: pa.Array) -> pa.Array:
+    rows = [{} if done else decoded(x) for x, done in zip(texts.to_pylist(), native.to_pylist(), strict=True)]
     kind = {"string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "bigint": pa.int64(), "array<string>": pa.list_(pa.string())}
     fields = [(n, kind[t]) for n, t in FIELDS]
     return pa.StructArray.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in fields], names=[n for n, _ in fields])
 
 
+def json_errors(contents: pa.Array) -> pa.Array:
+    """What is wrong with each document, null for strict JSON that repeats no key."""
+
+    def error(raw: bytes | None) -> str | None:
+        try:
+            json.loads((raw or b"").decode("utf-8"), object_pairs_hook=_once)
+        except UnicodeDecodeError:
+            return "INVALID_UTF8"
+        except _Repeated:
+            return "DUPLICATE_JSON_KEY"
+        except (ValueError, RecursionError):
+            return "INVALID_JSON"
+        return None
+
+    return pa.array([error(x) for x in contents.to_pylist()], pa.string())
+
+
+#: Base64 in its canonical alphabet and length; what it decodes to is compared again below.
+BASE64 = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z"
+
+
+def _natively(records: DataFrame) -> tuple[DataFrame, list[str]]:
+    """records with the columns of the native path, and `native`: whether they hold."""
+    own = {n: n for n, _ in FIELDS if n not in ("failure", "body", "representation", "float", "canonical", "semantic", "root_keys", "payload_keys", "envelope_key", *PAYLOAD_KEYS)}
+    own |= {"envelope_key": "partition_key"} | {k: f"payload.{k}" for k in PAYLOAD_KEYS}
+    plain = F.when(F.col("transport_text").rlike(BASE64), F.try_to_binary("transport_text", F.lit("base64")))
+    rows = records.select(F.struct(*records.columns).alias("r"), plain.alias("n_body")).select("r", "n_body", F.try_validate_utf8(F.col("n_body").cast("string")).alias("n_text"))
+    rows = rows.withColumn("e", F.from_json("n_text", ENVELOPE)).select("r", "n_body", "n_text", *[F.col(f"e.{v}").alias(k) for k, v in own.items()])
+    rows = rows.withColumn("canonical", canonical_event(True))
+    again = F.regexp_replace(F.base64("n_body"), "[\\r\\n]", "") == F.col("r.transport_text")
+    native = F.coalesce((F.col("canonical") == F.col("n_text")) & again, F.lit(False))
+    return rows.withColumn("native", native), list(own)
+
+
 def decode(records: DataFrame) -> DataFrame:
     """records with the columns of DECODED added."""
-    parse = F.arrow_udf(_column, DECODED)
-    return records.withColumn("decoded", parse("transport_text")).select("*", "decoded.*").drop("decoded")
+    rows, own = _natively(records)
+    rows = rows.withColumn("d", F.arrow_udf(_column, DECODED)(F.when(~F.col("native"), F.col("r.transport_text")), "native"))
+    keys = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.lit(k)) for k in PAYLOAD_KEYS]))
+    native: dict[str, Column] = {c: F.col(c) for c in [*own, "canonical"]}
+    native |= {"body": F.col("n_body"), "representation": F.lit("decoded"), "float": F.lit(False), "semantic": canonical_event(False), "root_keys": F.array(*map(F.lit, REQUIRED_KEYS)), "payload_keys": keys}
+    out = [F.when(F.col("native"), native[n]).otherwise(F.col(f"d.{n}")).alias(n) if n in native else F.col(f"d.{n}").alias(n) for n, _ in FIELDS]
+    return rows.select("r.*", *out)

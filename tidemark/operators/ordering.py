@@ -6,24 +6,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import sequence_order
+from ..sources.scratch import staged
 
 
 def with_order(records: DataFrame) -> DataFrame:
-    """Adds `turn`: batch, shard, sequence, position. Shards of a batch are processed one after the other."""
+    """Adds `turn`: batch, shard, sequence, position. Shards of a batch are processed one after the other.
+
+    Records delivered twice in a batch may share a turn; strictly() tells them apart.
+    """
     return records.withColumn("turn", F.struct("batch_id", "shard_id", *sequence_order(F.col("sequence_number")), "position"))
 
 
-def previous_max(rows: DataFrame, keys: list[str], block: str, order: list[Column | str], value: str, out: str) -> DataFrame:
+def strictly(ordered: DataFrame, *ties: str, name: str = "ordered") -> DataFrame:
+    """ordered with turns that no two rows share: equal ones are in the order of `ties`, then by a written row number."""
+    numbered = ordered.withColumn("turn", F.struct("turn.*", *ties, F.monotonically_increasing_id().alias("row")))
+    return staged(numbered, name)
+
+
+def in_ranges(rows: DataFrame, keys: list[str], order: list[str], block: str = "block") -> DataFrame:
+    """rows, written in ranges of (keys, order), with `block`: the number of a row's range, which never falls along the order.
+
+    Ranges are of about one size whatever the keys are, so a key that has most rows spans most of them.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(rows.repartitionByRange(parts, *keys, *order).withColumn(block, F.spark_partition_id()), "ranges")
+
+
+def previous_max(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """Adds `out`: the greatest `value` of the rows of the same keys that come earlier, null for the first.
 
-    `block` is a column that never falls along the order. A block's rows are scanned for themselves and joined with the
-    greatest value of earlier blocks, so a key's rows are spread over as many tasks as it has blocks.
+    A range's rows are scanned for themselves and joined with the greatest value of earlier ranges, one row each.
     """
-    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy(*keys, block).agg(F.max(value).alias("of_block")).withColumn("of_earlier", F.max("of_block").over(earlier)).drop("of_block")
-    inside = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own = rows.withColumn("of_inside", F.max(value).over(inside))
-    return own.join(blocks, [*keys, block]).withColumn(out, F.greatest("of_earlier", "of_inside")).drop("of_earlier", "of_inside")
+    ranged = in_ranges(rows, keys, order, "block")
+    earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = ranged.groupBy(*keys, "block").agg(F.max(value).alias("of_block")).withColumn("of_earlier", F.max("of_block").over(earlier)).drop("of_block")
+    inside = Window.partitionBy(*keys, "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.withColumn("of_inside", F.max(value).over(inside))
+    return own.join(blocks, [*keys, "block"]).withColumn(out, F.greatest("of_earlier", "of_inside")).drop("of_earlier", "of_inside", "block")
+
+
+def running_total(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Adds `out`: the sum of `value` up to and with each row of the same keys, in ranges like previous_max."""
+    ranged = in_ranges(rows, keys, order, "block")
+    earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = ranged.groupBy(*keys, "block").agg(F.sum(value).alias("of_block")).withColumn("base", F.coalesce(F.sum("of_block").over(earlier), F.lit(0))).drop("of_block")
+    inside = Window.partitionBy(*keys, "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = ranged.withColumn("inside", F.sum(value).over(inside))
+    return own.join(blocks, [*keys, "block"]).withColumn(out, F.col("base") + F.col("inside")).drop("base", "inside", "block")
 
 
 def islands(rows: DataFrame, keys: list[str], time: str, tie: str, gap: int, out: str = "island", span: int = 86_400_000) -> DataFrame:

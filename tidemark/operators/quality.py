@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running_total
+
 
 def reconcile(expected: DataFrame, actual: DataFrame, key: str, compare: list[str]) -> DataFrame:
     """One row (key, status) for each key of either side: MATCH, MISSING, EXTRA or MISMATCH."""
@@ -59,10 +61,12 @@ def repeated(rows: DataFrame, key: str) -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles of integers, exactly: each value's count, summed along the values of its keys."""
-    per = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    along = Window.partitionBy(*keys).orderBy(value)
-    per = per.withColumn("upto", F.sum("n").over(along)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+    """Nearest-rank percentiles of integers, exactly: each value's count, summed along the values of its keys.
+
+    Values are summed in ranges, so that very many of one key are not one task's.
+    """
+    per = running_total(rows.groupBy(*keys, value).agg(F.count("*").alias("n")), keys, [value], "n", "upto")
+    per = per.join(per.groupBy(*keys).agg(F.sum("n").alias("total")), keys)
     return per.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * F.lit(p)), F.col(value))).alias(n) for n, p in ranks.items()], F.max(value).alias("max"))
 
 
@@ -74,6 +78,20 @@ def chain_faults(rows: DataFrame, run: list[str], ordinal: str, previous: str, o
     return checked.where("NOT (turn_ok AND previous_ok AND own_ok)")
 
 
+def chained(entries: DataFrame, run: list[str], ordinal: str, content: str) -> DataFrame:
+    """Journal rows of entries (run, ordinal, content): each with the hash of the one before it and its own hash.
+
+    An entry's hash covers its predecessor's, so a run is one chain and is hashed in one go; runs are spread. The first
+    entry of a run follows GENESIS.
+    """
+    listed = F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("ordinal"), F.col(content).alias("content"))))
+    row = lambda x, before: F.struct(x["ordinal"].alias(ordinal), x["content"].alias(content), before.alias("previous_sha256"), F.sha2(F.concat(before, F.lit("\n"), x["content"]), 256).alias("entry_sha256"))
+    kind = entries.select(F.col(ordinal), F.col(content), F.lit("").alias("previous_sha256"), F.lit("").alias("entry_sha256")).schema.simpleString()
+    add = lambda done, x: F.concat(done, F.array(row(x, F.coalesce(F.try_element_at(done, F.lit(-1))["entry_sha256"], F.lit("GENESIS")))))
+    whole = F.aggregate(listed, F.array().cast(f"array<{kind}>"), add)
+    return entries.groupBy(*run).agg(whole.alias("rows")).select(*run, F.inline("rows"))
+
+
 def prefixed(values: DataFrame, column: str, prefix: str) -> DataFrame:
     return values.agg(F.count_if(F.lower(column).startswith(prefix.lower())).alias("n"))
 

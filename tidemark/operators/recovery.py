@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import json_string
+from ..plans.engine import KEYS, SUMS
 from .quarantine import outbox_page
 
 
-def register_failures(known: DataFrame, failures: DataFrame) -> DataFrame:
-    """failure_destination with failures (invocation_id, object_key, body_sha256, earliest_sequence) added, unresolved.
+def fresh_failures(known: DataFrame, failures: DataFrame) -> DataFrame:
+    """The rows that failures (invocation_id, object_key, body_sha256, earliest_sequence) add to known ones, unresolved.
 
     A failure that is known stays as it is; one that comes with other contents fails.
     """
@@ -19,7 +22,7 @@ def register_failures(known: DataFrame, failures: DataFrame) -> DataFrame:
     if failures.join(old, "invocation_id").where(F.struct(*told) != F.col("old")).limit(1).count():
         raise ValueError("a failure has other contents than before")
     fresh = failures.join(old, "invocation_id", "left_anti").withColumn("status", F.lit("UNRESOLVED")).dropDuplicates(["invocation_id"])
-    return known.unionByName(fresh.select(*known.columns))
+    return fresh.select(*known.columns)
 
 
 def failure_rows(failed: DataFrame) -> DataFrame:
@@ -38,24 +41,29 @@ def require_no_unresolved(failures: DataFrame) -> None:
         raise ValueError("unresolved failures block success")
 
 
-def mark_delivered(outbox: DataFrame, ids: DataFrame) -> DataFrame:
-    """outbox with the rows of ids (outbox_id) delivered; an unknown id fails."""
+def delivered_ids(outbox: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids (outbox_id) that are now delivered; an unknown id fails."""
     if ids.join(outbox, "outbox_id", "left_anti").limit(1).count():
         raise ValueError("an outbox id is unknown")
-    done = ids.select("outbox_id", F.lit(1).alias("done")).distinct()
-    return outbox.join(done, "outbox_id", "left").withColumn("delivered", F.greatest("delivered", F.coalesce("done", F.lit(0)))).drop("done").select(*outbox.columns)
+    return ids.select("outbox_id").distinct()
 
 
 def drain_outbox(store, limit: int = 20) -> int:
     """Publishes one page of undelivered rows and then marks them: at least once. Returns how many it marked."""
-    version, state = store.version(), store.load()
-    page = outbox_page(state["outbox"], limit)
-    n = page.count()
-    if n:
+    page = [(r["outbox_id"], r["body_json"]) for r in outbox_page(store.load()["outbox"], limit).collect()]
+    if page:
         store.publish(page)
-        state["outbox"] = mark_delivered(state["outbox"], page.select("outbox_id"))
-        store.commit(state, version)
-    return n
+        store.append("delivery", store.spark.createDataFrame(page, "outbox_id string, body_json string"))
+    return len(page)
+
+
+def require_sound(store) -> None:
+    """Before success is told: no unresolved failure, and no broken rule in the state."""
+    tables = store.load()
+    require_no_unresolved(tables["failure_destination"])
+    faults = state_faults(tables).collect()
+    if faults:
+        raise ValueError(f"the state breaks {len(faults)} rules: {faults[0]['rule']}")
 
 
 def replay_records(archive: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,13 +92,16 @@ def unavailable(failed: DataFrame, generation: str) -> DataFrame:
 
 def state_faults(tables: dict[str, DataFrame]) -> DataFrame:
     """(rule, n): rows that break a rule of the state; none if it is sound."""
-    keys = {"identity_ledger": ["generation_id", "event_id"], "shard_state": ["shard_id", "generation_id"], "open_event": ["generation_id", "event_id"], "session_output": ["session_id"], "quarantine": ["quarantine_id"], "outbox": ["outbox_id"], "processing_commit": ["commit_id"], "user_aggregate": ["generation_id", "user_id"]}
+    keys = {n: k for n, k in KEYS.items() if n != "archive"} | {n: k for n, (k, _) in SUMS.items()}
     out = [tables[t].groupBy(*k).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("n")).select(F.lit(f"{t} has repeated keys").alias("rule"), "n") for t, k in keys.items()]
     alone = tables["quarantine"].join(tables["outbox"], "quarantine_id", "left_anti").agg(F.count("*").alias("n"))
     out.append(alone.select(F.lit("quarantine without outbox").alias("rule"), "n"))
-    union = out[0]
-    for x in out[1:]:
-        union = union.unionAll(x)
-    return union.where("n > 0")
+    return functools.reduce(DataFrame.unionAll, out).where("n > 0")
 
 
+def added_faults(added: dict[str, DataFrame]) -> DataFrame:
+    """state_faults of what a batch adds, and events that count in a user's total without an identity of their own."""
+    new = added["identity_ledger"].where("disposition <> 'beyond_watermark'").agg(F.count("*").alias("n"))
+    counted = added["user_aggregate"].agg((-F.coalesce(F.sum(F.col("views") + F.col("clicks") + F.col("purchases")), F.lit(0))).alias("n"))
+    off = new.unionAll(counted).agg(F.abs(F.sum("n")).alias("n")).select(F.lit("totals differ from new identities").alias("rule"), "n")
+    return state_faults(added).unionAll(off.where("n > 0"))

@@ -35,7 +35,7 @@ def quota_rows(documents: DataFrame) -> DataFrame:
 
 def quota_gaps(quotas: DataFrame, wanted: DataFrame) -> DataFrame:
     """Services of wanted (service, part) without a positive quota whose name has one of the parts."""
-    met = quotas.join(F.broadcast(wanted), "service").where((F.col("value") > 0) & F.contains(F.lower("name"), F.col("part"))).select("service")
+    met = quotas.join(wanted, "service").where((F.col("value") > 0) & F.contains(F.lower("name"), F.col("part"))).select("service")
     return wanted.select("service").distinct().join(met, "service", "left_anti")
 
 

@@ -13,7 +13,8 @@ from .ordering import islands, previous_max
 def with_identity(events: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Adds `identity`: NEW_IDENTITY for the first event of a generation and event_id, else how it relates to the first.
 
-    The first is a grouped minimum, which combines before the shuffle, and not a window over the id's events.
+    The first is a grouped minimum, which combines before the shuffle, and not a window over the id's events. Turns have
+    to be strict (ordering.strictly), so that of a record that is delivered twice one copy alone is the first.
     """
     keys = ["generation_id", "event_id"]
     first = events.groupBy(*keys).agg(F.min(F.struct("turn", "digest", "ingest_time_ms")).alias("first"))
@@ -41,7 +42,7 @@ def with_time(new: DataFrame, shards: DataFrame | None = None) -> DataFrame:
     The running maximum may take in events beyond the watermark: they are below it.
     """
     keys = ["generation_id", "shard_id"]
-    rows = previous_max(new, keys, "batch_id", ["turn"], "event_time_ms", "previous_max")
+    rows = previous_max(new, keys, ["turn"], "event_time_ms", "previous_max")
     if shards is not None:
         rows = rows.join(shards.select(*keys, F.col("max_event_time_ms").alias("carried")), keys, "left").withColumn("previous_max", F.greatest("previous_max", "carried")).drop("carried")
     return (

@@ -13,18 +13,31 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import json_string, sha256, stable_id
 from ..functions.contract import ALLOWED_LATENESS_MS, IDENTITY_TTL_MS, LIVE, STATE
-from ..operators.admission import admit, archive_rows
+from ..operators.admission import CONTENTS, admit, archive_rows
 from ..operators.decode import decode
-from ..operators.ordering import with_order
+from ..operators.ordering import strictly, with_order
 from ..operators.quarantine import event_commits, first_rows, outbox_rows, quarantine_rows, transport_commits
 from ..operators.timeline import component_rows, session_rows, sessions, totals, with_identity, with_time
 from ..sources.scratch import staged
 
 
+#: Tables whose rows are unique by these columns; of several rows the first stays.
+KEYS = {
+    "identity_ledger": ["generation_id", "event_id"], "shard_state": ["shard_id", "generation_id"], "open_event": ["generation_id", "event_id"], "session_output": ["session_id"],
+    "closure_work": ["work_id"], "quarantine": ["quarantine_id"], "outbox": ["outbox_id"], "processing_commit": ["commit_id"], "archive": ["key"],
+}
+#: Tables whose rows add up: (keys, sums).
+SUMS = {"user_aggregate": (["generation_id", "user_id"], ["views", "clicks", "purchases", "value_cents"]), "metric": (["name", "dimensions_json"], ["value"])}
+
+
 @dataclass
 class Outcome:
-    """tables: the state after the records. dispositions: one row for each record that was processed."""
+    """added: what the records add to each table, for shard_state, open_event and session_component all of it.
+
+    tables: the state after the records. dispositions: one row for each record that was processed.
+    """
 
+    added: dict[str, DataFrame]
     tables: dict[str, DataFrame]
     dispositions: DataFrame
 
@@ -47,14 +60,20 @@ def batch_item_failures(failures: DataFrame) -> DataFrame:
     return failures.groupBy("batch_id").agg(listed.alias("sequence_numbers"))
 
 
+def ordered_strictly(admitted: DataFrame, generation: str = LIVE) -> DataFrame:
+    """Admitted records in their strict order, written. Of equal turns the smaller digest, then the earlier ingest time, is first."""
+    rows = with_order(admitted).withColumn("generation_id", F.lit(generation)).drop(*CONTENTS)
+    return strictly(rows, "digest", "ingest_time_ms", name="admitted")
+
+
 def process_decoded(decoded: DataFrame, state: dict[str, DataFrame] | None = None, generation: str = LIVE) -> Outcome:
     """Applies decoded records to a state."""
     spark = decoded.sparkSession
     old = state or empty_state(spark)
-    # Every table below reads these two, so they are written once.
-    admitted = staged(with_order(admit(decoded)).withColumn("generation_id", F.lit(generation)), "admitted")
+    # Every table below reads these two, so they are written once, with each payload once.
+    admitted = ordered_strictly(admit(decoded), generation)
     rejected = admitted.where(F.col("rejected").isNotNull())
-    known = with_identity(admitted.where(F.col("rejected").isNull()), old["identity_ledger"])
+    known = with_identity(admitted.where(F.col("rejected").isNull()).drop("object", "root_keys", "payload_keys"), old["identity_ledger"])
     timed = with_time(known.where("identity = 'NEW_IDENTITY'"), old["shard_state"])
     timed = staged(timed.withColumn("disposition", F.when(F.col("category") == "beyond_watermark", "LATE_BEYOND_WATERMARK").otherwise(F.col("category"))), "timed")
     accepted = timed.where("category <> 'beyond_watermark'")
@@ -68,34 +87,42 @@ def process_decoded(decoded: DataFrame, state: dict[str, DataFrame] | None = Non
         .unionAll(timed.select(*told, (F.col("category") != "beyond_watermark").alias("mutated"), "watermark_before_ms", "watermark_after_ms"))
     )
 
-    t: dict[str, DataFrame] = dict(old)
-    ledger = timed.select("event_id", "digest", F.col("ingest_time_ms").alias("first_ingest_ms"), (F.col("ingest_time_ms") + IDENTITY_TTL_MS).alias("expiry_ms"), "generation_id", F.col("category").alias("disposition"))
-    t["identity_ledger"] = old["identity_ledger"].unionByName(ledger)
+    new: dict[str, DataFrame] = {}
+    new["identity_ledger"] = timed.select("event_id", "digest", F.col("ingest_time_ms").alias("first_ingest_ms"), (F.col("ingest_time_ms") + IDENTITY_TTL_MS).alias("expiry_ms"), "generation_id", F.col("category").alias("disposition"))
     shard = accepted.groupBy("shard_id", "generation_id").agg(F.max("event_time_ms").alias("max_event_time_ms"), F.count("*").alias("version"))
-    t["shard_state"] = old["shard_state"].unionByName(shard).groupBy("shard_id", "generation_id").agg(F.max("max_event_time_ms").alias("max_event_time_ms"), F.sum("version").alias("version"))
+    new["shard_state"] = old["shard_state"].unionByName(shard).groupBy("shard_id", "generation_id").agg(F.max("max_event_time_ms").alias("max_event_time_ms"), F.sum("version").alias("version"))
     opened = old["open_event"].unionByName(accepted.select(*old["open_event"].columns))
-    found = sessions(opened, t["shard_state"])
+    found = sessions(opened, new["shard_state"])
     closed = found.where("closed").select("generation_id", F.explode("ids").alias("event_id"))
-    t["open_event"] = opened.join(closed, ["generation_id", "event_id"], "left_anti").select(*old["open_event"].columns)
-    t["session_component"] = component_rows(found)
-    t["session_output"] = old["session_output"].unionByName(session_rows(found).join(old["session_output"], "session_id", "left_anti"))
-    users = accepted.groupBy("generation_id", "user_id").agg(*totals())
-    t["user_aggregate"] = old["user_aggregate"].unionByName(users).groupBy("generation_id", "user_id").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("views", "clicks", "purchases", "value_cents")])
+    new["open_event"] = opened.join(closed, ["generation_id", "event_id"], "left_anti").select(*old["open_event"].columns)
+    new["session_component"] = component_rows(found)
+    new["session_output"] = session_rows(found)
+    new["user_aggregate"] = accepted.groupBy("generation_id", "user_id").agg(*totals())
     work = accepted.select("shard_id", "generation_id", F.col("watermark_after_ms").alias("watermark_ms")).distinct()
     work_id = stable_id("closure-work", json_string(F.col("shard_id")), json_string(F.col("generation_id")), F.col("watermark_ms").cast("string"))
-    work = work.select(work_id.alias("work_id"), "shard_id", "generation_id", "watermark_ms", F.lit("DONE").alias("status"))
-    t["closure_work"] = old["closure_work"].unionByName(work.join(old["closure_work"], "work_id", "left_anti"))
+    new["closure_work"] = work.select(work_id.alias("work_id"), "shard_id", "generation_id", "watermark_ms", F.lit("DONE").alias("status"))
     isolated = every.where("disposition IN ('IDENTITY_CONFLICT', 'EXPIRED_IDENTITY', 'LATE_BEYOND_WATERMARK')").select(*told).unionAll(rejected.withColumn("disposition", F.col("rejected")).select(*told))
-    held = quarantine_rows(isolated).join(old["quarantine"], "quarantine_id", "left_anti")
-    t["quarantine"] = old["quarantine"].unionByName(held)
-    t["outbox"] = old["outbox"].unionByName(outbox_rows(held))
-    commits = event_commits(timed).unionByName(transport_commits(rejected))
-    t["processing_commit"] = old["processing_commit"].unionByName(commits.join(old["processing_commit"], "commit_id", "left_anti"))
-    counted = metric_rows(every)
-    t["metric"] = old["metric"].unionByName(counted).groupBy("name", "dimensions_json").agg(F.sum("value").alias("value"))
-    objects = first_rows(archive_rows(admitted), "key", "turn")
-    t["archive"] = old["archive"].unionByName(objects.join(old["archive"].select("key"), "key", "left_anti").select(*old["archive"].columns))
-    return Outcome(t, every)
+    new["quarantine"] = quarantine_rows(isolated)
+    new["outbox"] = outbox_rows(new["quarantine"])
+    new["processing_commit"] = event_commits(timed).unionByName(transport_commits(rejected))
+    new["metric"] = metric_rows(every)
+    new["archive"] = first_rows(archive_rows(admitted), "key", "turn")
+    return Outcome(new, merged(old, new), every)
+
+
+def merged(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The state that follows `old` when `new` is added."""
+    out = dict(old)
+    for name, rows in new.items():
+        if name in SUMS:
+            keys, sums = SUMS[name]
+            out[name] = old[name].unionByName(rows).groupBy(*keys).agg(*[F.sum(c).cast("bigint").alias(c) for c in sums])
+        elif name in ("shard_state", "open_event", "session_component"):
+            out[name] = rows
+        else:
+            fresh = rows.join(old[name].select(*KEYS[name]), KEYS[name], "left_anti")
+            out[name] = old[name].unionByName(fresh.select(*old[name].columns))
+    return out
 
 
 def process(records: DataFrame, state: dict[str, DataFrame] | None = None, generation: str = LIVE) -> Outcome:

@@ -44,7 +44,8 @@ def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Copies come after all originals: identical ones, changed ones, and ones after the dedupe horizon.
     """
-    src = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # A file of one row group is one task's; what follows is cheap to deal and dear to compute.
+    src = spark.read.parquet(f"{sf_dir}/events.parquet").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     src = src.select(F.col("event_id").alias("id"), F.col("user_id").alias("uid"), "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
     due = F.array(F.lit(0), *[F.when(F.col("id") % n == 0, F.lit(c)) for c, n in ((1, 50), (2, 70), (3, 90))])
     rows = src.withColumn("copy", F.explode(F.filter(due, lambda x: x.isNotNull()))).withColumn("seq", F.col("copy").cast("bigint") * COPY_STEP + F.col("id"))
@@ -67,3 +68,44 @@ def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("root_keys", F.array(*map(F.lit, REQUIRED_KEYS))).withColumn("payload_keys", keys)
     rows = rows.withColumn("canonical", canonical_event(True, extra)).withColumn("semantic", canonical_event(False, extra)).drop("has_email")
     return rows.withColumn("body", F.encode("canonical", "utf-8")).withColumn("transport_text", F.regexp_replace(F.base64("body"), "[\\r\\n]", ""))
+
+
+def redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """decoded() with every third event's records twice, under the same batch, shard, sequence and position."""
+    rows = decoded(spark, sf_dir)
+    again = F.explode(F.sequence(F.lit(0), (F.col("sequence_number").cast("bigint") % COPY_STEP % 3 == 0).cast("int"))).alias("again")
+    return rows.select("*", again).drop("again")
+
+
+def transported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as transport records: what decoded() holds, as texts, of which those with id % 11 from 1 to 8 are broken.
+
+    `spaced` ones are JSON with blanks and keys out of order, which is no fault.
+    """
+    rows = decoded(spark, sf_dir)
+    which = F.col("sequence_number").cast("bigint") % COPY_STEP % 11
+    whole = F.col("canonical")
+    rest = F.substring(whole, F.lit(2), F.length(whole))
+    texts = {
+        3: F.concat(F.lit('{"event_id":"x",'), rest), 4: F.substring(whole, F.lit(1), F.length(whole) - 1), 5: F.concat(whole, F.lit(" x")),
+        6: F.concat(F.lit("["), whole, F.lit("]")), 7: F.replace(whole, F.lit('"payload":{'), F.lit('"payload":{"ratio":1.5,')), 8: F.concat(F.lit('{ "schema_version" : "1.0.0", '), F.replace(rest, F.lit(f'"schema_version":"{CONTRACT_VERSION}",'), F.lit(""))),
+    }
+    text = whole
+    for k, v in texts.items():
+        text = F.when(which == k, v).otherwise(text)
+    body = F.when(which == 2, F.concat(F.encode(whole, "utf-8"), F.unhex(F.lit("FF")))).otherwise(F.encode(text, "utf-8"))
+    plain = F.regexp_replace(F.base64(body), "[\\r\\n]", "")
+    return rows.select("batch_id", "position", "event_source_arn", "shard_id", "sequence_number", "partition_key", F.when(which == 1, F.concat(F.lit("*"), plain)).otherwise(plain).alias("transport_text"))
+
+
+#: What transported() gives after decoding and admission, over the records of RECORDS_SQL.
+FAULT_SQL = """, f AS (
+  SELECT *, seq % 10000000000 % 11 AS k FROM keyed),
+b AS (
+  SELECT *, CASE k WHEN 1 THEN encode('*' || base64(encode(canonical))) WHEN 2 THEN encode(canonical) || '\\xFF'::BLOB WHEN 3 THEN encode('{"event_id":"x",' || substr(canonical, 2)) WHEN 4 THEN encode(left(canonical, length(canonical) - 1))
+    WHEN 5 THEN encode(canonical || ' x') WHEN 6 THEN encode('[' || canonical || ']') WHEN 7 THEN encode(replace(canonical, '"payload":{', '"payload":{"ratio":1.5,'))
+    WHEN 8 THEN encode('{ "schema_version" : "1.0.0", ' || replace(substr(canonical, 2), '"schema_version":"1.0.0",', '')) ELSE encode(canonical) END AS body FROM f),
+d AS (
+  SELECT *, CASE k WHEN 1 THEN 'CORRUPT_BASE64' WHEN 2 THEN 'INVALID_UTF8' WHEN 3 THEN 'DUPLICATE_JSON_KEY' WHEN 4 THEN 'INVALID_JSON' WHEN 5 THEN 'INVALID_JSON' WHEN 6 THEN 'NON_OBJECT_JSON' WHEN 7 THEN 'INVALID_SCHEMA' ELSE rejected END AS why FROM b)
+SELECT sequence_number, coalesce(why, 'ADMITTED') AS disposition, CASE WHEN k = 1 THEN 'transport_text' ELSE 'decoded' END AS representation, sha256(body) AS body_sha256,
+  CASE WHEN why IS NULL THEN sha256(semantic) ELSE sha256(body) END AS digest FROM d"""

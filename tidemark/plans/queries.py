@@ -9,11 +9,12 @@ from ..functions.canonical import json_string, sortable, stable_id, token
 from ..functions.contract import CLOSURE_PAGE, INACTIVITY_GAP_MS
 from ..operators import quality, timeline
 from ..operators.admission import admit, prohibited
+from ..operators.decode import decode
 from ..operators.ordering import with_order
 from ..operators.quarantine import outbox_page as page
 from ..sources.scratch import staged
 from . import engine
-from .events import RECORDS_SQL, decoded
+from .events import FAULT_SQL, RECORDS_SQL, decoded, redelivered, transported
 
 IDENT_SQL = RECORDS_SQL + """,
 seen AS (SELECT *, row_number() OVER w AS nth, first_value(digest) OVER w AS first_digest, first_value(ingest_time_ms) OVER w AS first_ingest FROM keyed WHERE rejected IS NULL WINDOW w AS (PARTITION BY event_id ORDER BY seq)),
@@ -45,7 +46,7 @@ def _admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.with_identity(_admitted(spark, sf_dir).where("rejected IS NULL"))
+    return timeline.with_identity(engine.ordered_strictly(admit(decoded(spark, sf_dir)).where("rejected IS NULL")).drop("object"))
 
 
 def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,23 @@ def _state(table: str, *columns: str):
     return run
 
 
+def decode_dispositions(spark, sf_dir):
+    """Transport texts, some of them broken in eight ways, decoded and admitted: what each record is, and its digest."""
+    rows = admit(decode(transported(spark, sf_dir)))
+    return rows.select("sequence_number", F.coalesce("rejected", F.lit("ADMITTED")).alias("disposition"), "representation", F.sha2("body", 256).alias("body_sha256"), "digest")
+
+
+def redelivered_in_batch(spark, sf_dir):
+    """Dispositions where every third record comes twice in its batch under the same coordinates."""
+    every = engine.process_decoded(redelivered(spark, sf_dir)).dispositions
+    return every.groupBy("sequence_number", "disposition").agg(F.count("*").alias("n"))
+
+
+def redelivered_aggregate(spark, sf_dir):
+    """User aggregates of the same records: a purchase that comes twice counts once."""
+    return engine.process_decoded(redelivered(spark, sf_dir)).tables["user_aggregate"].drop("generation_id")
+
+
 def admission_dispositions(spark, sf_dir):
     return _admitted(spark, sf_dir).select("sequence_number", F.coalesce("rejected", F.lit("ADMITTED")).alias("disposition"), "digest", "raw_key")
 
@@ -265,14 +283,14 @@ def component_prefix_scan(spark, sf_dir):
     accepted = _accepted(spark, sf_dir)
     found = timeline.sessions(accepted, _shards(accepted))
     keys = found.select(F.concat(F.lit("CLOSE#"), sortable(F.col("end_ms") + INACTIVITY_GAP_MS), F.lit("#"), "user_id").alias("sort_key"), "shard_id")
-    middle = found.agg(F.min("end_ms").alias("low"))
-    bounded = keys.join(F.broadcast(middle)).where(F.col("sort_key").startswith("CLOSE#") & (F.col("sort_key") < F.concat(F.lit("CLOSE#"), sortable(F.col("low") + 864_000_000))))
+    low = found.agg(F.min("end_ms")).scalar()
+    bounded = keys.where(F.col("sort_key").startswith("CLOSE#") & (F.col("sort_key") < F.concat(F.lit("CLOSE#"), sortable(low + 864_000_000))))
     return bounded.select("shard_id", "sort_key").orderBy("sort_key", "shard_id").limit(100)
 
 
 def queries() -> dict:
     own = [
-        admission_dispositions, admission_counts, identity_dispositions, event_time_classification, shard_watermarks, session_islands, dense_sessions, component_match_range_join, member_containment_join,
+        decode_dispositions, redelivered_in_batch, redelivered_aggregate, admission_dispositions, admission_counts, identity_dispositions, event_time_classification, shard_watermarks, session_islands, dense_sessions, component_match_range_join, member_containment_join,
         closure_page, due_components_remain, outbox_page, event_digest, raw_key, stable_ids, disposition_log, event_rates, latency_percentiles, key_skew, hot_key_pressure, checkpoint_after_batch,
         batch_item_failures, processed_before_failure, replay_keys, archive_reconciliation, coverage_orphans, order_line_reconciliation, hash_chain_check, prohibited_key_scan, exactly_one_resolution,
         dense_retry, incremental_state, component_prefix_scan,
@@ -339,6 +357,10 @@ def oracle_sql() -> dict[str, str]:
         "component_prefix_scan": "SELECT shard_id, k AS sort_key FROM (SELECT shard_id, 'CLOSE#' || lpad(CAST(end_ms + 1800000 AS VARCHAR), 20, '0') || '#' || user_id AS k FROM clo) WHERE k < (SELECT 'CLOSE#' || lpad(CAST(min(end_ms) + 864000000 AS VARCHAR), 20, '0') FROM clo) ORDER BY k, shard_id LIMIT 100",
     }
     out = {k: _sql(v) for k, v in q.items()}
+    twice = IDENT_SQL.replace("\nmoved AS (SELECT *,", "\nmoved AS (SELECT copies.*,", 1).replace("FROM copies),", "FROM copies, range(CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END) AS t(again)),", 1)
+    out["redelivered_in_batch"] = _sql("SELECT sequence_number, disposition, count(*) AS n FROM disp GROUP BY ALL", twice)
+    out["redelivered_aggregate"] = _sql(q["incremental_state"], twice)
+    out["decode_dispositions"] = _sql(FAULT_SQL)
     out["checkpoint_after_batch"] = _sql(FAIL_SQL + " SELECT f.batch_id, f.shard_id, max(seq) FILTER (WHERE stop IS NULL OR seq < stop) AS checkpoint FROM fl f JOIN st USING (batch_id, shard_id) GROUP BY 1, 2", RECORDS_SQL)
     out["batch_item_failures"] = _sql(FAIL_SQL + " SELECT batch_id, string_agg(CAST(stop AS VARCHAR), ',' ORDER BY shard_id) AS sequence_numbers FROM st WHERE stop IS NOT NULL GROUP BY batch_id", RECORDS_SQL)
     out["processed_before_failure"] = _sql(FAIL_SQL + " SELECT f.batch_id, f.shard_id, count(*) AS n FROM fl f JOIN st USING (batch_id, shard_id) WHERE stop IS NULL OR seq < stop GROUP BY 1, 2", RECORDS_SQL)

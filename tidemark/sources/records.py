@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.contract import BATCH
+from ..operators.decode import json_errors
+from ..operators.ordering import running_total
 
 
 def _present(column: str, what: str):
@@ -31,13 +33,11 @@ def records_of(batches: DataFrame) -> DataFrame:
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """Batch files, one JSON object each; batches are numbered by a hash-free order, that of their paths."""
+    """Batch files, one JSON object each; batches are numbered in the order of their paths, which are ranked in ranges."""
     rows = spark.read.schema(BATCH).option("multiLine", True).option("mode", "FAILFAST").json(path).select("*", F.col("_metadata.file_path").alias("file"))
-    files = rows.select("file").distinct()
-    from pyspark.sql import Window
-
-    numbered = files.withColumn("batch_id", (F.row_number().over(Window.orderBy("file")) - 1).cast("bigint"))
-    return rows.join(numbered, "file").select("batch_id", "Records")
+    files = rows.select(F.lit(1).alias("one"), "file").distinct()
+    numbered = running_total(files, [], ["file"], "one", "place")
+    return rows.join(numbered.select("file", (F.col("place") - 1).cast("bigint").alias("batch_id")), "file").select("batch_id", "Records")
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
@@ -46,10 +46,14 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """JSON documents (path, document VARIANT, valid): invalid ones, and those that repeat a key at any depth, have none."""
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    strict = F.try_parse_json("value")
-    return texts.select("path", strict.alias("document"), strict.isNotNull().alias("valid"))
+    """JSON documents (path, document VARIANT, error): unreadable ones have no document and say why.
+
+    `error` is INVALID_UTF8, INVALID_JSON (text after the value included) or DUPLICATE_JSON_KEY (at any depth), else null.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    checked = files.withColumn("error", F.arrow_udf(json_errors, "string")("content"))
+    text = F.when(F.col("error").isNull(), F.decode("content", "utf-8"))
+    return checked.select("path", F.try_parse_json(text).alias("document"), "error")
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:

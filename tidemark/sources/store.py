@@ -1,22 +1,29 @@
-"""State tables as snapshots, the raw archive, and the notification channel, on any file system that Spark reads."""
+"""State as plain Parquet tables of increments, one folder for each micro-batch, and the notification channel.
+
+Structured Streaming's checkpoint decides which micro-batch is next and that one query writes. A micro-batch's rows go to
+the folders batch=N of the tables, which are overwritten if it is delivered again; what it computes from are the rows
+before N. So the same batch always writes the same rows, and no lock, rename or version is needed on any file system.
+"""
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.contract import LIVE, STATE
+from ..plans.engine import KEYS, SUMS
 
 #: The boundaries at which a probe is told how far a step has come.
 BOUNDARIES = ("before_archive", "archived", "staged", "committed", "partial_failure", "quarantined", "published", "failure_recorded")
 
-
-class Conflict(RuntimeError):
-    """Another writer committed first, or an identity has other contents than before."""
+#: Tables that are small whatever the history: each batch writes them whole. All others get the batch's new rows only.
+WHOLE = ("shard_state", "open_event", "session_component")
+#: Tables that other steps than a batch append to.
+APPENDED = {"failure_destination": STATE["failure_destination"], "delivery": "outbox_id string", "channel": "outbox_id string, attempt int, body_json string"}
+DONE = "complete boolean"
 
 
 def no_probe(boundary: str) -> None:
@@ -24,93 +31,123 @@ def no_probe(boundary: str) -> None:
         raise ValueError(f"no boundary {boundary}")
 
 
-class StateStore:
-    """Snapshots below a folder. A commit is one rename of a small file, and its number is the version it follows plus one.
-
-    A snapshot that no commit names doesn't exist for readers. Two writers that follow the same version can't both
-    commit: the second rename finds its target. The archive is appended to before the snapshot is written.
-    """
+class StateTables:
+    """The tables of one generation below a folder; generations don't share any but the archive, which is the live one's."""
 
     def __init__(self, spark: SparkSession, root: str, generation: str = LIVE, probe: Callable[[str], None] = no_probe):
         self.spark, self.root, self.generation, self.probe = spark, root.rstrip("/"), generation, probe
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{self.root}/commits"))
-
-    def _exists(self, path: str) -> bool:
-        return self._fs.exists(self._path(path))
 
-    def version(self) -> int:
-        """The number of the last commit, 0 before the first."""
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/commits"))]
-        return max([0, *(int(n[:-5]) for n in names if n.endswith(".json"))])
-
-    def commit_info(self, version: int | None = None) -> dict:
-        version = self.version() if version is None else version
-        if not version:
-            return {"version": 0, "snapshot": None, "batch_id": None}
-        return json.loads(self.spark.read.text(f"{self.root}/commits/{version:012d}.json", wholetext=True).first()[0])
+    def of(self, generation: str) -> StateTables:
+        return StateTables(self.spark, self.root, generation, self.probe)
+
+    def _path(self, table: str) -> str:
+        return f"{self.root}/generation={LIVE if table == 'archive' else self.generation}/{table}"
+
+    def _read(self, table: str, ddl: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(ddl).parquet(self._path(table))
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], ddl)
+
+    def batches(self) -> DataFrame:
+        """(batch, complete) of the batches that are written whole; one that failed in part is not complete."""
+        return self._read("done", f"{DONE}, batch bigint")
+
+    def last(self) -> tuple[int, bool]:
+        """The last batch, -1 before the first, and whether it is complete."""
+        row = self.batches().agg(F.max(F.struct("batch", "complete"))).first()[0]
+        return (row["batch"], row["complete"]) if row else (-1, True)
+
+    def applied(self, batch: int) -> bool:
+        last, complete = self.last()
+        return batch < last or (batch == last and complete)
+
+    def table(self, name: str, before: int | None = None) -> DataFrame:
+        """A table as it is before a batch, by default after the last one. Of rows with one key the first batch's counts."""
+        before = self.last()[0] + 1 if before is None else before
+        rows = self._read(name, f"{STATE[name]}, batch bigint")
+        if name in WHOLE:
+            latest = self.batches().where(F.col("batch") < before).agg(F.max("batch")).first()[0]
+            return rows.where(F.col("batch") == (-1 if latest is None else latest)).drop("batch")
+        rows = rows.where(F.col("batch") < before)
+        if name in SUMS:
+            keys, sums = SUMS[name]
+            return rows.groupBy(*keys).agg(*[F.sum(c).cast("bigint").alias(c) for c in sums])
+        rest = [c for c in rows.columns if c not in (*KEYS[name], "batch")]
+        return rows.groupBy(*KEYS[name]).agg(F.min_by(F.struct(*rest), "batch").alias("row")).select(*KEYS[name], "row.*")
+
+    def carried(self, before: int, now_ms: int | None = None) -> dict[str, DataFrame]:
+        """What the next batch reads: identities that have not expired, open events, shards. Nothing else of the past.
+
+        Identities end expiry_ms after their first event, by `now_ms` or else the latest ingest time on the books; what
+        has ended is left out by the files' statistics. All other tables are empty here: a batch only adds to them.
+        """
+        state = {n: self.spark.createDataFrame([], d) for n, d in STATE.items()}
+        ledger = self._read("identity_ledger", f"{STATE['identity_ledger']}, batch bigint").where(F.col("batch") < before).drop("batch")
+        if now_ms is None:
+            now_ms = ledger.agg(F.max("first_ingest_ms")).first()[0]
+        if now_ms is not None:
+            ledger = ledger.where(F.col("expiry_ms") > now_ms)
+        return state | {"identity_ledger": ledger} | {n: self.table(n, before) for n in WHOLE}
 
     def load(self) -> dict[str, DataFrame]:
-        """The tables of the last commit."""
-        info = self.commit_info()
-        if not info["snapshot"]:
-            return {n: self.spark.createDataFrame([], d) for n, d in STATE.items()}
-        tables = {n: self.spark.read.schema(d).parquet(f"{self.root}/snapshots/{info['snapshot']}/{n}") for n, d in STATE.items() if n != "archive"}
-        return tables | {"archive": self.archive()}
-
-    def applied(self, batch_id: int) -> bool:
-        last = self.commit_info()["batch_id"]
-        return last is not None and batch_id <= last
-
-    def commit(self, tables: dict[str, DataFrame], follows: int, batch_id: int | None = None) -> int:
-        """Writes all tables but the archive and makes them the state that follows version `follows`."""
-        snapshot = f"{follows + 1:012d}-{uuid.uuid4().hex}"
-        for name, ddl in STATE.items():
-            if name != "archive":
-                columns = [c.split()[0] for c in ddl.split(", ")]
-                tables[name].select(*columns).write.parquet(f"{self.root}/snapshots/{snapshot}/{name}")
+        """All tables as they are after the last batch; outbox rows say whether they are delivered."""
+        before = self.last()[0] + 1
+        tables = {n: self.table(n, before) for n in STATE if n != "failure_destination"}
+        delivered = self._read("delivery", APPENDED["delivery"]).distinct().withColumn("done", F.lit(1))
+        outbox = tables["outbox"].join(delivered, "outbox_id", "left").withColumn("delivered", F.coalesce("done", "delivered"))
+        return tables | {"outbox": outbox.select(*tables["outbox"].columns), "failure_destination": self.failures()}
+
+    def write(self, batch: int, added: dict[str, DataFrame], complete: bool = True, check: Callable[[dict[str, DataFrame]], None] | None = None) -> None:
+        """Writes a batch's new rows, the archive first and the mark that it is written last; `check` sees the rows before it."""
+        self.probe("before_archive")
+        for name in ["archive", *(n for n in STATE if n not in ("archive", "failure_destination"))]:
+            if name in added:
+                columns = [c.split()[0] for c in STATE[name].split(", ")]
+                added[name].select(*columns).write.mode("overwrite").parquet(f"{self._path(name)}/batch={batch}")
+            if name in ("archive", "quarantine"):
+                self.probe("archived" if name == "archive" else "quarantined")
         self.probe("staged")
-        last = self.commit_info(follows)["batch_id"]
-        info = {"version": follows + 1, "snapshot": snapshot, "batch_id": last if batch_id is None else batch_id}
-        staged = self._path(f"{self.root}/commits/.{snapshot}")
-        out = self._fs.create(staged, True)
-        out.write(json.dumps(info).encode())
-        out.close()
-        target = self._path(f"{self.root}/commits/{follows + 1:012d}.json")
-        if self._fs.exists(target) or not self._fs.rename(staged, target):
-            raise Conflict(f"version {follows + 1} exists")
-        self.probe("committed")
-        return follows + 1
+        if check:
+            check({n: self._read(n, f"{STATE[n]}, batch bigint").where(F.col("batch") == batch).drop("batch") for n in added})
+        self.spark.createDataFrame([(complete,)], DONE).coalesce(1).write.mode("overwrite").parquet(f"{self._path('done')}/batch={batch}")
+        self.probe("committed" if complete else "partial_failure")
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        rows.select(*[c.split()[0] for c in APPENDED[table].split(", ")]).write.mode("append").parquet(self._path(table))
 
     def archive(self) -> DataFrame:
-        path = f"{self.root}/archive"
-        return self.spark.read.schema(STATE["archive"]).parquet(path) if self._exists(path) else self.spark.createDataFrame([], STATE["archive"])
-
-    def put_if_absent(self, objects: DataFrame) -> None:
-        """Appends objects whose key is new. A body must have its hash, and a known key its known contents."""
-        wrong = objects.where(F.sha2("body", 256) != F.col("sha256")).limit(1).count()
-        known = self.archive().select("key", F.col("sha256").alias("known"))
-        both = objects.join(known, "key").where("known <> sha256").limit(1).count()
-        if wrong or both:
-            raise Conflict("an archive object has other contents than its hash or its key stand for")
-        fresh = objects.join(known, "key", "left_anti").select(*[c.split()[0] for c in STATE["archive"].split(", ")])
-        fresh.write.mode("append").parquet(f"{self.root}/archive")
+        return self.table("archive")
 
     def read(self, key: str) -> bytes:
         """One archived body; its key filters the archive and is never a path."""
-        row = self.archive().where(F.col("key") == key).select("body").first()
+        row = self._read("archive", f"{STATE['archive']}, batch bigint").where(F.col("key") == key).orderBy("batch").select("body").first()
         if row is None:
             raise KeyError(key)
         return bytes(row["body"])
 
+    def failures(self) -> DataFrame:
+        return self._read("failure_destination", APPENDED["failure_destination"]).dropDuplicates(["invocation_id"])
+
     def published(self) -> DataFrame:
-        path = f"{self.root}/channel"
-        return self.spark.read.schema("outbox_id string, attempt int, body_json string").json(path) if self._exists(path) else self.spark.createDataFrame([], "outbox_id string, attempt int, body_json string")
+        return self._read("channel", APPENDED["channel"])
 
-    def publish(self, rows: DataFrame) -> None:
-        """Appends one attempt for each row; a consumer keeps one of each outbox_id."""
-        before = self.published().groupBy("outbox_id").agg(F.max("attempt").alias("attempts"))
+    def publish(self, page: list[tuple[str, str]]) -> None:
+        """Appends one attempt for each row (outbox_id, body_json) of a page; a consumer keeps one of each outbox_id."""
+        rows = self.spark.createDataFrame(page, "outbox_id string, body_json string")
+        before = self.published().where(F.col("outbox_id").isin([i for i, _ in page])).groupBy("outbox_id").agg(F.max("attempt").alias("attempts"))
         attempt = (F.coalesce("attempts", F.lit(0)) + 1).cast("int").alias("attempt")
-        rows.join(before, "outbox_id", "left").select("outbox_id", attempt, "body_json").write.mode("append").json(f"{self.root}/channel")
+        self.append("channel", rows.join(before, "outbox_id", "left").select("outbox_id", attempt, "body_json"))
         self.probe("published")
+
+    def rebase(self, root: str) -> StateTables:
+        """The same state as one batch below a new folder, without what has expired: fewer files and shorter reads."""
+        to, tables, last = StateTables(self.spark, root, self.generation, self.probe), self.load(), self.last()[0]
+        if last >= 0:
+            tables["identity_ledger"] = self.carried(last + 1)["identity_ledger"]
+            to.write(last, tables)
+            to.append("delivery", tables["outbox"].where("delivered = 1"))
+            to.append("failure_destination", tables["failure_destination"])
+        return to

@@ -1,4 +1,4 @@
-"""The same plan as a stream: each micro-batch is applied to the store and committed with its number."""
+"""The same plan as a stream: each micro-batch adds its rows to the state tables under its number."""
 
 from __future__ import annotations
 
@@ -6,83 +6,90 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.contract import STATE
 from ..operators.admission import admit
 from ..operators.decode import decode
 from ..operators.ordering import with_order
-from ..operators.recovery import failure_rows, register_failures, replay_records, unavailable
+from ..operators.recovery import added_faults, failure_rows, fresh_failures, replay_records, unavailable
 from ..plans.engine import Outcome, batch_item_failures, before_failures, process, process_decoded
+from ..sources.scratch import staged
 
 
-def apply_batch(store, records: DataFrame, batch_id: int | None = None, fails: str | None = None) -> list[tuple]:
-    """Applies records to the store: archive first, then one commit. Returns the failed sequences of each batch.
+class Unsound(RuntimeError):
+    """A batch's rows break a rule of the state, so they are not written as done."""
 
-    A batch that is applied already changes nothing, so a redelivered one is harmless. `fails` names a column that is
-    true for records whose processing failed and shall be delivered again: a shard's batch stops at the first one.
+
+def require_sound_rows(added: dict[str, DataFrame]) -> None:
+    """A row for each broken rule reaches the driver, and there are about a dozen rules."""
+    faults = [f"{r['rule']}: {r['n']}" for r in added_faults(added).collect()]
+    if faults:
+        raise Unsound("; ".join(faults))
+
+
+def apply_batch(store, records: DataFrame, batch: int | None = None, fails: str | None = None) -> list[tuple]:
+    """Adds a batch to the state tables. Returns the failed sequences, one row for each of its record batches that failed.
+
+    A batch that is applied already changes nothing. `fails` names a column that is true for records whose processing
+    failed: a shard's batch stops at the first one, the rest counts, and the batch isn't complete. When it is delivered
+    again it is computed anew from the state before it and replaces its rows. Failed sequences are one for each shard of
+    a batch at most, which is what a consumer has to send back.
     """
-    if batch_id is not None and store.applied(batch_id):
+    batch = store.last()[0] + 1 if batch is None else batch
+    if store.applied(batch):
         return []
     failed: list[tuple] = []
     if fails:
         records, failures = before_failures(with_order(records), fails)
         records = records.drop("turn", fails)
         failed = [(r["batch_id"], list(r["sequence_numbers"])) for r in batch_item_failures(failures).orderBy("batch_id").collect()]
-    store.probe("before_archive")
-    version, state = store.version(), store.load()
-    outcome = process(records, state, store.generation)
-    fresh = outcome.tables["archive"].join(state["archive"].select("key"), "key", "left_anti")
-    store.put_if_absent(fresh)
-    store.probe("archived")
-    store.commit(outcome.tables, version, batch_id if not failed else None)
-    store.probe("quarantined")
-    if failed:
-        store.probe("partial_failure")
+    outcome = process(records, store.carried(batch), store.generation)
+    store.write(batch, outcome.added, complete=not failed, check=require_sound_rows)
     return failed
 
 
 def run_stream(records: DataFrame, store, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Starts the stream over records without batch_id; the micro-batch's number is their batch."""
+    """Starts the stream over records without batch_id; the micro-batch's number is their batch.
+
+    The checkpoint is the only lock: Spark lets one query write to it, and delivers a batch that was not finished again.
+    """
 
-    def each(batch: DataFrame, number: int) -> None:
-        apply_batch(store, batch.withColumn("batch_id", F.lit(number).cast("bigint")), number)
+    def each(rows: DataFrame, number: int) -> None:
+        apply_batch(store, rows.withColumn("batch_id", F.lit(number).cast("bigint")), number)
 
     return records.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def record_failure(store, invocation_id: str, earliest_sequence: str, body: bytes) -> str:
-    """Keeps an exhausted invocation: its object, and an unresolved row that blocks success. Returns the object's key."""
-    spark = store.spark
-    rows = failure_rows(spark.createDataFrame([(invocation_id, earliest_sequence, bytearray(body))], "invocation_id string, earliest_sequence string, body binary"))
+    """Keeps an exhausted invocation: its body, and an unresolved row that blocks success. Returns the body's key."""
+    rows = failure_rows(store.spark.createDataFrame([(invocation_id, earliest_sequence, bytearray(body))], "invocation_id string, earliest_sequence string, body binary"))
     _register(store, rows)
     return rows.first()["object_key"]
 
 
 def _register(store, rows: DataFrame) -> None:
-    version, state = store.version(), store.load()
-    objects = rows.select(F.col("object_key").alias("key"), F.col("body").cast("binary").alias("body"), F.col("body_sha256").alias("sha256"), *[F.lit(None).cast(t).alias(n) for n, t in (c.split() for c in STATE["archive"].split(", ")[3:])])
-    store.put_if_absent(objects)
-    state["failure_destination"] = register_failures(state["failure_destination"], rows.drop("body"))
-    store.commit(state, version)
+    store.append("failure_destination", fresh_failures(store.failures(), rows))
     store.probe("failure_recorded")
 
 
 def replay(store, requests: DataFrame, generation: str) -> Outcome:
     """Applies archived events to a generation: requests (raw_key, expected_body_sha256, expected_event_digest, invocation_id).
 
-    In the generation they were applied to they are identical duplicates; another one gets a state of its own. If any
-    object is missing, changed, no longer admitted or of another digest, those failures are recorded and nothing else.
+    Another generation than the store's own gets state tables of its own. In the store's own generation all events are
+    known, so nothing is written and the outcome only says what they are. A request that comes twice is applied once. If
+    any object is missing, changed, no longer admitted or of another digest, those failures are recorded and nothing else.
     """
-    state = store.load()
-    records, broken = replay_records(state["archive"], requests)
+    archive = store.archive()
+    records, broken = replay_records(archive, requests)
     decoded = decode(records)
     checked = admit(decoded)
     held = F.coalesce(F.col("rejected").isNull() & (F.col("digest") == F.col("expected_event_digest")), F.lit(False))
     broken = broken.unionByName(checked.where(~held).select(*broken.columns))
-    failures = unavailable(broken, generation)
+    failures = staged(unavailable(broken, generation), "unavailable")
     if failures.limit(1).count():
         _register(store, failures)
         raise ValueError("raw objects can't be replayed; the failures are recorded")
-    version = store.version()
-    outcome = process_decoded(decoded.drop("expected_body_sha256", "expected_event_digest", "invocation_id", "request_key"), state, generation)
-    store.commit(outcome.tables, version)
+    target = store.of(generation)
+    batch = target.last()[0] + 1
+    outcome = process_decoded(decoded.drop("expected_body_sha256", "expected_event_digest", "invocation_id", "request_key"), target.carried(batch), generation)
+    if generation != store.generation:
+        target.write(batch, {n: t for n, t in outcome.added.items() if n != "archive"}, check=require_sound_rows)
     return outcome
