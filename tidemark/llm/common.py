@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,21 @@ def hash_share(n_rows: int, most: int, *key: Column | str, seed: str = "sample")
     return F.xxhash64(F.lit(seed), *key) < F.lit(-(2**63) + (2**64 * most) // n_rows)
 
 
+_held: dict[object, object] = {}
+
+
+def held_by_worker(key: object, make: Callable[[], object]) -> object:
+    """What make() gives, once for each Python worker, so that look-up tables serve all its tasks.
+
+    A worker holds those of one operator at a time: what another one asks for takes their place, and memory doesn't add
+    up over the stages of a job.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

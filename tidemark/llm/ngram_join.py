@@ -8,7 +8,6 @@ document and a spanning forest, never its pairs.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 from collections.abc import Callable, Iterator
@@ -19,9 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocked, components, forest, partitions, runs, staged, whole_row
+from .common import blocked, components, forest, held_by_worker, partitions, runs, staged, whole_row
 
-MOST_WORDS = 300_000
+MOST_WORDS = 200_000
 
 
 def bands_for(threshold: float, recall: float, most_hashes: int = 100) -> tuple[int, int]:
@@ -46,9 +45,8 @@ class _WordHashes(dict):
         return value
 
 
-@functools.lru_cache(maxsize=1)
 def _word_hashes() -> _WordHashes:
-    return _WordHashes()
+    return held_by_worker("word hashes", _WordHashes)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -11,7 +11,6 @@ probabilities.
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -24,11 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import hash_share, partitions, whole_row
+from .common import hash_share, held_by_worker, partitions, whole_row
 
 BUCKETS, WIDTH, NONZERO, GROUPS = 1 << 15, 64, 4, 64
 POOLED = 3 * WIDTH
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 PIECE = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -40,9 +39,8 @@ class _Words(dict):
         return value
 
 
-@functools.lru_cache(maxsize=1)
 def _words() -> _Words:
-    return _Words()
+    return held_by_worker("quality words", _Words)
 
 
 def numbers(text: str | None) -> np.ndarray:

@@ -7,7 +7,6 @@ found once and looked up after that. The look-up tables of a task are bounded an
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from array import array
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, runs, shared_folder
+from .common import held_by_worker, partitions, runs, shared_folder
 
 #: Characters that are white space to Python but not to the tokenizers' patterns, or the other way round.
 ODD = re.compile("[\x1c-\x1f\x85\u180e]")
@@ -54,6 +53,8 @@ def odd(text: str) -> bool:
 class IdEncoder:
     """Ids of whole texts as bytes of little-endian unsigned 32-bit integers."""
 
+    most_kept = MOST_KEPT
+
     def __init__(self, path: str):
         self.tokenizer, self.known, self.led, self.marks, self.passing = _tokenizer(path), {}, {}, {}, [[], []]
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -76,7 +77,7 @@ class IdEncoder:
     def _ids(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces. A blank, letters and marks are two or three pre-tokens; others go to the library as they are."""
         marks, out, match, word = self.marks, [], SIMPLE.fullmatch if self.simple else lambda x: None, self._word
-        if len(marks) > MOST_KEPT:
+        if len(marks) > self.most_kept:
             marks.clear()
         for piece in pieces:
             m = match(piece)
@@ -111,7 +112,7 @@ class IdEncoder:
                 del known[x]
             new = list(set().union(*(x[which] for x in cut)).difference(known))
             # What doesn't fit is forgotten in the next call: by then the frequent pieces are known.
-            self.passing[which] = new if len(known) + len(new) > MOST_KEPT else []
+            self.passing[which] = new if len(known) + len(new) > self.most_kept else []
             known.update(zip(new, self._kept([x if x[:1] == "\n" else " " + x for x in new] if which else new), strict=True))
         return whole, cut
 
@@ -126,7 +127,9 @@ class IdEncoder:
 
 
 class TokenCounter(IdEncoder):
-    """Numbers of ids of whole texts; the look-up tables keep numbers in place of ids."""
+    """Numbers of ids of whole texts; the look-up tables keep numbers in place of ids, and fewer."""
+
+    most_kept = 400_000
 
     def _kept(self, pieces: list[str]) -> list[int]:
         return [len(x) // 4 for x in self._ids(pieces)]
@@ -137,15 +140,12 @@ class TokenCounter(IdEncoder):
         return [len(whole[i]) // 4 if i in whole else sum(map(first, a)) + sum(map(rest, z)) for i, (a, z) in enumerate(cut)]
 
 
-@functools.lru_cache(maxsize=2)
 def id_encoder(path: str) -> IdEncoder:
-    """One for each Python worker, so that its look-up tables serve all the worker's tasks."""
-    return IdEncoder(path)
+    return held_by_worker(("ids", path), lambda: IdEncoder(path))
 
 
-@functools.lru_cache(maxsize=2)
 def token_counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
+    return held_by_worker(("counts", path), lambda: TokenCounter(path))
 
 
 def _measuring(path: str) -> Callable:
