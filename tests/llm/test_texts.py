@@ -12,13 +12,17 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import DOCS, corpus, docs
-from tidemark.llm import line_dedup, mixing, ngram_join, packing, quality, tokens
+from tidemark.llm import common, line_dedup, mixing, ngram_join, packing, quality, tokens
 
-public_tokenizers = pytest.importorskip("public_tokenizers")
 BLANKS = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def public(name):
+    """The path of a public tokenizer; tests that need one are skipped where there are none."""
+    return pytest.importorskip("public_tokenizers").path(name)
+
+
 def brute_lines(rows, min_chars=40, min_docs=5):
     key = lambda line: line.strip(BLANKS).translate(LOWER)
     holders = defaultdict(set)
@@ -356,7 +360,7 @@ def token_rows():
 
 def test_token_files(spark):
     rows = token_rows()
-    path = public_tokenizers.path("byte_bpe_50k.json")
+    path = public("byte_bpe_50k.json")
     folder = tokens.token_folder(spark, "test")
     tokens.write_token_files(docs(spark, rows), path, folder, files=3)
     got = [tuple(r) for r in tokens.token_file_checksums(tokens.read_token_files(spark, folder)).orderBy("start").collect()]
@@ -374,7 +378,7 @@ def test_token_files(spark):
 
 def test_token_counts(spark):
     rows = token_rows()
-    path = public_tokenizers.path("word_bpe_49k.json")
+    path = public("word_bpe_49k.json")
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(path)
@@ -390,7 +394,7 @@ def test_packing_query_counts_tokens(spark, tmp_path):
 
     rows = [*token_rows(), (900, "unbroken" * 6000, "a"), (901, "two words " * 4000, "a")]
     docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
-    lib, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), []
+    lib, want = Tokenizer.from_file(public("byte_bpe_50k.json")), []
     for d, t, _ in rows:
         n = len(lib.encode(t or "", add_special_tokens=False).ids)
         want += [(d, at // 4096, at, min(4096, n - at)) for at in range(0, n, 4096)]
@@ -404,7 +408,7 @@ def test_packing_query_counts_tokens(spark, tmp_path):
 
 
 def test_counts_beyond_one_posting(spark):
-    path = public_tokenizers.path("word_bpe_49k.json")
+    path = public("word_bpe_49k.json")
     got = tokens.count_tokens(docs(spark, [(1, "go " * 200_000, "a")]), path).first()
     assert got["n_tokens"] == 200_000
 
@@ -433,6 +437,73 @@ def test_quality_on_held_out_documents(spark):
     assert np.mean([(scores[i] >= 0.3) == truth[i] for i in held]) > 0.95
 
 
+def test_word_vectors_and_features_equal_brute_force(spark):
+    """Vectors and pooled features by their definition, neighbour by neighbour."""
+    texts = [t for _, t, _ in corpus(8)[:30]] + ["Same same same, SAME!! $$$ x$$$ | y", "one", "", None]
+    place, sign = quality.index_vectors()
+    bucket = lambda x: xxhash.xxh64_intdigest(x.encode()) % quality.BUCKETS
+    cut = [[bucket(x) for x in re.findall(r"\w+|[^\w\s]+", t or "")] for t in texts]
+    total = np.zeros((quality.BUCKETS, quality.WIDTH))
+    for own in cut:
+        for a, b in zip(own, own[1:], strict=False):
+            for k in range(quality.NONZERO):
+                total[a, (place[b, k] + 1) % quality.WIDTH] += sign[b, k]
+                total[b, (place[a, k] - 1) % quality.WIDTH] += sign[a, k]
+    want = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-6)
+    got = quality.word_vectors(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]).repartition(3))
+    assert np.abs(got - want).max() < 1e-6
+    for own, t in zip(cut, texts, strict=True):
+        x = want[own].reshape(-1, quality.WIDTH)
+        pooled = np.concatenate([x.mean(0), x.var(0), (x[1:] * x[:-1]).sum(0) / len(x)]) if own else np.zeros(quality.POOLED)
+        assert np.abs(quality.features(t, got) - pooled).max() < 1e-5
+        assert np.abs(quality.features(t, got, at_once=3) - pooled).max() < 1e-5
+
+
+def test_temperature_calibrates():
+    """Noisy labels: probabilities follow frequencies, and on new rows the temperature does better than none."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 40))
+    p = 1 / (1 + np.exp(-1.5 * x[:, 0] - x[:, 1] * x[:, 2]))
+    y = (rng.random(6000) < p).astype(float)
+    net = quality.fitted(x[:1500], y[:1500])
+    logits, truth = net.logits(x[1500:]), y[1500:]
+    loss = lambda t: np.mean(np.logaddexp(0, logits / t) - truth * logits / t)
+    assert net.temperature != 1 and loss(net.temperature) < loss(1.0) - 0.01
+    scores = net.scores(x[1500:])
+    bins = np.digitize(scores, [0.2, 0.4, 0.6, 0.8])
+    assert max(abs(scores[bins == b].mean() - truth[bins == b].mean()) for b in range(5)) < 0.15
+
+
+def test_labels_are_bounded_at_any_size(spark):
+    few = spark.range(4000).select(F.xxhash64("id").alias("k"))
+    for n, most in ((10**5, 20_000), (10**11, 8192), (10**15, 16_384)):
+        bound = common.hash_share(n, most, "k")
+        share = few.where(bound).count() / 4000
+        assert abs(share - most / n) < 0.03
+        # The bound is a place in the hash range, which is not rounded to nothing.
+        width = int(re.search(r"-\d{5,}", str(bound))[0]) + 2**63
+        assert abs(width / 2**64 * n - most) < 1
+    rows, labels = labelled(spark, 60)
+    same = docs(spark, [(7, f"text {i}", "a") for i in range(50)] + rows)
+    vectors, net = quality.quality_model(same, labels)
+    assert net.w1.shape[0] == quality.POOLED
+
+
+def test_names_with_dots_and_very_long_texts(spark):
+    """A text of 300,000 words beside short ones, and columns whose names hold dots and backticks."""
+    long = " ".join(f"w{i % 5000}x{i // 7}" for i in range(300_000))
+    rows = [(1, long, "a"), (2, long + " end", "a"), (3, "short one\n" + "y" * 50, "b"), *[(10 + i, f"z{i}\n" + "y" * 50, "b") for i in range(5)]]
+    table = docs(spark, rows).withColumn("a.b", F.lit(5)).withColumn("c`d", F.lit(6))
+    lines = line_dedup.dedup_lines(table)
+    assert {r["doc_id"]: r["n_dropped"] for r in lines.collect()} == {1: 0, 2: 0, 3: 1, 10: 1, 11: 1, 12: 1, 13: 1, 14: 0}
+    assert sorted(r["doc_id"] for r in ngram_join.one_row_of_each(table).collect()) == [1, 3, 10, 11, 12, 13, 14]
+    mixed = mixing.mixed_documents(table, shard="out")
+    assert {"a.b", "c`d", "out"} <= set(mixed.columns) and mixed.where("`a.b` = 5 AND out IS NOT NULL").count() == mixed.count() > 0
+    assert sum(r["taken"] for r in mixing.taken(table).collect()) == round(sum(r["target"] for r in mixing.taken(table).select("source", "target").distinct().collect()))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10, 15)], "doc_id bigint, quality int")
+    assert quality.scored(table, labels).select("row.*", "score").count() == 8
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     got = quality.scored(docs(spark, [(1, "a b", "s"), (2, None, "s")]), none)
@@ -448,9 +519,13 @@ def test_empty_tables(spark):
     assert mixing.mixed_documents(none).count() == 0
     assert packing.packed(none).count() == 0
     assert quality.scored(none, labels).count() == 0
-    assert tokens.count_tokens(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+def test_empty_tables_have_no_tokens(spark):
+    none = docs(spark, [])
+    assert tokens.count_tokens(none, public("word_bpe_49k.json")).count() == 0
     folder = tokens.token_folder(spark, "empty")
-    tokens.write_token_files(none, public_tokenizers.path("byte_bpe_50k.json"), folder)
+    tokens.write_token_files(none, public("byte_bpe_50k.json"), folder)
     assert tokens.read_token_files(spark, folder).count() == 0
 
 
@@ -518,7 +593,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         taken[s] += len(words(t))
     want = brute_targets(size)
     assert all(abs(taken[s] - want[s]) <= 0.5 for s in want)
-    lib, cut = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), []
+    lib, cut = Tokenizer.from_file(public("byte_bpe_50k.json")), []
     for d, t, _ in held["mix"]:
         n = len(lib.encode(t or "", add_special_tokens=False).ids)
         cut += [(d, at // 4096, at, min(4096, n - at)) for at in range(0, n, 4096)]

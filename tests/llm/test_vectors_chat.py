@@ -22,12 +22,13 @@ def table(spark, seed=1, n=220):
     x[90:110] = x[rng.integers(0, 3, 20)]
     rows = [(i, [float(np.float32(v)) for v in x[i]], int(i % 2) if i < 200 else None) for i in range(n)]
     bad = [None, [0.0] * 8, [1.0, None, *[0.0] * 6], [float("nan")] * 8, [float("inf")] * 8, [1.0, 2.0], []]
+    rows += [(310, [2.0, 4.0], 1), (311, [1.0, 2.0], 1), (312, [1.0, 2.1], 0)]  # vectors of another length
     rows += [(300 + i, v, 1) for i, v in enumerate(bad)] + [(None, rows[0][1], 0), rows[7], rows[7]]
     return [(*r, 1, 2, 3, 4, 5) for r in rows]
 
 
 def good(v):
-    return v is not None and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v) and any(v)
+    return v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)
 
 
 def brute_links(rows, threshold):
@@ -41,7 +42,7 @@ def brute_links(rows, threshold):
         return i
 
     for i, j in itertools.combinations(part, 2):
-        if rows[i][2] == rows[j][2] and unit[i] @ unit[j] >= threshold:
+        if rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= threshold:
             links[i] += 1
             links[j] += 1
             root[find(i)] = find(j)
@@ -63,7 +64,7 @@ def test_near_duplicates(spark, cell, tile):
 def test_nearest(spark, tile):
     rows = table(spark, 2, 400)
     got = vectors.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, 10, tile_rows=tile, tile_queries=3).collect()
-    part = [(r[0], np.array(r[1])) for r in rows if good(r[1]) and r[0] is not None]
+    part = [(r[0], np.array(r[1])) for r in rows if good(r[1]) and len(r[1]) == 8 and r[0] is not None]
     hits = total = 0
     for q, x in part:
         if q % 20 == 0:
@@ -103,6 +104,37 @@ def test_neighbours_among_many_near_copies(spark, spread):
     assert recalls(spark, 600, spread, others=3000, asked=20, recall=1.0, max_cells=4, sample_rows=600, subspaces=2) == (1, 1)
 
 
+def test_queries_of_thin_cells_read_all_cells(spark):
+    """A few vectors far from all others: their own cell holds fewer than ten, and they still get ten neighbours."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(600, 4)), 500 + rng.normal(size=(3, 4)), -500 + rng.normal(size=(2, 4))]).astype(np.float32)
+    rows = [(i, v.tolist(), 0, 1, 2, 3, 4, 5) for i, v in enumerate(x)]
+    got = vectors.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") >= 600, recall=0.5).collect()
+    for q in range(600, 605):
+        away = ((x.astype(np.float64) - x[q]) ** 2).sum(1)
+        away[q] = np.inf
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == np.argsort(away, kind="stable")[:10].tolist()
+
+
+def test_neighbours_of_each_length(spark):
+    rows = [(i, [float(i), 1.0], 0, 1, 2, 3, 4, 5) for i in range(20)] + [(100 + i, [float(i), 1.0, 2.0], 0, 1, 2, 3, 4, 5) for i in range(5)]
+    got = vectors.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
+    assert [r["vec_id"] for r in got if r["query_id"] == 0] == list(range(1, 11))
+    assert [r["vec_id"] for r in got if r["query_id"] == 100] == [101, 102, 103, 104]
+
+
+def test_cells_meet_each_linked_pair_once():
+    rng = np.random.default_rng(6)
+    x = vectors.unit(rng.normal(size=(900, 6)))
+    home, weight = rng.random(900) < 0.7, rng.integers(1, 4, 900)
+    linked = (x @ x.T >= 0.9) & (home[:, None] | home)
+    rows = np.arange(900)
+    same, root = vectors.linked_in_blocks(x.astype(np.float32), rows, rows, home, weight, 0.9, at_once=64)
+    np.fill_diagonal(linked, False)
+    assert (same == linked @ weight).all()
+    assert all(root[i] == root[j] for i, j in zip(*np.nonzero(linked), strict=True)) and len(set(root)) > 1
+
+
 def test_all_candidates_if_there_are_fewer(spark):
     rows = [(i, [float(i), 1.0], 0, 1, 2, 3, 4, 5) for i in range(6)]
     got = vectors.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0).orderBy("rank").collect()
