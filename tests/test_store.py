@@ -43,13 +43,14 @@ def modelled(events):
     return model
 
 
-@pytest.mark.parametrize("boundary", ["before_archive", "archived", "quarantined", "staged", "committed"])
-def test_a_batch_survives_a_crash_at_each_boundary(spark, tmp_path, boundary):
+def test_a_batch_survives_a_crash_at_each_boundary(spark, tmp_path):
+    """One batch that crashes at each boundary in turn, and is delivered again each time."""
     root, rows = f"file://{tmp_path}/s", frame(spark, rows_of(EVENTS))
-    with pytest.raises(Crash):
-        apply_batch(StateTables(spark, root, probe=crash_at(boundary)), rows, 0)
+    for boundary in ("before_archive", "archived", "quarantined", "staged", "committed"):
+        with pytest.raises(Crash):
+            apply_batch(StateTables(spark, root, probe=crash_at(boundary)), rows, 0)
+        assert StateTables(spark, root).last()[0] == (0 if boundary == "committed" else -1)
     again = StateTables(spark, root)
-    assert again.last()[0] == (0 if boundary == "committed" else -1)
     apply_batch(again, rows, 0)
     check(again.load(), modelled(EVENTS))
     assert again.archive().count() == 4
@@ -74,7 +75,7 @@ def written(root, batch):
 
 
 def test_a_batch_writes_no_more_than_its_own_rows(spark, tmp_path):
-    """Ten times the history, the same batch: the same bytes, and the same plans' leaves."""
+    """Ten times the history, the same batch: the same bytes."""
     sizes = []
     for days in (1, 10):
         root = tmp_path / str(days)

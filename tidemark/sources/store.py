@@ -8,6 +8,7 @@ before N. So the same batch always writes the same rows, and no lock, rename or
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -102,13 +103,22 @@ class StateTables:
 
     def write(self, batch: int, added: dict[str, DataFrame], complete: bool = True, check: Callable[[dict[str, DataFrame]], None] | None = None) -> None:
         """Writes a batch's new rows, the archive first and the mark that it is written last; `check` sees the rows before it."""
+
+        def put(name: str) -> None:
+            columns = [c.split()[0] for c in STATE[name].split(", ")]
+            added[name].select(*columns).write.mode("overwrite").parquet(f"{self._path(name)}/batch={batch}")
+
+        def all_of(*names: str) -> None:
+            # Jobs of their own that don't wait for each other's last tasks.
+            with ThreadPoolExecutor(6) as pool:
+                list(pool.map(put, [n for n in names if n in added]))
+
         self.probe("before_archive")
-        for name in ["archive", *(n for n in STATE if n not in ("archive", "failure_destination"))]:
-            if name in added:
-                columns = [c.split()[0] for c in STATE[name].split(", ")]
-                added[name].select(*columns).write.mode("overwrite").parquet(f"{self._path(name)}/batch={batch}")
-            if name in ("archive", "quarantine"):
-                self.probe("archived" if name == "archive" else "quarantined")
+        all_of("archive")
+        self.probe("archived")
+        all_of("quarantine", "outbox", "processing_commit")
+        self.probe("quarantined")
+        all_of("identity_ledger", "session_output", "user_aggregate", "closure_work", "metric", *WHOLE)
         self.probe("staged")
         if check:
             check({n: self._read(n, f"{STATE[n]}, batch bigint").where(F.col("batch") == batch).drop("batch") for n in added})
