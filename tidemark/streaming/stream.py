@@ -79,8 +79,9 @@ def replay(store, requests: DataFrame, generation: str) -> Outcome:
     """
     archive = store.archive()
     records, broken = replay_records(archive, requests)
-    decoded = decode(records)
-    checked = admit(decoded)
+    # Written, as what is wrong with records and their effects are read from it in turn.
+    decoded = staged(decode(staged(records, "requests")), "replayed")
+    checked = staged(admit(decoded), "checked")
     held = F.coalesce(F.col("rejected").isNull() & (F.col("digest") == F.col("expected_event_digest")), F.lit(False))
     broken = broken.unionByName(checked.where(~held).select(*broken.columns))
     failures = staged(unavailable(broken, generation), "unavailable")
