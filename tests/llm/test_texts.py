@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -376,6 +377,20 @@ def test_token_files(spark):
     assert only.count() == 1
 
 
+def test_look_up_tables_give_the_librarys_ids():
+    """Texts of any white space, zero characters, special strings and scripts, while tables start to forget."""
+    path, draw = public("byte_bpe_50k.json"), random.Random(5)
+    some = ["a", "b", " ", "\n", "\t", "\0", "ß", "\xa0", "\u2003", "\x1c", "9", ".", "'s", "<|endoftext|>", "<", "\r", "é", "日", "  ", "\n\n", "🙂", "\u0301", "\x85"]
+    texts = ["", "\0", *("".join(draw.choice(some) for _ in range(draw.randint(0, 12))) for _ in range(20_000))]
+    encoder, counter = tokens.IdEncoder(path), tokens.TokenCounter(path)
+    encoder.most_kept = counter.most_kept = 500
+    want = [np.asarray(x.ids, "<u4").tobytes() for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for at in range(0, len(texts), 999):
+        assert encoder.encode(texts[at : at + 999]) == want[at : at + 999]
+        assert counter.count(texts[at : at + 999]) == [len(x) // 4 for x in want[at : at + 999]]
+    assert encoder.encode([]) == [] and counter.count([]) == []
+
+
 def test_token_counts(spark):
     rows = token_rows()
     path = public("word_bpe_49k.json")

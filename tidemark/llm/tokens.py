@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +28,11 @@ PIECE = re.compile(r"\s*\S+|\s+\Z")
 #: White space in other forms than single spaces and line feeds between other characters.
 UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 WIDE = re.compile("[\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Before a piece that no space or line feed starts; texts that hold it are cut by the pattern.
+HEAD = "\0"
 #: A piece of one blank, letters and marks: its pre-tokens are " letters" and "marks", or the line feed, "letters", "marks".
 SIMPLE = re.compile(r"(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:;=?@\[-`{-~]*)")
-#: What a worker's look-up tables hold at most, and how many characters of text are encoded in one go.
+#: What operator 7's look-up table of a worker holds at most, and how many characters of text are encoded in one go.
 MOST_KEPT = 800_000
 TEXT_AT_ONCE = 2_000_000
 
@@ -53,77 +56,90 @@ def odd(text: str) -> bool:
 class IdEncoder:
     """Ids of whole texts as bytes of little-endian unsigned 32-bit integers."""
 
-    most_kept = MOST_KEPT
+    most_kept = 500_000
 
     def __init__(self, path: str):
-        self.tokenizer, self.known, self.led, self.marks, self.passing = _tokenizer(path), {}, {}, {}, [[], []]
+        self.tokenizer, self.known, self.marks, self.passing = _tokenizer(path), {}, {}, []
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         other = [x for x in special if "<" not in x]  # SIMPLE has no such mark, so a piece that it matches holds no special string
         step = self.tokenizer.pre_tokenizer
         self.simple = not other and self.tokenizer.normalizer is None and type(step).__name__ == "ByteLevel" and step.use_regex and not step.add_prefix_space
         # The byte alphabet: printable characters of Latin-1 stand for themselves, other bytes for characters from U+0100 on.
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
-        self.line = self._word("\n") if self.simple else b""
+        others = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
+        self.alphabet = np.array([others.get(b, b) for b in range(256)], "<u2")
+        self.line = self._words(["\n"])[0] if self.simple else b""
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of one pre-token, given to the model in the byte alphabet."""
-        own = word.encode().decode("latin-1").translate(self.alphabet) if not word.isascii() or word[:1] == "\n" else "\u0120" + word[1:] if word[:1] == " " else word
-        return array("I", [x.id for x in self.tokenizer.model.tokenize(own)]).tobytes()
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, given to the model in the byte alphabet, into which they are put in one go."""
+        own = self.alphabet[np.frombuffer("\0".join(words).encode(), np.uint8)].tobytes().decode("utf-16-le")
+        tokenize = self.tokenizer.model.tokenize
+        return [array("I", [x.id for x in tokenize(x)]).tobytes() for x in own.split(chr(self.alphabet[0]))]
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces. A blank, letters and marks are two or three pre-tokens; others go to the library as they are."""
-        marks, out, match, word = self.marks, [], SIMPLE.fullmatch if self.simple else lambda x: None, self._word
+        marks, match = self.marks, SIMPLE.fullmatch if self.simple else lambda x: None
         if len(marks) > self.most_kept:
             marks.clear()
-        for piece in pieces:
-            m = match(piece)
-            if m is None:
+        found = [m and m.groups() for m in map(match, pieces)]
+        if new := list({x[2] for x in found if x and x[2]}.difference(marks)):
+            marks.update(zip(new, self._words(new), strict=True))
+        letters = [x[1] for x in found if x]
+        words = iter(self._words(letters) if letters else [])
+        out = []
+        for piece, x in zip(pieces, found, strict=True):
+            if x is None:
                 out.append(self._whole(piece))
-                continue
-            line, letters, after = m.groups()
-            ids = word(letters)
-            if after:
-                if after not in marks:
-                    marks[after] = word(after)
-                ids += marks[after]
-            out.append(self.line + ids if line else ids)
+            else:
+                ids = next(words)
+                if x[2]:
+                    ids += marks[x[2]]
+                out.append(self.line + ids if x[0] else ids)
         return out
 
-    def _cut(self, text: str) -> tuple[list[str], list[str]]:
-        """Pieces as they are, and pieces after these that stand for a space and themselves unless they start a line.
+    def _cut(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray, list[int]]:
+        """(keys of all pieces, where each text's begin, order of the texts): texts of single spaces and line feeds first.
 
-        A text whose white space is single spaces and line feeds is split at these, any other one by a pattern.
+        These are split at spaces by Arrow, any other text by a pattern. A key with HEAD stands for the piece after it, a
+        key with a line feed for itself, and any other one for a space and itself.
         """
-        if any(c in text for c in UNEVEN) or not text.isascii() and WIDE.search(text):
-            return PIECE.findall(text), []
-        head, *pieces = text.replace("\n", " \n").split(" ")
-        return [head], pieces
-
-    def _learned(self, texts: list[str]) -> tuple[dict[int, bytes], list[tuple[list[str], list[str]]]]:
-        """Ids of the texts that are encoded whole, and the pieces of the others, which stand in the look-up tables then."""
-        whole = {i: self._whole(x) for i, x in enumerate(texts) if odd(x)}
-        cut = [([], []) if i in whole else self._cut(x) for i, x in enumerate(texts)]
-        for which, known in enumerate((self.known, self.led)):
-            for x in self.passing[which]:
-                del known[x]
-            new = list(set().union(*(x[which] for x in cut)).difference(known))
-            # What doesn't fit is forgotten in the next call: by then the frequent pieces are known.
-            self.passing[which] = new if len(known) + len(new) > self.most_kept else []
-            known.update(zip(new, self._kept([x if x[:1] == "\n" else " " + x for x in new] if which else new), strict=True))
-        return whole, cut
+        even = [not (HEAD in x or any(c in x for c in UNEVEN) or not x.isascii() and WIDE.search(x)) for x in texts]
+        order = sorted(range(len(texts)), key=lambda i: not even[i])
+        plain = pa.array([HEAD + texts[i] for i in order if even[i]], pa.large_string())
+        split = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+        other = [[HEAD + x for x in PIECE.findall(texts[i])] for i in order if not even[i]]
+        keys = pa.concat_arrays([split.flatten(), pa.array([x for some in other for x in some], pa.large_string())]).dictionary_encode()
+        n = np.concatenate([pc.list_value_length(split).to_numpy(zero_copy_only=False), [len(x) for x in other]])
+        return keys, np.concatenate([[0], np.cumsum(n)]).astype(np.int64), order
+
+    def _learned(self, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray, list[int]]:
+        """(what is kept of each distinct key, the key of each piece, where each text's pieces begin, order of the texts)."""
+        keys, starts, order = self._cut(texts)
+        distinct, known = keys.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known
+        for x in self.passing:
+            del known[x]
+        new = [x for x in distinct if x not in known]
+        # What doesn't fit is forgotten in the next call: by then the frequent pieces are known.
+        self.passing = new if len(known) + len(new) > self.most_kept else []
+        known.update(zip(new, self._kept([x[1:] if x[:1] == HEAD else x if x[:1] == "\n" else " " + x for x in new]), strict=True))
+        return list(map(known.__getitem__, distinct)), keys.indices.to_numpy(), starts, order
 
     def _kept(self, pieces: list[str]) -> list:
         """What the look-up tables keep of pieces."""
         return self._ids(pieces)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole, cut = self._learned(texts)
-        first, rest = self.known.__getitem__, self.led.__getitem__
-        return [whole[i] if i in whole else b"".join(map(first, a)) + b"".join(map(rest, z)) for i, (a, z) in enumerate(cut)]
+        out = {i: self._whole(x) for i, x in enumerate(texts) if odd(x)}
+        rest = [i for i in range(len(texts)) if i not in out]
+        if rest:
+            ids, which, starts, order = self._learned([texts[i] for i in rest])
+            joined = pa.array(ids, pa.large_binary()).take(pa.array(which))
+            ends, data = np.frombuffer(joined.buffers()[1], np.int64)[starts], memoryview(joined.buffers()[2] or b"")
+            out |= {rest[i]: bytes(data[a:z]) for i, a, z in zip(order, ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
+        return [out[i] for i in range(len(texts))]
 
 
 class TokenCounter(IdEncoder):
@@ -135,9 +151,13 @@ class TokenCounter(IdEncoder):
         return [len(x) // 4 for x in self._ids(pieces)]
 
     def count(self, texts: list[str]) -> list[int]:
-        whole, cut = self._learned(texts)
-        first, rest = self.known.__getitem__, self.led.__getitem__
-        return [len(whole[i]) // 4 if i in whole else sum(map(first, a)) + sum(map(rest, z)) for i, (a, z) in enumerate(cut)]
+        out = {i: len(self._whole(x)) // 4 for i, x in enumerate(texts) if odd(x)}
+        rest = [i for i in range(len(texts)) if i not in out]
+        if rest:
+            n, which, starts, order = self._learned([texts[i] for i in rest])
+            before = np.concatenate([[0], np.cumsum(np.asarray(n, np.int64)[which])])[starts]
+            out |= {rest[i]: k for i, k in zip(order, np.diff(before).tolist(), strict=True)}
+        return [out[i] for i in range(len(texts))]
 
 
 def id_encoder(path: str) -> IdEncoder:
