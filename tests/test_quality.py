@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.test_engine import collected
 from tidemark.operators import quality
-from tidemark.operators.ordering import islands, previous_max
+from tidemark.operators.ordering import islands, previous_max, running_total
 
 
 def test_reconcile_and_orphans(spark):
@@ -72,16 +72,35 @@ def test_decision_and_findings(spark):
     assert [tuple(r) for r in got] == [("INDETERMINATE", ["e"]), ("NO_GO", ["a", "b"]), ("ADMITTED", [])]
 
 
+@pytest.fixture()
+def many_ranges(spark):
+    """More ranges than keys, so that one key's rows lie in several."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_running_values_equal_brute_force(spark, many_ranges, seed):
+    """Values with ties, and one key that has nearly all rows and so lies in nearly all ranges."""
+    rng = random.Random(seed)
+    rows = [("b" if rng.random() < 0.05 else "a", i, rng.randrange(9)) for i in range(120)]
+    frame = spark.createDataFrame(rng.sample(rows, len(rows)), "k string, i int, v int")
+    largest = {r["i"]: r["prev"] for r in previous_max(frame, ["k"], ["i"], "v", "prev").collect()}
+    total = {r["i"]: r["upto"] for r in running_total(frame, ["k"], ["i"], "v", "upto").collect()}
+    for k, i, v in rows:
+        before = [w for q, j, w in rows if q == k and j < i]
+        assert largest[i] == (max(before) if before else None)
+        assert total[i] == sum(before) + v
+
+
 @pytest.mark.parametrize("seed", range(3))
-def test_running_values_equal_brute_force(spark, seed):
+def test_islands_equal_brute_force(spark, many_ranges, seed):
+    """Times with ties; key a has nearly all rows within what was one day, b few over long gaps."""
     rng = random.Random(seed)
-    rows = [(rng.choice("ab"), i // 7, i, rng.randrange(100)) for i in range(80)]
-    got = {r["i"]: r["prev"] for r in previous_max(spark.createDataFrame(rows, "k string, block int, i int, v int"), ["k"], "block", ["i"], "v", "prev").collect()}
-    for k, _, i, _ in rows:
-        before = [v for q, _, j, v in rows if q == k and j < i]
-        assert got[i] == (max(before) if before else None)
-    times = [(rng.choice("ab"), rng.randrange(400), i) for i in range(60)]
-    got = {r["i"]: r["island"] for r in islands(spark.createDataFrame(times, "k string, t bigint, i int"), ["k"], "t", "i", 10, span=37).collect()}
+    times = [("a", rng.randrange(900), i) for i in range(90)] + [("b", rng.randrange(4000), i) for i in range(90, 110)]
+    got = {r["i"]: r["island"] for r in islands(spark.createDataFrame(times, "k string, t bigint, i int"), ["k"], "t", "i", 10).collect()}
     for k in "ab":
         own, island, last = sorted((t, i) for q, t, i in times if q == k), 0, None
         for t, i in own:

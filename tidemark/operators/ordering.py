@@ -55,18 +55,18 @@ def running_total(rows: DataFrame, keys: list[str], order: list[str], value: str
     return own.join(blocks, [*keys, "block"]).withColumn(out, F.col("base") + F.col("inside")).drop("base", "inside", "block")
 
 
-def islands(rows: DataFrame, keys: list[str], time: str, tie: str, gap: int, out: str = "island", span: int = 86_400_000) -> DataFrame:
+def islands(rows: DataFrame, keys: list[str], time: str, tie: str, gap: int, out: str = "island") -> DataFrame:
     """Adds `out`: a number that rises whenever more than `gap` lies between a row and the one before it.
 
-    Time is cut into spans; rows are compared inside their span, and a span's first row with the last one of the span
-    before it, so a key with very many rows is spread over as many tasks as it has spans.
+    Rows are compared inside their range, and a range's first row of a key with the last one of the range before it, so
+    neither a key with very many rows nor one of its days is one task's.
     """
-    cut = rows.withColumn("span", F.expr(f"{time} div {span}"))
-    inside = Window.partitionBy(*keys, "span").orderBy(time, tie)
+    ranged = in_ranges(rows, keys, [time, tie], "block")
+    inside = Window.partitionBy(*keys, "block").orderBy(time, tie)
     starts = F.coalesce((F.col(time) - F.lag(time).over(inside) > gap).cast("long"), F.lit(0))
-    own = cut.withColumn("starts", starts).withColumn("inside", F.sum("starts").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    per = own.groupBy(*keys, "span").agg(F.min(time).alias("first"), F.max(time).alias("last"), F.sum("starts").alias("n"))
-    along = Window.partitionBy(*keys).orderBy("span")
+    own = ranged.withColumn("starts", starts).withColumn("inside", F.sum("starts").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    per = own.groupBy(*keys, "block").agg(F.min(time).alias("first"), F.max(time).alias("last"), F.sum("starts").alias("n"))
+    along = Window.partitionBy(*keys).orderBy("block")
     opens = F.coalesce((F.col("first") - F.lag("last").over(along) > gap).cast("long"), F.lit(0))
     per = per.withColumn("opens", opens).withColumn("base", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return own.join(per.select(*keys, "span", "base"), [*keys, "span"]).withColumn(out, F.col("base") + F.col("inside")).drop("base", "inside", "starts", "span")
+    return own.join(per.select(*keys, "block", "base"), [*keys, "block"]).withColumn(out, F.col("base") + F.col("inside")).drop("base", "inside", "starts", "block")
