@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, mixing, ngram_join, packing, quality, tokens, vectors
+from . import chat, fim, line_dedup, merkle, mixing, ngram_join, packing, quality, tokens, transducer, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,13 +66,31 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    decoded = transducer.decode(transducer.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.restored(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256"))
+
+
 def embedding_groups_at_030(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1 at a threshold that vectors without near copies have links at, too."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.3, cell_rows=64)
 
 
 def queries() -> dict:
-    every = (embedding_groups_at_030, op1_embedding_dedup, op2_ngram_join, op3_packing, op4_line_dedup, op5_token_files, op6_mixing, op7_token_counts, op8_quality, op9_chat, op10_nearest_neighbours)
+    every = (embedding_groups_at_030, op1_embedding_dedup, op2_ngram_join, op3_packing, op4_line_dedup, op5_token_files, op6_mixing, op7_token_counts, op8_quality, op9_chat, op10_nearest_neighbours, op11_merkle_manifest, op12_byte_bpe, op13_fill_in_middle)
     return {f.__name__: f for f in every}
 
 
@@ -119,5 +137,6 @@ SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN n USIN
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op4_line_dedup": LINE_SQL, "op1_embedding_dedup": VECTOR_SQL.format(threshold=0.98), "embedding_groups_at_030": VECTOR_SQL.format(threshold=0.3), "op2_ngram_join": NGRAM_SQL,
+        "op4_line_dedup": LINE_SQL, "op1_embedding_dedup": VECTOR_SQL.format(threshold=0.98), "embedding_groups_at_030": VECTOR_SQL.format(threshold=0.3), "op2_ngram_join": NGRAM_SQL, "op11_merkle_manifest": merkle.manifest_sql(),
+        "op13_fill_in_middle": fim.FIM_SQL,
     }
