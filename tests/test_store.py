@@ -1,16 +1,21 @@
 """State tables by micro-batch, crash boundaries, the stream, replay, the outbox and failures."""
 
 import json
+import random
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tests.model import Model, event, record
+from tests.model import Model, dumps, event, record
 from tests.test_engine import check, collected, frame, stream
 from tidemark.functions.contract import IDENTITY_TTL_MS, LIVE, RECORD
 from tidemark.operators import quality, recovery
+from tidemark.operators.admission import admit
+from tidemark.operators.decode import decode
+from tidemark.plans import engine
 from tidemark.sources.records import inventory, read_batches, read_documents, read_journal, records_of
+from tidemark.sources.scratch import shared_folder
 from tidemark.sources.store import StateTables, no_probe
 from tidemark.streaming.run import export, run_batches
 from tidemark.streaming.stream import Unsound, apply_batch, record_failure, replay, require_sound_rows, run_stream
@@ -89,35 +94,197 @@ def test_a_batch_writes_no_more_than_its_own_rows(spark, tmp_path):
     assert sizes[1] < sizes[0] * 1.05
 
 
-def test_an_identity_expires_after_eight_days(spark, tmp_path):
+def by_batches(spark, root, batches, **more):
+    store = StateTables(spark, f"file://{root}")
+    for n, rows in enumerate(batches):
+        apply_batch(store, frame(spark, rows), n, **more)
+    return store
+
+
+def test_redelivery_beside_a_wrong_clock(spark, tmp_path):
+    """An event of another shard in the year 8307 between an event and its copy: the copy is one, and nothing stops."""
+    a, far = event("a", 10_000_000, "u"), event("far", 200_000_000_000_000, "v")
+    again = event("far", 11_000_000, "u")
+    batches = [[record(a, 1, "s1", 0)], [record(far, 2, "s2", 1)], [record(a, 3, "s1", 2)], [record(again, 4, "s1", 3)]]
+    store = by_batches(spark, tmp_path / "s", batches)
+    model = Model()
+    for rows, e, shard, seq in zip(batches, (a, far, a, again), ("s1", "s2", "s1", "s1"), "1234", strict=True):
+        model.apply(e, shard, seq)
+    check(store.load(), model)
+    # An id whose open event lies in the far future is known, too, and only expired by its own time.
+    assert model.told == ["on_time", "on_time", "IDENTICAL_DUPLICATE", "IDENTITY_CONFLICT"]
+
+
+def test_redelivery_to_an_idle_shard(spark, tmp_path):
+    """Shard A has an open event, C a closed session; B goes on for nine days. Copies of both are copies, and A's id stays taken."""
+    day, first = 86_400_000, 700_000_000
+    a, c, c2 = event("a", first, "u"), event("c", first, "v"), event("c2", first + day, "w")
+    batches = [[record(a, 1, "A", 0), record(c, 2, "C", 0, 1), record(c2, 3, "C", 0, 2)]]
+    batches += [[record(event(f"b{d}", first + d * day, "x"), 10 + d, "B", 1, d) for d in range(1, 10)]]
+    batches += [[record(c, 30, "C", 2), record(a, 31, "A", 2, 1), record(event("a", first + 9 * day, "u"), 32, "B", 2, 2)]]
+    store = by_batches(spark, tmp_path / "s", batches)
+    metric = {r["dimensions_json"]: r["value"] for r in store.load()["metric"].collect()}
+    assert metric == {'{"disposition":"on_time"}': 12, '{"disposition":"IDENTICAL_DUPLICATE"}': 2, '{"disposition":"EXPIRED_IDENTITY"}': 1}
+    assert [r["disposition"] for r in store.load()["quarantine"].collect()] == ["EXPIRED_IDENTITY"]
+
+
+def test_an_identity_stays_while_a_long_session_is_open(spark, tmp_path):
+    """A session of ten days without a gap: its first event's id is taken all the time, though its shard's clock goes on."""
+    gap, first = 1_800_000, 700_000_000
+    steps = 10 * 86_400_000 // gap
+    one = [record(event(f"e{i}", first + i * gap, "u"), i, "s1", 0, i) for i in range(steps)]
+    store = by_batches(spark, tmp_path / "s", [one, [record(event("e0", first + steps * gap, "u"), steps, "s1", 1)]])
+    tables = store.load()
+    assert tables["open_event"].count() == steps and tables["session_component"].count() == 1
+    assert [r["disposition"] for r in tables["quarantine"].collect()] == ["EXPIRED_IDENTITY"]
+
+
+def test_an_identity_ends_by_its_own_time(spark, tmp_path):
+    """Eight days after its first event an id of a closed session is free again; until then it is known."""
+    first = 700_000_000
+    close = event("z", first + 86_400_000, "u")
+    again = [event("a", first + IDENTITY_TTL_MS - 1, "u"), event("a", first + IDENTITY_TTL_MS + 1, "u")]
+    for late, want in zip(again, ("EXPIRED_IDENTITY", "on_time"), strict=True):
+        store = by_batches(spark, tmp_path / want, [[record(event("a", first, "u"), 1, "s1", 0), record(close, 2, "s1", 0, 1)], [record(late, 3, "s1", 1)]])
+        made = {r["dimensions_json"]: r["value"] for r in store.load()["metric"].collect()}
+        assert made == ({'{"disposition":"on_time"}': 2, '{"disposition":"EXPIRED_IDENTITY"}': 1} if want != "on_time" else {'{"disposition":"on_time"}': 3})
+    ledger = collected(store.load()["identity_ledger"], "event_id", "first_ingest_ms")
+    assert ledger == [("a", first + IDENTITY_TTL_MS + 1), ("z", first + 86_400_000)]
+    smaller = store.rebase(f"file://{tmp_path}/r", first + 2 * IDENTITY_TTL_MS)
+    assert smaller.last() == (1, True) and [r["event_id"] for r in smaller.load()["identity_ledger"].collect()] == ["a"]
+    for name in ("session_output", "open_event", "session_component", "user_aggregate"):
+        assert collected(smaller.load()[name], *smaller.load()[name].columns) == collected(store.load()[name], *smaller.load()[name].columns)
+
+
+def wild(seed, n=48):
+    """Random events of three shards, of which one falls idle for days and one has a clock in the far future now and then."""
+    rng, out, t = random.Random(seed), [], 700_000_000
+    for i in range(n):
+        t += rng.choice([60_000, 900_000, 1_800_001, 40_000_000])
+        shard = rng.choice(["s1", "s2"]) if 8 < i < n - 8 else rng.choice(["s1", "s2", "idle"])
+        at = t + (50_000_000_000_000 if rng.random() < 0.08 else 0)
+        ev = event(f"e{i}", max(0, at - rng.choice([0, 0, 1_700_000, 9_000_000])), rng.choice("ab"), rng.choice(["view", "purchase"]))
+        out.append((ev, "far" if at > t else shard, i))
+        if rng.random() < 0.35:
+            again, shard, _ = rng.choice(out)
+            kind = rng.random()
+            if kind < 0.2:
+                again = again | {"payload": again["payload"] | {"campaign_id": "x"}}
+            out.append((dict(again), shard if kind < 0.9 else rng.choice(["s1", "s2"]), i))
+    return out
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_batches_equal_all_at_once(spark, tmp_path, seed):
+    """Whatever idle shards and wrong clocks there are, batches give what the row-at-a-time model gives."""
+    events, model, batches = wild(seed), Model(), []
+    cuts = sorted(random.Random(seed).sample(range(1, len(events)), 2))
+    for b, (i, j) in enumerate(zip([0, *cuts], [*cuts, len(events)], strict=True)):
+        rows = sorted(((ev, s, seq, p) for p, (ev, s, seq) in enumerate(events[i:j])), key=lambda x: (x[1], x[2], x[3]))
+        for ev, s, seq, _ in rows:
+            model.apply(ev, s, str(seq))
+        batches.append([record(ev, seq, s, b, p) for ev, s, seq, p in rows])
+    store = by_batches(spark, tmp_path / "s", batches, conflicts="keep")
+    check(store.load(), model)
+    assert {r["dimensions_json"]: r["value"] for r in store.load()["metric"].collect()} == {dumps({"disposition": d}): model.told.count(d) for d in set(model.told)}
+
+
+def folders(df, level):
+    """The folders of a level (hour=..., day=..., part=...) that a frame's files lie in."""
+    return sorted({x for f in df.inputFiles() for x in f.split("/") if x.startswith(f"{level}=")})
+
+
+def test_a_batch_reads_what_its_time_can_meet(spark, tmp_path):
+    """After thirty days of history a batch reads the ledger's days around it, the last hour's sessions and its date's objects."""
+    day, first = 86_400_000, 700_000_000
+    store = StateTables(spark, f"file://{tmp_path}/s")
+    past = [event(f"p{d}-{u}", first + d * day + u, f"u{u}") for d in range(30) for u in range(3)]
+    apply_batch(store, frame(spark, [record(e, i, position=i) for i, e in enumerate(past)]), 0)
+    now = event("n", first + 29 * day + 10, "u1")
+    valid = engine.ordered_strictly(admit(decode(frame(spark, [record(now, 1000, batch=1)]))))
+    carried = store.carried(1)
+    assert len(folders(store.rows("identity_ledger", 1), "day")) == 30
+    known = carried.identities(valid)
+    assert folders(known, "day") == sorted(f"day={d}" for d in range((first + 21 * day) // day, (first + 29 * day) // day + 1))
+    shards = store.table("shard_state").withColumn("max_event_time_ms", F.col("max_event_time_ms") + 5)
+    opened, changed = carried.opened(valid, shards)
+    assert collected(opened, "event_id") == [("p29-1",)] and collected(changed, "user_id") == [("u1",)]
+    assert len(folders(opened, "hour")) == 1 and len(folders(store.rows("open_event", 1), "hour")) == 30
+    assert len(folders(store.open_sessions(1, [(first + 29 * day) // 3_600_000]), "hour")) == 1
+    keys = spark.createDataFrame([(r["key"],) for r in store.archive().where(F.col("key").contains("p7-")).collect()], "key string")
+    asked = store.archived(keys)
+    assert len(folders(asked, "part")) == 1 and len(folders(store.archive(), "part")) == 30 and asked.count() == 3
+
+
+def test_a_session_that_closes_is_found_by_its_hour(spark, tmp_path):
+    """Closing reads the sessions of the hour before the watermark alone, and tells which ended."""
+    first, hour = 700_000_000, 3_600_000
+    one = [event("a", first, "u"), event("b", first + 900_000, "v")]
+    two = [event("c", first + 2 * hour, "w")]
+    store = by_batches(spark, tmp_path / "s", [[record(e, i, position=i) for i, e in enumerate(one)], [record(two[0], 9, batch=1)]])
+    assert collected(store.rows_of("open_session", 1), "user_id", "gone") == [("u", True), ("v", True), ("w", False)]
+    assert collected(store.load()["session_component"], "user_id") == [("w",)] and store.load()["session_output"].count() == 2
+
+
+def test_another_body_under_a_known_key_fails(spark, tmp_path):
+    """Nothing of the batch is written; the same body again is no conflict and isn't written again."""
+    one = event("a", 10_000_000, "u")
+    other = dict(one, ingest_time_ms=one["ingest_time_ms"] + 5)
+    store = by_batches(spark, tmp_path / "s", [[record(one, 1)], [record(one, 2, batch=1)]])
+    assert store.rows("archive", 9).count() == 1
+    with pytest.raises(Unsound, match="another body"):
+        apply_batch(store, frame(spark, [record(other, 3, batch=2)]), 2)
+    assert store.last() == (1, True) and store.load()["metric"].agg(F.sum("value")).first()[0] == 2
+    with pytest.raises(Unsound, match="another body"):
+        by_batches(spark, tmp_path / "t", [[record(one, 1), record(other, 2, position=1)]])
+    apply_batch(store, frame(spark, [record(other, 3, batch=2)]), 2, conflicts="keep")
+    assert store.archive().count() == 1 and store.load()["user_aggregate"].first()["views"] == 1
+
+
+def test_a_batch_that_was_cut_off_leaves_nothing(spark, tmp_path):
+    """The first attempt's rows lie in an hour that the second doesn't write; they don't count."""
+    one, two = event("a", 10_000_000, "u"), event("b", 10_000_000 + 1_800_000, "u")
     store = StateTables(spark, f"file://{tmp_path}/s")
-    apply_batch(store, frame(spark, [record(event("a", 10_000_000), 1)]), 0)
-    end = 10_000_000 + IDENTITY_TTL_MS
-    assert store.carried(1, end - 1)["identity_ledger"].count() == 1
-    assert store.carried(1, end)["identity_ledger"].count() == 0
-    apply_batch(store, frame(spark, [record(event("b", end), 2, batch=1)]), 1)
-    assert [r["event_id"] for r in store.carried(2)["identity_ledger"].collect()] == ["b"]
-    smaller = store.rebase(f"file://{tmp_path}/r")
-    assert smaller.last() == (1, True) and [r["event_id"] for r in smaller.load()["identity_ledger"].collect()] == ["b"]
-    assert collected(smaller.load()["session_output"], "session_id") == collected(store.load()["session_output"], "session_id")
+    rows = frame(spark, [record(one, 1), record(two, 2, position=1)])
+    assert apply_batch(store, rows.withColumn("fails", F.col("sequence_number") == "2"), 0, "fails") == [(0, ["2"])]
+    apply_batch(store, rows, 0)
+    assert collected(store.load()["session_component"], "start_ms", "end_ms") == [(10_000_000, 11_800_000)]
+    assert store.rows("open_session", 9).count() == 1
+
+
+def test_a_batch_frees_its_scratch(spark, tmp_path):
+    kept = shared_folder(spark).removeprefix("file://")
+    before = set(Path(kept).rglob("*.parquet"))
+    by_batches(spark, tmp_path / "s", [rows_of(EVENTS)])
+    assert set(Path(kept).rglob("*.parquet")) <= before
+
+
+def test_rates_and_percentiles_come_from_sums(spark, tmp_path):
+    """Any split into batches gives the percentiles and rates of all events at once."""
+    events = [e for e, _, _ in wild(7, 30)]
+    rows = [record(e, i, "s1", 0, i) for i, e in enumerate(events)]
+    whole = engine.process(frame(spark, rows))
+    store = by_batches(spark, tmp_path / "s", [[(b, *r[1:]) for r in rows[i:j]] for b, (i, j) in enumerate(((0, 7), (7, 8), (8, len(rows))))], conflicts="keep")
+    ranks = {"p50": 0.5, "p95": 0.95}
+    got = quality.nearest_rank_of_counts(store.load()["latency"], ["event_type"], "latency_ms", "n", ranks)
+    latency = whole.dispositions.where("mutated").count()
+    assert store.load()["latency"].agg(F.sum("n")).first()[0] == latency
+    assert collected(got, *got.columns) == collected(quality.nearest_rank_of_counts(whole.tables["latency"], ["event_type"], "latency_ms", "n", ranks), *got.columns)
+    assert collected(store.load()["shard_metric"], "disposition", "n") == sorted(tuple(r) for r in whole.dispositions.groupBy("disposition").count().collect())
 
 
 def test_unsound_rows_are_not_written_as_done(spark, tmp_path):
     store = StateTables(spark, f"file://{tmp_path}/s")
-    apply_batch(store, frame(spark, rows_of(EVENTS)), 0)
-    tables = store.load()
+    added = engine.process(frame(spark, rows_of(EVENTS)), store.carried(0)).added
     with pytest.raises(Unsound):
-        store.write(1, tables | {"identity_ledger": tables["identity_ledger"].unionAll(tables["identity_ledger"])}, check=require_sound_rows)
-    assert store.last()[0] == 0
+        store.write(0, added | {"identity_ledger": added["identity_ledger"].unionAll(added["identity_ledger"])}, check=require_sound_rows)
+    assert store.last()[0] == -1
+    apply_batch(store, frame(spark, rows_of(EVENTS)), 0)
+    check(store.load(), modelled(EVENTS))
 
 
 def test_archived_bodies_are_read_by_key(spark, tmp_path):
-    store = StateTables(spark, f"file://{tmp_path}/s")
-    apply_batch(store, frame(spark, rows_of(EVENTS[:1])), 0)
-    again = dict(EVENTS[0], ingest_time_ms=EVENTS[0]["ingest_time_ms"] + 5)
-    apply_batch(store, frame(spark, [record(again, 7, batch=1)]), 1)
-    # The same digest and date give the same key; the first body stays.
-    assert store.archive().count() == 1
+    store = by_batches(spark, tmp_path / "s", [rows_of(EVENTS[:1])])
     key = store.archive().first()["key"]
     assert json.loads(store.read(key)) == EVENTS[0]
     with pytest.raises(KeyError):
@@ -151,8 +318,25 @@ def test_outbox_is_delivered_at_least_once(spark, tmp_path):
     assert recovery.drain_outbox(store) == 0
     assert sorted(r["attempt"] for r in store.published().collect()) == [1, 2]
     assert [r["delivered"] for r in store.load()["outbox"].collect()] == [1]
-    with pytest.raises(ValueError):
-        recovery.delivered_ids(store.load()["outbox"], spark.createDataFrame([("none",)], "outbox_id string"))
+    for batch in (None, 0):
+        with pytest.raises(ValueError, match="unknown"):
+            recovery.mark_delivered(store, spark.createDataFrame([("none",)], "outbox_id string"), batch)
+
+
+def test_delivery_goes_on_where_it_was(spark, tmp_path):
+    """Three batches of poison, pages of two: a page reads its own batch's outbox, and a batch that is done no more."""
+    bad = lambda b, i: record(event(f"x{b}-{i}", 10_000_000, "u") | {"payload": {"email": "e"}}, b * 10 + i, batch=b, position=i)
+    store = by_batches(spark, tmp_path / "s", [[bad(b, i) for i in range(3)] for b in range(3)])
+    counts, left = [], []
+    while n := recovery.drain_outbox(store, 2):
+        counts.append(n)
+        left.append(store.undrained())
+    assert counts == [2, 1, 2, 1, 2, 1] and left == [[0, 1, 2], [0, 1, 2], [1, 2], [1, 2], [2], [2]] and store.undrained() == []
+    assert store.published().count() == 9 == store.load()["outbox"].where("delivered = 1").count()
+    assert all("/batch=1/" in f for f in store.undelivered(1).inputFiles())
+    one = store.load()["outbox"].select("outbox_id").limit(1)
+    recovery.mark_delivered(store, one)
+    assert store.load()["outbox"].count() == 9
 
 
 def test_failures_block_success_until_they_are_adjudicated(spark, tmp_path):

@@ -52,6 +52,8 @@ STATE = {
     "outbox": "outbox_id string, quarantine_id string, body_json string, delivered int",
     "closure_work": "work_id string, shard_id string, generation_id string, watermark_ms bigint, status string",
     "metric": "name string, dimensions_json string, value bigint",
+    "shard_metric": "generation_id string, shard_id string, disposition string, n bigint",
+    "latency": "generation_id string, event_type string, latency_ms bigint, n bigint",
     "processing_commit": "commit_id string, generation_id string, event_id string, source_hash string, sequence_number string, raw_key string, disposition string, payload_digest string",
     "failure_destination": "invocation_id string, object_key string, body_sha256 string, earliest_sequence string, status string",
     "archive": "key string, body binary, sha256 string, metadata map<string,string>, event_source_arn string, shard_id string, sequence_number string, partition_key string, event_digest string",

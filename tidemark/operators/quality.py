@@ -61,13 +61,19 @@ def repeated(rows: DataFrame, key: str) -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles of integers, exactly: each value's count, summed along the values of its keys.
+    """Nearest-rank percentiles of integers, exactly: each value's count, summed along the values of its keys."""
+    return nearest_rank_of_counts(rows.groupBy(*keys, value).agg(F.count("*").alias("n")), keys, value, "n", ranks)
 
-    Values are summed in ranges, so that very many of one key are not one task's.
+
+def nearest_rank_of_counts(counts: DataFrame, keys: list[str], value: str, n: str, ranks: dict[str, float]) -> DataFrame:
+    """Nearest-rank percentiles from counts `n` of each value, such as a histogram whose increments add up.
+
+    Counts are summed in ranges of the values, so that very many of one key are not one task's.
     """
-    per = running_total(rows.groupBy(*keys, value).agg(F.count("*").alias("n")), keys, [value], "n", "upto")
-    per = per.join(per.groupBy(*keys).agg(F.sum("n").alias("total")), keys)
-    return per.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * F.lit(p)), F.col(value))).alias(n) for n, p in ranks.items()], F.max(value).alias("max"))
+    each = counts.groupBy(*keys, value).agg(F.sum(n).alias("n"))
+    per = running_total(each, keys, [value], "n", "upto")
+    per = per.join(each.groupBy(*keys).agg(F.sum("n").alias("total")), keys)
+    return per.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * F.lit(p)), F.col(value))).alias(r) for r, p in ranks.items()], F.max(value).alias("max"))
 
 
 def chain_faults(rows: DataFrame, run: list[str], ordinal: str, previous: str, own: str, content: Column) -> DataFrame:

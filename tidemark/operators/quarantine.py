@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import json_string, stable_id
 
 
-def first_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The row of each key that comes first; insert-or-ignore in processing order."""
+def first_rows(rows: DataFrame, key: str, order: str, *more: Column) -> DataFrame:
+    """The row of each key that comes first, insert-or-ignore in processing order, with `more` aggregates of its rows."""
     rest = [c for c in rows.columns if c not in (key, order)]
-    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("row")).select(key, "row.*")
+    grouped = rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("row"), *more)
+    return grouped.select(key, "row.*", *[c for c in grouped.columns if c not in (key, "row")])
 
 
 def quarantine_rows(isolated: DataFrame) -> DataFrame:

@@ -41,20 +41,30 @@ def require_no_unresolved(failures: DataFrame) -> None:
         raise ValueError("unresolved failures block success")
 
 
-def delivered_ids(outbox: DataFrame, ids: DataFrame) -> DataFrame:
-    """ids (outbox_id) that are now delivered; an unknown id fails."""
-    if ids.join(outbox, "outbox_id", "left_anti").limit(1).count():
+def mark_delivered(store, ids: DataFrame, batch: int | None = None) -> None:
+    """Marks outbox rows (outbox_id) of a batch, or of any, as delivered; an unknown id fails and nothing is marked."""
+    outbox = store.rows("outbox", store.last()[0] + 1) if batch is None else store.rows_of("outbox", batch)
+    found = ids.select("outbox_id").distinct().join(outbox.select("outbox_id", "batch"), "outbox_id", "left")
+    if found.where("batch IS NULL").limit(1).count():
         raise ValueError("an outbox id is unknown")
-    return ids.select("outbox_id").distinct()
+    for row in found.select("batch").distinct().collect():
+        store.append("delivery", found.where(F.col("batch") == row["batch"]), row["batch"])
 
 
 def drain_outbox(store, limit: int = 20) -> int:
-    """Publishes one page of undelivered rows and then marks them: at least once. Returns how many it marked."""
-    page = [(r["outbox_id"], r["body_json"]) for r in outbox_page(store.load()["outbox"], limit).collect()]
-    if page:
-        store.publish(page)
-        store.append("delivery", store.spark.createDataFrame(page, "outbox_id string, body_json string"))
-    return len(page)
+    """Publishes one page of undelivered rows and then marks them: at least once. Returns how many it marked.
+
+    Batches are delivered one after the other, and one that is done is not read again, so a page costs what its batch's
+    outbox holds whatever the history.
+    """
+    for batch in store.undrained():
+        page = [(r["outbox_id"], r["body_json"]) for r in outbox_page(store.undelivered(batch), limit).collect()]
+        if page:
+            store.publish(page, batch)
+            mark_delivered(store, store.spark.createDataFrame(page, "outbox_id string, body_json string"), batch)
+            return len(page)
+        store.drained(batch)
+    return 0
 
 
 def require_sound(store) -> None:

@@ -27,14 +27,20 @@ KEYS = {
     "closure_work": ["work_id"], "quarantine": ["quarantine_id"], "outbox": ["outbox_id"], "processing_commit": ["commit_id"], "archive": ["key"],
 }
 #: Tables whose rows add up: (keys, sums).
-SUMS = {"user_aggregate": (["generation_id", "user_id"], ["views", "clicks", "purchases", "value_cents"]), "metric": (["name", "dimensions_json"], ["value"])}
+SUMS = {
+    "user_aggregate": (["generation_id", "user_id"], ["views", "clicks", "purchases", "value_cents"]), "metric": (["name", "dimensions_json"], ["value"]),
+    "shard_metric": (["generation_id", "shard_id", "disposition"], ["n"]), "latency": (["generation_id", "event_type", "latency_ms"], ["n"]),
+}
+#: What an open session is known by. Its bounds only grow, so it has the same ones once.
+SESSION = ["generation_id", "shard_id", "user_id", "start_ms", "end_ms"]
 
 
 @dataclass
 class Outcome:
-    """added: what the records add to each table, for shard_state, open_event and session_component all of it.
+    """added: what the records add to each table, for shard_state all of it; open_session tells which ones begin or end.
 
-    tables: the state after the records. dispositions: one row for each record that was processed.
+    tables: the state after the records, if they were applied to whole tables. dispositions: one row for each record that
+    was processed.
     """
 
     added: dict[str, DataFrame]
@@ -42,6 +48,25 @@ class Outcome:
     dispositions: DataFrame
 
 
+class WholeState:
+    """A state of whole tables, as a batch is applied to it; sources.store has one that reads what a batch can touch."""
+
+    def __init__(self, tables: dict[str, DataFrame]):
+        self.tables, self.shards = tables, tables["shard_state"]
+
+    def identities(self, events: DataFrame) -> DataFrame:
+        """The ledger's rows that events can meet."""
+        return self.tables["identity_ledger"]
+
+    def opened(self, accepted: DataFrame, shards: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(open events, sessions they make up) of the sessions that accepted events extend or that `shards` closes."""
+        return self.tables["open_event"], self.tables["session_component"].select(*SESSION)
+
+    def held(self, rows: DataFrame, name: str) -> DataFrame:
+        """Rows that several tables are made of: here each query asks for one or two, so they are not written."""
+        return rows
+
+
 def empty_state(spark: SparkSession) -> dict[str, DataFrame]:
     return {name: spark.createDataFrame([], ddl) for name, ddl in STATE.items()}
 
@@ -66,15 +91,16 @@ def ordered_strictly(admitted: DataFrame, generation: str = LIVE) -> DataFrame:
     return strictly(rows, "digest", "ingest_time_ms", name="admitted")
 
 
-def process_decoded(decoded: DataFrame, state: dict[str, DataFrame] | None = None, generation: str = LIVE) -> Outcome:
-    """Applies decoded records to a state."""
+def process_decoded(decoded: DataFrame, state=None, generation: str = LIVE) -> Outcome:
+    """Applies decoded records to a state: a dict of whole tables, or what has the methods of WholeState."""
     spark = decoded.sparkSession
-    old = state or empty_state(spark)
-    # Every table below reads these two, so they are written once, with each payload once.
+    old = WholeState(state or empty_state(spark)) if state is None or isinstance(state, dict) else state
+    # Every table below reads these, so they are written once, with each payload once.
     admitted = ordered_strictly(admit(decoded), generation)
     rejected = admitted.where(F.col("rejected").isNotNull())
-    known = with_identity(admitted.where(F.col("rejected").isNull()).drop("object", "root_keys", "payload_keys"), old["identity_ledger"])
-    timed = with_time(known.where("identity = 'NEW_IDENTITY'"), old["shard_state"])
+    valid = admitted.where(F.col("rejected").isNull()).drop("object", "root_keys", "payload_keys")
+    known = staged(with_identity(valid, old.identities(valid)), "known")
+    timed = with_time(known.where("identity = 'NEW_IDENTITY'"), old.shards)
     timed = staged(timed.withColumn("disposition", F.when(F.col("category") == "beyond_watermark", "LATE_BEYOND_WATERMARK").otherwise(F.col("category"))), "timed")
     accepted = timed.where("category <> 'beyond_watermark'")
     repeated = known.where("identity <> 'NEW_IDENTITY'").withColumn("disposition", F.col("identity"))
@@ -90,12 +116,14 @@ def process_decoded(decoded: DataFrame, state: dict[str, DataFrame] | None = Non
     new: dict[str, DataFrame] = {}
     new["identity_ledger"] = timed.select("event_id", "digest", F.col("ingest_time_ms").alias("first_ingest_ms"), (F.col("ingest_time_ms") + IDENTITY_TTL_MS).alias("expiry_ms"), "generation_id", F.col("category").alias("disposition"))
     shard = accepted.groupBy("shard_id", "generation_id").agg(F.max("event_time_ms").alias("max_event_time_ms"), F.count("*").alias("version"))
-    new["shard_state"] = old["shard_state"].unionByName(shard).groupBy("shard_id", "generation_id").agg(F.max("max_event_time_ms").alias("max_event_time_ms"), F.sum("version").alias("version"))
-    opened = old["open_event"].unionByName(accepted.select(*old["open_event"].columns))
-    found = sessions(opened, new["shard_state"])
-    closed = found.where("closed").select("generation_id", F.explode("ids").alias("event_id"))
-    new["open_event"] = opened.join(closed, ["generation_id", "event_id"], "left_anti").select(*old["open_event"].columns)
-    new["session_component"] = component_rows(found)
+    new["shard_state"] = old.held(old.shards.unionByName(shard).groupBy("shard_id", "generation_id").agg(F.max("max_event_time_ms").alias("max_event_time_ms"), F.sum("version").alias("version")), "shards")
+    columns = [c.split()[0] for c in STATE["open_event"].split(", ")]
+    new["open_event"] = accepted.select(*columns, F.col("ingest_time_ms").alias("first_ingest_ms"))
+    opened, before = old.opened(accepted, new["shard_state"])
+    opened = opened.select(*columns).unionByName(accepted.select(*columns))
+    found = old.held(sessions(opened, new["shard_state"]), "found")
+    after = found.where("NOT closed").select(*SESSION)
+    new["open_session"] = after.join(before, SESSION, "left_anti").withColumn("gone", F.lit(False)).unionByName(before.join(after, SESSION, "left_anti").withColumn("gone", F.lit(True)))
     new["session_output"] = session_rows(found)
     new["user_aggregate"] = accepted.groupBy("generation_id", "user_id").agg(*totals())
     work = accepted.select("shard_id", "generation_id", F.col("watermark_after_ms").alias("watermark_ms")).distinct()
@@ -106,14 +134,21 @@ def process_decoded(decoded: DataFrame, state: dict[str, DataFrame] | None = Non
     new["outbox"] = outbox_rows(new["quarantine"])
     new["processing_commit"] = event_commits(timed).unionByName(transport_commits(rejected))
     new["metric"] = metric_rows(every)
-    new["archive"] = first_rows(archive_rows(admitted), "key", "turn")
-    return Outcome(new, merged(old, new), every)
+    new["shard_metric"] = every.groupBy(F.lit(generation).alias("generation_id"), "shard_id", "disposition").agg(F.count("*").alias("n"))
+    new["latency"] = accepted.groupBy("generation_id", "event_type", (F.col("ingest_time_ms") - F.col("event_time_ms")).alias("latency_ms")).agg(F.count("*").alias("n"))
+    new["archive"] = first_rows(archive_rows(admitted), "key", "turn", F.count_distinct("sha256").alias("bodies"))
+    if not isinstance(old, WholeState):
+        return Outcome(new, {}, every)
+    closed = found.where("closed").select("generation_id", F.explode("ids").alias("event_id"))
+    still = opened.join(closed, ["generation_id", "event_id"], "left_anti").select(*columns)
+    return Outcome(new, merged(old.tables, new | {"open_event": still, "session_component": component_rows(found)}), every)
 
 
 def merged(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The state that follows `old` when `new` is added."""
     out = dict(old)
-    for name, rows in new.items():
+    for name in old.keys() & new.keys():
+        rows = new[name]
         if name in SUMS:
             keys, sums = SUMS[name]
             out[name] = old[name].unionByName(rows).groupBy(*keys).agg(*[F.sum(c).cast("bigint").alias(c) for c in sums])
@@ -125,7 +160,7 @@ def merged(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, Da
     return out
 
 
-def process(records: DataFrame, state: dict[str, DataFrame] | None = None, generation: str = LIVE) -> Outcome:
+def process(records: DataFrame, state=None, generation: str = LIVE) -> Outcome:
     """Applies transport records to a state."""
     return process_decoded(decode(records), state, generation)
 

@@ -10,6 +10,8 @@ from ..functions.contract import CONTRACT_VERSION, REQUIRED_KEYS
 
 ARN = "arn:example:stream/events"
 COPY_STEP, BATCH_ROWS = 10_000_000_000, 4096
+#: How far a shard's clock is ahead whose clock is wrong.
+FAR_MS = 189_000_000_000_000
 
 #: The same records as decoded() gives, in DuckDB SQL.
 RECORDS_SQL = f"""
@@ -39,10 +41,11 @@ keyed AS (
     ELSE 'rejected/source=' || source_hash || '/shard=' || shard_id || '/sequence=' || sequence_number || '/transport=' || sha256(base64(encode(canonical))) || '.bin' END AS raw_key FROM dig)"""
 
 
-def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def decoded(spark: SparkSession, sf_dir: str, far: bool = False) -> DataFrame:
     """The table as decoded records: events of five types in four shards, some late, some rejected, some delivered again.
 
-    Copies come after all originals: identical ones, changed ones, and ones after the dedupe horizon.
+    Copies come after all originals: identical ones, changed ones, and ones after the dedupe horizon. With `far` some events
+    come by a fifth shard whose clock is some thousands of years ahead.
     """
     # A file of one row group is one task's; what follows is cheap to deal and dear to compute.
     src = spark.read.parquet(f"{sf_dir}/events.parquet").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -51,11 +54,12 @@ def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = src.withColumn("copy", F.explode(F.filter(due, lambda x: x.isNotNull()))).withColumn("seq", F.col("copy").cast("bigint") * COPY_STEP + F.col("id"))
     ident = F.col("id")
     lag = F.when(ident % 103 == 0, -60001).when(ident % 107 == 0, 604800001).when(ident % 13 == 0, 1200000).when(ident % 29 == 0, 5400000).otherwise(0)
-    ingest = F.col("at_ms") + F.when(F.col("copy") == 3, 604800001).otherwise(0)
+    away = (ident % 500 == 7) if far else F.lit(False)
+    ingest = F.col("at_ms") + F.when(F.col("copy") == 3, 604800001).otherwise(0) + F.when(away, F.lit(FAR_MS)).otherwise(0)
     user = F.concat(F.lit("u-"), F.col("uid").cast("string"))
     rows = rows.select(
         F.expr(f"seq div {BATCH_ROWS}").alias("batch_id"), F.lit(0).cast("bigint").alias("position"), F.lit(ARN).alias("event_source_arn"),
-        F.concat(F.lit("shard-"), (F.col("uid") % 4).cast("string")).alias("shard_id"), F.col("seq").cast("string").alias("sequence_number"),
+        F.when(away, "shard-far").otherwise(F.concat(F.lit("shard-"), (F.col("uid") % 4).cast("string"))).alias("shard_id"), F.col("seq").cast("string").alias("sequence_number"),
         F.when(ident % 101 == 0, "other").otherwise(user).alias("partition_key"), (ident % 97 == 0).alias("has_email"),
         F.lit(None).cast("string").alias("failure"), F.lit("decoded").alias("representation"), F.lit(False).alias("float"),
         F.lit(CONTRACT_VERSION).alias("schema_version"), F.concat(F.lit("evt-"), ident.cast("string")).alias("event_id"), F.lit("web").alias("source"), user.alias("user_id"),
@@ -70,6 +74,19 @@ def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("body", F.encode("canonical", "utf-8")).withColumn("transport_text", F.regexp_replace(F.base64("body"), "[\\r\\n]", ""))
 
 
+#: RECORDS_SQL with the shard whose clock is wrong.
+FAR_SQL = RECORDS_SQL.replace("ELSE 0 END AS ingest_time_ms", f"ELSE 0 END + CASE WHEN id % 500 = 7 THEN {FAR_MS} ELSE 0 END AS ingest_time_ms", 1).replace("'shard-' || (uid % 4) AS shard_id", "CASE WHEN id % 500 = 7 THEN 'shard-far' ELSE 'shard-' || (uid % 4) END AS shard_id", 1)
+
+
+def in_increments(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """decoded() with the wrong clock, as three deliveries: shard 0's originals and the first half of the others', the second
+    half of the others', and all copies. So shard 0 is idle in the second one, and what is repeated is so over batches."""
+    rows, seq = decoded(spark, sf_dir, far=True), F.col("sequence_number").cast("bigint")
+    half = rows.agg((F.max(seq % COPY_STEP) / 2).cast("bigint")).first()[0] or 0
+    first = (seq <= half) | (F.col("shard_id") == "shard-0")
+    return [rows.where((seq < COPY_STEP) & first), rows.where((seq < COPY_STEP) & ~first), rows.where(seq >= COPY_STEP)]
+
+
 def redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """decoded() with every third event's records twice, under the same batch, shard, sequence and position."""
     rows = decoded(spark, sf_dir)

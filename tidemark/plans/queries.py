@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +14,11 @@ from ..operators.admission import admit, prohibited
 from ..operators.decode import decode
 from ..operators.ordering import with_order
 from ..operators.quarantine import outbox_page as page
-from ..sources.scratch import staged
+from ..sources.scratch import shared_folder, staged
+from ..sources.store import StateTables
+from ..streaming.stream import add_decoded
 from . import engine
-from .events import FAULT_SQL, RECORDS_SQL, decoded, redelivered, transported
+from .events import FAR_SQL, FAULT_SQL, RECORDS_SQL, decoded, in_increments, redelivered, transported
 
 IDENT_SQL = RECORDS_SQL + """,
 seen AS (SELECT *, row_number() OVER w AS nth, first_value(digest) OVER w AS first_digest, first_value(ingest_time_ms) OVER w AS first_ingest FROM keyed WHERE rejected IS NULL WINDOW w AS (PARTITION BY event_id ORDER BY seq)),
@@ -278,6 +282,39 @@ def incremental_state(spark, sf_dir):
     return engine.process_decoded(rows.where(F.col("batch_id") >= middle), first.tables).tables["user_aggregate"].drop("generation_id")
 
 
+def _store(spark, sf_dir) -> StateTables:
+    """State tables to which the records of in_increments() were added as three batches."""
+    store = StateTables(spark, f"{shared_folder(spark)}/tidemark/state-{uuid.uuid4().hex}")
+    for n, rows in enumerate(in_increments(spark, sf_dir)):
+        add_decoded(store, rows, n)
+    return store
+
+
+def redelivered_over_batches(spark, sf_dir):
+    """What three batches with an idle shard and a wrong clock make of each record: its commit, its quarantine row, and counts."""
+    tables = _store(spark, sf_dir).load()
+    commits = tables["processing_commit"].select(F.lit("commit").alias("kind"), F.col("commit_id").alias("id"), "disposition")
+    isolated = tables["quarantine"].select(F.lit("quarantine").alias("kind"), F.col("quarantine_id").alias("id"), "disposition")
+    counts = tables["shard_metric"].select(F.lit("count").alias("kind"), F.concat_ws(":", "shard_id", "disposition").alias("id"), F.col("n").cast("string").alias("disposition"))
+    return commits.unionAll(isolated).unionAll(counts)
+
+
+def open_sessions_over_batches(spark, sf_dir):
+    """Sessions that are open after three batches, from the rows by which they began and ended."""
+    store = _store(spark, sf_dir)
+    return store.table("open_session").select("shard_id", "user_id", "start_ms", "end_ms")
+
+
+def sessions_over_batches(spark, sf_dir):
+    """Sessions that three batches closed: totals and members, from open events that lie by the hour."""
+    return _store(spark, sf_dir).table("session_output").drop("generation_id", "output_version")
+
+
+def latency_over_batches(spark, sf_dir):
+    """latency_percentiles from the sums of three batches, with no event read again."""
+    return quality.nearest_rank_of_counts(_store(spark, sf_dir).table("latency"), ["event_type"], "latency_ms", "n", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
 def component_prefix_scan(spark, sf_dir):
     """Sortable range keys by prefix and upper bound, ascending: the ordered index scan."""
     accepted = _accepted(spark, sf_dir)
@@ -293,7 +330,7 @@ def queries() -> dict:
         decode_dispositions, redelivered_in_batch, redelivered_aggregate, admission_dispositions, admission_counts, identity_dispositions, event_time_classification, shard_watermarks, session_islands, dense_sessions, component_match_range_join, member_containment_join,
         closure_page, due_components_remain, outbox_page, event_digest, raw_key, stable_ids, disposition_log, event_rates, latency_percentiles, key_skew, hot_key_pressure, checkpoint_after_batch,
         batch_item_failures, processed_before_failure, replay_keys, archive_reconciliation, coverage_orphans, order_line_reconciliation, hash_chain_check, prohibited_key_scan, exactly_one_resolution,
-        dense_retry, incremental_state, component_prefix_scan,
+        dense_retry, incremental_state, component_prefix_scan, redelivered_over_batches, open_sessions_over_batches, sessions_over_batches, latency_over_batches,
     ]
     state = {
         "identity_ledger": _state("identity_ledger"), "shard_state": _state("shard_state"), "open_event": _state("open_event"), "open_sessions": _state("session_component"),
@@ -358,6 +395,13 @@ def oracle_sql() -> dict[str, str]:
     }
     out = {k: _sql(v) for k, v in q.items()}
     twice = IDENT_SQL.replace("\nmoved AS (SELECT *,", "\nmoved AS (SELECT copies.*,", 1).replace("FROM copies),", "FROM copies, range(CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END) AS t(again)),", 1)
+    far = IDENT_SQL.replace(RECORDS_SQL, FAR_SQL)
+    out["redelivered_over_batches"] = _sql(
+        f"SELECT 'commit' AS kind, commit_id AS id, disposition FROM ({q['processing_commit']}) UNION ALL SELECT 'quarantine', quarantine_id, disposition FROM quar UNION ALL SELECT 'count', shard_id || ':' || disposition, CAST(count(*) AS VARCHAR) FROM disp GROUP BY shard_id, disposition", far
+    )
+    out["open_sessions_over_batches"] = _sql("SELECT shard_id, user_id, start_ms, end_ms FROM clo WHERE NOT closed", far)
+    out["sessions_over_batches"] = _sql(f"SELECT * EXCLUDE (generation_id, output_version) FROM ({q['session_output']})", far)
+    out["latency_over_batches"] = _sql(q["latency_percentiles"], far)
     out["redelivered_in_batch"] = _sql("SELECT sequence_number, disposition, count(*) AS n FROM disp GROUP BY ALL", twice)
     out["redelivered_aggregate"] = _sql(q["incremental_state"], twice)
     out["decode_dispositions"] = _sql(FAULT_SQL)
