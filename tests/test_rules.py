@@ -8,6 +8,7 @@ from tests.test_engine import collected, dispositions, frame
 from tidemark.operators import rules
 from tidemark.operators.timeline import time_category
 from tidemark.plans import engine
+from tidemark.sources.records import read_documents
 
 
 def test_singletons_and_times(spark):
@@ -65,3 +66,28 @@ def test_closing_and_gap_boundaries(spark):
     assert sessions(1_800_000, 3_600_000) == []
     assert sessions(1_800_000, 3_600_001) == [2]
     assert sessions(1_800_001, 3_600_001) == [1, 1]
+
+
+def test_documents_are_decided_by_a_table_of_rules(spark, tmp_path):
+    """Freshness, singleton, quota and cost on files: what can't be judged leaves it open, what doesn't hold refuses it."""
+    import json
+
+    good = {"captured_at": "2026-01-02T00:00:00Z", "regions": ["r-1"], "quota": {"Value": 5}, "cost": {"total": 6.5}, "mode": "lab"}
+    cases = {
+        "good": good, "old": good | {"captured_at": "2025-12-31T23:59:59Z"}, "later": good | {"captured_at": "2026-01-02T12:00:01Z"}, "timeless": good | {"captured_at": "2026-01-02"}, "regions": good | {"regions": ["r-1", "r-2"]}, "scalar": good | {"regions": "r-1"},
+        "quota": good | {"quota": {"Value": 0}}, "text": good | {"quota": {"Value": "many"}}, "both": good | {"mode": "live", "quota": {}, "cost": {"total": 9}},
+    }
+    for name, case in cases.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(case))
+    (tmp_path / "bad.json").write_text('{"a": 1, "a": 2}')
+    table = [
+        rules.Rule("$.captured_at", "fresh", 24, "stale"), rules.Rule("$.regions", "only", "r-1", "region"), rules.Rule("$.quota.Value", "at_least", 1, "quota"),
+        rules.Rule("$.cost.total", "below", 8, "cost"), rules.Rule("$.mode", "equals", "lab", "mode"), rules.Rule("$.mode", "one_of", ["lab", "live"], "mode"), rules.Rule("$.cost", "present", None, "cost"),
+    ]
+    got = {r["path"].split("/")[-1][:-5]: (r["decision"], r["findings"]) for r in rules.decided(read_documents(spark, str(tmp_path)), table, F.lit("2026-01-02T12:00:00Z").cast("timestamp")).collect()}
+    assert got == {
+        "good": ("ADMITTED", []), "scalar": ("ADMITTED", []), "old": ("NO_GO", ["stale"]), "later": ("NO_GO", ["stale"]), "timeless": ("INDETERMINATE", ["stale: nothing to judge"]), "regions": ("NO_GO", ["region"]), "quota": ("NO_GO", ["quota"]),
+        "text": ("INDETERMINATE", ["quota: nothing to judge"]), "both": ("INDETERMINATE", ["cost", "mode", "quota: nothing to judge"]), "bad": ("INDETERMINATE", ["unreadable: DUPLICATE_JSON_KEY"]),
+    }
+    with pytest.raises(ValueError):
+        rules.Rule("$.a", "else", 1, "x").holds(F.col("document"), F.current_timestamp())

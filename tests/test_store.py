@@ -1,5 +1,6 @@
 """State tables by micro-batch, crash boundaries, the stream, replay, the outbox and failures."""
 
+import hashlib
 import json
 import random
 from pathlib import Path
@@ -17,7 +18,7 @@ from tidemark.plans import engine
 from tidemark.sources.records import inventory, read_batches, read_documents, read_journal, records_of
 from tidemark.sources.scratch import shared_folder
 from tidemark.sources.store import StateTables, no_probe
-from tidemark.streaming.run import export, run_batches
+from tidemark.streaming.run import export, journal_faults, run_batches
 from tidemark.streaming.stream import Unsound, apply_batch, record_failure, replay, require_sound_rows, run_stream
 
 
@@ -415,13 +416,34 @@ def test_batch_runner_and_export(spark, tmp_path):
 
 
 def test_journal_rows_are_chained(spark, tmp_path):
-    rows = spark.createDataFrame([("r", i, f"step {i}") for i in range(1, 6)] + [("q", 1, "x")], "run_id string, ordinal bigint, boundary string")
-    chain = quality.chained(rows, ["run_id"], "ordinal", "boundary")
+    steps = [("r", i, f"step {i}", "crash" if i < 3 else "restart", 7 if i < 3 else 8) for i in range(1, 6)] + [("q", 1, "x", "crash", 7), ("q", 2, "y", "restart", 7)]
+    rows = spark.createDataFrame(steps, "run_id string, ordinal bigint, boundary string, phase string, process_id bigint")
+    chain = quality.chained(rows, ["run_id"], "ordinal", "boundary").join(rows.select("run_id", "ordinal", "phase", "process_id"), ["run_id", "ordinal"])
     chain.write.json(f"{tmp_path}/j")
     read = read_journal(spark, f"{tmp_path}/j")
     content = F.concat("previous_sha256", F.lit("\n"), "boundary")
     faults = lambda x: quality.chain_faults(x, ["run_id"], "ordinal", "previous_sha256", "entry_sha256", content)
-    assert read.count() == 6 and faults(read).count() == 0
+    assert read.count() == 7 and faults(read).count() == 0
     changed = read.withColumn("boundary", F.when(F.col("ordinal") == 3, "else").otherwise(F.col("boundary")))
     assert [r["ordinal"] for r in faults(changed).collect()] == [3]
     assert [r["ordinal"] for r in faults(read.where("ordinal <> 2")).collect()] == [3, 4, 5]
+    # A restart by the process that crashed is found, and goes with the export.
+    assert collected(journal_faults(read), "run_id", "fault") == [("q", "process")]
+    store = by_batches(spark, tmp_path / "s", [rows_of(EVENTS[:1])])
+    export(store, f"{tmp_path}/out", f"{tmp_path}/j")
+    assert spark.read.json(f"{tmp_path}/out/journal").count() == 7 and spark.read.json(f"{tmp_path}/out/journal_faults").first()["fault"] == "process"
+
+
+def test_a_long_chain_is_one_fold(spark):
+    """A run of 200,000 entries: each hash follows the one before, over the borders of Arrow batches too."""
+    n = 200_000
+    chain = quality.chained(spark.range(1, n + 1).select(F.lit("r").alias("run"), F.col("id").alias("ordinal"), F.col("id").cast("string").alias("content")), ["run"], "ordinal", "content")
+    rows = {r["ordinal"]: r for r in chain.where("ordinal % 9999 < 2 OR ordinal > 199990").collect()}
+    last = "GENESIS"
+    for i in range(1, n + 1):
+        if i in rows:
+            assert rows[i]["previous_sha256"] == last
+        last = hashlib.sha256(f"{last}\n{i}".encode()).hexdigest()
+        assert i not in rows or rows[i]["entry_sha256"] == last
+
+

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,40 @@ def reconcile(expected: DataFrame, actual: DataFrame, key: str, compare: list[st
     return left.join(right, key, "full_outer").select(key, status.alias("status"))
 
 
+def _comparable(rows: DataFrame) -> DataFrame:
+    """rows with maps, which can be neither hashed nor compared, as JSON in the order of their keys."""
+    maps = [f.name for f in rows.schema.fields if f.dataType.typeName() == "map"]
+    return rows.withColumns({c: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c)))) for c in maps})
+
+
+def table_digests(rows: DataFrame, key: list[str], ranges: int) -> DataFrame:
+    """One row (range, n, digest) for each range of key hashes: how many rows it has, and the sum of their hashes.
+
+    The digest doesn't depend on the order of rows, and combines before the shuffle, so two exports of any size are
+    compared by `ranges` rows.
+    """
+    rows = _comparable(rows)
+    # A null leaves a hash as it is, so each column is hashed with whether it is null.
+    whole = F.xxhash64(*[x for c in sorted(rows.columns) for x in (F.isnull(c), F.col(c))])
+    return rows.groupBy(F.pmod(F.xxhash64(*key), F.lit(ranges)).alias("range")).agg(F.count("*").alias("n"), F.sum(whole.cast("decimal(38,0)")).alias("digest"))
+
+
+def differing(expected: DataFrame, actual: DataFrame, key: list[str], ranges: int = 4096) -> DataFrame:
+    """Keys that one of two tables of the same columns has alone, or with other values: (key, status) as reconcile() names it.
+
+    Digests say which ranges of keys differ, and only the rows of these are joined. Keys are unique in each table. If so
+    many rows differ that most ranges do, this is a join of the whole tables.
+    """
+    expected, actual = _comparable(expected), _comparable(actual)
+    both = table_digests(expected, key, ranges).join(table_digests(actual, key, ranges).withColumnsRenamed({"n": "m", "digest": "other"}), "range", "full_outer")
+    off = both.where(~(F.col("n").eqNullSafe(F.col("m")) & F.col("digest").eqNullSafe(F.col("other")))).select("range")
+    some = lambda rows: rows.withColumn("range", F.pmod(F.xxhash64(*key), F.lit(ranges))).join(F.broadcast(off), "range", "left_semi").drop("range")  # noqa: E731 - a row for each range at most
+    rest = [c for c in expected.columns if c not in key]
+    left, right = some(expected).select(*key, F.struct(*rest).alias("e")), some(actual).select(*key, F.struct(*rest).alias("a"))
+    status = F.when(F.col("a").isNull(), "MISSING").when(F.col("e").isNull(), "EXTRA").otherwise("MISMATCH")
+    return left.join(right, key, "full_outer").where(~F.col("e").eqNullSafe(F.col("a"))).select(*key, status.alias("status"))
+
+
 def orphans(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys of one side only: (key, side), side being left or right."""
     a, b = left.select(key).distinct(), right.select(key).distinct()
@@ -84,18 +122,34 @@ def chain_faults(rows: DataFrame, run: list[str], ordinal: str, previous: str, o
     return checked.where("NOT (turn_ok AND previous_ok AND own_ok)")
 
 
+def _chaining(run: list[str], content: str, names: list[str]):
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, ""
+        for batch in batches:
+            before, after = [], []
+            for key, text in zip(zip(*[batch.column(c).to_pylist() for c in run], strict=True), batch.column(content).to_pylist(), strict=True):
+                before.append(own if key == last else "GENESIS")
+                last, own = key, hashlib.sha256(f"{before[-1]}\n{text}".encode()).hexdigest()
+                after.append(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], [*names, "previous_sha256", "entry_sha256"])
+
+    return fold
+
+
 def chained(entries: DataFrame, run: list[str], ordinal: str, content: str) -> DataFrame:
     """Journal rows of entries (run, ordinal, content): each with the hash of the one before it and its own hash.
 
-    An entry's hash covers its predecessor's, so a run is one chain and is hashed in one go; runs are spread. The first
-    entry of a run follows GENESIS.
+    An entry's hash covers its predecessor's, so a run is one chain and its hashes are made one after the other: a task
+    goes through its runs in order and keeps one hash, whatever a run's length. The first entry of a run follows GENESIS.
     """
-    listed = F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("ordinal"), F.col(content).alias("content"))))
-    row = lambda x, before: F.struct(x["ordinal"].alias(ordinal), x["content"].alias(content), before.alias("previous_sha256"), F.sha2(F.concat(before, F.lit("\n"), x["content"]), 256).alias("entry_sha256"))
-    kind = entries.select(F.col(ordinal), F.col(content), F.lit("").alias("previous_sha256"), F.lit("").alias("entry_sha256")).schema.simpleString()
-    add = lambda done, x: F.concat(done, F.array(row(x, F.coalesce(F.try_element_at(done, F.lit(-1))["entry_sha256"], F.lit("GENESIS")))))
-    whole = F.aggregate(listed, F.array().cast(f"array<{kind}>"), add)
-    return entries.groupBy(*run).agg(whole.alias("rows")).select(*run, F.inline("rows"))
+    rows = entries.select(*run, ordinal, content)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.repartition(*run).sortWithinPartitions(*run, ordinal).mapInArrow(_chaining(run, content, rows.columns), f"{kinds}, previous_sha256 string, entry_sha256 string")
+
+
+def shared_processes(journal: DataFrame, run: list[str], phase: str, process: str) -> DataFrame:
+    """Processes (run, process) that served more than one phase of a run: a restart has to be another process."""
+    return journal.groupBy(*run, process).agg(F.count_distinct(phase).alias("phases")).where("phases > 1")
 
 
 def prefixed(values: DataFrame, column: str, prefix: str) -> DataFrame:

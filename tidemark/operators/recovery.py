@@ -101,12 +101,12 @@ def unavailable(failed: DataFrame, generation: str) -> DataFrame:
 
 
 def state_faults(tables: dict[str, DataFrame]) -> DataFrame:
-    """(rule, n): rows that break a rule of the state; none if it is sound."""
+    """(rule, n): how many keys or rows break a rule of the state; none if it is sound. All tables' keys are grouped at once."""
     keys = {n: k for n, k in KEYS.items() if n != "archive"} | {n: k for n, (k, _) in SUMS.items()}
-    out = [tables[t].groupBy(*k).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("n")).select(F.lit(f"{t} has repeated keys").alias("rule"), "n") for t, k in keys.items()]
-    alone = tables["quarantine"].join(tables["outbox"], "quarantine_id", "left_anti").agg(F.count("*").alias("n"))
-    out.append(alone.select(F.lit("quarantine without outbox").alias("rule"), "n"))
-    return functools.reduce(DataFrame.unionAll, out).where("n > 0")
+    each = [tables[t].select(F.lit(f"{t} has repeated keys").alias("rule"), F.to_json(F.struct(*k)).alias("key")) for t, k in keys.items()]
+    repeated = functools.reduce(DataFrame.unionAll, each).groupBy("rule", "key").agg(F.count("*").alias("n")).where("n > 1").select("rule")
+    alone = tables["quarantine"].join(tables["outbox"], "quarantine_id", "left_anti").select(F.lit("quarantine without outbox").alias("rule"))
+    return repeated.unionAll(alone).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 def added_faults(added: dict[str, DataFrame]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import json_string, sortable, stable_id, token
 from ..functions.contract import CLOSURE_PAGE, INACTIVITY_GAP_MS
-from ..operators import quality, timeline
+from ..operators import quality, rules, timeline
 from ..operators.admission import admit, prohibited
 from ..operators.decode import decode
 from ..operators.ordering import with_order
@@ -256,6 +256,40 @@ def hash_chain_check(spark, sf_dir):
     return quality.chain_faults(linked, ["user_id"], "ordinal", "previous", "own", F.col("content")).select("event_id", "previous_ok", "own_ok", "turn_ok")
 
 
+def state_comparison(spark, sf_dir):
+    """User aggregates against a copy in which some users are lost and others have a view more; what the digests lead to."""
+    rows = staged(engine.process_decoded(decoded(spark, sf_dir)).tables["user_aggregate"], "aggregate")
+    number = F.regexp_extract("user_id", "[0-9]+", 0).cast("bigint")
+    changed = rows.where(number % 97 != 5).withColumn("views", F.col("views") + F.when(number % 97 == 6, 1).otherwise(0))
+    return quality.differing(rows, changed, ["generation_id", "user_id"]).select("user_id", "status")
+
+
+def shared_processes(spark, sf_dir):
+    """Hours of the day, as processes, that served views and clicks of one user, as phases of one run."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type IN ('view', 'click')")
+    return quality.shared_processes(rows.withColumn("process_id", F.hour("ts")), ["user_id"], "event_type", "process_id").select("user_id", "process_id", "phases")
+
+
+def prefixed_pages(spark, sf_dir):
+    """How many records' pages begin with P-1, in any case."""
+    return quality.prefixed(decoded(spark, sf_dir), "page_id", "P-1")
+
+
+RULES = [
+    rules.Rule("$.k", "below", 90, "k is too large"), rules.Rule("$.kind", "one_of", ["view", "click", "purchase"], "kind is unknown"),
+    rules.Rule("$.only", "only", "web", "source is not web alone"), rules.Rule("$.at", "fresh", 240, "event is old"),
+]
+
+
+def document_decisions(spark, sf_dir):
+    """Events as JSON documents, judged by a table of rules: how many have which decision and findings."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    fields = F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), F.when(F.col("user_id") % 9 != 0, F.col("event_type")).alias("kind"), F.when(F.col("user_id") % 5 == 0, F.array(F.lit("web"), F.lit("app"))).otherwise(F.array(F.lit("web"))).alias("only"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"))
+    documents = rows.select(F.try_parse_json(F.to_json(fields)).alias("document"), F.when(F.col("event_id") % 1000 == 3, "INVALID_JSON").alias("error"))
+    judged = rules.decided(documents, RULES, F.lit("2024-01-31T00:00:00Z").cast("timestamp"))
+    return judged.groupBy("decision", F.concat_ws(";", "findings").alias("findings")).agg(F.count("*").alias("n"))
+
+
 def prohibited_key_scan(spark, sf_dir):
     """How often payload keys are prohibited, in the events' properties and in the records."""
     rows = _admitted(spark, sf_dir)
@@ -331,6 +365,7 @@ def queries() -> dict:
         closure_page, due_components_remain, outbox_page, event_digest, raw_key, stable_ids, disposition_log, event_rates, latency_percentiles, key_skew, hot_key_pressure, checkpoint_after_batch,
         batch_item_failures, processed_before_failure, replay_keys, archive_reconciliation, coverage_orphans, order_line_reconciliation, hash_chain_check, prohibited_key_scan, exactly_one_resolution,
         dense_retry, incremental_state, component_prefix_scan, redelivered_over_batches, open_sessions_over_batches, sessions_over_batches, latency_over_batches,
+        state_comparison, shared_processes, prefixed_pages, document_decisions,
     ]
     state = {
         "identity_ledger": _state("identity_ledger"), "shard_state": _state("shard_state"), "open_event": _state("open_event"), "open_sessions": _state("session_component"),
@@ -413,5 +448,13 @@ def oracle_sql() -> dict[str, str]:
     dense = IDENT_SQL.replace("acc AS (SELECT * FROM timed", "acc AS (SELECT * REPLACE (right(user_id, 1) AS user_id) FROM timed")
     out["dense_sessions"] = _sql("SELECT shard_id, user_id, start_ms, end_ms, member_count, views, clicks, purchases, value_cents, closed FROM clo", dense)
     out["order_line_reconciliation"] = "SELECT CASE WHEN l.key IS NULL THEN 'MISSING' WHEN o.key IS NULL THEN 'EXTRA' ELSE 'MATCH' END AS status, count(*) AS n FROM (SELECT o_orderkey AS key FROM orders) o FULL JOIN (SELECT DISTINCT l_orderkey AS key FROM lineitem) l ON o.key = l.key GROUP BY 1"
+    out["state_comparison"] = _sql("SELECT user_id, CASE WHEN n % 97 = 5 THEN 'MISSING' ELSE 'MISMATCH' END AS status FROM (SELECT DISTINCT user_id, CAST(substr(user_id, 3) AS BIGINT) AS n FROM acc) WHERE n % 97 IN (5, 6)")
+    out["shared_processes"] = "SELECT user_id, CAST(hour(ts) AS INTEGER) AS process_id, count(DISTINCT event_type) AS phases FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2 HAVING count(DISTINCT event_type) > 1"
+    out["document_decisions"] = """WITH d AS (
+      SELECT event_id % 1000 = 3 AS bad, user_id % 9 = 0 AS lacks, CAST(json_extract(props, '$.k') AS INTEGER) >= 90 AS large, event_type NOT IN ('view', 'click', 'purchase') AS unknown, user_id % 5 = 0 AS other, date_trunc('second', ts) < TIMESTAMP '2024-01-21 00:00:00' OR date_trunc('second', ts) > TIMESTAMP '2024-01-31 00:00:00' AS old FROM events),
+    f AS (SELECT CASE WHEN bad OR lacks THEN 'INDETERMINATE' WHEN large OR unknown OR other OR old THEN 'NO_GO' ELSE 'ADMITTED' END AS decision,
+      CASE WHEN bad THEN 'unreadable: INVALID_JSON' ELSE concat_ws(';', CASE WHEN old THEN 'event is old' END, CASE WHEN large THEN 'k is too large' END, CASE WHEN lacks THEN 'kind is unknown: nothing to judge' WHEN unknown THEN 'kind is unknown' END, CASE WHEN other THEN 'source is not web alone' END) END AS findings FROM d)
+    SELECT decision, findings, count(*) AS n FROM f GROUP BY ALL"""
+    out["prefixed_pages"] = _sql("SELECT count(*) FILTER (WHERE page_id LIKE 'p-1%') AS n FROM rec", RECORDS_SQL)
     out["hash_chain_check"] = "SELECT event_id, false AS previous_ok, true AS own_ok, true AS turn_ok FROM events WHERE event_id % 100 = 0"
     return out
