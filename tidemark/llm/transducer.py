@@ -11,6 +11,7 @@ made when a text first needs them and kept, and a move writes the tokens that al
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -18,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import held_by_worker
+from .tokens import IdEncoder
 
 ENDED = float("inf")
-TEXT_AT_ONCE = 4_000_000
+TEXT_AT_ONCE = 2_000_000
 ENCODED = "doc_id bigint, ids array<int>"
 
 
@@ -53,43 +55,48 @@ def borders(token: bytes, ranks: dict[bytes, int]) -> tuple[list[tuple[bytes, fl
     return [*firsts, (parts[0], ENDED)], [*lasts, (parts[-1], ENDED)]
 
 
+#: (last written token or -1, threads); a thread is (place in the tree of tokens, tokens not yet written).
+State = tuple[int, tuple[tuple[int, tuple[int, ...]], ...]]
+
+
 class Transducer:
     """The merges of a rank file, compiled when they are needed.
 
-    A state is (last written token, threads); a thread is (place in the tree of tokens, tokens not yet written). The
-    first thread's token starts here, at the tree's root. Tables are bounded: a full one starts again.
+    The first thread of a state is the token that starts here, at the tree's root. Tables are bounded: a full one starts
+    again.
     """
 
-    most_moves, most_pairs, most_pieces = 400_000, 400_000, 250_000
+    most_moves, most_missed, most_pairs, most_pieces = 200_000, 200_000, 300_000, 250_000
 
     def __init__(self, ranks: dict[bytes, int]):
         if any(bytes((b,)) not in ranks for b in range(256)):
             raise ValueError("a byte has no token")
         self.ranks, self.token = ranks, {i: t for t, i in ranks.items()}
-        # The tree of tokens: next node by (node, byte), the token that ends at a node, and whether any goes on from it.
+        # The tree of tokens: by (node, byte) the next node, or -1 less the token if nothing goes on from there; and the token
+        # that ends at a node, or -1.
         self.next: dict[int, int] = {}
-        self.ends, self.goes_on = [-1], [True]
-        for token, rank in ranks.items():
+        self.ends = [-1]
+        for token in sorted(ranks, key=len, reverse=True):
             node = 0
-            for b in token:
+            for b in token[:-1]:
                 key = node << 8 | b
                 if key not in self.next:
                     self.next[key] = len(self.ends)
                     self.ends.append(-1)
-                    self.goes_on.append(False)
-                    self.goes_on[node] = True
                 node = self.next[key]
-            self.ends[node] = rank
+            at = self.next.setdefault(node << 8 | token[-1], -1 - ranks[token])
+            if at >= 0:
+                self.ends[at] = ranks[token]
         self.start = (-1, ((0, ()),))
         self.clear()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.parts: dict[int, tuple[list, list]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.earlier: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
 
     def clear(self) -> None:
-        """Forgets all states: they are numbers, so moves and finals go together."""
-        self.numbers, self.states, self.moves, self.finals = {self.start: 0}, [self.start], {}, {}
+        """Forgets all states and the moves between them."""
+        self.numbers, self.states, self.moves, self.missed = {self.start: 0}, [self.start], {}, set()
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the merges leave a and b as they are when b follows a.
@@ -122,72 +129,112 @@ class Transducer:
         self.pairs[key] = out
         return out
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The move from a state by a byte: (next state, tokens written)."""
-        written, threads = self.states[state]
-        step, ends, goes_on, going, ended = self.next.get, self.ends, self.goes_on, [], []
-        for node, tokens in threads:
-            if (node := step(node << 8 | byte)) is not None:
-                if ends[node] >= 0:
-                    ended.append((ends[node], tokens))
-                if goes_on[node]:
+    def _run(self, held: State, data: Iterable[int]) -> tuple[State, list[int]]:
+        """(state, tokens written) after a state has read bytes."""
+        (written, threads), out = held, []
+        step, ends, pairs = self.next.get, self.ends, self.pairs
+        for byte in data:
+            going, ended = [], []
+            for node, tokens in threads:
+                node = step(node << 8 | byte)
+                if node is None:
+                    continue
+                if node < 0:
+                    ended.append((-1 - node, tokens))
+                else:
                     going.append((node, tokens))
-        # One of them is right; the longest is the likeliest.
-        for token, tokens in reversed(ended):
-            before = tokens[-1] if tokens else written
-            if before < 0 or self.follows(before, token):
-                whole = (*tokens, token)
-                break
-        else:
-            raise ValueError("the ranks are not those of merges: no token can be the last here")
-        agreed = len(whole)
-        for _, tokens in going:
-            if len(tokens) < agreed:
-                agreed = len(tokens)
-            while agreed and tokens[agreed - 1] != whole[agreed - 1]:
-                agreed -= 1
-        if agreed:
-            out, written = whole[:agreed], whole[agreed - 1]
-            new = (written, ((0, whole[agreed:]), *[(node, tokens[agreed:]) for node, tokens in going]))
-        else:
-            out, new = (), (written, ((0, whole), *going))
+                    if ends[node] >= 0:
+                        ended.append((ends[node], tokens))
+            # One of them is right; the longest is the likeliest.
+            for token, tokens in reversed(ended):
+                before = tokens[-1] if tokens else written
+                if before < 0 or (pairs[before, token] if (before, token) in pairs else self.follows(before, token)):
+                    whole = (*tokens, token)
+                    break
+            else:
+                raise ValueError("the ranks are not those of merges: no token can be the last here")
+            agreed = len(whole)
+            for _, tokens in going:
+                if len(tokens) < agreed:
+                    agreed = len(tokens)
+                while agreed and tokens[agreed - 1] != whole[agreed - 1]:
+                    agreed -= 1
+            if agreed:
+                out += whole[:agreed]
+                written = whole[agreed - 1]
+                threads = [(0, whole[agreed:]), *[(node, tokens[agreed:]) for node, tokens in going]]
+            else:
+                threads = [(0, whole), *going]
+        return (written, tuple(threads)), out
+
+    def _move(self, state: int, byte: int) -> tuple[int, list[int]]:
+        """The move from a numbered state by a byte: (next state's number, tokens written)."""
+        new, out = self._run(self.states[state], (byte,))
         number = self.numbers.setdefault(new, len(self.states))
         if number == len(self.states):
             self.states.append(new)
         return number, out
 
     def encode_piece(self, data: bytes) -> list[int]:
-        """Ids of one piece."""
-        if len(self.moves) > self.most_moves:
+        """Ids of one piece.
+
+        A move is kept when it is missed for the second time: rare pieces go through states that have no number and are
+        forgotten, so the tables hold what comes again.
+        """
+        if len(self.moves) > self.most_moves or len(self.missed) > self.most_missed:
             self.clear()
-        state, moves, out = 0, self.moves, []
-        for byte in data:
+        state, moves, missed, out = 0, self.moves, self.missed, []
+        for at, byte in enumerate(data):
             key = state << 8 | byte
             move = moves.get(key)
             if move is None:
-                if len(moves) > 2 * self.most_moves:
-                    # Inside a piece a state is carried over by what it stands for.
-                    held = self.states[state]
-                    self.clear()
-                    moves, state = self.moves, self.numbers.setdefault(held, len(self.states))
-                    if state == len(self.states):
-                        self.states.append(held)
-                    key = state << 8 | byte
+                if key not in missed or len(moves) > self.most_moves:
+                    missed.add(key)
+                    held, more = self._run(self.states[state], data[at:])
+                    return [*out, *more, *held[1][0][1]]
+                missed.remove(key)
                 move = moves[key] = self._move(state, byte)
             state = move[0]
             if move[1]:
                 out += move[1]
         return [*out, *self.states[state][1][0][1]]
 
-    def encode(self, text: str, pattern) -> np.ndarray:
-        """Ids of a text: of each match of the pattern by itself. Texts between matches have no ids, as in the library."""
-        if len(self.pieces) > self.most_pieces:
-            # What is met again while the next ones are gathered stays.
-            self.earlier, self.pieces = self.pieces, {}
-        known, earlier, pieces = self.pieces, self.earlier, pattern.findall(text)
-        for piece in set(pieces).difference(known):
-            known[piece] = earlier.get(piece) or tuple(self.encode_piece(piece.encode()))
-        return np.fromiter((i for piece in pieces for i in known[piece]), np.int32)
+    def ids_of(self, piece: str) -> bytes:
+        """Ids of a piece as little-endian 32-bit integers. Of pieces met lately the ids are kept."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) > self.most_pieces:
+                # What is met again while the next ones are gathered stays.
+                self.earlier, self.pieces = self.pieces, {}
+            ids = self.earlier.get(piece)
+            if ids is None:
+                ids = array("i", self.encode_piece(piece.encode())).tobytes()
+            self.pieces[piece] = ids
+        return ids
+
+
+class TextEncoder(IdEncoder):
+    """Whole texts by a transducer: each match of the pattern by itself. Text between matches has no ids, as in the library.
+
+    As operator 5 does, a text is cut before white space that follows another character, and what a distinct stretch gives
+    is kept. No match of a pattern may span such a place; with cut=False texts are matched whole.
+    """
+
+    most_kept = 450_000
+
+    def __init__(self, machine: Transducer, pattern: str, cut: bool = True):
+        import regex
+
+        self.machine, self.match, self.cut, self.known, self.passing = machine, regex.compile(pattern), cut, {}, []
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join(map(self.machine.ids_of, self.match.findall(text)))
+
+    def _kept(self, pieces: list[str]) -> list[bytes]:
+        return list(map(self._whole, pieces))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return super().encode(texts) if self.cut else list(map(self._whole, texts))
 
 
 #: The state machine of UTF-8: what may come next. 0 is between characters; 1, 2 and 3 wait for so many continuation
@@ -215,7 +262,9 @@ class Decoder:
         self.token = {i: t for t, i in ranks.items()}
         self.table = [bytes(_utf8_step(s, b) for b in range(256)) for s in range(9)]
         self.over: dict[tuple[int, int], int] = {}
-        self.plain = {i for i, t in self.token.items() if self._run(WHOLE, t) == WHOLE}
+        # Tokens that lead from a whole character to a whole one.
+        self.plain = np.zeros(max(self.token) + 1, bool)
+        self.plain[[i for i, t in self.token.items() if self._run(WHOLE, t) == WHOLE]] = True
 
     def _run(self, state: int, data: bytes) -> int:
         for b in data:
@@ -237,9 +286,10 @@ class Decoder:
                 data = held + b"".join(map(self.token.__getitem__, ids))
             except KeyError as unknown:
                 raise ValueError(f"no token has the id {unknown}") from None
-            for token in ids if state != WHOLE else [i for i in ids if i not in self.plain] and ids:
-                if state != WHOLE or token not in self.plain:
-                    state = self.step(state, token)
+            if state != WHOLE or not self.plain[chunk].all():
+                for token in ids:
+                    if state != WHOLE or not self.plain[token]:
+                        state = self.step(state, token)
             if state == ERROR:
                 raise ValueError("ids of bytes that are not UTF-8")
             cut = len(data)
@@ -253,41 +303,39 @@ class Decoder:
             raise ValueError("the ids end inside a character")
 
 
-def transducer(path: str) -> Transducer:
-    return held_by_worker(("transducer", path), lambda: Transducer(read_ranks(path)))
+def text_encoder(path: str, pattern: str) -> TextEncoder:
+    return held_by_worker(("transducer", path, pattern), lambda: TextEncoder(Transducer(read_ranks(path)), pattern))
 
 
 def _encoding(path: str, pattern: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gc
 
-        import regex
-
-        machine, cut = transducer(path), regex.compile(pattern)
-        # The tables are millions of tuples without cycles, which the collector would go through again and again.
+        encoder = text_encoder(path, pattern)
+        # The tables are very many tuples without cycles, which the collector would go through again and again.
         gc.disable()
         try:
-            yield from rows(batches, machine, cut)
+            for batch in batches:
+                yield from rows(batch, encoder)
         finally:
             gc.enable()
 
-    def rows(batches: Iterator[pa.RecordBatch], machine: Transducer, cut) -> Iterator[pa.RecordBatch]:
-
-        def made(doc_ids: list, ids: list[np.ndarray]) -> pa.RecordBatch:
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], ["doc_id", "ids"])
-
-        for batch in batches:
-            doc_ids, ids, held = [], [], 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids.append(machine.encode(text.as_py() or "", cut))
-                doc_ids.append(doc_id)
-                held += len(ids[-1])
-                if held > TEXT_AT_ONCE:
-                    yield made(doc_ids, ids)
-                    doc_ids, ids, held = [], [], 0
-            if ids:
-                yield made(doc_ids, ids)
+    def rows(batch: pa.RecordBatch, encoder: TextEncoder) -> Iterator[pa.RecordBatch]:
+        doc_ids, texts, held = [], [], 0
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            texts.append(text.as_py() or "")
+            doc_ids.append(doc_id)
+            held += len(texts[-1])
+            if held > TEXT_AT_ONCE:
+                yield made(doc_ids, encoder.encode(texts))
+                doc_ids, texts, held = [], [], 0
+        if texts:
+            yield made(doc_ids, encoder.encode(texts))
+
+    def made(doc_ids: list, ids: list[bytes]) -> pa.RecordBatch:
+        ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+        values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "ids"])
 
     return run
 
@@ -318,3 +366,9 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """ENCODED with `text`, decoded from the ids; null ids count as none. Ids that no token has, and bytes that are no
     UTF-8, fail."""
     return encoded.select("doc_id", "ids").mapInArrow(_decoding(ranks_path), f"{ENCODED}, text string")
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """ENCODED with `text` decoded from the ids: encode() and decode() one after the other in one worker of a task."""
+    encoding, decoding = _encoding(ranks_path, pattern), _decoding(ranks_path)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: decoding(encoding(batches)), f"{ENCODED}, text string")
