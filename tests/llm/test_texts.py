@@ -260,6 +260,29 @@ def test_mixing_equals_brute_force(spark, block):
     assert own != sorted(own)
 
 
+def test_another_draw_gives_shards_other_words(spark):
+    """The draw decides what stands in an output shard; what is taken of each document in all stays."""
+    rows = [r for i, r in enumerate(corpus(4)) if r not in corpus(4)[:i]]
+    one, two = (mixing.taken(docs(spark, rows), block_words=7, draw=d).collect() for d in ("draw", "other"))
+    assert plain((r["doc_id"], r["taken"], r["target"]) for r in one) == plain((r["doc_id"], r["taken"], r["target"]) for r in two)
+    assert plain((r["doc_id"], r["first_shard"]) for r in one) != plain((r["doc_id"], r["first_shard"]) for r in two)
+    _, drawn = brute_mix(rows, 7)
+    held, other = ({(r["source"], r["shard"]): (r["n_slots"], r["words"]) for r in mixing.shard_contents(docs(spark, rows), block_words=7, draw=d).collect()} for d in ("draw", "other"))
+    assert {k: n for k, (n, _) in held.items()} == drawn and held != other
+    assert sum(w for _, w in held.values()) == sum(w for _, w in other.values()) == sum(r["taken"] for r in one)
+
+
+def test_token_files_spread_rows_without_ids(spark):
+    """Rows that have no doc_id, or all the same one, lie in all parts, equal texts included."""
+    for rows in ([(None, f"text {i % 40}", "a") for i in range(400)], [(7, "same", "a")] * 400):
+        folder = tokens.token_folder(spark, "t")
+        tokens.write_token_files(docs(spark, rows), public("byte_bpe_50k.json"), folder, files=4)
+        parts = [r["n"] for r in spark.read.schema(tokens.ENCODED).orc(folder).groupBy("part").agg(F.count("*").alias("n")).collect()]
+        assert len(parts) == 4 and max(parts) < 200 and sum(parts) == 400
+        got = tokens.read_token_files(spark, folder).orderBy("start").collect()
+        assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:i]) for i in range(400)]
+
+
 def test_shuffled_is_a_permutation(spark):
     for n in (1, 2, 3, 100, 257):
         place = mixing.shuffled(F.col("id"), F.lit(n), [F.lit("k")])
@@ -452,6 +475,31 @@ def test_quality_on_held_out_documents(spark):
     assert np.mean([(scores[i] >= 0.3) == truth[i] for i in held]) > 0.95
 
 
+def test_scores_are_the_networks(spark, tmp_path):
+    """Each row's score by hand from the fitted network, and the pipeline's first stage by these scores, with real labels."""
+    import corpus_pipeline
+
+    rows, labels = labelled(spark, 200)
+    rows += [(9000, None, "a"), (9001, "", None), (None, rows[0][1], "a"), (3, rows[1][1], "b")]
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs(spark, rows).select(*corpus_pipeline.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    vectors, net = quality.quality_model(table, labels)
+
+    def score(text):
+        x = [(float(a) - m) / s for a, m, s in zip(quality.features(text, vectors), net.mean, net.scale, strict=True)]
+        hidden = [math.tanh(sum(a * w for a, w in zip(x, column, strict=True)) + b) for column, b in zip(net.w1.T, net.b1, strict=True)]
+        logit = sum(h * w for h, w in zip(hidden, net.w2, strict=True)) + net.b2
+        return 1 / (1 + math.exp(-max(-30, min(30, logit / net.temperature))))
+
+    want = {t: score(t) for t in {t for _, t, _ in rows}}
+    got = quality.scored(table, labels).select("row.doc_id", "row.text", "score").collect()
+    assert len(got) == len(rows) and all(abs(r["score"] - want[r["text"]]) < 1e-6 for r in got)
+    assert {w < 0.3 for w in want.values()} == {True, False} and min(abs(w - 0.3) for w in want.values()) > 1e-6
+    kept = corpus_pipeline.good_documents(spark, table, str(tmp_path)).collect()
+    assert plain((r["doc_id"], r["text"], r["source"]) for r in kept) == plain(r for r in rows if want[r[1]] >= 0.3)
+
+
 def test_word_vectors_and_features_equal_brute_force(spark):
     """Vectors and pooled features by their definition, neighbour by neighbour."""
     texts = [t for _, t, _ in corpus(8)[:30]] + ["Same same same, SAME!! $$$ x$$$ | y", "one", "", None]
@@ -613,4 +661,12 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         n = len(lib.encode(t or "", add_special_tokens=False).ids)
         cut += [(d, at // 4096, at, min(4096, n - at)) for at in range(0, n, 4096)]
     assert plain((r["doc_id"], r["piece"], r["start"], r["n_tokens"]) for r in after["packing"]) == plain(cut)
+    # One shard: its bins are those of the pieces in the order of their lengths.
+    lengths, bins, found = sorted((r[3] for r in cut), reverse=True), defaultdict(list), defaultdict(list)
+    for n, b in zip(lengths, brute_pack(lengths), strict=True):
+        bins[b].append(n)
+    for r in after["packing"]:
+        found[r["bin_id"], r["bin_size"]].append(r["n_tokens"])
+    wanted = Counter((min(s for s in packing.SIZES if s >= sum(b)), *sorted(b)) for b in bins.values())
+    assert Counter((size, *sorted(b)) for (_, size), b in found.items()) == wanted
     assert plain(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == plain(map(tuple, after["packing"]))

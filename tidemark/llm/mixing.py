@@ -93,7 +93,7 @@ def slot_plan(targets: DataFrame, block_words: int) -> DataFrame:
     return n.drop("rest", "short_at", "epochs")
 
 
-def shard_counts(plan: DataFrame, shard_slots: int, least_shards: int, rows_each: int = 65_536) -> DataFrame:
+def shard_counts(plan: DataFrame, shard_slots: int, least_shards: int, rows_each: int = 65_536, draw: str = "draw") -> DataFrame:
     """The draw: one row (source, shard, n_slots, first_slot) for each output shard that gets slots of a source.
 
     All slots' tickets, a source's ones in a row, are dealt to shards through one pseudorandom permutation, so a shard's
@@ -104,13 +104,13 @@ def shard_counts(plan: DataFrame, shard_slots: int, least_shards: int, rows_each
     told = plan.select("source", "slots", (F.sum("slots").over(every) - F.col("slots")).alias("ticket"), F.sum("slots").over(Window.partitionBy()).alias("all_slots"))
     told = told.withColumn("shards", F.greatest(F.lit(least_shards), F.ceil(F.col("all_slots") / F.lit(shard_slots))).cast("bigint"))
     draws = _unrolled(told, "slots", "own", rows_each)
-    shard = F.pmod(shuffled(F.col("ticket") + F.col("own"), F.col("all_slots"), [F.lit("draw")]), F.col("shards"))
+    shard = F.pmod(shuffled(F.col("ticket") + F.col("own"), F.col("all_slots"), [F.lit(draw)]), F.col("shards"))
     counts = draws.select("source", shard.alias("shard")).groupBy("source", "shard").agg(F.count("*").alias("n_slots"))
     along = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("first_slot", F.coalesce(F.sum("n_slots").over(along), F.lit(0)))
 
 
-def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 512, shard_slots: int = 65_536, least_shards: int = 8, row_id: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 512, shard_slots: int = 65_536, least_shards: int = 8, row_id: Column | None = None, draw: str = "draw") -> tuple[DataFrame, DataFrame]:
     """Returns (uses, sizes).
 
     uses: one row (source, shard, slot, epoch, block, take) for each slot, take being how many of the block's words it
@@ -126,7 +126,7 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, mos
     sizes = placed.join(named, F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "row_id", "source", "size", "source_size", "target", F.col("before").alias("first"))
 
     plan = staged(slot_plan(targets, block_words), "slot-plan")
-    counts = staged(shard_counts(plan, shard_slots, least_shards), "shard-counts")
+    counts = staged(shard_counts(plan, shard_slots, least_shards, draw=draw), "shard-counts")
     slots = _unrolled(counts, "n_slots", "own", 4096).select("source", "shard", (F.col("first_slot") + F.col("own")).alias("slot"))
     told = plan.select(F.col("source").alias("p_source"), "source_size", "goal", "n_blocks", "last")
     slots = slots.join(told, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("epoch", F.expr("slot div n_blocks")).withColumn("turn", F.pmod("slot", "n_blocks"))
@@ -163,15 +163,22 @@ def taken(docs: DataFrame, block_words: int = 512, **options) -> DataFrame:
     uses, sizes = mix(docs, block_words=block_words, **options)
     keys = ["doc_id", "row_id", "source", "size", "source_size", "target"]
     used = F.col("high") - F.col("low")
-    return _uses_of_documents(uses, sizes, block_words).groupBy(*keys).agg(F.sum(used).cast("bigint").alias("taken"), F.min(F.when(used > 0, F.col("shard"))).alias("first_shard")).drop("row_id")
+    rows = _uses_of_documents(uses, sizes, block_words).groupBy(*keys).agg(F.sum(used).cast("bigint").alias("taken"), F.min(F.when(used > 0, F.col("shard"))).alias("first_shard"))
+    return rows.drop("row_id")
+
+
+def shard_contents(docs: DataFrame, block_words: int = 512, **options) -> DataFrame:
+    """One row (source, shard, n_slots, words) for each output shard and source: what the draw gives it."""
+    uses, _ = mix(docs, block_words=block_words, **options)
+    return uses.groupBy("source", "shard").agg(F.count("*").alias("n_slots"), F.sum("take").alias("words"))
 
 
 def mixed_documents(docs: DataFrame, block_words: int = 512, shard: str | None = None, **options) -> DataFrame:
     """The mix as documents: docs' columns, one row for each time that the mix uses a document, with the words it uses.
 
     A text that is used whole stays as it is; of one that is used in part, the words used are joined by single spaces. A
-    use belongs to the output shard of the slot that holds its first words; `shard` names a column for its number. Rows are joined by their written numbers, so rows that repeat a doc_id keep
-    their own sources and other columns.
+    use belongs to the output shard of the slot that holds its first words; `shard` names a column for its number. Rows are
+    joined by their written numbers, so rows that repeat a doc_id keep their own sources and other columns.
     """
     rows = staged(docs.select(whole_row(docs), F.monotonically_increasing_id().alias("own_id")), "numbered")
     uses, sizes = mix(rows.select("row.doc_id", "row.source", "row.text", "own_id"), block_words=block_words, row_id=F.col("own_id"), **options)
