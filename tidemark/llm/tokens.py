@@ -234,12 +234,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     One row is a document: part, doc_id, local_start (ids before it in its part), n_tokens and ids. ORC keeps the ids as
     run-length encoded integers with row indexes in every stripe and Bloom filters on doc_id, so a reader can take
     stripes in parallel and skip those without a document that it looks for. Documents are dealt to parts by doc_id
-    range, null first. Rows that repeat a doc_id, or have none, follow each other in the order of their texts' hashes and
-    row numbers, by which they spread over parts as others do. A null text counts as empty. Only doc_id and text are
-    read; other columns may have any names. An empty table gives no rows.
+    range, null first. Rows that repeat a doc_id, or have none, follow each other in the order of their texts' first 64
+    characters, then of their hashes and row numbers, by which they spread over parts as others do. A null text counts as
+    empty. Only doc_id and text are read; other columns may have any names. An empty table gives no rows.
     """
-    keys = [F.col("doc_id").asc_nulls_first(), "text_hash", "row"]
-    told = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"))
+    keys = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64), F.xxhash64("text"), "row"]
+    told = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     ordered = told.repartitionByRange(files or partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     rows = ordered.mapInArrow(_encoding(tokenizer_path, end_id), ENCODED)
     options = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
