@@ -218,6 +218,17 @@ def test_decode_natively_and_strictly_agree(spark):
         assert {n: r[n] for n in names} == {n: want.get(n) for n in names}, r["transport_text"]
 
 
+@pytest.mark.parametrize("native", [[], [True, True], [False], [True, False, True, False, False]])
+def test_decoded_texts_stand_at_their_places_among_native_ones(native):
+    import pyarrow as pa
+
+    from tidemark.operators import decode as d
+
+    texts = [None if done else base64.b64encode(dumps(event(f"e{i}", i, "u", "view")).encode()).decode() if i % 2 else "*" for i, done in enumerate(native)]
+    got = d._column(pa.array(texts, pa.string()), pa.array(native, pa.bool_())).to_pylist()
+    assert got == [{n: None if done else d.decoded(x).get(n) for n, _ in d.FIELDS} for x, done in zip(texts, native, strict=True)]
+
+
 def test_long_runs_of_backslashes(spark):
     from tidemark.functions.canonical import json_string
 

@@ -94,13 +94,15 @@ def redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("*", again).drop("again")
 
 
-def transported(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transported(spark: SparkSession, sf_dir: str, one_in: int = 1) -> DataFrame:
     """The table as transport records: what decoded() holds, as texts, of which those with id % 11 from 1 to 8 are broken.
 
-    `spaced` ones are JSON with blanks and keys out of order, which is no fault.
+    `spaced` ones are JSON with blanks and keys out of order, which is no fault. Only ids that `one_in` divides are broken:
+    with 73 that is one record in a hundred.
     """
     rows = decoded(spark, sf_dir)
-    which = F.col("sequence_number").cast("bigint") % COPY_STEP % 11
+    ident = F.col("sequence_number").cast("bigint") % COPY_STEP
+    which = F.when(ident % one_in == 0, ident % 11).otherwise(0)
     whole = F.col("canonical")
     rest = F.substring(whole, F.lit(2), F.length(whole))
     texts = {
@@ -126,3 +128,6 @@ d AS (
   SELECT *, CASE k WHEN 1 THEN 'CORRUPT_BASE64' WHEN 2 THEN 'INVALID_UTF8' WHEN 3 THEN 'DUPLICATE_JSON_KEY' WHEN 4 THEN 'INVALID_JSON' WHEN 5 THEN 'INVALID_JSON' WHEN 6 THEN 'NON_OBJECT_JSON' WHEN 7 THEN 'INVALID_SCHEMA' ELSE rejected END AS why FROM b)
 SELECT sequence_number, coalesce(why, 'ADMITTED') AS disposition, CASE WHEN k = 1 THEN 'transport_text' ELSE 'decoded' END AS representation, sha256(body) AS body_sha256,
   CASE WHEN why IS NULL THEN sha256(semantic) ELSE sha256(body) END AS digest FROM d"""
+
+#: The same with one broken record in a hundred.
+RARE_FAULT_SQL = FAULT_SQL.replace("seq % 10000000000 % 11 AS k", "CASE WHEN seq % 10000000000 % 73 = 0 THEN seq % 10000000000 % 11 ELSE 0 END AS k", 1)

@@ -18,7 +18,7 @@ from ..sources.scratch import shared_folder, staged
 from ..sources.store import StateTables
 from ..streaming.stream import add_decoded
 from . import engine
-from .events import FAR_SQL, FAULT_SQL, RECORDS_SQL, decoded, in_increments, redelivered, transported
+from .events import FAR_SQL, FAULT_SQL, RARE_FAULT_SQL, RECORDS_SQL, decoded, in_increments, redelivered, transported
 
 IDENT_SQL = RECORDS_SQL + """,
 seen AS (SELECT *, row_number() OVER w AS nth, first_value(digest) OVER w AS first_digest, first_value(ingest_time_ms) OVER w AS first_ingest FROM keyed WHERE rejected IS NULL WINDOW w AS (PARTITION BY event_id ORDER BY seq)),
@@ -75,12 +75,21 @@ def _state(table: str, *columns: str):
     return run
 
 
-def decode_dispositions(spark, sf_dir):
-    """Transport texts, some of them broken in eight ways, decoded and admitted: what each record is, and its digest."""
-    rows = admit(decode(transported(spark, sf_dir)))
+def _decoded_dispositions(records):
+    rows = admit(decode(records))
     return rows.select("sequence_number", F.coalesce("rejected", F.lit("ADMITTED")).alias("disposition"), "representation", F.sha2("body", 256).alias("body_sha256"), "digest")
 
 
+def decode_dispositions(spark, sf_dir):
+    """Transport texts, most of them broken in eight ways, decoded and admitted: what each record is, and its digest."""
+    return _decoded_dispositions(transported(spark, sf_dir))
+
+
+def decode_stream_dispositions(spark, sf_dir):
+    """The same of a stream as producers send it, in which one text in a hundred is broken."""
+    return _decoded_dispositions(transported(spark, sf_dir, one_in=73))
+
+
 def redelivered_in_batch(spark, sf_dir):
     """Dispositions where every third record comes twice in its batch under the same coordinates."""
     every = engine.process_decoded(redelivered(spark, sf_dir)).dispositions
@@ -361,7 +370,7 @@ def component_prefix_scan(spark, sf_dir):
 
 def queries() -> dict:
     own = [
-        decode_dispositions, redelivered_in_batch, redelivered_aggregate, admission_dispositions, admission_counts, identity_dispositions, event_time_classification, shard_watermarks, session_islands, dense_sessions, component_match_range_join, member_containment_join,
+        decode_dispositions, decode_stream_dispositions, redelivered_in_batch, redelivered_aggregate, admission_dispositions, admission_counts, identity_dispositions, event_time_classification, shard_watermarks, session_islands, dense_sessions, component_match_range_join, member_containment_join,
         closure_page, due_components_remain, outbox_page, event_digest, raw_key, stable_ids, disposition_log, event_rates, latency_percentiles, key_skew, hot_key_pressure, checkpoint_after_batch,
         batch_item_failures, processed_before_failure, replay_keys, archive_reconciliation, coverage_orphans, order_line_reconciliation, hash_chain_check, prohibited_key_scan, exactly_one_resolution,
         dense_retry, incremental_state, component_prefix_scan, redelivered_over_batches, open_sessions_over_batches, sessions_over_batches, latency_over_batches,
@@ -440,6 +449,7 @@ def oracle_sql() -> dict[str, str]:
     out["redelivered_in_batch"] = _sql("SELECT sequence_number, disposition, count(*) AS n FROM disp GROUP BY ALL", twice)
     out["redelivered_aggregate"] = _sql(q["incremental_state"], twice)
     out["decode_dispositions"] = _sql(FAULT_SQL)
+    out["decode_stream_dispositions"] = _sql(RARE_FAULT_SQL)
     out["checkpoint_after_batch"] = _sql(FAIL_SQL + " SELECT f.batch_id, f.shard_id, max(seq) FILTER (WHERE stop IS NULL OR seq < stop) AS checkpoint FROM fl f JOIN st USING (batch_id, shard_id) GROUP BY 1, 2", RECORDS_SQL)
     out["batch_item_failures"] = _sql(FAIL_SQL + " SELECT batch_id, string_agg(CAST(stop AS VARCHAR), ',' ORDER BY shard_id) AS sequence_numbers FROM st WHERE stop IS NOT NULL GROUP BY batch_id", RECORDS_SQL)
     out["processed_before_failure"] = _sql(FAIL_SQL + " SELECT f.batch_id, f.shard_id, count(*) AS n FROM fl f JOIN st USING (batch_id, shard_id) WHERE stop IS NULL OR seq < stop GROUP BY 1, 2", RECORDS_SQL)
