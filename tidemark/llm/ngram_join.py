@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocked, components, forest, held_by_worker, partitions, runs, staged, whole_row
+from .common import blocked, components, forest, giving_back, held_by_worker, partitions, runs, staged, whole_row
 
 MOST_WORDS = 200_000
 
@@ -194,7 +194,7 @@ def _verify(n: int, threshold: float) -> Callable:
             left, right, same = _sides(tile)
             if len(left) == 0 or len(right) == 0 or same and len(left) < 2:
                 continue
-            sets = [shingles(x, n) for x in tile.column("text").to_pylist()]
+            sets = [shingles(x.as_py(), n) for x in tile.column("text")]  # one text at a time as a Python string
             size, weight = np.array([len(x) for x in sets]), tile.column("copies").to_numpy()
             both = common_counts([sets[i] for i in left], [sets[j] for j in right])
             linked = both >= threshold * (size[left][:, None] + size[right] - both) - 1e-9
@@ -227,7 +227,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5, recal
     parts = partitions(spark)
     bands, rows = bands_for(threshold, recall)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    signed = staged(texts.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("n_bytes", F.octet_length("text").cast("bigint")).mapInArrow(_sign(n, bands, rows), SIGNED), "signatures")
+    signed = staged(texts.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("n_bytes", F.octet_length("text").cast("bigint")).mapInArrow(giving_back(_sign(n, bands, rows)), SIGNED), "signatures")
     node = F.struct("doc_id", "text_hash")
     classes = signed.groupBy("set_key").agg(F.min(node).alias("node"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = staged(classes, "text-classes")
@@ -237,7 +237,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5, recal
     met = in_bands.join(crowded, "h").join(classes.select("node", "sketch"), "node").select("h", "in_bucket", "node.*", "sketch")
     keys = ["h", "tile_a", "tile_b"]
     tiles = blocked(met, "h", "doc_id", "in_bucket", bucket_rows).drop("in_bucket")
-    pairs = tiles.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_candidates(least_agreement(threshold, bands * rows)), EDGE)
+    pairs = tiles.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(giving_back(_candidates(least_agreement(threshold, bands * rows))), EDGE)
     edge = [F.struct(F.col("u_doc").alias("doc_id"), F.col("u_hash").alias("text_hash")).alias("u"), F.struct(F.col("v_doc").alias("doc_id"), F.col("v_hash").alias("text_hash")).alias("v")]
     clusters = staged(components(pairs.select(*edge)), "clusters")
 
@@ -248,7 +248,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5, recal
     members = texts.join(members, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
     keys = ["cluster_doc", "cluster_hash", "tile_a", "tile_b"]
     tiles = blocked(members, "cluster_doc", "text_hash", "blocks", 1).drop("blocks")
-    links = staged(tiles.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_verify(n, threshold), EDGE), "links")
+    links = staged(tiles.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(giving_back(_verify(n, threshold)), EDGE), "links")
 
     counts = links.where("n > 0").select(edge[0].alias("node"), "n").groupBy("node").agg(F.sum("n").alias("to_others"))
     groups = components(links.where("n = 0").select(*edge)).select("node", "component")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import hash_share, held_by_worker, partitions, whole_row
+from .common import giving_back, hash_share, held_by_worker, partitions, whole_row
 
 BUCKETS, WIDTH, NONZERO, GROUPS = 1 << 15, 64, 4, 64
 POOLED = 3 * WIDTH
@@ -98,7 +98,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     Partial sums meet by group of buckets. The result has BUCKETS x WIDTH elements whatever the corpus.
     """
-    parts = docs.select("text").mapInArrow(_gather, "part int, sums binary").repartition(min(GROUPS, partitions(docs.sparkSession)), "part")
+    parts = docs.select("text").mapInArrow(giving_back(_gather), "part int, sums binary").repartition(min(GROUPS, partitions(docs.sparkSession)), "part")
     found = parts.mapInArrow(_added, "part int, sums binary").toArrow()
     rows = np.zeros((GROUPS, BUCKETS // GROUPS, WIDTH), np.float32)
     for g, data in zip(found.column("part").to_pylist(), found.column("sums").to_pylist(), strict=True):
@@ -227,7 +227,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000)
     vectors = word_vectors(docs)
     known = F.broadcast(training_labels(labels, most_labels))
     rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL").join(known, "doc_id").select("doc_id", "text", "y")
-    rows = rows.mapInArrow(_featured(vectors), "doc_id bigint, y double, x binary")
+    rows = rows.mapInArrow(giving_back(_featured(vectors)), "doc_id bigint, y double, x binary")
     found = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toArrow()
     x = np.array([np.frombuffer(b, np.float32) for b in found.column("x").to_pylist()]).reshape(-1, POOLED)
     order = np.argsort(found.column("doc_id").to_numpy())
@@ -244,4 +244,4 @@ def scored(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000) -> Dat
     own = docs.select(whole_row(docs))
     with_text = own.select("row", F.col("row.text").alias("text"))
     schema = StructType([own.schema["row"], StructField("score", DoubleType())])
-    return with_text.mapInArrow(_score(vectors, net), schema)
+    return with_text.mapInArrow(giving_back(_score(vectors, net)), schema)
