@@ -60,6 +60,21 @@ def test_near_duplicates(spark, cell, tile):
     assert sum(r["n_links"] for r in got) > 50
 
 
+def test_vectors_visit_few_cells_at_a_low_threshold(spark):
+    rng = np.random.default_rng(5)
+    x = vectors.unit(rng.normal(size=(3000, 64)))
+    reach = math.sqrt(2 - 2 * 0.3)
+    plain = vectors.unit(vectors.kmeans(x.astype(np.float32), 64, 8, True))
+    assert vectors._visits(x, plain, reach) > 20
+    found = vectors.fitted(x, 64, reach)
+    assert 1 <= vectors._visits(x, found, reach) <= vectors.MOST_VISITS
+    near = np.repeat(x[:64], 20, axis=0) + rng.normal(size=(1280, 64)) * 0.001
+    assert len(vectors.fitted(vectors.unit(near), 64, math.sqrt(2 - 2 * 0.98))) == 64  # groups far apart keep their cells
+    rows = table(spark)
+    got = vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA), 0.3, cell_rows=5, tile_rows=40).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(brute_links(rows, 0.3), key=repr)
+
+
 @pytest.mark.parametrize("tile", [8192, 10])
 def test_nearest(spark, tile):
     rows = table(spark, 2, 400)

@@ -19,6 +19,8 @@ from .common import blocked, components, forest, hash_share, partitions, runs, s
 
 #: How many values of vectors a tile, or a driver's sample, holds at most: 64 or 128 MB of 32-bit floats.
 SAMPLE_VALUES, TILE_VALUES = 1 << 24, 1 << 25
+#: How many cells a vector visits on average at most, its home included; where borders are near to all there are fewer cells.
+MOST_VISITS = 4
 
 
 def usable(embedding: Column) -> Column:
@@ -75,6 +77,34 @@ def kmeans(x: np.ndarray, k: int, rounds: int, spherical: bool) -> np.ndarray:
 # Near duplicates
 
 
+def _visited(x: np.ndarray, centroids: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(home of each unit vector, then the rows and the cells of their visits): home, and later cells whose border is within `reach`."""
+    near = x @ centroids.T
+    home = near.argmax(1)
+    lag = near[np.arange(len(home)), home][:, None] - near
+    between = np.sqrt(np.maximum(0, 2 - 2 * centroids[home] @ centroids.T)) * reach + 1e-7
+    return home, *np.nonzero((lag <= between) & (np.arange(len(centroids)) >= home[:, None]))
+
+
+def _visits(x: np.ndarray, centroids: np.ndarray, reach: float, tests: int = 2048) -> float:
+    """How many cells some unit vectors visit on average."""
+    some = x[np.random.default_rng(13).permutation(len(x))[:tests]]
+    return sum(len(_visited(some[at : at + 256], centroids, reach)[1]) for at in range(0, len(some), 256)) / max(1, len(some))
+
+
+def fitted(x: np.ndarray, cells: int, reach: float, most: float = MOST_VISITS) -> np.ndarray:
+    """Centroids of up to `cells` cells of unit vectors: as many as leave a vector `most` visits on average.
+
+    At a low threshold borders are within reach of all vectors, and a vector would be sent to half of the cells, however
+    many there are. Fewer and larger cells, cut into tiles, compare no more than all pairs, and copies stay few.
+    """
+    while True:
+        centroids = unit(kmeans(x.astype(np.float32), cells, 8, True))
+        if cells == 1 or _visits(x, centroids, reach) <= most:
+            return centroids
+        cells = max(1, cells // 2 if cells <= 16 else cells // 4)
+
+
 def _to_cells(centroids: np.ndarray, reach: float) -> Callable:
     """Deals each vector to its nearest centroid's cell, its home, and to each later cell whose border is within `reach`.
 
@@ -92,11 +122,7 @@ def _to_cells(centroids: np.ndarray, reach: float) -> Callable:
             batch = batch.filter(pa.array(sizes == length))
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
-                near = unit(matrix(some.column("embedding"), length)) @ centroids.T
-                home = near.argmax(1)
-                lag = near[np.arange(len(home)), home][:, None] - near
-                between = np.sqrt(np.maximum(0, 2 - 2 * centroids[home] @ centroids.T)) * reach + 1e-7
-                row, cell = np.nonzero((lag <= between) & (np.arange(len(centroids)) >= home[:, None]))
+                home, row, cell = _visited(unit(matrix(some.column("embedding"), length)), centroids, reach)
                 for k in range(0, len(row), 8192):
                     r, c = row[k : k + 8192], cell[k : k + 8192]
                     out = some.take(pa.array(r))
@@ -157,7 +183,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell_rows: int
 
     Two vectors of the same label and length link if their cosine in double precision is at least `threshold`. Spherical
     k-means, fitted on a sample of the most frequent length of at most about sample_rows vectors (fewer if they are very
-    long) and 16 for each cell, cuts the unit vectors into cells of about cell_rows, max_cells at most. A vector is
+    long) and 16 for each cell, cuts the unit vectors into cells of about cell_rows, max_cells at most, and into fewer if
+    vectors would visit more than MOST_VISITS of them. A vector is
     compared in its home cell with all that live there and with all that live so close to its border that they could link
     across it, so no link is lost. A cell is one task's, which multiplies it block by block; a cell of more than
     tile_rows is compared in tiles. component_id is the smallest vec_id that links lead to; that one represents its group.
@@ -177,10 +204,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell_rows: int
     keyed = classes.select("label_key", "length", "rep", "key", "weight", "embedding")
     if cells > 1:
         sample = classes.where((F.col("length") == length) & hash_share(n_classes, fit, "rep", "key")).select("embedding").toArrow()
-        centroids = unit(kmeans(unit(matrix(sample.column(0), length)).astype(np.float32), cells, 8, True))
+        reach = math.sqrt(max(0.0, 2 - 2 * threshold))
+        centroids = fitted(unit(matrix(sample.column(0), length)), cells, reach)
         embedding = f"embedding {classes.schema['embedding'].dataType.simpleString()}"
         schema = f"label_key string, length int, rep bigint, key bigint, weight bigint, {embedding}, cell int, at_home boolean"
-        dealt = keyed.mapInArrow(_to_cells(centroids, math.sqrt(max(0.0, 2 - 2 * threshold))), schema)
+        dealt = keyed.mapInArrow(_to_cells(centroids, reach), schema)
     else:
         dealt = keyed.select("*", F.lit(0).alias("cell"), F.lit(True).alias("at_home"))
     group = ["label_key", "length", "cell"]
