@@ -201,6 +201,22 @@ def test_a_hot_shard_of_one_batch_spans_ranges(spark):
     assert {r["at"]: r["m"] for r in previous_max(rows, ["k"], ["at"], "v", "m").collect()} == want
 
 
+def test_written_records_hold_nothing_twice(spark):
+    """What follows from a record's turn is added after it is read, and only a batch that archives writes bodies."""
+    from tidemark.operators.admission import admit
+    from tidemark.operators.decode import decode
+
+    rows = admit(decode(frame(spark, [record(event("a", 700_000_000, "u"), 1), record(event("b", 700_000_001, "v") | {"source": "?"}, 2, position=1)])))
+    written = engine.in_order(rows)
+    assert not {"raw_key", "digest", "source_hash", "batch_id", "object", "root_keys", "canonical"} & set(written.columns)
+    assert "object" in engine.in_order(rows, objects=True).columns
+    columns = ["batch_id", "digest", "ingest_time_ms", "source_hash", "raw_key", "rejected"]
+    assert sorted(engine.told(written).select(*columns).collect()) == sorted(rows.select(*columns).collect())
+    assert "Aggregate" not in engine.empty_state(spark)["archive"].join(rows.select(F.col("raw_key").alias("key")).distinct(), "key")._jdf.queryExecution().optimizedPlan().toString()
+    kept = rows.unionAll(rows.withColumn("object", F.encode(F.lit("other"), "utf-8")).where("rejected IS NULL"))
+    assert sorted(r["bodies"] for r in engine.object_rows(engine.in_turn(kept)).collect()) == [1, 2]
+
+
 def test_decode_natively_and_strictly_agree(spark):
     from tidemark.functions.contract import DECODED
     from tidemark.operators import decode as d

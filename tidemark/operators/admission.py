@@ -77,13 +77,15 @@ def admit(decoded: DataFrame) -> DataFrame:
     return out.withColumn("object", F.when(F.col("rejected").isNull(), F.encode("canonical", "utf-8")).otherwise(F.col("body")))
 
 
-def archive_rows(admitted: DataFrame) -> DataFrame:
-    """The archive object of each ordered record."""
+def archived(rows: DataFrame) -> DataFrame:
+    """The archive's columns of records that have theirs, `object`, `rejected` and `representation`.
+
+    What follows from a body, its hash and metadata, is made here, so that only bodies are grouped and shuffled.
+    """
     ok = F.col("rejected").isNull()
     meta = F.when(ok, F.create_map(F.lit("event-digest"), F.col("digest"), F.lit("schema-version"), F.lit(CONTRACT_VERSION))).otherwise(
         F.create_map(F.lit("disposition"), F.col("rejected"), F.lit("representation"), F.col("representation"))
     )
-    rows = admitted.select(
-        F.col("raw_key").alias("key"), F.col("object").alias("body"), F.sha2("object", 256).alias("sha256"), meta.alias("metadata"), "event_source_arn", "shard_id", "sequence_number", "partition_key", F.when(ok, F.col("digest")).alias("event_digest"), "turn"
+    return rows.select(
+        "key", F.col("object").alias("body"), F.sha2("object", 256).alias("sha256"), meta.alias("metadata"), "event_source_arn", "shard_id", "sequence_number", "partition_key", F.when(ok, F.col("digest")).alias("event_digest")
     )
-    return rows

@@ -23,21 +23,22 @@ def strictly(ordered: DataFrame, *ties: str, name: str = "ordered") -> DataFrame
     return staged(numbered, name)
 
 
-def in_ranges(rows: DataFrame, keys: list[str], order: list[str], block: str = "block") -> DataFrame:
+def in_ranges(rows: DataFrame, keys: list[str], order: list[str], block: str = "block", name: str = "ranges") -> DataFrame:
     """rows, written in ranges of (keys, order), with `block`: the number of a row's range, which never falls along the order.
 
     Ranges are of about one size whatever the keys are, so a key that has most rows spans most of them.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return staged(rows.repartitionByRange(parts, *keys, *order).withColumn(block, F.spark_partition_id()), "ranges")
+    return staged(rows.repartitionByRange(parts, *keys, *order).withColumn(block, F.spark_partition_id()), name)
 
 
-def previous_max(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+def previous_max(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str, ranged: bool = False) -> DataFrame:
     """Adds `out`: the greatest `value` of the rows of the same keys that come earlier, null for the first.
 
-    A range's rows are scanned for themselves and joined with the greatest value of earlier ranges, one row each.
+    A range's rows are scanned for themselves and joined with the greatest value of earlier ranges, one row each. Rows
+    that are `ranged` are in_ranges() of at least these rows.
     """
-    ranged = in_ranges(rows, keys, order, "block")
+    ranged = rows if ranged else in_ranges(rows, keys, order, "block")
     earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = ranged.groupBy(*keys, "block").agg(F.max(value).alias("of_block")).withColumn("of_earlier", F.max("of_block").over(earlier)).drop("of_block")
     inside = Window.partitionBy(*keys, "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

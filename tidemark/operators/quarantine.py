@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import json_string, stable_id
 
 
-def first_rows(rows: DataFrame, key: str, order: str, *more: Column) -> DataFrame:
-    """The row of each key that comes first, insert-or-ignore in processing order, with `more` aggregates of its rows."""
-    rest = [c for c in rows.columns if c not in (key, order)]
-    grouped = rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("row"), *more)
-    return grouped.select(key, "row.*", *[c for c in grouped.columns if c not in (key, "row")])
+def first_rows(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The row of each of `keys` that comes first, insert-or-ignore in processing order."""
+    rest = [c for c in rows.columns if c not in (*keys, order)]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("row")).select(*keys, "row.*")
 
 
 def quarantine_rows(isolated: DataFrame) -> DataFrame:
-    """From (turn, disposition, raw_key, source_hash, sequence_number, digest)."""
-    quoted = [json_string(F.col(c)) for c in ("disposition", "source_hash", "sequence_number", "digest")]
-    rows = isolated.select(stable_id("quarantine", *quoted).alias("quarantine_id"), "turn", "disposition", "raw_key", "source_hash", "sequence_number", F.col("digest").alias("payload_digest"))
-    return first_rows(rows, "quarantine_id", "turn")
+    """From (turn, disposition, raw_key, source_hash, sequence_number, digest). The id is made of what is grouped by."""
+    keys = ["disposition", "source_hash", "sequence_number", "digest"]
+    rows = first_rows(isolated.select(*keys, "raw_key", "turn"), keys, "turn")
+    quoted = [json_string(F.col(c)) for c in keys]
+    return rows.select(stable_id("quarantine", *quoted).alias("quarantine_id"), "disposition", "raw_key", "source_hash", "sequence_number", F.col("digest").alias("payload_digest"))
 
 
 def outbox_rows(quarantine: DataFrame) -> DataFrame:
@@ -29,9 +29,10 @@ def outbox_rows(quarantine: DataFrame) -> DataFrame:
 
 
 def transport_commits(rejected: DataFrame) -> DataFrame:
-    quoted = [json_string(F.col(c)) for c in ("source_hash", "sequence_number", "digest")]
-    rows = rejected.select(stable_id("commit", "transport", *quoted).alias("commit_id"), "turn", "source_hash", "sequence_number", "raw_key", F.col("rejected").alias("disposition"), F.col("digest").alias("payload_digest"))
-    rows = first_rows(rows, "commit_id", "turn")
+    keys = ["source_hash", "sequence_number", "digest"]
+    rows = first_rows(rejected.select(*keys, "raw_key", "rejected", "turn"), keys, "turn")
+    commit = stable_id("commit", "transport", *[json_string(F.col(c)) for c in keys])
+    rows = rows.select("*", commit.alias("commit_id"), F.col("rejected").alias("disposition"), F.col("digest").alias("payload_digest"))
     return rows.select("commit_id", F.lit("transport").alias("generation_id"), F.col("commit_id").alias("event_id"), "source_hash", "sequence_number", "raw_key", "disposition", "payload_digest")
 
 

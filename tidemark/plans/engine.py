@@ -11,14 +11,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.canonical import json_string, sha256, stable_id
+from ..functions.canonical import json_string, sha256, stable_id, valid_raw_key
 from ..functions.contract import ALLOWED_LATENESS_MS, IDENTITY_TTL_MS, LIVE, STATE
-from ..operators.admission import CONTENTS, admit, archive_rows
+from ..operators.admission import admit, archived
 from ..operators.decode import decode
-from ..operators.ordering import strictly, with_order
+from ..operators.ordering import in_ranges, strictly, with_order
 from ..operators.quarantine import event_commits, first_rows, outbox_rows, quarantine_rows, transport_commits
 from ..operators.timeline import component_rows, session_rows, sessions, totals, with_identity, with_time
-from ..sources.scratch import staged
+from ..sources.scratch import empty, staged
 
 
 #: Tables whose rows are unique by these columns; of several rows the first stays.
@@ -40,12 +40,13 @@ class Outcome:
     """added: what the records add to each table, for shard_state all of it; open_session tells which ones begin or end.
 
     tables: the state after the records, if they were applied to whole tables. dispositions: one row for each record that
-    was processed.
+    was processed. objects: one row (key, sha256, bodies) for each archived key, bodies being 2 if it came with several.
     """
 
     added: dict[str, DataFrame]
     tables: dict[str, DataFrame]
     dispositions: DataFrame
+    objects: DataFrame
 
 
 class WholeState:
@@ -68,7 +69,7 @@ class WholeState:
 
 
 def empty_state(spark: SparkSession) -> dict[str, DataFrame]:
-    return {name: spark.createDataFrame([], ddl) for name, ddl in STATE.items()}
+    return {name: empty(spark, ddl) for name, ddl in STATE.items()}
 
 
 def before_failures(ordered: DataFrame, fails: str) -> tuple[DataFrame, DataFrame]:
@@ -85,32 +86,73 @@ def batch_item_failures(failures: DataFrame) -> DataFrame:
     return failures.groupBy("batch_id").agg(listed.alias("sequence_numbers"))
 
 
+#: What of an event its tables are made of, besides its turn, which holds its batch, digest and ingest time.
+EVENT = ["turn", "generation_id", "shard_id", "event_source_arn", "sequence_number", "event_id", "user_id", "event_type", "event_time_ms", "value_cents"]
+
+
+def in_order(admitted: DataFrame, generation: str = LIVE, objects: bool = False) -> DataFrame:
+    """Admitted records in their strict order, written. Of equal turns the smaller digest, then the earlier ingest time, is first.
+
+    Only what tables are made of is written, and nothing twice: told() adds what follows from it. `objects` keeps bodies.
+    """
+    rows = with_order(admitted).withColumn("generation_id", F.lit(generation)).withColumn("rejected_key", F.when(F.col("rejected").isNotNull(), F.col("raw_key")))
+    rows = rows.select(*EVENT, "rejected", "rejected_key", "partition_key", "representation", "digest", "ingest_time_ms", *(["object"] if objects else []))
+    # The turn gets the digest and the ingest time as its ties.
+    rows = rows.withColumn("turn", F.struct("turn.*", "digest", "ingest_time_ms")).drop("digest", "ingest_time_ms")
+    return strictly(rows, name="admitted")
+
+
+def told(rows: DataFrame) -> DataFrame:
+    """Rows of in_order(), or of steps that follow it, with the columns that follow from theirs."""
+    turn, key = F.col("turn"), F.col("rejected_key") if "rejected_key" in rows.columns else F.lit(None).cast("string")
+    rows = rows.withColumns({"batch_id": turn["batch_id"], "digest": turn["digest"], "ingest_time_ms": turn["ingest_time_ms"], "source_hash": sha256(F.col("event_source_arn"))})
+    return rows.withColumn("raw_key", F.coalesce(key, valid_raw_key()))
+
+
 def ordered_strictly(admitted: DataFrame, generation: str = LIVE) -> DataFrame:
-    """Admitted records in their strict order, written. Of equal turns the smaller digest, then the earlier ingest time, is first."""
-    rows = with_order(admitted).withColumn("generation_id", F.lit(generation)).drop(*CONTENTS)
-    return strictly(rows, "digest", "ingest_time_ms", name="admitted")
+    return told(in_order(admitted, generation))
+
+
+def in_turn(admitted: DataFrame) -> DataFrame:
+    """Admitted records with a turn that tells apart all that differ in what is archived; nothing is written."""
+    return with_order(admitted).withColumn("turn", F.struct("turn.*", "digest", "ingest_time_ms", "partition_key", "rejected"))
+
+
+def archive_rows(rows: DataFrame) -> DataFrame:
+    """The archive's rows of records that have `object` and a turn: of those with one key the first one's."""
+    kept = rows.select(F.col("raw_key").alias("key"), "object", "rejected", "representation", "event_source_arn", "shard_id", "sequence_number", "partition_key", "digest", "turn")
+    return archived(first_rows(kept, ["key"], "turn"))
+
+
+def object_rows(rows: DataFrame) -> DataFrame:
+    """(key, sha256, bodies) of the same, from hashes alone."""
+    sha = rows.select(F.col("raw_key").alias("key"), F.sha2("object", 256).alias("sha256"), "turn")
+    return sha.groupBy("key").agg(F.min_by("sha256", "turn").alias("sha256"), F.when(F.min("sha256") == F.max("sha256"), 1).otherwise(2).alias("bodies"))
 
 
 def process_decoded(decoded: DataFrame, state=None, generation: str = LIVE) -> Outcome:
     """Applies decoded records to a state: a dict of whole tables, or what has the methods of WholeState."""
     spark = decoded.sparkSession
     old = WholeState(state or empty_state(spark)) if state is None or isinstance(state, dict) else state
-    # Every table below reads these, so they are written once, with each payload once.
-    admitted = ordered_strictly(admit(decoded), generation)
-    rejected = admitted.where(F.col("rejected").isNotNull())
-    valid = admitted.where(F.col("rejected").isNull()).drop("object", "root_keys", "payload_keys")
-    known = staged(with_identity(valid, old.identities(valid)), "known")
-    timed = with_time(known.where("identity = 'NEW_IDENTITY'"), old.shards)
-    timed = staged(timed.withColumn("disposition", F.when(F.col("category") == "beyond_watermark", "LATE_BEYOND_WATERMARK").otherwise(F.col("category"))), "timed")
+    whole = isinstance(old, WholeState)
+    # Every table below reads these, so they are written once. Bodies are, where a batch's archive is to be written too.
+    ordered = in_order(admit(decoded), generation, objects=not whole)
+    rejected = told(ordered.where(F.col("rejected").isNotNull()))
+    valid = ordered.where(F.col("rejected").isNull()).select(*EVENT)
+    known = with_identity(valid, old.identities(told(valid)))
+    known = in_ranges(known, ["generation_id", "shard_id"], ["turn"], name="known")
+    timed = with_time(known.where("identity = 'NEW_IDENTITY'").drop("identity"), old.shards)
+    timed = timed.withColumn("disposition", F.when(F.col("category") == "beyond_watermark", "LATE_BEYOND_WATERMARK").otherwise(F.col("category")))
+    timed = told(old.held(timed, "timed"))
     accepted = timed.where("category <> 'beyond_watermark'")
-    repeated = known.where("identity <> 'NEW_IDENTITY'").withColumn("disposition", F.col("identity"))
+    repeated = told(known.where("identity <> 'NEW_IDENTITY'")).withColumn("disposition", F.col("identity"))
 
-    told = ["turn", "batch_id", "event_source_arn", "shard_id", "sequence_number", "source_hash", "raw_key", "digest", "disposition"]
+    shown = ["turn", "batch_id", "event_source_arn", "shard_id", "sequence_number", "source_hash", "raw_key", "digest", "disposition"]
     marks = [F.lit(None).cast("long").alias(c) for c in ("watermark_before_ms", "watermark_after_ms")]
     every = (
-        rejected.withColumn("disposition", F.col("rejected")).select(*told, F.lit(False).alias("mutated"), *marks)
-        .unionAll(repeated.select(*told, F.lit(False).alias("mutated"), *marks))
-        .unionAll(timed.select(*told, (F.col("category") != "beyond_watermark").alias("mutated"), "watermark_before_ms", "watermark_after_ms"))
+        rejected.withColumn("disposition", F.col("rejected")).select(*shown, F.lit(False).alias("mutated"), *marks)
+        .unionAll(repeated.select(*shown, F.lit(False).alias("mutated"), *marks))
+        .unionAll(timed.select(*shown, (F.col("category") != "beyond_watermark").alias("mutated"), "watermark_before_ms", "watermark_after_ms"))
     )
 
     new: dict[str, DataFrame] = {}
@@ -129,19 +171,20 @@ def process_decoded(decoded: DataFrame, state=None, generation: str = LIVE) -> O
     work = accepted.select("shard_id", "generation_id", F.col("watermark_after_ms").alias("watermark_ms")).distinct()
     work_id = stable_id("closure-work", json_string(F.col("shard_id")), json_string(F.col("generation_id")), F.col("watermark_ms").cast("string"))
     new["closure_work"] = work.select(work_id.alias("work_id"), "shard_id", "generation_id", "watermark_ms", F.lit("DONE").alias("status"))
-    isolated = every.where("disposition IN ('IDENTITY_CONFLICT', 'EXPIRED_IDENTITY', 'LATE_BEYOND_WATERMARK')").select(*told).unionAll(rejected.withColumn("disposition", F.col("rejected")).select(*told))
-    new["quarantine"] = quarantine_rows(isolated)
+    isolated = every.where("disposition IN ('IDENTITY_CONFLICT', 'EXPIRED_IDENTITY', 'LATE_BEYOND_WATERMARK')").select(*shown).unionAll(rejected.withColumn("disposition", F.col("rejected")).select(*shown))
+    new["quarantine"] = old.held(quarantine_rows(isolated), "quarantine")
     new["outbox"] = outbox_rows(new["quarantine"])
     new["processing_commit"] = event_commits(timed).unionByName(transport_commits(rejected))
     new["metric"] = metric_rows(every)
     new["shard_metric"] = every.groupBy(F.lit(generation).alias("generation_id"), "shard_id", "disposition").agg(F.count("*").alias("n"))
     new["latency"] = accepted.groupBy("generation_id", "event_type", (F.col("ingest_time_ms") - F.col("event_time_ms")).alias("latency_ms")).agg(F.count("*").alias("n"))
-    new["archive"] = first_rows(archive_rows(admitted), "key", "turn", F.count_distinct("sha256").alias("bodies"))
-    if not isinstance(old, WholeState):
-        return Outcome(new, {}, every)
+    stored = told(ordered) if not whole else in_turn(admit(decoded))
+    new["archive"], objects = archive_rows(stored), object_rows(stored)
+    if not whole:
+        return Outcome(new, {}, every, objects)
     closed = found.where("closed").select("generation_id", F.explode("ids").alias("event_id"))
     still = opened.join(closed, ["generation_id", "event_id"], "left_anti").select(*columns)
-    return Outcome(new, merged(old.tables, new | {"open_event": still, "session_component": component_rows(found)}), every)
+    return Outcome(new, merged(old.tables, new | {"open_event": still, "session_component": component_rows(found)}), every, objects)
 
 
 def merged(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -50,16 +50,17 @@ def _admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.with_identity(engine.ordered_strictly(admit(decoded(spark, sf_dir)).where("rejected IS NULL")).drop("object"))
+    return timeline.with_identity(engine.in_order(admit(decoded(spark, sf_dir)).where("rejected IS NULL")).select(*engine.EVENT))
 
 
 def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.with_time(_identified(spark, sf_dir).where("identity = 'NEW_IDENTITY'"))
+    return timeline.with_time(_identified(spark, sf_dir).where("identity = 'NEW_IDENTITY'").drop("identity"))
 
 
 def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written once: sessions and shard maxima both read it."""
-    return staged(_timed(spark, sf_dir).where("category <> 'beyond_watermark'"), "accepted")
+    rows = _timed(spark, sf_dir).where("category <> 'beyond_watermark'").withColumn("ingest_time_ms", F.col("turn.ingest_time_ms"))
+    return staged(rows.select("generation_id", "shard_id", "user_id", "event_id", "event_type", "event_time_ms", "ingest_time_ms", "value_cents", "category"), "accepted")
 
 
 def _shards(accepted: DataFrame) -> DataFrame:
@@ -75,6 +76,15 @@ def _state(table: str, *columns: str):
     return run
 
 
+def _archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive's rows, which follow from admission alone: no identity or time is worked out for them."""
+    return engine.archive_rows(engine.in_turn(admit(decoded(spark, sf_dir))))
+
+
+def archive(spark, sf_dir):
+    return _archived(spark, sf_dir).select("key", "sha256", "shard_id", "sequence_number")
+
+
 def _decoded_dispositions(records):
     rows = admit(decode(records))
     return rows.select("sequence_number", F.coalesce("rejected", F.lit("ADMITTED")).alias("disposition"), "representation", F.sha2("body", 256).alias("body_sha256"), "digest")
@@ -238,7 +248,7 @@ def replay_keys(spark, sf_dir):
 def archive_reconciliation(spark, sf_dir):
     """Objects that the records call for, against the archive."""
     rows = _admitted(spark, sf_dir).select(F.col("raw_key").alias("key")).distinct()
-    return quality.reconcile(rows, engine.process_decoded(decoded(spark, sf_dir)).tables["archive"], "key", ["key"]).groupBy("status").agg(F.count("*").alias("n"))
+    return quality.reconcile(rows, _archived(spark, sf_dir), "key", ["key"]).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def coverage_orphans(spark, sf_dir):
@@ -379,7 +389,7 @@ def queries() -> dict:
     state = {
         "identity_ledger": _state("identity_ledger"), "shard_state": _state("shard_state"), "open_event": _state("open_event"), "open_sessions": _state("session_component"),
         "session_output": _state("session_output"), "user_aggregate": _state("user_aggregate"), "closure_work": _state("closure_work"), "quarantine": _state("quarantine"), "outbox": _state("outbox"),
-        "processing_commit": _state("processing_commit"), "disposition_metrics": _state("metric"), "archive": _state("archive", "key", "sha256", "shard_id", "sequence_number"),
+        "processing_commit": _state("processing_commit"), "disposition_metrics": _state("metric"), "archive": archive,
     }
     return {f.__name__: f for f in own} | state
 

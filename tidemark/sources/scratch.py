@@ -9,6 +9,8 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 #: The folders that staged() made inside freed().
@@ -52,8 +54,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def empty(spark: SparkSession, ddl: str) -> DataFrame:
+    """A table without rows, known as such when a plan is made, so that joins and unions with it fall away."""
+    fields = StructType.fromDDL(ddl).fields
+    return spark.range(0).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def staged(df: DataFrame, name: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    """df written as a table below the shared folder and read back, so that later passes don't compute it again."""
+    """df written as a table below the shared folder and read back, so that later passes don't compute it again.
+
+    Hex digests and keys are most of what is written, and zstd takes them to half of what the default gives.
+    """
+    if fmt == "parquet":
+        options = {"compression": "zstd"} | options
     path = f"{shared_folder(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
     if (made := _made.get()) is not None:
         made.append(path)

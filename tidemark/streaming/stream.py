@@ -60,7 +60,7 @@ def new_objects(store, outcome: Outcome, batch: int, conflicts: str) -> DataFram
     if conflicts not in ("fail", "keep"):
         raise ValueError("conflicts are to fail or to be kept out")
     objects = outcome.added["archive"]
-    told = staged(objects.select("key", "sha256", "bodies"), "told")
+    told = staged(outcome.objects, "told")
     known = store.known_objects(told, batch)
     if conflicts == "fail":
         differing = known.where("sha256 <> known_sha256").select("key").unionByName(told.where("bodies > 1").select("key")).limit(1).collect()
