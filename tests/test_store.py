@@ -217,6 +217,14 @@ def test_a_batch_reads_what_its_time_can_meet(spark, tmp_path):
     assert len(folders(asked, "part")) == 1 and len(folders(store.archive(), "part")) == 30 and asked.count() == 3
 
 
+def test_filters_of_open_events_are_as_large_as_their_ids_need(spark, tmp_path):
+    """Events of thirty hours make thirty files, each with a Bloom filter of 64 KB at least; one of fixed size takes a megabyte."""
+    many = [event(f"e{i}", 700_000_000 + i * 3_600_000, "u") for i in range(30)]
+    by_batches(spark, tmp_path / "s", [[record(e, i, position=i) for i, e in enumerate(many)]])
+    sizes = [p.stat().st_size for p in (tmp_path / "s").rglob("*.parquet") if "open_event" in str(p)]
+    assert len(sizes) >= 30 and max(sizes) < 100_000
+
+
 def test_a_session_that_closes_is_found_by_its_hour(spark, tmp_path):
     """Closing reads the sessions of the hour before the watermark alone, and tells which ended."""
     first, hour = 700_000_000, 3_600_000

@@ -23,7 +23,7 @@ from ..functions.canonical import is_closed
 from ..functions.contract import ALLOWED_LATENESS_MS, IDENTITY_TTL_MS, INACTIVITY_GAP_MS, LIVE, MAX_AGE_MS, MAX_FUTURE_MS, STATE
 from ..operators.timeline import component_rows, sessions
 from ..plans.engine import KEYS, SESSION, SUMS
-from .scratch import path_of, remove, staged
+from .scratch import empty, path_of, remove, staged
 
 #: The boundaries at which a probe is told how far a step has come.
 BOUNDARIES = ("before_archive", "archived", "staged", "committed", "partial_failure", "quarantined", "published", "failure_recorded")
@@ -81,7 +81,7 @@ class StateTables:
         return f"{self.root}/generation={self.generation}/{table}"
 
     def _empty(self, ddl: str) -> DataFrame:
-        return self.spark.createDataFrame([], ddl)
+        return empty(self.spark, ddl)
 
     def _read(self, table: str, ddl: str, folders: str = "") -> DataFrame:
         """A table's files, or those below `folders`, a pattern of the folders in it."""
@@ -183,9 +183,10 @@ class StateTables:
                 folder, value, _ = LAYOUT[name]
                 # A folder's rows come to few tasks, and so to few files; adaptive execution splits a large folder.
                 rows, folders = rows.withColumn(folder, F.expr(value)).hint("rebalance", F.col(folder)), [folder, "batch"]
-            out = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders)
+            out = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*folders)
             if name == "open_event":
-                out = out.option("parquet.bloom.filter.enabled#event_id", "true")
+                # As large as a file's ids need, from 64 KB on, else a megabyte for each file, which is for each hour.
+                out = out.option("parquet.bloom.filter.enabled#event_id", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
             out.parquet(self._path(name))
 
         def all_of(*names: str) -> None:
