@@ -414,6 +414,28 @@ def test_look_up_tables_give_the_librarys_ids():
     assert encoder.encode([]) == [] and counter.count([]) == []
 
 
+def test_look_up_tables_hold_a_word_once(tmp_path):
+    """A word is one piece whatever mark or line feed stands beside it, and a special string is never cut."""
+    from tokenizers import Tokenizer
+
+    path, draw = public("byte_bpe_50k.json"), random.Random(6)
+    words = ["".join(draw.choice("abcdefgé") for _ in range(9)) for _ in range(300)]
+    beside = ["{} ", "{}, ", "{}. ", "{}! ", "{}### ", "{}.\n", "{}\n"]
+    texts = ["".join(b.format(w) for w in words) + "end" for b in beside]
+    some = ["a", "ö", " ", "\n", ".", ",", "'", "'s", "'t", "***", "%", "$", "<|endoftext|>", "<|", "|>", "<a,b>", "#", "7", "!", "?", ":", "ª", "×", "_", "日", "\u0301", "\xad", " ."]
+    texts += ["".join(draw.choice(some) for _ in range(draw.randint(0, 14))) for _ in range(5000)]
+    lib = Tokenizer.from_file(path)
+    lib.add_special_tokens(["<a,b>"])
+    lib.save(f"{tmp_path}/special.json")
+    for file in (path, f"{tmp_path}/special.json"):
+        encoder, counter = tokens.IdEncoder(file), tokens.TokenCounter(file)
+        want = [np.asarray(x.ids, "<u4").tobytes() for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert encoder.encode(texts[:7]) == want[:7] and counter.count(texts[:7]) == [len(x) // 4 for x in want[:7]]
+        if file == path:  # each word at a text's or line's beginning, and after a space
+            assert len(encoder.known) < 2 * len(set(words)) + 20
+        assert encoder.encode(texts) == want and counter.count(texts) == [len(x) // 4 for x in want]
+
+
 def test_token_counts(spark):
     rows = token_rows()
     path = public("word_bpe_49k.json")

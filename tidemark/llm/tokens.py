@@ -2,7 +2,8 @@
 
 Both read a public tokenizer file by its path and use that file's own library. A text is cut at a place that no token
 spans, before white space that follows a character other than white space, so what each distinct piece of text gives is
-found once and looked up after that. The look-up tables of a task are bounded and start again when they are full.
+found once and looked up after that. Where the file's pattern ends a token between a letter and a mark, a text is cut there
+too, so a word is one piece whatever mark follows it. The look-up tables of a worker are bounded.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,13 @@ ODD = re.compile("[\x1c-\x1f\x85\u180e]")
 ODD_ASCII = "\x1c\x1d\x1e\x1f"
 #: White space and the characters after it up to the next white space; the last piece may be white space only.
 PIECE = re.compile(r"\s*\S+|\s+\Z")
-#: White space in other forms than single spaces and line feeds between other characters.
-UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
-WIDE = re.compile("[\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: White space in other forms than single spaces and line feeds between other characters, and zero characters.
+UNEVEN = "  |\n\n| \n|\n |[\\x00\t\r\x0b\x0c\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Before a piece that no space or line feed starts; texts that hold it are cut by the pattern.
 HEAD = "\0"
-#: A piece of one blank, letters and marks: its pre-tokens are " letters" and "marks", or the line feed, "letters", "marks".
-SIMPLE = re.compile(r"(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:;=?@\[-`{-~]*)")
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+#: A letter and a mark: ByteLevel's pattern always ends a pre-token between them.
+MARKED = f"({LETTERS})([.,;:!?*#%$])"
 #: What operator 7's look-up table of a worker holds at most, and how many characters of text are encoded in one go.
 MOST_KEPT = 800_000
 TEXT_AT_ONCE = 2_000_000
@@ -56,22 +58,25 @@ def odd(text: str) -> bool:
 class IdEncoder:
     """Ids of whole texts as bytes of little-endian unsigned 32-bit integers."""
 
-    most_kept = 500_000
+    most_kept = 400_000
 
     def __init__(self, path: str):
-        self.tokenizer, self.known, self.marks, self.passing = _tokenizer(path), {}, {}, []
+        self.tokenizer, self.known = _tokenizer(path), {}
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        other = [x for x in special if "<" not in x]  # SIMPLE has no such mark, so a piece that it matches holds no special string
         step = self.tokenizer.pre_tokenizer
-        self.simple = not other and self.tokenizer.normalizer is None and type(step).__name__ == "ByteLevel" and step.use_regex and not step.add_prefix_space
         # The byte alphabet: printable characters of Latin-1 stand for themselves, other bytes for characters from U+0100 on.
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
         self.alphabet = np.array([others.get(b, b) for b in range(256)], "<u2")
-        self.line = self._words(["\n"])[0] if self.simple else b""
+        # A piece of letters holds no special string, nor does a cut between a letter and a mark fall into one.
+        self.simple = self.tokenizer.normalizer is None and type(step).__name__ == "ByteLevel" and step.use_regex and not step.add_prefix_space and all("<" in x for x in special)
+        self.apart = self.simple and not any(re.search(rf"\s|{MARKED}", x) for x in special)
 
     def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        return self._wholes([text])[0]
+
+    def _wholes(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of pre-tokens, given to the model in the byte alphabet, into which they are put in one go."""
@@ -80,25 +85,11 @@ class IdEncoder:
         return [array("I", [x.id for x in tokenize(x)]).tobytes() for x in own.split(chr(self.alphabet[0]))]
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces. A blank, letters and marks are two or three pre-tokens; others go to the library as they are."""
-        marks, match = self.marks, SIMPLE.fullmatch if self.simple else lambda x: None
-        if len(marks) > self.most_kept:
-            marks.clear()
-        found = [m and m.groups() for m in map(match, pieces)]
-        if new := list({x[2] for x in found if x and x[2]}.difference(marks)):
-            marks.update(zip(new, self._words(new), strict=True))
-        letters = [x[1] for x in found if x]
-        words = iter(self._words(letters) if letters else [])
-        out = []
-        for piece, x in zip(pieces, found, strict=True):
-            if x is None:
-                out.append(self._whole(piece))
-            else:
-                ids = next(words)
-                if x[2]:
-                    ids += marks[x[2]]
-                out.append(self.line + ids if x[0] else ids)
-        return out
+        """Ids of pieces. Letters of Latin-1 after a blank or none are one pre-token; others go to the library as they are."""
+        simple = [self.simple and (y := x[1:] if x[:1] == " " else x).isalpha() and (y.isascii() or max(y) <= "\xff") for x in pieces]
+        words, others = ([x for x, own in zip(pieces, simple, strict=True) if own is kind] for kind in (True, False))
+        words, others = iter(self._words(words) if words else []), iter(self._wholes(others))
+        return [next(words if own else others) for own in simple]
 
     def _cut(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray, list[int]]:
         """(keys of all pieces, where each text's begin, order of the texts): texts of single spaces and line feeds first.
@@ -106,11 +97,15 @@ class IdEncoder:
         These are split at spaces by Arrow, any other text by a pattern. A key with HEAD stands for the piece after it, a
         key with a line feed for itself, and any other one for a space and itself.
         """
-        even = [not (HEAD in x or any(c in x for c in UNEVEN) or not x.isascii() and WIDE.search(x)) for x in texts]
-        order = sorted(range(len(texts)), key=lambda i: not even[i])
-        plain = pa.array([HEAD + texts[i] for i in order if even[i]], pa.large_string())
-        split = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
-        other = [[HEAD + x for x in PIECE.findall(texts[i])] for i in order if not even[i]]
+        uneven = pc.match_substring_regex(pa.array(texts, pa.large_string()), UNEVEN).to_numpy(zero_copy_only=False).astype(bool)
+        order = np.argsort(uneven, kind="stable").tolist()
+        n_even = len(texts) - int(uneven.sum())
+        plain = pa.array([HEAD + texts[i] for i in order[:n_even]], pa.large_string())
+        plain = pc.replace_substring(plain, "\n", f" \n {HEAD}" if self.apart else " \n")
+        if self.apart:
+            plain = pc.replace_substring_regex(plain, MARKED, f"\\1 {HEAD}\\2")
+        split = pc.split_pattern(plain, " ")
+        other = [[HEAD + x for x in PIECE.findall(texts[i])] for i in order[n_even:]]
         keys = pa.concat_arrays([split.flatten(), pa.array([x for some in other for x in some], pa.large_string())]).dictionary_encode()
         n = np.concatenate([pc.list_value_length(split).to_numpy(zero_copy_only=False), [len(x) for x in other]])
         return keys, np.concatenate([[0], np.cumsum(n)]).astype(np.int64), order
@@ -119,20 +114,25 @@ class IdEncoder:
         """(what is kept of each distinct key, the key of each piece, where each text's pieces begin, order of the texts)."""
         keys, starts, order = self._cut(texts)
         distinct, known = keys.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known
-        for x in self.passing:
-            del known[x]
-        new = [x for x in distinct if x not in known]
-        # What doesn't fit is forgotten in the next call: by then the frequent pieces are known.
-        self.passing = new if len(known) + len(new) > self.most_kept else []
-        known.update(zip(new, self._kept([x[1:] if x[:1] == HEAD else x if x[:1] == "\n" else " " + x for x in new]), strict=True))
-        return list(map(known.__getitem__, distinct)), keys.indices.to_numpy(), starts, order
+        kept = list(map(known.get, distinct))
+        missed = [i for i, x in enumerate(kept) if x is None]
+        new = [distinct[i] for i in missed]
+        found = self._kept([x[1:] if x[:1] == HEAD else x if x[:1] == "\n" else " " + x for x in new])
+        for i, x in zip(missed, found, strict=True):
+            kept[i] = x
+        # What doesn't fit is found again in later calls: by then the frequent pieces are known.
+        known.update(islice(zip(new, found, strict=True), max(0, self.most_kept - len(known))))
+        return kept, keys.indices.to_numpy(), starts, order
 
     def _kept(self, pieces: list[str]) -> list:
         """What the look-up tables keep of pieces."""
         return self._ids(pieces)
 
+    def _odd(self, texts: list[str]) -> list[int]:
+        return np.flatnonzero(pc.match_substring_regex(pa.array(texts, pa.large_string()), ODD.pattern).to_numpy(zero_copy_only=False)).tolist()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = {i: self._whole(x) for i, x in enumerate(texts) if odd(x)}
+        out = {i: self._whole(texts[i]) for i in self._odd(texts)}
         rest = [i for i in range(len(texts)) if i not in out]
         if rest:
             ids, which, starts, order = self._learned([texts[i] for i in rest])
@@ -151,7 +151,7 @@ class TokenCounter(IdEncoder):
         return [len(x) // 4 for x in self._ids(pieces)]
 
     def count(self, texts: list[str]) -> list[int]:
-        out = {i: len(self._whole(x)) // 4 for i, x in enumerate(texts) if odd(x)}
+        out = {i: len(self._whole(texts[i])) // 4 for i in self._odd(texts)}
         rest = [i for i in range(len(texts)) if i not in out]
         if rest:
             n, which, starts, order = self._learned([texts[i] for i in rest])

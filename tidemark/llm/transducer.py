@@ -225,7 +225,7 @@ class TextEncoder(IdEncoder):
     def __init__(self, machine: Transducer, pattern: str, cut: bool = True):
         import regex
 
-        self.machine, self.match, self.cut, self.known, self.passing = machine, regex.compile(pattern), cut, {}, []
+        self.machine, self.match, self.cut, self.known, self.apart = machine, regex.compile(pattern), cut, {}, False
 
     def _whole(self, text: str) -> bytes:
         return b"".join(map(self.machine.ids_of, self.match.findall(text)))
